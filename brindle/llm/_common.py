@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Largest table, in rows of two numbers each (16 MB), that is sent to every executor; beyond it a join shuffles.
 BROADCAST_ROWS = 1_000_000
@@ -53,3 +54,16 @@ def with_base(rows: DataFrame, part: str, n: Column, base: str) -> DataFrame:
 def named(df: DataFrame, *columns: str) -> DataFrame:
     """Only the columns that the operator reads, so that further ones, whatever their names, are never in the way."""
     return df.select(*[df[c] for c in columns])
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, behind as many underscores as it takes to be no column of the frame."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def wider(df: DataFrame, **more: str) -> T.StructType:
+    """The frame's schema with further columns."""
+    return T.StructType([*df.schema.fields, *[T.StructField(k, T._parse_datatype_string(v)) for k, v in more.items()]])

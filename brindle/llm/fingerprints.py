@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import named, partitions, written
+from ._common import named, partitions, wider, written
 from ._tokens import by_bytes
 from ._shingles import mixed, shingle_hashes, word_hashes
 
@@ -101,7 +101,7 @@ def with_fingerprint(docs: DataFrame, *, width: int = WIDTH, text_col: str = "te
             found = _all_prints(batch.column(at).to_pylist(), width)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([p.bits.tobytes().hex() for p in found])], [*batch.schema.names, out])
 
-    return docs.mapInArrow(run, docs.schema.add(out, "string"))
+    return docs.mapInArrow(run, wider(docs, **{out: "string"}))
 
 
 def _all_prints(texts: list[str | None], width: int) -> list[_Print]:
