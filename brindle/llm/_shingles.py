@@ -63,9 +63,9 @@ def chunks(texts: pa.Array, most: int = CHUNK) -> Iterator[tuple[int, np.ndarray
         first = last
 
 
-def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Begin and end of each run of bytes that aren't ASCII white space; a run ends where its text does."""
-    word = ~_SPACE[raw]
+def word_spans(raw: np.ndarray, offsets: np.ndarray, kind: np.ndarray = ~_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of each run of bytes of a kind, by default all but ASCII white space; a run ends where its text does."""
+    word = kind[raw]
     first, last = word.copy(), word.copy()
     first[1:] &= ~word[:-1]
     last[:-1] &= ~word[1:]
@@ -85,6 +85,20 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, *, lower: bool = True) ->
     return mixed((sums[end] - sums[begin]) * inverse[begin] ^ (end - begin).astype(np.uint64)), np.searchsorted(begin, offsets)
 
 
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+
+
+def term_hashes(raw: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, ...]) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each run of letters and digits a hash of it and of its first bytes, for each length in ``prefixes``; and where those of each text begin."""
+    begin, end = word_spans(raw, offsets, _ALNUM)
+    powers, inverse = _powers(len(raw))
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((_LOWER[raw].astype(np.uint64) + np.uint64(1)) * powers[: len(raw)], out=sums[1:])
+    stops = [end, *[np.minimum(begin + n, end) for n in prefixes]]
+    return [mixed((sums[stop] - sums[begin]) * inverse[begin] + np.uint64(k)) for k, stop in enumerate(stops)], np.searchsorted(begin, offsets)
+
+
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     """The hashes of all runs of ``width`` words; of fewer words, the hash of all as one; of none, none."""
     width = min(width, len(words))

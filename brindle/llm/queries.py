@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, mixing, near_dedup, packing, token_counts, token_files
+from . import fingerprints, mixing, near_dedup, packing, quality, token_counts, token_files, toxicity, url_filter
 from ._common import read, shared_path
 
 
@@ -32,10 +32,22 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.documents_of(token_files.read_token_files(spark, path)).drop("shard")
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read(spark, sf_dir, "pages"), rules=url_filter.RULES)
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resampling(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("key")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.held_out_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), cut=0.7)
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), width=2, percent=80)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_fingerprints, op3_mixing, op4_packing, op5_token_files, op10_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_fingerprints, op3_mixing, op4_packing, op5_token_files, op6_url_filter, op8_quality, op9_toxicity, op10_near_dedup)}
 
 ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.ORACLE_SQL}
