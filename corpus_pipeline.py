@@ -1,11 +1,52 @@
-"""From raw documents to packed training sequences, in stages."""
+"""From raw documents to packed training sequences, in stages.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a frame; between stages the documents are written as Parquet and read
+again.  All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from brindle.llm import mixing, near_dedup, packing, quality, toxicity
+from brindle.llm._common import read, shared_path
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that importance resampling against the labelled good ones does not draw."""
+    return quality.resampled(docs, read(spark, sf_dir, "labels"))
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents whose toxicity is above the threshold of their language."""
+    return toxicity.without_toxic(docs, read(spark, sf_dir, "labels"))
+
+
+def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near-duplicates: five words a shingle, a similarity of 0.8 or more."""
+    return near_dedup.deduplicated(docs, width=5, percent=80)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes documents up to the sources' targets; one that is taken twice stands there twice."""
+    return mixing.mixed(docs, weights=(5, 2, 1), share=1.5, epochs=2.0)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 1024 tokens."""
+    return packing.pack(docs, length=1024, end_id=0)
+
+
+STAGES = [("quality", good), ("toxicity", clean), ("near_duplicates", unlike), ("mixing", mixed), ("packing", packed)]
+
+#: Classifiers and tokenizers can't be written in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        path = shared_path(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
