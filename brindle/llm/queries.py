@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, near_dedup, packing, quality, token_counts, token_files, toxicity, url_filter
+from . import fingerprints, mixing, near_dedup, neighbours, packing, quality, token_counts, token_files, toxicity, url_filter
 from ._common import read, shared_path
 
 
@@ -36,6 +37,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"), rules=url_filter.RULES)
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resampling(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("key")
 
@@ -48,6 +53,6 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), width=2, percent=80)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_fingerprints, op3_mixing, op4_packing, op5_token_files, op6_url_filter, op8_quality, op9_toxicity, op10_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_fingerprints, op3_mixing, op4_packing, op5_token_files, op6_url_filter, op7_neighbours, op8_quality, op9_toxicity, op10_near_dedup)}
 
 ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.ORACLE_SQL}
