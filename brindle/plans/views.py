@@ -109,6 +109,7 @@ SQL_VIEWS = {
     "tags": "select user_id || '-' || date as event_key, * from (select user_id, cast(ts as date) as date, array_to_string(list_sort(list(distinct event_type)), '; ') as categories, max(value) as magnitude from events group by 1, 2)",
     "exploded": "select event_key, magnitude, tag from (select event_key, magnitude, unnest(string_split(categories, '; ')) as tag from tags)",
     "articles": "select doc_id as id, substr(coalesce(text, ''), 1, 60) as title, coalesce(text, '') as description, date '2023-01-01' + cast(doc_id % 730 as int) as date, lang, source from documents",
+    "r": "select id, regexp_split_to_array(title, '[\\s.,]+')[1] || ' one' as a, lower(regexp_split_to_array(title, '[\\s.,]+')[1]) || ' two' as b from articles",
     "vectors": "select vec_id as id, embedding as vector, date '2024-01-01' + cast(vec_id * 7 % 400 as int) as date, label from embeddings",
     "votes": "select year(o_orderdate) as year, o_orderpriority as topic, 100.0::double * count(*) filter (o_orderstatus = 'F') / count(*) as against_pct, count(*) as n from orders group by 1, 2",
     "cases": "select o_orderkey as name, o_custkey as company, cast(o_orderdate as date) as date, o_orderpriority as category, cast(o_orderkey % 4 + 1 as int) as stage, (floor(o_totalprice)::bigint % 100) / 100.0::double as probability, o_totalprice as amount from orders",
