@@ -1,4 +1,4 @@
 """The queries, by module; importing this registers all of them."""
 
-from . import ingest, prices, reporting, scoring  # noqa: F401
+from . import features, ingest, prices, reporting, scoring  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401
