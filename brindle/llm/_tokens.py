@@ -13,12 +13,15 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _SPACE_AFTER_SPACE = re.compile(r"\s ")
 _CUT = re.compile(r"(?<!\s)(?= )")
 
-#: Segments that a worker keeps between batches; the rest is encoded once for each batch.
-KEPT_SEGMENTS = 1_000_000
+#: Segments that a worker keeps between batches (some 100 MB); the rest is encoded once for each batch.
+KEPT_SEGMENTS = 600_000
+#: Longest segments that are kept: longer ones rarely come again.
+KEPT_LENGTH = 12
 
 
 def default_tokenizer() -> str:
@@ -55,8 +58,8 @@ class SegmentEncoder:
         inner = [x for x in unseen if x[:1] == " " and not x[-1].isspace()]
         outer = [x for x in unseen if not (x[:1] == " " and not x[-1].isspace())]
         new = {x: np.array(e.ids, self.dtype).tobytes() for x, e in zip(outer, self.tokenizer.encode_batch_fast(outer, add_special_tokens=False), strict=True)}
-        for i in range(0, len(inner), 20_000):
-            part = inner[i : i + 20_000]
+        for i in range(0, len(inner), 10_000):
+            part = inner[i : i + 10_000]
             ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, self.dtype)
             ends = np.cumsum(np.fromiter((len(x.encode()) for x in part), np.int64, len(part)))
             cuts = (np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1) * self.dtype.itemsize
@@ -79,7 +82,7 @@ class SegmentEncoder:
             if None in ids:
                 found[n] = [more[s] if i is None else i for s, i in zip(cut[n], ids, strict=True)]
         if len(self.kept) < KEPT_SEGMENTS:
-            self.kept |= more
+            self.kept.update(x for x in more.items() if len(x[0]) <= KEPT_LENGTH)
         return [b"".join(x) for x in found]
 
 
@@ -105,8 +108,12 @@ def by_bytes(texts: list[str | None], most: int = 4 << 20) -> Iterator[tuple[int
         yield start, len(texts)
 
 
-def encoded(texts: pa.Array, path: str) -> Iterator[tuple[int, list[bytes]]]:
-    """Row number of the first text, and the ids of it and the texts after it, a few megabytes at a time."""
-    rows, enc = texts.to_pylist(), encoder(path)
-    for a, b in by_bytes(rows):
-        yield a, enc.encode(rows[a:b])
+def encoded(texts: pa.Array, path: str, most: int = 3 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """Row number of the first text, and the ids of it and the texts after it, about ``most`` bytes at a time."""
+    enc = encoder(path)
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64))
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
+        yield a, enc.encode(texts.slice(a, b - a).to_pylist())
+        a = b
