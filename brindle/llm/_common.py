@@ -13,12 +13,25 @@ from pyspark.sql import types as T
 BROADCAST_ROWS = 1_000_000
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lets a batch of rows on its way to Python be of some megabytes at most, since texts may be long.
+
+    The settings are the session's; smaller ones are left as they are.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2_000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        now = str(spark.conf.get(key)).rstrip("bB")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new folder that the driver and all executors see, in ``spark.checkpoint.dir``; a local one only where that is unset."""
+    bounded_batches(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="brindle-")

@@ -19,7 +19,7 @@ _SPACE_AFTER_SPACE = re.compile(r"\s ")
 _CUT = re.compile(r"(?<!\s)(?= )")
 
 #: Segments that a worker keeps between batches (some 100 MB); the rest is encoded once for each batch.
-KEPT_SEGMENTS = 600_000
+KEPT_SEGMENTS = 400_000
 #: Longest segments that are kept: longer ones rarely come again.
 KEPT_LENGTH = 12
 
@@ -108,7 +108,7 @@ def by_bytes(texts: list[str | None], most: int = 4 << 20) -> Iterator[tuple[int
         yield start, len(texts)
 
 
-def encoded(texts: pa.Array, path: str, most: int = 3 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def encoded(texts: pa.Array, path: str, most: int = 2 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """Row number of the first text, and the ids of it and the texts after it, about ``most`` bytes at a time."""
     enc = encoder(path)
     ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64))

@@ -85,7 +85,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     taken = repetitions(docs, **options).filter("times > 0").select(F.col("doc_id").alias("_taken"), "times")
     few = taken.count() <= BROADCAST_ROWS
     rows = docs.join(F.broadcast(taken) if few else taken, docs[id_col].cast("long") == taken["_taken"])
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*[docs[c] for c in docs.columns])
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), taken["times"]))).select(*[docs[c] for c in docs.columns])
 
 
 ORACLE_SQL = rf"""

@@ -265,4 +265,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     cut = F.lit(common)
     for name, value in sorted(cuts.items()):
         cut = F.when(lang == name, value).otherwise(cut)
-    return docs.join(F.broadcast(suspects) if few else suspects, (docs[id_col].cast("long").eqNullSafe(F.col("_id"))) & (F.col("score") >= cut), "left_anti")
+    return docs.join(F.broadcast(suspects) if few else suspects, docs[id_col].cast("long").eqNullSafe(suspects["_id"]) & (suspects["score"] >= cut), "left_anti")
