@@ -18,8 +18,8 @@ import pyarrow.compute as pc
 _SPACE_AFTER_SPACE = re.compile(r"\s ")
 _CUT = re.compile(r"(?<!\s)(?= )")
 
-#: Segments that a worker keeps between batches (some 100 MB); the rest is encoded once for each batch.
-KEPT_SEGMENTS = 400_000
+#: Segments that a worker keeps between batches (some 150 MB); the rest is encoded once for each batch.
+KEPT_SEGMENTS = 700_000
 #: Longest segments that are kept: longer ones rarely come again.
 KEPT_LENGTH = 12
 
