@@ -248,3 +248,16 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     few = gone.count() <= BROADCAST_ROWS
     id_col = options.get("id_col", "doc_id")
     return docs.join(F.broadcast(gone) if few else gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
+
+
+#: The query over word pairs at 80 percent, by all pairs that share one.
+ORACLE_SQL = r"""
+with recursive words as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+sets as (select doc_id, unnest(list_distinct(case when len(w) > 1 then list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) else w end)) as s from words),
+sizes as (select d.doc_id, count(s) as n from documents d left join sets using (doc_id) group by 1),
+pairs as (select a.doc_id as a, b.doc_id as b, count(*) as shared from sets a join sets b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+links as (select a, b from pairs join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * shared >= 80 * (x.n + y.n - shared)),
+ways as (select a, b from links union all select b, a from links),
+reach as (select doc_id as a, doc_id as b from documents union select reach.a, ways.b from reach join ways on reach.b = ways.a)
+select doc_id, n as n_shingles, least as component_id, doc_id = least as kept from sizes join (select a as doc_id, min(b) as least from reach group by 1) using (doc_id)
+"""

@@ -55,4 +55,4 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_fingerprints, op3_mixing, op4_packing, op5_token_files, op6_url_filter, op7_neighbours, op8_quality, op9_toxicity, op10_near_dedup)}
 
-ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.ORACLE_SQL, "op10_near_dedup": near_dedup.ORACLE_SQL}

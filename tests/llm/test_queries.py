@@ -34,3 +34,10 @@ def test_pipeline_stages(spark, sf_dir, tmp_path):
             assert 0 < out.count() <= docs.count()
         docs = out if k < 4 else docs
     assert out.select("doc_id").distinct().count() == docs.filter("doc_id is not null").select("doc_id").distinct().count() <= n
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_same_as_sql(spark, sf_dir, name):
+    from tests.compare import connect, rows_of, rows_of_sql
+
+    assert rows_of(queries.QUERIES[name](spark, sf_dir)) == rows_of_sql(connect(sf_dir), queries.ORACLE_SQL[name])
