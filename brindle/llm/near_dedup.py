@@ -143,7 +143,7 @@ def _within(rows: DataFrame, test: Callable, blocks: Column) -> DataFrame:
     """Links (a, b) between members of a group that fall into the same block; rows: (group, doc_id, payload)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("doc_id")
+        pdf = pdf.drop_duplicates(["doc_id", "payload"])
         links = _star(pdf["doc_id"].tolist(), test(pdf["payload"].tolist(), pdf["payload"].tolist())) if len(pdf) > 1 else []
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
@@ -188,7 +188,8 @@ def _families(reps: DataFrame) -> DataFrame:
     n = partitions(reps.sparkSession)
     keys = F.array(*[F.xxhash64(F.lit(t), F.substring("sig", 2 * DEPTH * t + 1, 2 * DEPTH)) for t in range(TREES)])
     trees = reps.select("doc_id", F.posexplode(keys).alias("tree", "region"))
-    shared = trees.groupBy("region").agg(F.count("*").alias("members")).filter("members > 1")
+    # written first, so that the join on a hot region can be split
+    shared = written(trees.groupBy("region").agg(F.count("*").alias("members")).filter("members > 1"), "shared")
     shared = written(trees.join(shared, "region"), "regions")
     label = F.expr(f"concat(substring(sig, 1 + {2 * DEPTH} * tree), substring(sig, 1, {2 * DEPTH} * tree))")
     # 24 values order a region well enough; what ties after that is cut as one
@@ -208,11 +209,13 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
     """(doc_id, n_shingles, component_id, kept) of every document: its set's size, the smallest doc_id that links lead to, and whether it is that one."""
     docs = named(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets = written(signatures(docs, width), "signatures")
-    classes = sets.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    members = sets.select("doc_id", "n", "digest").join(classes, "digest", "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"))
+    # only sets that several documents have; written first, so that a join on a hot set can be split
+    classes = sets.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1").select("digest", "rep")
+    classes = written(classes, "classes")
+    rep = F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))
+    members = sets.join(classes, "digest", "left").select("doc_id", "n", rep.alias("rep"), F.when(F.col("doc_id") == rep, F.col("sig")).alias("sig"))
     members = written(members, "members")
-    reps = sets.filter("sig is not null and doc_id is not null").join(classes, (sets["doc_id"] == classes["rep"]) & (sets["digest"] == classes["digest"]), "left_semi").select("doc_id", "sig")
-    reps = written(reps.dropDuplicates(["doc_id", "sig"]), "representatives")
+    reps = members.filter("sig is not null").select("doc_id", "sig")
 
     family = _families(reps)
     sizes = family.groupBy("component").agg(F.count("*").alias("size"))
