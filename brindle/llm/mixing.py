@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import BROADCAST_ROWS, named
+from ._common import BROADCAST_ROWS, named, written
 
 #: Documents of a source that are put in order together.
 GROUP = 1024
@@ -58,9 +58,10 @@ def source_targets(sizes: DataFrame, *, share: float, epochs: float) -> DataFram
 def repetitions(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, epochs: float = 2.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, size, source_size, target, taken, times): how many words of each document the mix takes."""
     rows = named(docs, id_col, text_col, source_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"))
+    rows = written(rows, "sizes")  # the texts are read once
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")).withColumn("weight", cycled_weights(weights))
     targets = source_targets(sizes, share=share, epochs=epochs).withColumnRenamed("source", "_source")
-    few = docs.select(source_col).distinct().limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    few = rows.select("source").distinct().limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     rows = rows.join(F.broadcast(targets) if few else targets, F.col("source").eqNullSafe(F.col("_source")))
 
     draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
@@ -82,7 +83,7 @@ def repetitions(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), shar
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix, each as often as it is taken, all columns as they were; doc_id must tell rows apart."""
     id_col = options.get("id_col", "doc_id")
-    taken = repetitions(docs, **options).filter("times > 0").select(F.col("doc_id").alias("_taken"), "times")
+    taken = written(repetitions(docs, **options).filter("times > 0").select(F.col("doc_id").alias("_taken"), "times"), "taken")
     few = taken.count() <= BROADCAST_ROWS
     rows = docs.join(F.broadcast(taken) if few else taken, docs[id_col].cast("long") == taken["_taken"])
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), taken["times"]))).select(*[docs[c] for c in docs.columns])
