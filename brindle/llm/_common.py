@@ -34,8 +34,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
     bounded_batches(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="brindle-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        context = spark.sparkContext
+        base = context._brindle_folder = getattr(context, "_brindle_folder", None) or "file://" + tempfile.mkdtemp(prefix="brindle-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -109,7 +109,7 @@ def _star(ids: list[int], linked: np.ndarray) -> list[tuple[int, int]]:
 
 def _cut_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Walks (region, members, label, doc_id, sig) in order: likely links inside each cut, and the regions that were cut."""
-    region, members, seen = None, 0, 0
+    region, members = None, 0
     ids: list[int] = []
     sigs: list[bytes] = []
     labels: list[bytes] = []

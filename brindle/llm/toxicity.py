@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BROADCAST_ROWS, named, written
+from ._common import BROADCAST_ROWS, written
 from ._shingles import chunks, term_hashes
 
 SLOTS, PREFIXES, DIM, FILTERS, WIDTHS = 1 << 17, (4, 6), 12, 8, (1, 2, 3)
