@@ -19,7 +19,7 @@ _SPACE_AFTER_SPACE = re.compile(r"\s ")
 _CUT = re.compile(r"(?<!\s)(?= )")
 
 #: Segments that a worker keeps between batches (some 150 MB); the rest is encoded once for each batch.
-KEPT_SEGMENTS = 700_000
+KEPT_SEGMENTS = 800_000
 #: Longest segments that are kept: longer ones rarely come again.
 KEPT_LENGTH = 12
 
@@ -72,18 +72,11 @@ class SegmentEncoder:
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """The ids of each text as bytes; a null or empty text has none."""
         cut = [self.segments(t) if t else [] for t in texts]
-        found = [list(map(self.kept.get, x)) for x in cut]
-        unseen: set[str] = set()
-        for segments, ids in zip(cut, found, strict=True):
-            if None in ids:
-                unseen.update(s for s, i in zip(segments, ids, strict=True) if i is None)
-        more = self._learn(list(unseen))
-        for n, ids in enumerate(found):
-            if None in ids:
-                found[n] = [more[s] if i is None else i for s, i in zip(cut[n], ids, strict=True)]
+        more = self._learn(list(set().union(*cut).difference(self.kept)))
         if len(self.kept) < KEPT_SEGMENTS:
             self.kept.update(x for x in more.items() if len(x[0]) <= KEPT_LENGTH)
-        return [b"".join(x) for x in found]
+        kept = self.kept.get
+        return [b"".join([kept(s) or more.get(s, b"") for s in x]) for x in cut]  # the empty segment has no ids
 
 
 _ENCODERS: dict[str, SegmentEncoder] = {}
