@@ -1,6 +1,7 @@
 """Quality by importance resampling: hashed n-gram models of good and of raw text, and a Gumbel top-k draw.
 
-Both models are distributions over SLOTS hashed places of byte n-grams of the lengths in GRAMS.  The raw model counts
+Both models are distributions over SLOTS hashed places of byte n-grams of the lengths in GRAMS, and over pairs of words, of
+which there are two kinds, equal and unlike: words are mostly unique, but bad text repeats them.  The raw model counts
 every document; the target model counts a bounded, documented sample of the documents that are labelled good.  A
 document's log-weight is the mean over its n-grams of log(target / raw): how much more likely good text makes it.  The
 mean, rather than the sum, keeps the length of a document out of its quality.
@@ -26,31 +27,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import BROADCAST_ROWS, named, wider, written
-from ._shingles import chunks, mixed
+from ._shingles import chunks, mixed, word_hashes
 
 GRAMS, SLOTS = (1, 2, 3), 1 << 14
 #: Most labelled rows that are used: the ones with the least hash of their id.
 LABELLED = 20_000
 SHARPNESS = 400.0
+#: How much more the share of good documents that are lost counts than the share of bad ones that stay.
+KEEP = 5
 _WORST = -1e6
 
 
-def _slots(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each length the slots of the n-grams of all texts, and where those of each text begin and end."""
+def _events(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each kind of n-gram the slots of all texts, and where those of each text begin (and the last end).
+
+    The kinds are the byte n-grams of each length and the pairs of words, of which only counts whether both are equal.
+    """
     h = np.zeros(len(raw), np.uint64)
     for n in range(1, max(GRAMS) + 1):
         h = (h[:-1] if n > 1 else h) * np.uint64(0x100000001B3) + (raw[n - 1 :].astype(np.uint64) + np.uint64(1))
         if n in GRAMS:
-            yield (mixed(h + np.uint64(n)) & np.uint64(SLOTS - 1)).astype(np.int32), n
+            slots = (mixed(h + np.uint64(n)) & np.uint64(SLOTS - 1)).astype(np.int32)
+            yield _inside(slots, offsets, n)
+    words, at = word_hashes(raw, offsets)
+    yield _inside(SLOTS + (words[1:] == words[:-1]).astype(np.int32), at, 2)
+
+
+def _inside(slots: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The slots of n-grams that don't run over the edge of a text, and where those of each text begin."""
+    sizes = np.maximum(np.diff(at) - n + 1, 0)
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    return slots[np.repeat(at[:-1] - begin[:-1], sizes) + np.arange(begin[-1])], begin
 
 
 def _counts(texts: pa.Array) -> np.ndarray:
-    total = np.zeros(SLOTS, np.int64)
+    total = np.zeros(SLOTS + 2, np.int64)
     for _, raw, offsets in chunks(texts):
-        sizes = np.diff(offsets)
-        row = np.repeat(np.arange(len(sizes)), sizes)
-        for slots, n in _slots(raw, offsets):
-            total += np.bincount(slots[row[: len(slots)] == row[n - 1 :]], minlength=SLOTS)
+        for slots, _ in _events(raw, offsets):
+            total += np.bincount(slots, minlength=SLOTS + 2)
     return total
 
 
@@ -58,13 +72,13 @@ def corpus_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """How often each slot occurs in all the documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, np.int64)
+        total = np.zeros(SLOTS + 2, np.int64)
         for batch in batches:
             total += _counts(batch.column(0))
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["slot", "n"])
 
-    out = np.zeros(SLOTS)
+    out = np.zeros(SLOTS + 2)
     for part in named(docs, text_col).mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow().to_batches():
         out[part.column(0).to_numpy()] = part.column(1).to_numpy()
     return out
@@ -80,12 +94,11 @@ def with_weight(docs: DataFrame, ratio: np.ndarray, text_col: str = "text", out:
             weight = np.full(batch.num_rows, _WORST)
             for first, raw, offsets in chunks(batch.column(at)):
                 sizes = np.diff(offsets)
-                n_grams = sum(np.maximum(sizes - n + 1, 0) for n in GRAMS)
-                total = np.zeros(len(sizes))
-                for slots, n in _slots(raw, offsets):
+                n_grams, total = np.zeros(len(sizes), np.int64), np.zeros(len(sizes))
+                for slots, begin in _events(raw, offsets):
                     sums = np.concatenate([[0.0], np.cumsum(shared.value[slots], dtype=np.float64)])
-                    begin = np.minimum(offsets[:-1], len(slots))
-                    total += sums[np.maximum(np.minimum(offsets[1:] - n + 1, len(slots)), begin)] - sums[begin]
+                    total += sums[begin[1:]] - sums[begin[:-1]]
+                    n_grams += np.diff(begin)
                 weight[first : first + len(sizes)] = np.where(n_grams > 0, total / np.maximum(n_grams, 1), _WORST)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(weight)], [*batch.schema.names, out])
 
@@ -100,21 +113,27 @@ def labelled_sample(labels: DataFrame, column: str, *, most: int = LABELLED, whe
 
 
 def _level(weights: np.ndarray, good: np.ndarray) -> float:
-    """The weight from which on the labelled documents are told apart best, in the middle of the best ones."""
+    """The weight from which on the labelled documents are told apart best."""
     order = np.argsort(weights, kind="stable")
     w, g = weights[order], good[order].astype(bool)
-    right = np.concatenate([[0], np.cumsum(~g)]) / (~g).sum() + (g.sum() - np.concatenate([[0], np.cumsum(g)])) / g.sum()
+    right = np.concatenate([[0], np.cumsum(~g)]) / (~g).sum() + KEEP * (g.sum() - np.concatenate([[0], np.cumsum(g)])) / g.sum()
     best = int(np.argmax(right))
     low, high = w[max(best - 1, 0)], w[min(best, len(w) - 1)]
     return float((low + high) / 2)
 
 
+def _log_shares(counts: np.ndarray) -> np.ndarray:
+    """The smoothed log-probability of each slot, of the byte n-grams and of the word pairs apart."""
+    parts = [x + 0.5 for x in (counts[:SLOTS], counts[SLOTS:])]
+    return np.concatenate([np.log(x / x.sum()) for x in parts])
+
+
 def model(docs: DataFrame, labels: DataFrame, *, most: int = LABELLED, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[np.ndarray, float]:
     """The log-ratio of target and raw text for each slot, and the log-weight that tells good documents from bad."""
     sample = F.broadcast(labelled_sample(labels, label_col, most=most).withColumnRenamed("doc_id", "_labelled"))  # ``most`` rows
     known = named(docs, id_col, text_col).join(sample, docs[id_col].cast("long") == F.col("_labelled")).select(F.col(text_col).alias("text"), "label")
     raw, target = corpus_counts(docs, text_col), corpus_counts(known.filter("label = 1"), "text")
-    ratio = np.log((target + 0.5) / (target.sum() + 0.5 * SLOTS)) - np.log((raw + 0.5) / (raw.sum() + 0.5 * SLOTS))
+    ratio = _log_shares(target) - _log_shares(raw)
     seen = with_weight(known, ratio).select("weight", "label").toArrow()  # ``most`` pairs of numbers
     w, label = seen.column("weight").to_numpy(), seen.column("label").to_numpy()
     return ratio, _level(w, label == 1) if (label == 1).any() and (label == 0).any() else _WORST / 2
