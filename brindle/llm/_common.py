@@ -47,6 +47,12 @@ def written(df: DataFrame, name: str, *, partition_by: tuple[str, ...] = ()) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """The frame with a number that no two rows share, and the name of that column; written, so that the numbers stay."""
+    key = free_name(df, "_row")
+    return written(df.withColumn(key, F.monotonically_increasing_id()), "numbered"), key
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -13,7 +13,8 @@ document counting at its middle.  So every group, and with it the source, is wit
 a hot source is many groups, and a rerun draws the same.
 
 Cases: a null text has no words; a null source is a source, ordered last; a source without words has the target 0 and its
-documents are taken 0 times; equal rows are drawn like any others; no rows give no rows; further columns are not read.
+documents are taken 0 times; equal rows are drawn like any others, and so are rows that share an id or have none, each for
+itself; no rows give no rows; further columns are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import BROADCAST_ROWS, named, written
+from ._common import BROADCAST_ROWS, numbered, written
 
 #: Documents of a source that are put in order together.
 GROUP = 1024
@@ -55,16 +56,21 @@ def source_targets(sizes: DataFrame, *, share: float, epochs: float) -> DataFram
     return rows.select("source", "source_size", "n_docs", target.alias("target"))
 
 
-def repetitions(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, epochs: float = 2.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, size, source_size, target, taken, times): how many words of each document the mix takes."""
-    rows = named(docs, id_col, text_col, source_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"))
+def repetitions(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, epochs: float = 2.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", key_col: str | None = None) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, times): how many words of each document the mix takes.
+
+    ``key_col``, a number that no two rows share, is handed on as ``key``; documents without an id are drawn by it.
+    """
+    key = [docs[key_col].alias("key")] if key_col else []
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[source_col].alias("source"), words(docs[text_col]).alias("size"), *key)
+    kept = ["key"] if key_col else []
     rows = written(rows, "sizes")  # the texts are read once
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")).withColumn("weight", cycled_weights(weights))
     targets = source_targets(sizes, share=share, epochs=epochs).withColumnRenamed("source", "_source")
     few = rows.select("source").distinct().limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     rows = rows.join(F.broadcast(targets) if few else targets, F.col("source").eqNullSafe(F.col("_source")))
 
-    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
+    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), *kept))))
     rows = rows.withColumn("draw", draw)
     number = F.conv(F.substring("draw", 1, 8), 16, 10).cast("long")
     groups = F.ceil(F.col("n_docs") / GROUP)
@@ -72,21 +78,21 @@ def repetitions(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), shar
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(rate).cast("long")
     inside = Window.partitionBy("source", "group")
-    order = inside.orderBy("draw", "size")
+    order = inside.orderBy("draw", "size", *kept)
     before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     drawn = before + F.col("size") / 2 < (rate - whole) * F.sum("size").over(inside)
     times = (whole + F.when(drawn & (F.col("size") > 0), 1).otherwise(0)).alias("times")
-    rows = rows.select("doc_id", "size", "source_size", "target", times)
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times")
+    rows = rows.select("doc_id", "size", "source_size", "target", times, *kept)
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times", *kept)
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix, each as often as it is taken, all columns as they were; doc_id must tell rows apart."""
-    id_col = options.get("id_col", "doc_id")
-    taken = written(repetitions(docs, **options).filter("times > 0").select(F.col("doc_id").alias("_taken"), "times"), "taken")
+    """The documents of the mix, each as often as it is taken, all columns as they were; rows may share an id or have none."""
+    rows, key = numbered(docs)
+    taken = written(repetitions(rows, key_col=key, **options).filter("times > 0").select(F.col("key").alias("_taken"), "times"), "taken")
     few = taken.count() <= BROADCAST_ROWS
-    rows = docs.join(F.broadcast(taken) if few else taken, docs[id_col].cast("long") == taken["_taken"])
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), taken["times"]))).select(*[docs[c] for c in docs.columns])
+    out = rows.join(F.broadcast(taken) if few else taken, rows[key] == taken["_taken"])
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), taken["times"]))).select(*[rows[c] for c in docs.columns])
 
 
 ORACLE_SQL = rf"""

@@ -16,7 +16,7 @@ at least one tree with probability 1 - (1 - 0.8 ** DEPTH) ** TREES = 0.999997.
 
 Cases: a null or empty text has no shingles and is linked with nothing; a text of fewer words than a shingle is one
 shingle; rows that share a doc_id are one document with all their links; rows without a doc_id are linked with nothing
-and kept; no rows give no rows; further columns are not read.
+and kept; no rows give no rows; further columns are not read.  Where rows are dropped, each row is a document, whatever its id.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BROADCAST_ROWS, named, partitions, written
+from ._common import BROADCAST_ROWS, named, numbered, partitions, written
 from ._components import components
 from ._shingles import shingle_sets
 
@@ -246,11 +246,21 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """The documents that near_duplicates keeps, all columns as they were."""
-    gone = near_duplicates(docs, **options).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    few = gone.count() <= BROADCAST_ROWS
-    id_col = options.get("id_col", "doc_id")
-    return docs.join(F.broadcast(gone) if few else gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
+    """One row of each component, all columns as they were: that with the least doc_id, and one without an id only if none has one.
+
+    Rows may share an id or have none; they are linked by their texts alone.
+    """
+    id_col = options.pop("id_col", "doc_id")
+    rows, key = numbered(docs)
+    linked = near_duplicates(rows, id_col=key, **options).filter(~F.col("kept"))
+    linked = written(linked.select(F.col("doc_id").alias("_member"), F.col("component_id").alias("_group")), "linked")
+    members = linked.union(linked.select("_group", "_group").distinct().toDF("_member", "_group"))
+    few = linked.count() <= BROADCAST_ROWS // 2
+    ids = rows.select(rows[key].alias("_key"), rows[id_col].cast("long").alias("_id"))
+    known = ids.join(F.broadcast(members) if few else members, F.col("_key") == F.col("_member"))
+    stays = known.groupBy("_group").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_key"))["_key"].alias("_stays"))
+    gone = written(members.join(stays.select("_stays"), F.col("_member") == F.col("_stays"), "left_anti").select(F.col("_member").alias("_gone")), "gone")
+    return rows.join(F.broadcast(gone) if few else gone, rows[key] == gone["_gone"], "left_anti").select(*[rows[c] for c in docs.columns])
 
 
 #: The query over word pairs at 80 percent, by all pairs that share one.

@@ -128,6 +128,13 @@ def test_deduplicated_keeps_the_columns(odd_docs):
     assert {r.doc_id for r in kept.collect()} == set(range(len(TEXTS))) - {5, 13}
 
 
+def test_deduplicated_keeps_one_row_of_a_component_whatever_the_ids(spark):
+    a, b, c, d = ("one two three four five six", "red blue green pink grey gold", "sun moon star sky rain wind", "cat dog cow hen pig ram")
+    rows = [(5, a, "p"), (1, a, "q"), (1, a, "r"), (None, a, "s"), (None, b, "t"), (None, b, "u"), (2, c, "v"), (2, d, "w"), (None, None, "x"), (None, "", "y")]
+    kept = near_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, _row string")).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == sorted([(1, a), (0, b), (2, c), (2, d), (0, ""), (0, "")])
+
+
 def test_components_of_a_path_a_star_and_nothing(spark):
     edges = [(i, i + 1) for i in range(1, 30)] + [(100, 100 + i) for i in range(1, 20)] + [(7, 7)]
     got = {r.node: r.component for r in _components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -170,6 +177,18 @@ def test_mixing(spark):
     assert dict(zip(got.doc_id, got.taken, strict=True)) == dict(zip(again.doc_id, again.taken, strict=True))
 
 
+def test_mixed_takes_rows_with_repeated_and_missing_ids(spark):
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, "one two three four", "s", i) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, tag int").repartition(3)
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns
+    copies = {i: 0 for i in range(300)}
+    for r in out.collect():
+        assert (r.doc_id, r.text, r.source, r.tag) == rows[r.tag]
+        copies[r.tag] += 1
+    assert set(copies.values()) == {1, 2} and abs(sum(copies.values()) - 450) <= 1
+
+
 def test_mixing_of_odd_and_no_texts(odd_docs, no_docs):
     rows = {r.doc_id: r for r in mixing.repetitions(odd_docs).collect()}
     assert [rows[i]["size"] for i in range(len(TEXTS))] == [len(WORD.findall(t or "")) for t in TEXTS]
