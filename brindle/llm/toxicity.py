@@ -10,8 +10,8 @@ back from training, and a threshold is set for each language there.
 Documents for training are a bounded sample: TOXIC and CLEAN documents at most, those with the least hash of their id.
 Every document is scored over its whole text.
 
-Cases: a null or empty text has the score of a text without words; without labels of both kinds every score is 0; rows
-that share an id are scored row by row; a label that is null isn't used; a language never seen in calibration has the
+Cases: a null or empty text has the score of a text without words; without labels of both kinds every score is 0; with
+a single label of a kind nothing is held back, the score is not calibrated and the threshold is 0.5; rows that share an id are scored row by row; a label that is null isn't used; a language never seen in calibration has the
 common threshold; no rows give no rows; further columns are not read.
 """
 
@@ -30,7 +30,7 @@ from ._shingles import chunks, term_hashes
 
 SLOTS, PREFIXES, DIM, FILTERS, WIDTHS = 1 << 17, (4, 6), 12, 8, (1, 2, 3)
 TOXIC, CLEAN, EPOCHS, BATCH = 3_000, 6_000, 4, 32
-#: Every HOLD-th document of the sample is held back for calibration.
+#: Every HOLD-th document of either kind in the sample is held back for calibration.
 HOLD = 5
 
 
@@ -196,10 +196,15 @@ def fit(docs: DataFrame, labels: DataFrame, *, where: Column | None = None, id_c
     rows = known.select("text", "label", "lang", "id").mapInArrow(run, "slots binary, label int, lang string, id long").toArrow().sort_by("id")
     texts = [np.frombuffer(x.as_buffer(), np.int32).reshape(1 + len(PREFIXES), -1) for x in rows.column("slots")]
     labels_, langs = rows.column("label").to_numpy(), rows.column("lang").to_pylist()
-    held = np.arange(len(texts)) % HOLD == 0
-    if len({*labels_[held]}) < 2 or len({*labels_[~held]}) < 2:
+    of_kind = [np.flatnonzero(labels_ == y) for y in (0, 1)]
+    if not all(len(x) for x in of_kind):
         return Network(np.zeros((1 + len(PREFIXES), SLOTS + 1, DIM), np.float32), [], np.zeros((0, 0)), np.zeros(0), 0.0, empty=True), {None: 0.5}
+    held = np.zeros(len(texts), bool)
+    if all(len(x) > 1 for x in of_kind):
+        held[np.concatenate([x[::HOLD] for x in of_kind])] = True
     net = train([t for t, h in zip(texts, held, strict=True) if not h], labels_[~held])
+    if not held.any():
+        return net, {None: 0.5}
     logits = np.array([scores(net, t, np.array([0, t.shape[1]]))[0] for t, h in zip(texts, held, strict=True) if h])
     calibrated(net, logits, labels_[held])
     return net, thresholds(probability(net, logits), labels_[held], [x for x, h in zip(langs, held, strict=True) if h])

@@ -265,6 +265,21 @@ def test_toxicity_of_odd_texts_and_without_labels(odd_docs, no_docs, spark):
     assert toxicity.held_out_scores(no_docs, none).count() == 0
 
 
+def test_toxicity_of_few_toxic_labels(spark):
+    """The toxic ones are at no place that every fifth document by id would hold back."""
+    docs, labels = labelled(spark, 400)
+    toxic = F.col("doc_id").isin(*range(1, 24 * 16, 16))
+    docs = docs.withColumn("text", F.when(toxic, F.concat("text", F.lit(" scum"))).otherwise(F.regexp_replace("text", "scum|moronic|moron", "tional")))
+    for ids in ([1, 33, 97, 129], [1, 17], [17]):
+        some = labels.filter(~toxic | F.col("doc_id").isin(*ids)).withColumn("toxic", toxic.cast("int"))
+        places = [i for i, r in enumerate(some.select("doc_id").sort("doc_id").collect()) if r.doc_id in ids]
+        assert any(p % toxicity.HOLD for p in places)
+        net, cuts = toxicity.fit(docs, some)
+        rows = toxicity.with_score(docs, net).withColumn("toxic", toxic).collect()
+        assert not net.empty and set(cuts) == {None}
+        assert np.mean([r.score for r in rows if r.doc_id in ids]) > np.mean([r.score for r in rows if not r.toxic])
+
+
 def test_thresholds_by_language():
     p, y = np.array([0.1, 0.2, 0.8, 0.9] * 10), np.array([0, 0, 1, 1] * 10)
     cuts = toxicity.thresholds(np.concatenate([p, p / 2]), np.concatenate([y, y]), ["a"] * 40 + ["b"] * 40)
