@@ -92,12 +92,17 @@ def severity_grade(stage: Column, probability: Column) -> Column:
 def action_history(events: DataFrame, actions: DataFrame, *, back: int = 2, top: int = 3) -> DataFrame:
     """For each event the actions of its year and the ``back`` years before: how many, the newest ``top``, and how responsive the company was.
 
-    Events have name and year, actions have id, year, date, title and support.  The years of a window are exploded and
-    joined on equality.
+    Events have name and year, actions have id, year, date, title and support.  Actions are first put together by year: how
+    many, the best, and the newest ``top``, of which a task hands on no more.  The years of a window are exploded and joined
+    on equality with that table, which has one row for each year.
     """
+    one = F.struct((-F.unix_date("date")).alias("age"), "id", "title").alias("one")
+    place = F.row_number().over(Window.partitionBy("year").orderBy("one"))
+    newest = actions.select("year", one).withColumn("_place", place).filter(F.col("_place") <= top).groupBy("year").agg(F.collect_list("one").alias("newest"))
+    totals = actions.groupBy("year").agg(F.count("*").alias("n"), F.max(F.coalesce("support", F.lit(0.0))).alias("best"))
+    by_year = totals.join(newest, "year")
     years = events.select("name", F.explode(F.sequence(F.col("year") - back, F.col("year"))).alias("year"))
-    rows = years.join(actions, "year")
-    found = rows.groupBy("name").agg(F.count("*").alias("n_actions"), F.array_sort(F.collect_list(F.struct((-F.unix_date("date")).alias("age"), "id", "title"))).alias("all"), F.max(F.coalesce("support", F.lit(0.0))).alias("best"))
+    found = years.join(F.broadcast(by_year), "year").groupBy("name").agg(F.sum("n").alias("n_actions"), F.array_sort(F.flatten(F.collect_list("newest"))).alias("all"), F.max("best").alias("best"))
     digest = F.array_join(F.transform(F.slice("all", 1, top), lambda x: x["title"]), " | ")
     return found.select("name", "n_actions", digest.alias("digest"), F.when(F.col("best") >= 20, "partial").otherwise("non-responsive").alias("responsiveness"))
 

@@ -83,8 +83,8 @@ def r6(spark, d):
 ACTIONS = "actions as (select name as id, year(date) as year, date, 'action ' || name as title, case when name % 3 = 0 then probability * 25 end as support from cases where name % 500 = 0)"
 
 
-def actions(spark, d):
-    c = V.cases(spark, d).filter("name % 500 = 0")
+def actions(spark, d, every=500):
+    c = V.cases(spark, d).filter(F.col("name") % every == 0)
     return c.select(F.col("name").alias("id"), F.year("date").alias("year"), "date", F.concat(F.lit("action "), F.col("name").cast("string")).alias("title"), F.when(F.col("name") % 3 == 0, F.col("probability") * 25).alias("support"))
 
 
@@ -93,6 +93,17 @@ def r7(spark, d):
     return R.action_history(V.cases(spark, d).select("name", F.year("date").alias("year")), actions(spark, d))
 
 
+WHOLE = """actions as (select name as id, year(date) as year, date, 'action ' || name as title, case when name % 3 = 0 then probability * 25 end as support from cases), years as (select distinct year(date) as of from cases),
+j as (select of, a.*, row_number() over (partition by of order by a.date desc, a.id) as place from years join actions a on a.year between of - 2 and of),
+h as (select of, count(*) as n_actions, string_agg(title, ' | ' order by place) filter (place <= 3) as digest, case when max(coalesce(support, 0)) >= 20 then 'partial' else 'non-responsive' end as responsiveness from j group by 1)"""
+
+
+@query("R7_action_history_whole", f", {WHOLE} select name, n_actions, digest, responsiveness from cases c join h on of = year(c.date)", "cases")
+def r7_whole(spark, d):
+    """Every order is an action; R7_action_history has those of every 500th order, as its SQL says."""
+    return R.action_history(V.cases(spark, d).select("name", F.year("date").alias("year")), actions(spark, d, every=1))
+
+
 @query("R8_actual_action", "select name, case when year(date) % 3 = 0 then 'history ' || year(date) when year(date) % 3 = 1 then 'activism ' || year(date) when year(date) >= 2000 and name % 2 = 0 then 'stored ' || name end as actual from cases", "cases")
 def r8(spark, d):
     c = V.cases(spark, d).select("name", F.year("date").alias("year"))

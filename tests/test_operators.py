@@ -201,3 +201,25 @@ def test_stratified_folds_hold_every_row_once(spark):
     df = spark.range(500).withColumn("y", (F.col("id") % 10 == 0).cast("int"))
     got = M.stratified_folds(df, "y", "id").groupBy("y", "fold").count().collect()
     assert sum(r["count"] for r in got) == 500 and {r.fold for r in got} == {1, 2, 3, 4, 5}
+
+
+def test_action_history_as_brute_force(spark):
+    rng = random.Random(3)
+    actions = [(i, y, None if i % 40 == 0 else dt.date(y, rng.randrange(1, 13), rng.randrange(1, 29)), None if i % 25 == 0 else f"t{i}", rng.choice((None, 5.0, 21.0)) if y > 2003 else 1.0) for i in range(300) for y in [rng.choice((1999, 2001, 2002, 2003, 2004, 2009))]]
+    events = [(n, rng.randrange(1998, 2013)) for n in range(80)]
+    got = R.action_history(spark.createDataFrame(events, "name long, year int"), spark.createDataFrame(actions, "id long, year int, date date, title string, support double").repartition(5)).collect()
+    want = set()
+    for n, y in events:
+        own = sorted((a for a in actions if y - 2 <= a[1] <= y), key=lambda a: (a[2] is not None, -(a[2] or DAY).toordinal(), a[0]))
+        if own:
+            want.add((n, len(own), " | ".join(a[3] for a in own[:3] if a[3]), "partial" if any((a[4] or 0) >= 20 for a in own) else "non-responsive"))
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_action_history_of_a_large_year(spark):
+    """Nine hundred million pairs, of which none becomes a row."""
+    n = 30_000
+    actions = spark.range(n).select("id", F.lit(2001).alias("year"), F.lit(DAY).alias("date"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("title"), F.lit(20.0).alias("support"))
+    events = spark.range(n).select(F.col("id").alias("name"), F.lit(2003).alias("year"))
+    got = R.action_history(events, actions)
+    assert got.count() == n and got.drop("name").distinct().collect() == [(n, "t0 | t1 | t2", "partial")]
