@@ -30,11 +30,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder that the driver and all executors see, in ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """A new folder that the driver and all executors see, in ``spark.checkpoint.dir``.
+
+    Where that is unset, a session on one machine has a temporary folder; any other is refused.
+    """
     bounded_batches(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = context._brindle_folder = getattr(context, "_brindle_folder", None) or "file://" + tempfile.mkdtemp(prefix="brindle-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -47,10 +52,34 @@ def written(df: DataFrame, name: str, *, partition_by: tuple[str, ...] = ()) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame) -> tuple[DataFrame, str]:
-    """The frame with a number that no two rows share, and the name of that column; written, so that the numbers stay."""
-    key = free_name(df, "_row")
-    return written(df.withColumn(key, F.monotonically_increasing_id()), "numbered"), key
+def few(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """The frame, of a few numbers a row, marked for a broadcast if it has ``most`` rows at most; to be read from a written table."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def keyed(df: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+    """The frame with a number that no two rows share, and the name of that column.
+
+    A row whose id is its own has that id; rows that share an id or have none get numbers below all ids, and only these
+    rows are written, so that their numbers stay.
+    """
+    key, id_ = free_name(df, "_row"), column(df, id_col).cast("long")
+    ids = df.select(id_.alias("_id"))
+    shared = written(ids.filter("_id is not null").groupBy("_id").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("_id").alias("_shared")), "shared-ids")
+    none, some = ids.filter("_id is null").limit(1).count() > 0, shared.limit(1).count() > 0
+    if not none and not some:
+        return df.withColumn(key, id_), key
+    own, rows = df.filter(id_.isNotNull()), []
+    if some:
+        twice = few(shared)
+        rows.append(own.join(twice, id_ == F.col("_shared"), "left_semi"))
+        own = own.join(twice, id_ == F.col("_shared"), "left_anti")
+    if none:
+        rows.append(df.filter(id_.isNull()))
+    least = ids.agg(F.least(F.min("_id"), F.lit(0))).first()[0] or 0
+    odd = rows[0] if len(rows) == 1 else rows[0].union(rows[1])
+    odd = written(odd.withColumn(key, F.lit(least - 1) - F.monotonically_increasing_id()), "odd-rows")
+    return own.withColumn(key, id_).union(odd), key
 
 
 def partitions(spark: SparkSession) -> int:
@@ -63,16 +92,20 @@ def with_base(rows: DataFrame, part: str, n: Column, base: str) -> DataFrame:
     There is one total for each part, that is for each task that wrote, so the ordered window and the table that is
     joined stay small; the table is broadcast only up to BROADCAST_ROWS.
     """
-    totals = rows.groupBy(part).agg(F.sum(n).alias("_n"))
+    totals = written(rows.groupBy(part).agg(F.sum(n).alias("_n")), "totals")
     order = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select(part, F.coalesce(F.sum("_n").over(order), F.lit(0)).cast("long").alias(base))
-    few = rows.select(part).distinct().count() <= BROADCAST_ROWS
-    return rows.join(F.broadcast(bases) if few else bases, part)
+    return rows.join(F.broadcast(bases) if totals.count() <= BROADCAST_ROWS else bases, part)
 
 
 def named(df: DataFrame, *columns: str) -> DataFrame:
     """Only the columns that the operator reads, so that further ones, whatever their names, are never in the way."""
-    return df.select(*[df[c] for c in columns])
+    return df.select(*[column(df, c) for c in columns])
+
+
+def column(df: DataFrame, name: str) -> Column:
+    """The column of that name, whatever characters it has."""
+    return df["`" + name.replace("`", "``") + "`"]
 
 
 def free_name(df: DataFrame, name: str) -> str:

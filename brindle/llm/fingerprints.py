@@ -21,8 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import named, partitions, wider, written
-from ._tokens import by_bytes
+from ._common import free_name, named, partitions, wider, written
 from ._shingles import mixed, shingle_hashes, word_hashes
 
 WIDTH, BINS, BITS = 5, 256, 4
@@ -93,8 +92,8 @@ def fingerprint(text: str | None, *, width: int = WIDTH) -> str:
 
 
 def with_fingerprint(docs: DataFrame, *, width: int = WIDTH, text_col: str = "text", out: str = "fingerprint") -> DataFrame:
-    """The documents with their fingerprints as a further column."""
-    at = docs.columns.index(text_col)
+    """The documents with their fingerprints as a further column, whose name gets underscores in front if there is one of it."""
+    out, at = free_name(docs, out), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,6 +103,18 @@ def with_fingerprint(docs: DataFrame, *, width: int = WIDTH, text_col: str = "te
     return docs.mapInArrow(run, wider(docs, **{out: "string"}))
 
 
+def _by_bytes(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``most`` characters each, so that a batch of long texts needs no more memory than another."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= most:
+            yield start, i + 1
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def _all_prints(texts: list[str | None], width: int) -> list[_Print]:
     found, held, size = [], [], 0
     for t in texts:
@@ -163,7 +174,7 @@ def edit_report(docs: DataFrame, *, width: int = WIDTH, id_col: str = "doc_id",
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for start, stop in by_bytes(texts, 1 << 20):
+            for start, stop in _by_bytes(texts, 1 << 20):
                 found = list(zip(ids[start:stop], texts[start:stop], _prints(texts[start:stop], width), strict=True))
                 if waiting is None:
                     yield edge("first", *found[0][:2])

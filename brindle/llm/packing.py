@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import named, with_base, written
-from ._tokens import default_tokenizer, encoded, encoder
+from ._tokens import as_binary, cut, default_tokenizer, encoded, encoder
 
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
@@ -36,18 +36,14 @@ def token_rows(docs: DataFrame, *, tokenizer: str, end_id: int, id_col: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, position = TaskContext.get().partitionId(), 0
-        dtype = encoder(tokenizer).dtype
-        end = np.array([end_id], dtype).tobytes()
         for batch in batches:
-            for first, ids in encoded(batch.column(1), tokenizer):
-                ids = [x + end for x in ids]
-                n = np.fromiter((len(x) // dtype.itemsize for x in ids), np.int64, len(ids))
-                starts = position + np.cumsum(n) - n
-                position += int(n.sum())
+            for first, ids, offsets in encoded(batch.column(1), tokenizer, end_id):
+                n = len(offsets) - 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(ids), part)), batch.column(0).slice(first, len(ids)).cast(pa.int64()), pa.array(starts), pa.array(n), pa.array(ids, pa.binary())],
+                    [pa.array(np.full(n, part)), batch.column(0).slice(first, n).cast(pa.int64()), pa.array(position + offsets[:-1]), pa.array(np.diff(offsets)), as_binary(ids, offsets)],
                     ["part", "doc_id", "local_start", "n_tokens", "ids"],
                 )
+                position += int(offsets[-1])
 
     rows = named(docs, id_col, text_col).mapInArrow(run, "part long, doc_id long, local_start long, n_tokens long, ids binary")
     return written(rows, "packing")
@@ -62,19 +58,15 @@ def pack(docs: DataFrame, *, length: int = 1024, end_id: int = 0, tokenizer: str
     tokenizer = tokenizer or default_tokenizer()
     rows = with_base(token_rows(docs, tokenizer=tokenizer, end_id=end_id, id_col=id_col, text_col=text_col), "part", F.col("n_tokens"), "base")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dtype = encoder(tokenizer).dtype
         for batch in batches:
             if not batch.num_rows:
                 continue
             places = batch.column(1).to_numpy() + batch.column(4).to_numpy()
             n = batch.column(2).to_numpy()
-            first, last = places // length, (places + n - 1) // length
-            row = np.repeat(np.arange(len(n)), last - first + 1)  # of each piece
-            sequence = np.arange(len(row)) - np.repeat(np.cumsum(last - first + 1) - (last - first + 1), last - first + 1) + first[row]
-            begin = np.maximum(sequence * length, places[row])
-            end = np.minimum((sequence + 1) * length, places[row] + n[row])
-            start, size = begin - places[row], end - begin
+            row, sequence, start, size = cut(places, n, length)
+            begin = places[row] + start
             crc, ids, now, wide = np.empty(len(row), np.int64), [], -1, memoryview(b"")
             for k, (r, a, m) in enumerate(zip(row.tolist(), start.tolist(), size.tolist(), strict=True)):
                 if r != now:
@@ -87,7 +79,7 @@ def pack(docs: DataFrame, *, length: int = 1024, end_id: int = 0, tokenizer: str
 
     schema = PIECES + ", ids binary" * keep_ids
     names = [x.split()[0] for x in schema.split(", ")]
-    return rows.select("doc_id", "local_start", "n_tokens", "ids", "base").mapInArrow(cut, schema)
+    return rows.select("doc_id", "local_start", "n_tokens", "ids", "base").mapInArrow(pieces, schema)
 
 
 def sequences(pieces: DataFrame, *, length: int = 1024, pad_id: int = 0) -> DataFrame:

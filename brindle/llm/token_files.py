@@ -24,8 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import named, partitions, with_base
-from ._tokens import default_tokenizer, encoded, encoder
+from ._common import few, named, partitions, with_base
+from ._tokens import cut, default_tokenizer, encoded, encoder
 
 #: Ids in a block.
 BLOCK = 1 << 16
@@ -62,24 +62,39 @@ class _Shard:
 
         self.number, self.dtype, self.bits = number, dtype, bits
         self.compress = zstandard.ZstdCompressor(level=level).compress
-        self.held, self.n_held, self.first, self.block, self.ordinal, self.pieces = [], 0, 0, 0, 0, []
-
-    def add(self, doc_id: int | None, ids: bytes) -> Iterator[dict]:
-        done, n = 0, len(ids) // self.dtype.itemsize
-        while done < n:
-            m = min(n - done, BLOCK - self.n_held)
-            self.held.append(ids[done * self.dtype.itemsize : (done + m) * self.dtype.itemsize])
-            self.pieces.append({"ordinal": self.ordinal, "doc_id": doc_id, "first": self.n_held, "length": m, "begins": not done, "ends": done + m == n})
-            self.n_held, done = self.n_held + m, done + m
-            if self.n_held == BLOCK:
-                yield self.cut()
-        self.ordinal += 1
-
-    def cut(self) -> dict:
-        planes = to_planes(np.frombuffer(b"".join(self.held), self.dtype), bits=self.bits)
-        row = {"shard": self.number, "block": self.block, "first": self.first, "n_ids": self.n_held, "planes": [self.compress(x) for x in planes], "pieces": self.pieces}
-        self.first, self.block, self.held, self.n_held, self.pieces = self.first + self.n_held, self.block + 1, [], 0, []
-        return row
+        self.position = self.ordinal = 0
+        self.ids, self.pieces = np.empty(0, dtype), None  # of the block that isn't full, and maybe of those before it
+
+    def add(self, doc_ids: pa.Array, ids: np.ndarray, offsets: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Takes the ids of further documents; gives the blocks that are full."""
+        n = np.diff(offsets)
+        row, block, start, size = cut(self.position + offsets[:-1], n, BLOCK)
+        ends = start + size == n[row]
+        columns = [pa.array(self.ordinal + row), doc_ids.take(pa.array(row)), pa.array((self.position + offsets[row] + start) % BLOCK), pa.array(size), pa.array(start == 0), pa.array(ends), pa.array(block)]
+        more = pa.table(columns, names=[*[f.name for f in _ARROW_PIECE], "block"])
+        self.pieces = more if self.pieces is None else pa.concat_tables([self.pieces, more])
+        self.ids = np.concatenate([self.ids, ids])
+        self.position, self.ordinal = self.position + len(ids), self.ordinal + len(n)
+        full = self.position // BLOCK
+        if len(self.ids) >= BLOCK:
+            yield self._blocks(full)
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if len(self.ids):
+            yield self._blocks(-(-self.position // BLOCK))
+
+    def _blocks(self, stop: int) -> pa.RecordBatch:
+        """The blocks below ``stop``, one row each."""
+        of = self.pieces.column("block").to_numpy()
+        first, done = int(of[0]), int(np.searchsorted(of, stop))
+        ids, self.ids = self.ids[: (stop - first) * BLOCK], self.ids[(stop - first) * BLOCK :]
+        pieces, self.pieces = self.pieces.slice(0, done).drop_columns(["block"]).combine_chunks(), self.pieces.slice(done)
+        parts = [ids[k : k + BLOCK] for k in range(0, len(ids), BLOCK)]
+        planes = [[self.compress(x) for x in to_planes(part, bits=self.bits)] for part in parts]
+        number = np.arange(first, stop)
+        flat = pa.StructArray.from_arrays([c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in pieces.columns], fields=list(_ARROW_PIECE))
+        lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(of[:done], np.arange(first, stop + 1)), pa.int32()), flat)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(parts), self.number)), pa.array(number), pa.array(number * BLOCK), pa.array([len(x) for x in parts], pa.int64()), pa.array(planes, pa.list_(pa.binary())), lists], schema=_ARROW)
 
 
 def write_token_files(docs: DataFrame, path: str, *, tokenizer: str | None = None, end_id: int = 2, bits: bool = False, level: int = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -87,17 +102,11 @@ def write_token_files(docs: DataFrame, path: str, *, tokenizer: str | None = Non
     tokenizer = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dtype = encoder(tokenizer).dtype
-        shard = _Shard(TaskContext.get().partitionId(), dtype, bits, level)
-        end = np.array([end_id], dtype).tobytes()
+        shard = _Shard(TaskContext.get().partitionId(), encoder(tokenizer).dtype, bits, level)
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            for at, ids in encoded(batch.column(1), tokenizer):
-                blocks = [row for k, x in enumerate(ids) for row in shard.add(keys[at + k], x + end)]
-                if blocks:
-                    yield pa.RecordBatch.from_pylist(blocks, _ARROW)
-        if shard.n_held:
-            yield pa.RecordBatch.from_pylist([shard.cut()], _ARROW)
+            for at, ids, offsets in encoded(batch.column(1), tokenizer, end_id):
+                yield from shard.add(batch.column(0).slice(at, len(offsets) - 1), ids, offsets)
+        yield from shard.rest()
 
     rows = named(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     tie = F.xxhash64("text")  # rows that share a doc_id need not share a shard
@@ -117,18 +126,15 @@ def decoded(files: DataFrame, *, dtype: str = "<u2") -> DataFrame:
 
         expand = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for row in batch.to_pylist():
-                wide = memoryview(from_planes([expand(x) for x in row["planes"]], row["n_ids"], np.dtype(dtype)).astype("<u4").tobytes())
-                pieces = row["pieces"]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "shard": [row["shard"]] * len(pieces),
-                        "ordinal": [p["ordinal"] for p in pieces],
-                        "doc_id": pa.array([p["doc_id"] for p in pieces], pa.int64()),
-                        "first": [row["first"] + p["first"] for p in pieces],
-                        "length": [p["length"] for p in pieces],
-                        "crc": [zlib.crc32(wide[4 * p["first"] : 4 * (p["first"] + p["length"])]) for p in pieces],
-                    }
+            for k in range(batch.num_rows):
+                n, first, planes = batch.column(3)[k].as_py(), batch.column(2)[k].as_py(), batch.column(4)[k].as_py()
+                wide = memoryview(from_planes([expand(x) for x in planes], n, np.dtype(dtype)).astype("<u4").tobytes())
+                pieces = batch.column(5)[k].values
+                begin, length = pieces.field("first").to_numpy(), pieces.field("length").to_numpy()
+                crc = [zlib.crc32(wide[4 * a : 4 * b]) for a, b in zip(begin.tolist(), (begin + length).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(crc), batch.column(0)[k].as_py())), pieces.field("ordinal"), pieces.field("doc_id"), pa.array(first + begin), pieces.field("length"), pa.array(crc, pa.int64())],
+                    ["shard", "ordinal", "doc_id", "first", "length", "crc"],
                 )
 
     return files.select("shard", "block", "first", "n_ids", "planes", "pieces").mapInArrow(run, "shard long, ordinal long, doc_id long, first long, length long, crc long")
@@ -170,6 +176,5 @@ def documents_of(files: DataFrame, *, dtype: str = "<u2") -> DataFrame:
     docs = decoded(files, dtype=dtype).groupBy("shard", "ordinal").agg(
         F.first("doc_id").alias("doc_id"), F.min("first").alias("first"), F.sum("length").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("first", "length", "crc"))).alias("parts")
     )
-    few = placed.count() <= 1_000_000  # one row for each shard
-    docs = docs.join(F.broadcast(placed) if few else placed, "shard")
+    docs = docs.join(few(placed), "shard")
     return docs.select("doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", joined("parts.crc", "parts.length").alias("ids_crc32"), "shard")

@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -30,7 +31,7 @@ def encoder():
 @given(st.text(st.characters(codec="utf-8"), max_size=60) | st.text("ab ,.'\n\t\u00a0\u2003sS1!", max_size=40))
 def test_segments_encode_as_the_whole(text):
     own = _encoder()
-    assert np.frombuffer(own.encode([text])[0], own.dtype).tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
+    assert own.encode(pa.array([text]))[0].tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def _encoder(kept=[]):  # noqa: B006  one for all examples
@@ -41,7 +42,8 @@ def _encoder(kept=[]):  # noqa: B006  one for all examples
 
 def test_odd_texts(encoder, plain):
     for _ in range(2):  # the second time from what is kept
-        assert [np.frombuffer(x, "<u2").tolist() for x in encoder.encode(TEXTS)] == [plain(t) for t in TEXTS]
+        ids, offsets = encoder.encode(pa.array(TEXTS))
+        assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [plain(t) for t in TEXTS]
 
 
 def crc(ids):
@@ -137,3 +139,23 @@ def test_flat_files_of_others(spark, tmp_path, block):
     blocks = token_counts.read_flat_files(spark, f"file://{tmp_path}", block=block)
     rows = token_counts.count_tokens(blocks, separator=0).orderBy("file", "ordinal").collect()
     assert [(r.file[-5:], r.local_start, r.n_tokens, r.ended) for r in rows] == [("a.bin", 0, 2, True), ("a.bin", 3, 0, True), ("a.bin", 4, 8, True), ("a.bin", 13, 1, False), ("b.bin", 0, 0, True), ("c.bin", 0, 3, False)]
+
+
+def test_repeated_and_missing_ids_in_counts_and_packing(spark, plain):
+    docs = spark.createDataFrame([(None, "b c"), (None, None), (1, "same text"), (1, "same text"), (1, "x " * 9_000)], "doc_id long, text string")
+    sizes = sorted(len(plain(t)) for (t,) in docs.select("text").collect())
+    assert sorted(r.n_tokens for r in token_counts.document_tokens(docs).collect()) == sizes
+    pieces = packing.pack(docs, length=1024).collect()
+    assert sum(p.length for p in pieces) == sum(sizes) + 5 and sorted(p.doc_tokens - 1 for p in pieces if p.begins) == sizes
+
+
+def test_a_flat_file_is_read_by_ranges(spark, tmp_path):
+    """One file, many blocks in several tasks, documents over block edges."""
+    random = np.random.default_rng(1)
+    ids = np.where(random.random(50_000) < 0.003, 0, random.integers(1, 9, 50_000)).astype("<u2")
+    ids.tofile(tmp_path / "one.ids")
+    blocks = token_counts.read_flat_files(spark, f"file://{tmp_path}", block=512)
+    assert blocks.rdd.getNumPartitions() > 1 and blocks.count() == -(-50_000 // 512)
+    rows = token_counts.count_tokens(blocks, separator=0).orderBy("ordinal").collect()
+    ends = [*np.flatnonzero(ids == 0).tolist(), 50_000]
+    assert [(r.local_start, r.n_tokens) for r in rows] == [(a + 1, b - a - 1) for a, b in zip([-1, *ends], ends)]
