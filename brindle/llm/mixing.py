@@ -14,7 +14,8 @@ a hot source is many groups, and a rerun draws the same.
 
 Cases: a null text has no words; a null source is a source, ordered last; a source without words has the target 0 and its
 documents are taken 0 times; equal rows are drawn like any others, and so are rows that share an id or have none, each for
-itself; no rows give no rows; further columns are not read.
+itself and by its own number, so that they are many groups like others; a very long text counts once, whole, and may put
+its group off its share by half its words; no rows give no rows; further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import BROADCAST_ROWS, numbered, written
+from ._common import BROADCAST_ROWS, column, few, free_name, keyed, written
 
 #: Documents of a source that are put in order together.
 GROUP = 1024
@@ -57,42 +58,45 @@ def source_targets(sizes: DataFrame, *, share: float, epochs: float) -> DataFram
 
 
 def repetitions(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, epochs: float = 2.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", key_col: str | None = None) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, times): how many words of each document the mix takes.
+    """(doc_id, size, source_size, target, taken, times, key): how many words of each document the mix takes.
 
-    ``key_col``, a number that no two rows share, is handed on as ``key``; documents without an id are drawn by it.
+    Documents are drawn by a number that no two rows share: ``key_col``, or else one that is made here, which is the id
+    of every row whose id is its own.
     """
     key = [docs[key_col].alias("key")] if key_col else []
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[source_col].alias("source"), words(docs[text_col]).alias("size"), *key)
-    kept = ["key"] if key_col else []
+    rows = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, source_col).alias("source"), words(column(docs, text_col)).alias("size"), *key)
     rows = written(rows, "sizes")  # the texts are read once
+    if not key_col:
+        rows, name = keyed(rows, "doc_id")
+        rows = rows.withColumnRenamed(name, "key")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")).withColumn("weight", cycled_weights(weights))
     targets = source_targets(sizes, share=share, epochs=epochs).withColumnRenamed("source", "_source")
-    few = rows.select("source").distinct().limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    rows = rows.join(F.broadcast(targets) if few else targets, F.col("source").eqNullSafe(F.col("_source")))
+    small = rows.select("source").distinct().limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    rows = rows.join(F.broadcast(targets) if small else targets, F.col("source").eqNullSafe(F.col("_source")))
 
-    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), *kept))))
-    rows = rows.withColumn("draw", draw)
+    rows = rows.withColumn("draw", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("key").cast("string"))))
     number = F.conv(F.substring("draw", 1, 8), 16, 10).cast("long")
     groups = F.ceil(F.col("n_docs") / GROUP)
     rows = rows.withColumn("group", number % groups)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(rate).cast("long")
     inside = Window.partitionBy("source", "group")
-    order = inside.orderBy("draw", "size", *kept)
+    order = inside.orderBy("draw", "key")
     before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     drawn = before + F.col("size") / 2 < (rate - whole) * F.sum("size").over(inside)
     times = (whole + F.when(drawn & (F.col("size") > 0), 1).otherwise(0)).alias("times")
-    rows = rows.select("doc_id", "size", "source_size", "target", times, *kept)
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times", *kept)
+    rows = rows.select("doc_id", "size", "source_size", "target", times, "key")
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times", "key")
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
+def mixed(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents of the mix, each as often as it is taken, all columns as they were; rows may share an id or have none."""
-    rows, key = numbered(docs)
-    taken = written(repetitions(rows, key_col=key, **options).filter("times > 0").select(F.col("key").alias("_taken"), "times"), "taken")
-    few = taken.count() <= BROADCAST_ROWS
-    out = rows.join(F.broadcast(taken) if few else taken, rows[key] == taken["_taken"])
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), taken["times"]))).select(*[rows[c] for c in docs.columns])
+    rows, key = keyed(docs, id_col)
+    times = repetitions(rows, key_col=key, id_col=id_col, **options).filter("times > 0").select(F.col("key").alias("_taken"), "times")
+    taken = written(times, "taken")
+    copy = free_name(docs, "_copy")
+    out = rows.join(few(taken), rows[key] == taken["_taken"])
+    return out.select(*[column(rows, c) for c in docs.columns], F.explode(F.sequence(F.lit(1), taken["times"])).alias(copy)).drop(copy)
 
 
 ORACLE_SQL = rf"""
@@ -106,10 +110,10 @@ tries as (select *,
 best as (select level as b_level, attempt as b_try from tries where attempt <= level order by level, attempt limit 1),
 targets as (select source, source_size, n_docs, case when b_level is null or level < b_level then cap else least(cap, weight * b_try) end as target
   from tries left join best on true),
-dealt as (select r.doc_id, r.size, t.*, md5('7:' || coalesce(r.doc_id::varchar, '-')) as draw,
+dealt as (select r.doc_id, r.size, t.*, md5('7:' || r.doc_id::varchar) as draw,
   case when source_size > 0 then target / source_size else 0 end as rate from rows r join targets t on r.source is not distinct from t.source),
 grouped as (select *, ('0x' || draw[1:8])::ubigint % ceil(n_docs / 1024)::ubigint as grp from dealt),
-drawn as (select *, coalesce(sum(size) over (partition by source, grp order by draw, size rows between unbounded preceding and 1 preceding), 0) as before,
+drawn as (select *, coalesce(sum(size) over (partition by source, grp order by draw, doc_id rows between unbounded preceding and 1 preceding), 0) as before,
   sum(size) over (partition by source, grp) as group_size from grouped)
 select doc_id, size::bigint as size, source_size, target,
   (size * (floor(rate) + case when size > 0 and before + size / 2.0::double < (rate - floor(rate)) * group_size then 1 else 0 end))::bigint as taken

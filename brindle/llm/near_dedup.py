@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BROADCAST_ROWS, named, numbered, partitions, written
+from ._common import BROADCAST_ROWS, column, few, keyed, named, partitions, written
 from ._components import components
 from ._shingles import shingle_sets
 
@@ -220,14 +220,12 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
     family = _families(reps)
     sizes = family.groupBy("component").agg(F.count("*").alias("size"))
     family = written(family.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("group"), "size"), "families")
-    few = family.count() <= BROADCAST_ROWS
-
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             payload = pa.array([s.tobytes() for s in shingle_sets(batch.column(3), width)], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], payload], ["group", "size", "doc_id", "payload"])
 
-    texts = docs.join(F.broadcast(family) if few else family, "doc_id").select("group", "size", "doc_id", "text")
+    texts = docs.join(few(family), "doc_id").select("group", "size", "doc_id", "text")
     full = written(texts.mapInArrow(full_sets, "group long, size long, doc_id long, payload binary"), "sets")
     test = _overlapping(percent)
     links = written(_within(full, test, F.ceil(F.col("size") / BLOCK)), "links")
@@ -251,16 +249,16 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     Rows may share an id or have none; they are linked by their texts alone.
     """
     id_col = options.pop("id_col", "doc_id")
-    rows, key = numbered(docs)
+    rows, key = keyed(docs, id_col)
     linked = near_duplicates(rows, id_col=key, **options).filter(~F.col("kept"))
     linked = written(linked.select(F.col("doc_id").alias("_member"), F.col("component_id").alias("_group")), "linked")
     members = linked.union(linked.select("_group", "_group").distinct().toDF("_member", "_group"))
-    few = linked.count() <= BROADCAST_ROWS // 2
-    ids = rows.select(rows[key].alias("_key"), rows[id_col].cast("long").alias("_id"))
-    known = ids.join(F.broadcast(members) if few else members, F.col("_key") == F.col("_member"))
+    small = linked.count() <= BROADCAST_ROWS // 2
+    ids = rows.select(rows[key].alias("_key"), column(rows, id_col).cast("long").alias("_id"))
+    known = ids.join(F.broadcast(members) if small else members, F.col("_key") == F.col("_member"))
     stays = known.groupBy("_group").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_key"))["_key"].alias("_stays"))
     gone = written(members.join(stays.select("_stays"), F.col("_member") == F.col("_stays"), "left_anti").select(F.col("_member").alias("_gone")), "gone")
-    return rows.join(F.broadcast(gone) if few else gone, rows[key] == gone["_gone"], "left_anti").select(*[rows[c] for c in docs.columns])
+    return rows.join(few(gone), rows[key] == gone["_gone"], "left_anti").drop(key)
 
 
 #: The query over word pairs at 80 percent, by all pairs that share one.

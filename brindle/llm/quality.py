@@ -7,14 +7,15 @@ document's log-weight is the mean over its n-grams of log(target / raw): how muc
 mean, rather than the sum, keeps the length of a document out of its quality.
 
 k documents are drawn without replacement with probabilities in proportion to the importance weights: they are the ones
-with the greatest log-weight * SHARPNESS + Gumbel noise, the noise seeded by the document's id.  k is the number of all
-documents times the share that is good, calibrated on the labelled sample: the share of documents whose log-weight is
-above the level that tells the labelled good and bad apart best.  The top k are found by a histogram of the keys and one
-more count inside the bin that holds the k-th, so nothing is sorted or collected.
-
-Cases: a null or empty text has no n-grams, the log-weight of the worst and is rejected; without labels of both kinds
-every document with text is kept; ties of the key are all kept; no rows give no rows; rows that share an id are judged
-row by row; further columns are not read.
+with the greatest log-weight + Gumbel noise, the noise seeded by the document's id.  The weight is that of a text of
+LENGTH n-grams of the document's kind, the mean times LENGTH; a whole document's own sum would count its length, mostly
+more than LENGTH, as quality.  k is the number of all documents times the share that is good, calibrated on the labelled
+sample: the share of documents whose log-weight is above the level that tells the labelled good and bad apart best.  The
+k-th key is found by histograms, each inside the bin of the one before that holds it, so nothing is sorted or collected.
+
+Cases: a null or empty text has no n-grams, the log-weight of the worst and is rejected; a very long text is read whole; without
+labels of both kinds every document with text is kept; ties of the key are all kept; no rows give no rows; rows that share
+an id, or have none, are judged one by one; further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -26,13 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BROADCAST_ROWS, named, wider, written
+from ._common import column, few, keyed, named, wider, written
 from ._shingles import chunks, mixed, word_hashes
 
 GRAMS, SLOTS = (1, 2, 3), 1 << 14
 #: Most labelled rows that are used: the ones with the least hash of their id.
 LABELLED = 20_000
-SHARPNESS = 400.0
+#: Length, in n-grams, of the text whose importance weight is taken: every document is weighed as so many of its n-grams.
+LENGTH = 400.0
 #: How much more the share of good documents that are lost counts than the share of bad ones that stay.
 KEEP = 5
 _WORST = -1e6
@@ -131,7 +133,8 @@ def _log_shares(counts: np.ndarray) -> np.ndarray:
 def model(docs: DataFrame, labels: DataFrame, *, most: int = LABELLED, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[np.ndarray, float]:
     """The log-ratio of target and raw text for each slot, and the log-weight that tells good documents from bad."""
     sample = F.broadcast(labelled_sample(labels, label_col, most=most).withColumnRenamed("doc_id", "_labelled"))  # ``most`` rows
-    known = named(docs, id_col, text_col).join(sample, docs[id_col].cast("long") == F.col("_labelled")).select(F.col(text_col).alias("text"), "label")
+    texts = docs.select(column(docs, id_col).cast("long").alias("_id"), column(docs, text_col).alias("text"))
+    known = written(texts.join(sample, F.col("_id") == F.col("_labelled")).select("text", "label"), "labelled")  # read twice
     raw, target = corpus_counts(docs, text_col), corpus_counts(known.filter("label = 1"), "text")
     ratio = _log_shares(target) - _log_shares(raw)
     seen = with_weight(known, ratio).select("weight", "label").toArrow()  # ``most`` pairs of numbers
@@ -139,47 +142,47 @@ def model(docs: DataFrame, labels: DataFrame, *, most: int = LABELLED, id_col: s
     return ratio, _level(w, label == 1) if (label == 1).any() and (label == 0).any() else _WORST / 2
 
 
-def resampling(docs: DataFrame, labels: DataFrame, *, seed: int = 8, most: int = LABELLED, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """(doc_id, weight, key, kept) of every document: whether it is among the k drawn."""
+def resampling(docs: DataFrame, labels: DataFrame, *, seed: int = 8, most: int = LABELLED, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", key_col: str | None = None) -> DataFrame:
+    """(doc_id, weight, key, kept) of every document: whether it is among the k drawn.
+
+    The noise of a row comes from ``key_col``, by default its id, and is handed on as ``row``.
+    """
     ratio, level = model(docs, labels, most=most, id_col=id_col, text_col=text_col, label_col=label_col)
-    rows = named(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    id_ = column(docs, id_col).cast("long")
+    rows = docs.select(id_.alias("doc_id"), column(docs, text_col).alias("text"), (docs[key_col] if key_col else id_).alias("row"))
     rows = _keyed(with_weight(rows, ratio), seed)
-    scored = written(rows.select("doc_id", "weight", "key"), "quality")  # two numbers for each document
+    scored = written(rows.select("doc_id", "weight", "key", "row"), "quality")  # a few numbers for each document
     least = _draw(scored, level)
     return scored.withColumn("kept", (F.col("key") >= F.lit(least)) & (F.col("weight") > _WORST))
 
 
 def _keyed(rows: DataFrame, seed: int) -> DataFrame:
-    uniform = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    key = F.when(F.col("weight") > _WORST, F.col("weight") * SHARPNESS - F.log(-F.log(uniform)))
+    uniform = (F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    key = F.when(F.col("weight") > _WORST, F.col("weight") * LENGTH - F.log(-F.log(uniform)))
     return rows.withColumn("key", F.coalesce(key, F.lit(float("-inf"))))
 
 
-def resampled(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents that are drawn, all columns as they were; doc_id must tell rows apart."""
-    gone = resampling(docs, labels, **options).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    few = gone.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if few else gone, docs[options.get("id_col", "doc_id")].cast("long").eqNullSafe(gone["_gone"]), "left_anti")
+def resampled(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+    """The documents that are drawn, all columns as they were; rows may share an id or have none, each is drawn for itself."""
+    rows, key = keyed(docs, id_col)
+    gone = resampling(rows, labels, id_col=id_col, key_col=key, **options).filter(~F.col("kept")).select(F.col("row").alias("_gone"))
+    return rows.join(few(gone), rows[key] == gone["_gone"], "left_anti").drop(key)
 
 
 def _draw(rows: DataFrame, level: float) -> float:
-    """The k-th greatest key: two histograms of 4096 bins, the second inside the bin of the first that holds it."""
-    found = rows.filter(F.col("weight") > _WORST).agg(F.count_if(F.col("weight") >= level).alias("k"), F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n")).first()
-    k, low, high = found["k"], found["low"], found["high"]
-    if not k or k >= found["n"] or low == high:
-        return float("-inf") if k else float("inf")
-    left = k
-    for _ in range(3):
-        width = (high - low) / 4096
-        if width <= 0:
-            break
-        inside = rows.filter((F.col("weight") > _WORST) & (F.col("key") >= low) & (F.col("key") <= high))
-        bins = inside.groupBy(F.least(F.floor((F.col("key") - low) / width), F.lit(4095)).alias("bin")).agg(F.count("*").alias("n")).collect()
+    """The k-th greatest key: histograms of 4096 bins, each inside the bin that holds it, until that has one key only."""
+    rows = rows.filter(F.col("weight") > _WORST)
+    found = rows.agg(F.count_if(F.col("weight") >= level).alias("k"), F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n")).first()
+    left, low, high = found["k"], found["low"], found["high"]
+    if not left or left >= found["n"]:
+        return float("-inf") if left else float("inf")
+    while low < high:
+        place = F.least(F.floor((F.col("key") - low) / (high - low) * 4096), F.lit(4095))
+        inside = rows.filter(F.col("key").between(low, high))
+        bins = inside.groupBy(place.alias("bin")).agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).collect()
         for r in sorted(bins, key=lambda r: -r["bin"]):
             if r["n"] >= left:
-                low, high = low + r["bin"] * width, low + (r["bin"] + 1) * width
+                low, high = r["low"], r["high"]
                 break
             left -= r["n"]
-        if left == r["n"]:
-            break
     return low

@@ -20,7 +20,7 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.repetitions(read(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, epochs=2.0).drop("times")
+    return mixing.repetitions(read(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, epochs=2.0).drop("times", "key")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.resampling(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("key")
+    return quality.resampling(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("key", "row")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,12 +7,13 @@ smoothed log-odds of a hash among toxic and other documents and the rest at smal
 mini-batches; only the words at the maxima have gradients.  The score is calibrated on labelled documents that were held
 back from training, and a threshold is set for each language there.
 
-Documents for training are a bounded sample: TOXIC and CLEAN documents at most, those with the least hash of their id.
-Every document is scored over its whole text.
+Documents for training are a bounded sample: TOXIC and CLEAN documents at most, those with the least hash of their id, and
+of them as many, in the order of another hash, as have SLOT_BYTES of words.  Every document is scored over its whole text.
 
 Cases: a null or empty text has the score of a text without words; without labels of both kinds every score is 0; with
-a single label of a kind nothing is held back, the score is not calibrated and the threshold is 0.5; rows that share an id are scored row by row; a label that is null isn't used; a language never seen in calibration has the
-common threshold; no rows give no rows; further columns are not read.
+a single label of a kind nothing is held back, the score is not calibrated and the threshold is 0.5; rows that share an id, or have none, are scored and
+judged row by row; a very long text is scored whole; a label that is null isn't used; a language never seen in calibration,
+or null, has the common threshold; no rows give no rows; further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -22,14 +23,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import BROADCAST_ROWS, written
+from ._common import column, written
 from ._shingles import chunks, term_hashes
 
 SLOTS, PREFIXES, DIM, FILTERS, WIDTHS = 1 << 17, (4, 6), 12, 8, (1, 2, 3)
 TOXIC, CLEAN, EPOCHS, BATCH = 3_000, 6_000, 4, 32
+#: Bytes of words (twelve each) of either kind that are brought to the driver at most.
+SLOT_BYTES = 96 << 20
 #: Every HOLD-th document of either kind in the sample is held back for calibration.
 HOLD = 5
 
@@ -190,10 +193,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, where: Column | None = None, id_c
                 found += [np.ascontiguousarray(slots[:, a:b]).tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), *batch.columns[1:]], ["slots", "label", "lang", "id"])
 
-    sample = F.broadcast(_sampled(labels, where, label_col))
-    lang = docs[lang_col].cast("string") if lang_col else F.lit(None).cast("string")
-    known = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"), lang.alias("lang")).join(sample, F.col("id") == F.col("_labelled"))
-    rows = known.select("text", "label", "lang", "id").mapInArrow(run, "slots binary, label int, lang string, id long").toArrow().sort_by("id")
+    sample = F.broadcast(_sampled(labels, where, label_col))  # TOXIC + CLEAN rows
+    lang = column(docs, lang_col).cast("string") if lang_col else F.lit(None).cast("string")
+    known = docs.select(column(docs, id_col).cast("long").alias("id"), column(docs, text_col).alias("text"), lang.alias("lang")).join(sample, F.col("id") == F.col("_labelled"))
+    found = written(known.select("text", "label", "lang", "id").mapInArrow(run, "slots binary, label int, lang string, id long"), "toxicity-sample")
+    found = found.withColumn("order", F.xxhash64("id", "slots"))
+    before = Window.partitionBy("label").orderBy("order").rowsBetween(Window.unboundedPreceding, 0)  # over some thousand numbers
+    within = found.select("label", "order", F.octet_length("slots").alias("size")).withColumn("sum", F.sum("size").over(before)).filter(F.col("sum") <= SLOT_BYTES)
+    rows = found.join(F.broadcast(within.select("label", "order").distinct()), ["label", "order"]).select("slots", "label", "lang", "id", "order").toArrow().sort_by([("id", "ascending"), ("order", "ascending")])
     texts = [np.frombuffer(x.as_buffer(), np.int32).reshape(1 + len(PREFIXES), -1) for x in rows.column("slots")]
     labels_, langs = rows.column("label").to_numpy(), rows.column("lang").to_pylist()
     of_kind = [np.flatnonzero(labels_ == y) for y in (0, 1)]
@@ -230,19 +237,23 @@ def thresholds(p: np.ndarray, labels: np.ndarray, langs: list[str | None], *, le
     return found
 
 
+def _scored(net: Network, texts: pa.Array) -> np.ndarray:
+    out = np.zeros(len(texts))
+    if not net.empty:
+        for first, raw, offsets in chunks(texts):
+            out[first : first + len(offsets) - 1] = probability(net, scores(net, *term_slots(raw, offsets)))
+    return out
+
+
 def with_score(docs: DataFrame, net: Network, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) of every document: the calibrated probability, from its text alone."""
     shared = docs.sparkSession.sparkContext.broadcast(net)  # a fixed size, some 20 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.zeros(batch.num_rows)
-            if not shared.value.empty:
-                for first, raw, offsets in chunks(batch.column(1)):
-                    out[first : first + len(offsets) - 1] = probability(shared.value, scores(shared.value, *term_slots(raw, offsets)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scored(shared.value, batch.column(1)))], ["doc_id", "score"])
 
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    rows = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double")
 
 
@@ -259,15 +270,16 @@ def held_out_scores(docs: DataFrame, labels: DataFrame, *, cut: float = 0.7) ->
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The documents below the threshold of their language, all columns as they were; doc_id must tell rows apart."""
+    """The documents below the threshold of their language, all columns as they were; each row is judged for itself."""
     net, cuts = fit(docs, labels, id_col=id_col, text_col=text_col, lang_col=lang_col)
-    scored = written(with_score(docs, net, id_col=id_col, text_col=text_col), "toxicity")  # one number for each document
-    common = cuts.pop(None)
-    # a document is safe from every threshold below the least one
-    suspects = scored.filter(F.col("score") >= min([common, *cuts.values()])).select(F.col("doc_id").alias("_id"), "score")
-    few = suspects.count() <= BROADCAST_ROWS
-    lang = F.coalesce(docs[lang_col].cast("string"), F.lit(""))
-    cut = F.lit(common)
-    for name, value in sorted(cuts.items()):
-        cut = F.when(lang == name, value).otherwise(cut)
-    return docs.join(F.broadcast(suspects) if few else suspects, docs[id_col].cast("long").eqNullSafe(suspects["_id"]) & (suspects["score"] >= cut), "left_anti")
+    shared = docs.sparkSession.sparkContext.broadcast((net, cuts))  # a fixed size, some 20 MB
+    at_text, at_lang = docs.columns.index(text_col), docs.columns.index(lang_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net, cuts = shared.value
+        for batch in batches:
+            langs = batch.column(at_lang).cast(pa.string()).to_pylist()
+            cut = np.array([cuts.get(x, cuts[None]) for x in langs])
+            yield batch.filter(pa.array(_scored(net, batch.column(at_text)) < cut))
+
+    return docs.mapInArrow(run, docs.schema)
