@@ -13,6 +13,7 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.articles import few, stored
 from .quality import with_position
 from .topics import words_of
 
@@ -60,10 +61,12 @@ def factor_topics(docs: DataFrame, *, key: str, text: str, k: int = 10, seed: in
     rows, _ = _counted(docs, key=key, text=text)
     weighted = IDF(inputCol="counts", outputCol="tfidf").fit(rows).transform(rows)
     sparse = weighted.select(key, F.posexplode(vector_to_array("tfidf")).alias("term", "weight")).filter("weight > 0")
-    model = ALS(rank=k, nonnegative=True, userCol=key, itemCol="term", ratingCol="weight", seed=seed, maxIter=10).fit(sparse.withColumn(key, F.col(key).cast("int")))
+    numbers = stored(with_position(sparse.select(key).distinct(), key, out="_number"), "numbers")  # the solver's ids are small numbers
+    sparse = sparse.join(few(numbers), key).select(F.col("_number").cast("int").alias("_number"), "term", "weight")
+    model = ALS(rank=k, nonnegative=True, userCol="_number", itemCol="term", ratingCol="weight", seed=seed, maxIter=10).fit(sparse)
     total = F.aggregate("features", F.lit(0.0), lambda s, x: s + x)
-    shares = model.userFactors.select(F.col("id").alias(key), F.posexplode(F.transform("features", lambda x: F.coalesce(F.try_divide(x.cast("double"), total), F.lit(0.0)))).alias("topic", "share"))
-    return shares
+    shares = model.userFactors.select(F.col("id").cast("long").alias("_number"), F.posexplode(F.transform("features", lambda x: F.coalesce(F.try_divide(x.cast("double"), total), F.lit(0.0)))).alias("topic", "share"))
+    return shares.join(few(numbers), "_number").select(key, "topic", "share")
 
 
 def tail_topics(tail_rows: DataFrame, shares: DataFrame, *, key: str = "id", k: int = 5, least: float = 0.01) -> DataFrame:
@@ -77,7 +80,7 @@ def assembled(df: DataFrame, features: tuple[str, ...], *, out: str = "features"
     return VectorAssembler(inputCols=list(features), outputCol=out).transform(df)
 
 
-def probe(df: DataFrame, features: tuple[str, ...], label: Column, *, c: float = 1.0) -> DataFrame:
+def probe(df: DataFrame, features: tuple[str, ...], label: Column, *, c: float = 0.1) -> DataFrame:
     """(feature, coefficient): what an L1 logistic probe on standardised features keeps."""
     n = df.count()
     rows = assembled(df.withColumn("label", label.cast("double")), features, out="raw")
@@ -132,7 +135,7 @@ def shuffled_folds(df: DataFrame, key: str, *, k: int = 5, seed: int = 42) -> Da
 
 def stratified_folds(df: DataFrame, label: str, key: str, *, k: int = 5) -> DataFrame:
     """Folds 1 … k in turn within each label; a label's rows are dealt in groups, so that no task holds all of a common one."""
-    group = F.pmod(F.xxhash64(key), F.lit(64))
+    group = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long") % 64
     w = Window.partitionBy(label, group).orderBy(key)
     return df.withColumn("fold", ((F.row_number().over(w) - 1 + group) % k + 1).cast("int"))
 

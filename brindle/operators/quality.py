@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.articles import few, stored
+
 
 def validation_report(df: DataFrame, *, text: str, target: str, date: str) -> DataFrame:
     """One row: rows, empty texts, missing targets and dates, ranges, and statistics of target and text length."""
@@ -30,15 +32,54 @@ def validation_report(df: DataFrame, *, text: str, target: str, date: str) -> Da
 
 
 def with_position(df: DataFrame, *order: str, out: str = "position") -> DataFrame:
-    """The rows with their place from 0 in the order, without a task that holds all: the rows are dealt by range and each range is numbered from what lies before it."""
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    """The rows with their place from 0 in the order, without a task that holds all.
+
+    The rows are dealt by range and written once with the number of their range, so that the sizes of ranges and the places
+    inside them are read from the same rows; each range is numbered from what lies before it.
+    """
+    ranged = stored(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # one row for each range
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranged = ranged.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part")
+    ranged = ranged.join(few(sizes.select("_part", before.alias("_before"))), "_part")
     place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1 + F.col("_before")
     return ranged.withColumn(out, place.cast("long")).drop("_part", "_before")
 
 
+def value_counts(df: DataFrame, value: str, *group: str) -> DataFrame:
+    """(group, value, _rows, _less): how often each value that isn't null occurs in its group, and how many rows of it have a lesser one.
+
+    Only distinct values are sorted, by ranges, and written once; a running sum in each range goes on from the ranges before.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_rows"))
+    ranged = stored(counts.repartitionByRange(*group, value).withColumn("_part", F.spark_partition_id()), "values")
+    sizes = ranged.groupBy("_part").agg(F.sum("_rows").alias("_n"))  # one row for each range
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = Window.partitionBy("_part").orderBy(*group, value).rowsBetween(Window.unboundedPreceding, -1)
+    rows = ranged.join(few(sizes.select("_part", before.alias("_before"))), "_part").withColumn("_less", F.col("_before") + F.coalesce(F.sum("_rows").over(inside), F.lit(0)))
+    rows = rows.drop("_part", "_before")
+    if not group:
+        return rows
+    first = rows.groupBy(*group).agg(F.min("_less").alias("_first"))
+    return rows.join(few(first), list(group)).withColumn("_less", F.col("_less") - F.col("_first")).drop("_first")
+
+
+def quantiles(df: DataFrame, column: str, shares: tuple[float, ...]) -> list[float | None]:
+    """Exact quantiles, linear between neighbours, of the values that aren't null; nulls without any."""
+    rows = value_counts(df, column)
+    n = rows.agg(F.sum("_rows")).first()[0] or 0
+    if not n:
+        return [None] * len(shares)
+    places = sorted({int(p) for x in shares for p in ((n - 1) * x, min((n - 1) * x + 1, n - 1))})
+    wanted = F.explode(F.filter(F.array(*[F.lit(p).cast("long") for p in places]), lambda p: (p >= F.col("_less")) & (p < F.col("_less") + F.col("_rows"))))
+    at = {r["place"]: float(r["v"]) for r in rows.select(wanted.alias("place"), F.col(column).alias("v")).collect()}  # two for each share
+    found = []
+    for x in shares:
+        low = int((n - 1) * x)
+        part, a = (n - 1) * x - low, at[low]
+        found.append(a if part == 0 else a * (1 - part) + at[min(low + 1, n - 1)] * part)
+    return found
+
+
 def temporal_split(df: DataFrame, *order: str, train: float = 0.7, validate: float = 0.15, test: float = 0.15, gap: int = 0) -> DataFrame:
     """The rows with ``split``: train, validate, test in order, ``gap`` rows left out (null) between them."""
     if abs(train + validate + test - 1) > 0.01:
@@ -60,9 +101,7 @@ def diversity(df: DataFrame, *, text: str, target: str) -> DataFrame:
         F.round(F.avg(F.length(text)), 4).alias("mean_length"),
         F.round(F.avg(target), 6).alias("mean_target"),
         F.round(F.stddev_samp(target), 6).alias("std_target"),
-        F.percentile(target, F.lit(0.25)).alias("q1"),
-        F.percentile(target, F.lit(0.5)).alias("median"),
-        F.percentile(target, F.lit(0.75)).alias("q3"),
+        *[F.lit(q).cast("double").alias(name) for q, name in zip(quantiles(df, target, (0.25, 0.5, 0.75)), ("q1", "median", "q3"), strict=True)],
     )
     return rows.crossJoin(words)  # one row each
 
@@ -106,9 +145,8 @@ def categorical_iv(df: DataFrame, feature: str, bad: Column) -> DataFrame:
 
 def quantile_bins(df: DataFrame, feature: str, *, bins: int = 10, out: str = "bin") -> DataFrame:
     """The rows with the number of their quantile bin; bins are closed on the right and equal edges are one."""
-    shares = F.array(*[F.lit(i / bins) for i in range(1, bins)])
-    edges = F.broadcast(df.agg(F.array_distinct(F.percentile(feature, shares)).alias("_edges")))
-    return df.crossJoin(edges).withColumn(out, F.when(F.col(feature).isNotNull(), F.size(F.filter("_edges", lambda e: e < F.col(feature))))).drop("_edges")
+    edges = sorted({q for q in quantiles(df, feature, tuple(i / bins for i in range(1, bins))) if q is not None})
+    return df.withColumn(out, F.when(F.col(feature).isNotNull(), F.size(F.filter(F.array(*[F.lit(e) for e in edges]).cast("array<double>"), lambda e: e < F.col(feature)))))
 
 
 def numeric_iv(df: DataFrame, feature: str, bad: Column) -> DataFrame:
@@ -140,8 +178,7 @@ def confidence(base: Column, populated: tuple[Column, ...]) -> Column:
 
 def below_quantile(df: DataFrame, column: str, q: float = 0.25) -> DataFrame:
     """The rows under a quantile of a column."""
-    limit = df.agg(F.percentile(column, F.lit(q)).alias("_q"))
-    return df.crossJoin(F.broadcast(limit)).filter(F.col(column) < F.col("_q")).drop("_q")
+    return df.filter(F.col(column) < F.lit(quantiles(df, column, (q,))[0]).cast("double"))
 
 
 def batch_verdict(df: DataFrame, *, suspicious: Column, low: Column, compliant: Column) -> DataFrame:

@@ -15,18 +15,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.articles import shared_folder
+from ..sources.articles import few, stored
 
 BLOCK = 512
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The frame written to the shared folder and read again."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -73,9 +66,16 @@ def day_band(date: Column, days: int) -> Column:
     return F.floor(F.unix_date(date) / (days + 1))
 
 
-def projection_band(vector: Column, threshold: float) -> Column:
-    """A band for unit vectors by their first coordinate: vectors with a greater dot product differ in it by less than its width."""
-    return F.floor(F.get(vector, F.lit(0)).cast("double") / math.sqrt(max(2 - 2 * threshold, 1e-6)))
+def largest_norm(df: DataFrame, vector: str = "vector") -> float:
+    return float(df.agg(F.max(F.sqrt(dot(F.col(vector), F.col(vector))))).first()[0] or 0.0)
+
+
+def projection_band(vector: Column, threshold: float, radius: float = 1.0) -> Column:
+    """A band by the first coordinate, for vectors no longer than ``radius``: those with a greater dot product differ in it by less than its width.
+
+    The squared distance of two such vectors is 2 * radius ** 2 less twice their dot product at most.
+    """
+    return F.floor(F.get(vector, F.lit(0)).cast("double") / math.sqrt(max(2 * radius * radius - 2 * threshold, 1e-6)))
 
 
 def keyword_pairs(df: DataFrame, *, vocabulary: tuple[str, ...], threshold: float, key: str, text: str, within: Column | None = None) -> DataFrame:
@@ -224,12 +224,40 @@ def apart_weights(pairs: DataFrame, dates: DataFrame, *, least: float = 0.75, da
     return rows.select("a", "b", F.col("dot").alias("weight"))
 
 
+def _blocks(df: DataFrame, name: str, most: int = 4 * BLOCK) -> DataFrame:
+    """(block, items): the (id, vector) rows in blocks of about ``most``."""
+    rows = df.select(F.col("id").cast("long").alias("k"), F.transform("vector", lambda x: x.cast("double")).alias("v")).filter("k is not null and v is not null and size(v) > 0")
+    n = max(1, -(-rows.count() // most))
+    return stored(rows.groupBy(F.pmod(F.xxhash64("k"), F.lit(n)).alias(name + "_block")).agg(F.collect_list(F.struct("k", "v")).alias(name)), f"{name}-blocks")
+
+
 def top_similar(queries: DataFrame, history: DataFrame, *, k: int = 5) -> DataFrame:
-    """(query, id, rank, similarity): the k rows of a small history with the greatest cosine; history must be a bounded table."""
-    rows = queries.select(F.col("id").alias("query"), F.col("vector").alias("_q")).crossJoin(F.broadcast(history.select("id", F.col("vector").alias("_h"))))
-    scored = rows.select("query", "id", F.round(cosine(F.col("_q"), F.col("_h")), 6).alias("similarity"))
+    """(query, id, rank, similarity): the k rows of the history with the greatest cosine to each query, itself left out.
+
+    Blocks of queries meet blocks of the history, and the k best of each query in each block go on; ties go to the
+    smaller id.  A null vector and one of zeros are like nothing.
+    """
+    left, right = _blocks(queries, "left"), _blocks(history, "right")
+    blocks = [r["right_block"] for r in right.select("right_block").collect()]  # their numbers
+    met = left.withColumn("right_block", F.explode(F.array(*[F.lit(x).cast("long") for x in blocks]) if blocks else F.array().cast("array<bigint>"))).join(right, "right_block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                (ka, a), (kb, b) = (_items(batch.column(c)[n]) for c in (0, 1))
+                na, nb = (np.sqrt(np.cumsum(x * x, axis=1)[:, -1]) for x in (a, b))
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    rough = np.nan_to_num(a @ b.T / (na[:, None] * nb[None, :]), nan=-np.inf)
+                rough[ka[:, None] == kb[None, :]] = -np.inf
+                kth = np.partition(rough, max(len(kb) - k, 0), axis=1)[:, max(len(kb) - k, 0)]
+                i, j = np.nonzero((rough >= kth[:, None] - 1e-6) & (rough > -np.inf))
+                # in the order in which SQL adds, and rounded like it, so that ties are ties
+                exact = np.round(np.cumsum(a[i] * b[j], axis=1)[:, -1] / (na[i] * nb[j]), 6) if len(i) else np.empty(0)
+                yield pa.RecordBatch.from_arrays([pa.array(ka[i]), pa.array(kb[j]), pa.array(exact)], ["query", "id", "similarity"])
+
+    found = met.select("left", "right").mapInArrow(run, "query long, id long, similarity double")
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id"))
-    return scored.withColumn("rank", place).filter(F.col("rank") <= k)
+    return found.withColumn("rank", place).filter(F.col("rank") <= k)
 
 
 def default_prediction(queries: DataFrame, similar: DataFrame, facts: DataFrame) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.articles import few, stored
+from .quality import value_counts
+
 # Common English words, and the word lists of the style features.
 STOP_WORDS = ("a", "about", "after", "all", "also", "an", "and", "any", "are", "as", "at", "be", "been", "but", "by", "can", "could", "do", "for", "from", "had", "has", "have", "he", "her", "his", "i", "if", "in", "into", "is", "it", "its", "more", "no", "not", "of", "on", "one", "or", "our", "out", "she", "so", "some", "than", "that", "the", "their", "them", "then", "there", "these", "they", "this", "to", "up", "was", "we", "were", "what", "when", "which", "who", "will", "with", "would", "you")
 PRONOUNS = ("i", "we", "me", "us", "my", "our", "mine", "ours")
@@ -26,7 +29,8 @@ def tfidf(docs: DataFrame, *, key: str, text: str, stop: tuple[str, ...] = STOP_
     """
     w = docs.select(key, words_of(F.col(text), stop).alias("w"))
     pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-    counts = w.select(key, F.explode(F.concat("w", pairs) if grams == 2 else F.col("w")).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    # written once, as three passes read it
+    counts = stored(w.select(key, F.explode(F.concat("w", pairs) if grams == 2 else F.col("w")).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf")), "terms")
     total = docs.agg(F.count("*").alias("n"))
     spread = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("all"))
     known = spread.crossJoin(F.broadcast(total)).filter((F.col("df") >= least) & (F.col("df") <= F.col("n") * most)).orderBy(F.desc("all"), "term").limit(terms)  # ``terms`` rows
@@ -141,16 +145,36 @@ def oriented(scores: DataFrame, tail_rows: DataFrame, reference: DataFrame, *, k
 
 
 def average_ranks(df: DataFrame, column: str, group: str, out: str) -> DataFrame:
-    """Ranks from 1 within a group; equal values share their mean rank."""
-    w = Window.partitionBy(group).orderBy(column)
-    same = Window.partitionBy(group, column)
-    return df.withColumn(out, F.rank().over(w) + (F.count("*").over(same) - 1) / 2)
+    """Ranks from 1 within a group; equal values share their mean rank.  Distinct values are ranked, so no task holds a group."""
+    ranks = value_counts(df, column, group)
+    return df.join(few(ranks.select(group, column, (F.col("_less") + (F.col("_rows") + 1) / 2).alias(out))), [group, column])
+
+
+def correlation(rows: DataFrame, *, group: str, x: str, y: str) -> DataFrame:
+    """(group, rho): rank correlation."""
+    ranked = average_ranks(average_ranks(rows, x, group, "_x"), y, group, "_y")
+    return ranked.groupBy(group).agg(F.corr("_x", "_y").alias("rho"))
 
 
 def spearman(rows: DataFrame, *, group: str, x: str, y: str) -> DataFrame:
     """(group, rho): rank correlation, absolute."""
-    ranked = average_ranks(average_ranks(rows, x, group, "_x"), y, group, "_y")
-    return ranked.groupBy(group).agg(F.round(F.abs(F.corr("_x", "_y")), 6).alias("rho"))
+    return correlation(rows, group=group, x=x, y=y).select(group, F.round(F.abs("rho"), 6).alias("rho"))
+
+
+def taxonomy_facets(scores: DataFrame, counts: DataFrame, tail_rows: DataFrame, *, least: float = 0.15, enrichment: float = 2.0, floor: float = 0.4, k: int = 3, key: str = "id") -> DataFrame:
+    """(component, facet, side, score, rank): the k categories of each side that go with a component.
+
+    scores (component, id, score), counts (id, facet, count).  A category counts if its rank correlation with the scores is
+    ``least`` or more and the means of the two tails differ by ``enrichment`` deviations; its side is the correlation's sign.
+    """
+    rows = stored(scores.select("component", key, "score").join(counts, key).withColumn("_g", F.struct("component", "facet").cast("string")), "facets")
+    rho = correlation(rows, group="_g", x="score", y="count")
+    ends = tail_rows.select("component", key, "tail").join(counts, key).groupBy("component", "facet").agg(F.abs(F.avg(F.when(F.col("tail") == "high", F.col("count"))) - F.avg(F.when(F.col("tail") == "low", F.col("count")))).alias("gap"))
+    spread = rows.groupBy("component", "facet", "_g").agg(F.stddev_pop("count").alias("sd"))
+    found = spread.join(rho, "_g").join(ends, ["component", "facet"]).filter((F.abs("rho") >= least) & (F.col("gap") / (F.col("sd") + 1e-10) >= enrichment))
+    found = found.select("component", "facet", F.when(F.col("rho") > 0, "high").otherwise("low").alias("side"), F.round(F.greatest(F.abs("rho"), F.lit(floor)), 6).alias("score"))
+    place = F.row_number().over(Window.partitionBy("component", "side").orderBy(F.desc("score"), "facet"))
+    return found.withColumn("rank", place).filter(F.col("rank") <= k)
 
 
 def log_odds(high: Column, low: Column, alpha: float = 0.01) -> Column:

@@ -233,8 +233,8 @@ RESPONSES = {
     "Policy Change": ("policy-change", "policy changes", "policy change"), "Legal Action": ("legal-action", "legal action", "legal actions"), "Apology": ("apology", "apologies", "apologize"), "Compensation": ("compensation", "compensate", "compensatory"),
     "Investigation": ("investigation", "investigate", "investigative"), "Communication": ("communication", "communicate", "public communication"), "Reform": ("reform", "reforms", "reformative"), "Denial": ("denial", "deny", "denies"),
     "Transparency": ("transparency", "transparent", "transparency measures"), "Training": ("training", "train", "employee training"), "PR Statement": ("pr-statement", "public statement", "public statements"),
-    "Executive Remuneration": ("executive remuneration", "executive bonus reduction", "bonus reduction", "executive pay cut", "bonus cuts", "personnel-change"),
-    "Termination of Employment": ("termination of employment", "executive termination", "forced resignation", "leadership change", "personnel change"),
+    "Executive Remuneration": ("executive remuneration", "executive bonus reduction", "bonus reduction", "executive pay cut", "executive compensation reduction", "shareholder action on executive pay", "personnel-change", "executive pay reduction", "bonus cuts", "executive compensation scrutiny", "no short-term bonuses awarded to executives", "no short-term bonuses awarded to executives in 2020 and 2021", "prioritization of shareholder dividends and executive pay", "executive pay cuts demanded by shareholders", "reduction of former ceo pay", "increased shareholder and investor scrutiny of executive pay", "potential policy changes regarding executive compensation"),
+    "Termination of Employment": ("termination of employment", "ceo forced out", "executive termination", "forced resignation", "executive dismissal", "leadership change", "ceo removal", "personnel change", "executive departure", "leadership transition", "resignation of ceo", "resignation of chairman", "withholding of ex-ceo payout", "clawback of long-term incentive payment"),
     "Increased Transparency": ("public disclosure of executive compensation in the annual report", "transparency", "transparent", "transparency measures", "public disclosure"),
 }
 STAKEHOLDERS = {
@@ -321,9 +321,23 @@ def soft_typed(text):
     return [F.lower(F.coalesce(j["direction"], F.lit("neutral"))).alias("direction"), F.lower(F.coalesce(j["centrality"], F.lit("secondary"))).alias("centrality"), F.coalesce(j["causal"].try_cast("boolean"), F.lit(False)).alias("causal"), F.coalesce(j["confidence"].try_cast("double"), F.lit(0.5)).alias("confidence")]
 
 
-@query("F20_page_article", r"select page_id, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) as title, len(regexp_extract_all(html, '(?i)<p[ >]')) as paragraphs, regexp_extract(html, '(?i)<html lang=\"([a-z]+)\"', 1) as lang from pages")
+#: Elements that name an article's author, and those that date it, in the order in which they are asked.
+AUTHOR = (r"""(?is)<\w+\b[^>]*class=["'][^"'>]*\bauthor\b[^>]*>([^<]+)""", r"""(?is)<\w+\b[^>]*class=["'][^"'>]*\bbyline\b[^>]*>([^<]+)""", r"""(?is)<\w+\b[^>]*rel=["']author["'][^>]*>([^<]+)""", r"""(?is)<meta\b[^>]*name=["']author["'][^>]*content=["']([^"']+)""", r"""(?is)<\w+\b[^>]*itemprop=["']author["'][^>]*>([^<]+)""")
+PUBLISHED = (r"""(?is)<time\b[^>]*datetime=["']([^"']+)""", r"""(?is)<time\b[^>]*>([^<]+)""", r"""(?is)<\w+\b[^>]*\bdatetime=["']([^"']+)""", r"""(?is)<\w+\b[^>]*class=["'][^"'>]*\b(?:publication|article|post)-date\b[^>]*>([^<]+)""", r"""(?is)<meta\b[^>]*property=["']article:published_time["'][^>]*content=["']([^"']+)""", r"""(?is)<meta\b[^>]*name=["']publish_date["'][^>]*content=["']([^"']+)""")
+
+
+def first_found(html, patterns):
+    """What the first of the patterns that finds something captures, or null."""
+    return F.coalesce(*[F.nullif(F.trim(F.regexp_extract(html, p, 1)), F.lit("")) for p in patterns])
+
+
+def _first_sql(patterns):
+    return "coalesce(" + ", ".join("nullif(trim(regexp_extract(html, '" + p.replace("'", "''") + "', 1)), '')" for p in patterns) + ")"
+
+
+@query("F20_page_article", rf"select page_id, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) as title, len(regexp_extract_all(html, '(?i)<p[ >]')) as paragraphs, regexp_extract(html, '(?i)<html lang=\"([a-z]+)\"', 1) as lang, {_first_sql(AUTHOR)} as author, {_first_sql(PUBLISHED)} as published from pages")
 def f20(spark, d):
-    return V.table(spark, d, "pages").select("page_id", F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1).alias("title"), F.regexp_count("html", F.lit(r"(?i)<p[ >]")).alias("paragraphs"), F.regexp_extract("html", r'(?i)<html lang="([a-z]+)"', 1).alias("lang"))
+    return V.table(spark, d, "pages").select("page_id", F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1).alias("title"), F.regexp_count("html", F.lit(r"(?i)<p[ >]")).alias("paragraphs"), F.regexp_extract("html", r'(?i)<html lang="([a-z]+)"', 1).alias("lang"), first_found("html", AUTHOR).alias("author"), first_found("html", PUBLISHED).alias("published"))
 
 
 def page_body(html):

@@ -26,13 +26,18 @@ def m3(spark, d):
     return weights(spark, d).select("id", "term", F.round("weight", 6).alias("weight"))
 
 
-SCORES = "scores as (select 'c' || j as component, id, case j when 1 then (id * 37 % 101)::double when 2 then (id * 53 % 211)::double else length(description)::double end as score from articles, (select unnest([1, 2, 3]) as j))"
+SCORES = "scores as (select 'c' || j as component, id, case j when 1 then (length(regexp_replace(description, '[^aeiou]', '', 'g')) * 1000 // greatest(length(description), 1))::double when 2 then (length(regexp_replace(description, '[^,;:.]', '', 'g')) * 1000 // greatest(length(description), 1))::double else length(description)::double end as score from articles, (select unnest([1, 2, 3]) as j))"
 TAILS = "tails as (select component, id, score, 'high' as tail from (select *, row_number() over (partition by component order by score desc, id) as p from scores) where p <= 50 union all select component, id, score, 'low' from (select *, row_number() over (partition by component order by score, id) as p from scores) where p <= 50)"
 
 
 def scores(spark, d):
     a = V.articles(spark, d)
-    s = [(F.col("id") * 37 % 101).cast("double"), (F.col("id") * 53 % 211).cast("double"), F.length("description").cast("double")]
+    n = F.greatest(F.length("description"), F.lit(1))
+
+    def per_mille(kind):
+        return F.floor(F.length(F.regexp_replace("description", f"[^{kind}]", "")) * 1000 / n).cast("double")
+
+    s = [per_mille("aeiou"), per_mille(",;:."), F.length("description").cast("double")]
     return a.select("id", F.posexplode(F.array(*s)).alias("j", "score")).select(F.concat(F.lit("c"), (F.col("j") + 1).cast("string")).alias("component"), "id", "score")
 
 
@@ -67,14 +72,29 @@ def m10(spark, d):
     return T.uniqueness(keywords(spark, d))
 
 
-@query("M11_component_confidence")
+UNIQUE = "top as (select * from keys where place <= 15), uq as (select component, tail, term, rank from (select component, tail, term, row_number() over (partition by component, tail order by place) as rank from top t where not exists (select 1 from top o where o.component = t.component and o.term = t.term and o.tail <> t.tail)) where rank <= 10)"
+ODDS = "odds as (select component, abs(ln((h + 0.01) / (l + 0.01))) / (1 + abs(ln((h + 0.01) / (l + 0.01)))) as o from (select component, avg(topic) filter (tail = 'high') as h, avg(topic) filter (tail = 'low') as l from tails join (select id, (length(description) - length(replace(description, 'e', '')))::double / greatest(length(description), 1) as topic from articles) using (id) group by 1))"
+OWN = "own as (select distinct component, term from keys where place <= 15), un as (select component, round(1 - coalesce(s, 0) / (n * 2), 6) as u from (select component, count(*) as n from own group by 1) left join (select a.component, count(*) as s from own a join own b on a.term = b.term and a.component <> b.component group by 1) using (component))"
+
+
+def associations(spark, d):
+    """(component, h, l): the mean share of the letter e in the high and in the low tail, which stands for a topic."""
+    p = F.col("topic") / F.greatest(F.col("n"), F.lit(1))
+    rows = tails(spark, d).join(topic(spark, d), "id").join(V.articles(spark, d).select("id", F.length("description").alias("n")), "id")
+    return rows.groupBy("component").agg(F.avg(F.when(F.col("tail") == "high", p)).alias("h"), F.avg(F.when(F.col("tail") == "low", p)).alias("l"))
+
+
+@query("M11_component_confidence", f", {SCORES}, {TAILS}, {TFIDF}, {KEYS}, {OWN}, {ODDS}, var as (select component, v / sum(v) over () as v from (select component, var_pop(score) as v from scores group by 1)), k as (select component, max(weight) as k from keys where place <= 1 group by 1) select component, round(least(v * 0.3 + least(k * 2, 1.0::double) * 0.3 + least(o * 3, 1.0::double) * 0.2 + u * 0.2, 1.0::double), 6) as confidence from k join un using (component) join odds using (component) join var using (component)", "articles")
 def m11(spark, d):
-    top = keywords(spark, d, 1).groupBy("component").agg(F.max("weight").alias("k"))
-    rows = top.join(T.uniqueness(keywords(spark, d)), "component")
-    return rows.select("component", F.round(T.component_confidence(F.lit(1 / 3), F.col("k"), F.lit(0.2), F.col("uniqueness")), 6).alias("confidence"))
+    words = S.stored(keywords(spark, d), "keywords")
+    top = words.filter("place <= 1").groupBy("component").agg(F.max("weight").alias("k"))
+    spread = scores(spark, d).groupBy("component").agg(F.var_pop("score").alias("v"))
+    share = spread.crossJoin(spread.agg(F.sum("v").alias("all"))).select("component", F.try_divide("v", "all").alias("v"))  # one row for each component
+    rows = top.join(T.uniqueness(words), "component").join(associations(spark, d), "component").join(share, "component")
+    return rows.select("component", F.round(T.component_confidence(F.col("v"), F.col("k"), T.log_odds(F.col("h"), F.col("l")), F.col("uniqueness")), 6).alias("confidence"))
 
 
-@query("M12_component_labels")
+@query("M12_component_labels", f", {SCORES}, {TAILS}, {TFIDF}, {KEYS}, {UNIQUE}, t as (select component, coalesce(string_agg(term, ', ' order by rank) filter (tail = 'high' and rank <= 3), '') as h, coalesce(string_agg(term, ', ' order by rank) filter (tail = 'low' and rank <= 3), '') as l from uq group by 1) select component, concat_ws(' versus ', nullif(h, ''), nullif(l, '')) as label, 'high: ' || h || '; low: ' || l as subtitle from t", "articles")
 def m12(spark, d):
     return T.component_labels(T.unique_keywords(keywords(spark, d)))
 
@@ -94,10 +114,14 @@ def m13(spark, d):
     return V.articles(spark, d).select("id", *T.style_features(F.col("description")))
 
 
-@query("M14_class_tfidf", f", {SCORES}, {TAILS}, {TFIDF}, {KEYS} select tail, term, cast(place as int) as place from keys where component = 'c1' and place <= 20", "articles")
+CLASS_TFIDF = TFIDF.replace("from articles", "from articles_").replace("count(*) >= 2", "count(*) >= 3").replace(" * 0.8 order", " * 1.0 order").replace("limit 500", "limit 5000").replace("w as (select id, term, tf", "cw as (select id, term, tf")
+
+
+@query("M14_class_tfidf", f", {SCORES}, {TAILS}, articles_ as (select * from articles where id in (select id from tails where component = 'c1')), {CLASS_TFIDF}, ks as (select tail, term, round(sum(weight) / 50, 6) as weight from tails join cw using (id) where component = 'c1' group by 1, 2) select tail, term, cast(place as int) as place from (select tail, term, row_number() over (partition by tail order by weight desc, term) as place from ks where weight > 0) where place <= 20", "articles")
 def m14(spark, d):
-    rows = tails(spark, d).filter("component = 'c1'")
-    return T.tail_keywords(rows, weights(spark, d), k=20).select("tail", "term", "place")
+    rows = S.stored(tails(spark, d).filter("component = 'c1'"), "tails")
+    texts = V.articles(spark, d).join(rows.select("id").distinct(), "id", "left_semi")
+    return T.tail_keywords(rows, T.tfidf(texts, key="id", text="description", least=3, most=1.0, terms=5000), k=20).select("tail", "term", "place")
 
 
 EFFECT = "round(avg({0}) filter (f) - avg({0}) filter (not f), 6) as difference, round((avg({0}) filter (f) - avg({0}) filter (not f)) / sqrt(((count(*) filter (f) - 1) * var_samp({0}) filter (f) + (count(*) filter (not f) - 1) * var_samp({0}) filter (not f)) / (count(*) - 2)), 6) as cohens_d"
@@ -115,46 +139,58 @@ def m16_information(spark, d):
     return T.mutual_information(Q.quantile_bins(rows, "n"), "bin", F.col("lang") == "en")
 
 
-@query("M17_oriented_scores", f", {SCORES}, {TAILS}, m as (select component, avg(v) filter (tail = 'high') as h, avg(v) filter (tail = 'low') as l from tails join (select id, (id * 11 % 97)::double as v from articles) using (id) group by 1) select component, id, score * case when h < l then -1 else 1 end as score from scores join m using (component)", "articles")
+@query("M17_oriented_scores", f", {SCORES}, {TAILS}, m as (select component, avg(v) filter (tail = 'high') as h, avg(v) filter (tail = 'low') as l from tails join (select id, length(title)::double + length(description) % 97 as v from articles) using (id) group by 1) select component, id, score * case when h < l then -1 else 1 end as score from scores join m using (component)", "articles")
 def m17(spark, d):
-    reference = V.articles(spark, d).select("id", (F.col("id") * 11 % 97).cast("double").alias("value"))
+    reference = V.articles(spark, d).select("id", (F.length("title").cast("double") + F.length("description") % 97).alias("value"))
     return T.oriented(scores(spark, d), tails(spark, d), reference).select("component", "id", "score")
 
 
-@query("M18_topic_alignment", f", {SCORES}, x as (select component, score, (id * 29 % 13)::double as topic from scores), r as (select component, rank() over (partition by component order by score) + (count(*) over (partition by component, score) - 1) / 2 as rx, rank() over (partition by component order by topic) + (count(*) over (partition by component, topic) - 1) / 2 as ry from x) select component, round(abs(corr(rx, ry)), 6) as rho from r group by 1", "articles")
+def topic(spark, d):
+    """(id, topic): how often the letter e stands in an article."""
+    return V.articles(spark, d).select("id", F.regexp_count("description", F.lit("e")).cast("double").alias("topic"))
+
+
+@query("M18_topic_alignment", f", {SCORES}, x as (select component, score, (length(description) - length(replace(description, 'e', '')))::double as topic from scores join articles using (id)), r as (select component, rank() over (partition by component order by score) + (count(*) over (partition by component, score) - 1) / 2 as rx, rank() over (partition by component order by topic) + (count(*) over (partition by component, topic) - 1) / 2 as ry from x) select component, round(abs(corr(rx, ry)), 6) as rho from r group by 1", "articles")
 def m18(spark, d):
-    rows = scores(spark, d).withColumn("topic", (F.col("id") * 29 % 13).cast("double"))
+    rows = scores(spark, d).join(topic(spark, d), "id")
     return T.spearman(rows, group="component", x="score", y="topic")
 
 
-@query("M18_log_odds", f", {SCORES}, {TAILS} select component, round(abs(ln((h + 0.01) / (l + 0.01))) / (1 + abs(ln((h + 0.01) / (l + 0.01)))), 6) as association from (select component, avg(id * 29 % 13 / 13) filter (tail = 'high') as h, avg(id * 29 % 13 / 13) filter (tail = 'low') as l from tails group by 1)", "articles")
+@query("M18_log_odds", f", {SCORES}, {TAILS} select component, round(abs(ln((h + 0.01) / (l + 0.01))) / (1 + abs(ln((h + 0.01) / (l + 0.01)))), 6) as association from (select component, avg(topic) filter (tail = 'high') as h, avg(topic) filter (tail = 'low') as l from tails join (select id, (length(description) - length(replace(description, 'e', '')))::double / greatest(length(description), 1) as topic from articles) using (id) group by 1)", "articles")
 def m18_odds(spark, d):
-    p = F.col("id") * 29 % 13 / 13
-    g = tails(spark, d).groupBy("component").agg(F.avg(F.when(F.col("tail") == "high", p)).alias("h"), F.avg(F.when(F.col("tail") == "low", p)).alias("l"))
+    g = associations(spark, d)
     return g.select("component", F.round(T.log_odds(F.col("h"), F.col("l")), 6).alias("association"))
 
 
-@query("M19_taxonomy_facets", f", {SCORES}, x as (select component, lang as facet, score, f from (select s.component, s.id, s.score, l.lang, (a.lang = l.lang)::double as f from scores s join articles a using (id), (select distinct lang from articles) l)), r as (select component || '/' || facet as g, rank() over (partition by component, facet order by score) + (count(*) over (partition by component, facet, score) - 1) / 2 as rx, rank() over (partition by component, facet order by f) + (count(*) over (partition by component, facet, f) - 1) / 2 as ry from x), c as (select g, round(abs(corr(rx, ry)), 6) as rho from r group by 1) select g, greatest(rho, 0.4::double) as score from c where rho >= 0.02", "articles")
+TAXONOMY = ", x as (select component, l.lang as facet, s.id, score, (a.lang = l.lang)::double as f from scores s join articles a using (id), (select distinct lang from articles) l), r as (select component, facet, rank() over (partition by component, facet order by score) + (count(*) over (partition by component, facet, score) - 1) / 2 as rx, rank() over (partition by component, facet order by f) + (count(*) over (partition by component, facet, f) - 1) / 2 as ry from x), c as (select component, facet, corr(rx, ry) as rho from r group by 1, 2), z as (select component, facet, abs(avg(f) filter (tail = 'high') - avg(f) filter (tail = 'low')) as gap from x join tails using (component, id) group by 1, 2), sd as (select component, facet, stddev_pop(f) as sd from x group by 1, 2)"
+
+
+@query("M19_taxonomy_facets", f", {SCORES}, {TAILS} {TAXONOMY} select component, facet, side, round(score, 6) as score, cast(rank as int) as rank from (select *, row_number() over (partition by component, side order by round(score, 6) desc, facet) as rank from (select component, facet, case when rho > 0 then 'high' else 'low' end as side, greatest(abs(rho), 0.4::double) as score from c join z using (component, facet) join sd using (component, facet) where abs(rho) >= 0.15 and gap / (sd + 1e-10) >= 0.5)) where rank <= 3", "articles")
 def m19(spark, d):
     a = V.articles(spark, d).select("id", "lang")
     kinds = a.select(F.col("lang").alias("facet")).distinct()  # the values of a taxonomy
-    rows = scores(spark, d).join(a, "id").crossJoin(F.broadcast(kinds))
-    rows = rows.select(F.concat_ws("/", "component", "facet").alias("g"), "score", (F.col("lang") == F.col("facet")).cast("double").alias("f"))
-    return T.spearman(rows, group="g", x="score", y="f").filter("rho >= 0.02").select("g", F.greatest("rho", F.lit(0.4)).alias("score"))
+    counts = a.crossJoin(F.broadcast(kinds)).select("id", "facet", (F.col("lang") == F.col("facet")).cast("double").alias("count"))
+    return T.taxonomy_facets(scores(spark, d), counts, tails(spark, d), enrichment=0.5)
 
 
-@query("M20_facets")
+@query("M20_facets", f", {SCORES}, {TAILS}, {TFIDF}, {KEYS}, f as (select component, tail as side, term as facet, weight * 20 as score, row_number() over (partition by component, tail order by weight * 20 desc, term) as rank from keys where place <= 15 and weight * 20 >= 0.25) select component, side, facet, round(score, 6) as score, cast(rank as int) as rank, count(*) over (partition by component, side) < 2 as weak from f where rank <= 5", "articles")
 def m20(spark, d):
     rows = keywords(spark, d).select("component", F.col("tail").alias("side"), F.col("term").alias("facet"), (F.col("weight") * 20).alias("score"))
-    return T.facets(rows)
+    return T.facets(rows).withColumn("score", F.round("score", 6))
 
 
 COS = "list_inner_product(a.vector::double[], b.vector::double[])"
 
 
-@query("M22_label_similarity", f", v as (select id, vector, [label, label % 3, id % 4] as t from vectors where id % 25 = 0) select a.id as a, b.id as b, round(({COS} / (sqrt(list_inner_product(a.vector::double[], a.vector::double[])) * sqrt(list_inner_product(b.vector::double[], b.vector::double[])))) * 0.5 + len(list_intersect(a.t, b.t)) / len(list_distinct(a.t || b.t)) * 0.5, 6) as similarity from v a join v b on a.id < b.id", "vectors")
+MEANS = "m as (select label, list(x order by i) as vector from (select label, i, avg(x) as x from (select label, unnest(vector::double[]) as x, generate_subscripts(vector, 1) as i from vectors) group by 1, 2) group by 1), v as (select label::bigint as id, vector, [label::bigint, label::bigint % 3, label::bigint % 4] as t from m)"
+
+
+@query("M22_label_similarity", f", {MEANS} select a.id as a, b.id as b, round(({COS} / (sqrt(list_inner_product(a.vector::double[], a.vector::double[])) * sqrt(list_inner_product(b.vector::double[], b.vector::double[])))) * 0.5 + len(list_intersect(a.t, b.t)) / len(list_distinct(a.t || b.t)) * 0.5, 6) as similarity from v a join v b on a.id < b.id", "vectors")
 def m22(spark, d):
-    v = V.vectors(spark, d).filter("id % 25 = 0").select("id", "vector", F.array(F.col("label").cast("long"), (F.col("label") % 3).cast("long"), F.col("id") % 4).alias("t"))  # one row for each label candidate
+    """Labels by the mean of all their vectors: as many rows as there are labels meet."""
+    cells = V.vectors(spark, d).select(F.col("label").cast("long").alias("id"), F.posexplode("vector").alias("i", "x"))
+    means = cells.groupBy("id", "i").agg(F.avg(F.col("x").cast("double")).alias("x")).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda c: c["x"]).alias("vector"))
+    v = S.stored(means.withColumn("t", F.array(F.col("id"), F.col("id") % 3, F.col("id") % 4)), "labels")
     a, b = v.select(F.col("id").alias("a"), F.col("vector").alias("va"), F.col("t").alias("ta")), v.select(F.col("id").alias("b"), F.col("vector").alias("vb"), F.col("t").alias("tb"))
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(T.label_similarity(S.cosine(F.col("va"), F.col("vb")), F.col("ta"), F.col("tb")), 6).alias("similarity"))
 

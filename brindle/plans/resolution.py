@@ -11,12 +11,12 @@ from .registry import query
 DOT = "list_inner_product({0}::double[], {1}::double[])"
 VOCABULARY = ("the", "and", "of", "to", "in", "tion", "er", "on", "que", "de", "la", "der", "und", "le", "es", "with", "heed", "ing", "anan", "thre", "edon", "aux", "ung", "los")
 VOCAB_SQL = "[" + ", ".join(f"'{w}'" for w in VOCABULARY) + "]"
-SETS = rf"sets as (select id, list_sort(list_intersect({VOCAB_SQL}, list_distinct(regexp_split_to_array(lower(title), '[^\p{{L}}\p{{N}}_]+')))) as t from articles)"
+SETS = rf"sets as (select id, list_sort(list_intersect({VOCAB_SQL}, list_distinct(regexp_split_to_array(lower(title || ' ' || description), '[^\p{{L}}\p{{N}}_]+')))) as t from articles)"
 
 
 def items(spark, d):
     a = V.articles(spark, d)
-    return a.select(F.col("id").alias("pos"), F.col("title").alias("text"), F.when(F.col("id") % 9 != 0, F.date_format("date", "yyyy-MM")).alias("month"), (F.col("id") % 7).cast("double").alias("score"), "date")
+    return a.select(F.col("id").alias("pos"), F.concat_ws(" ", "title", "description").alias("text"), F.when(F.col("id") % 9 != 0, F.date_format("date", "yyyy-MM")).alias("month"), (F.col("id") % 7).cast("double").alias("score"), "date")
 
 
 @query("D1_keyword_similarity", f", {SETS} select a.id as a, b.id as b, len(list_intersect(a.t, b.t)) / len(list_distinct(a.t || b.t)) as similarity from sets a join sets b on a.id < b.id and len(a.t) > 0 and len(b.t) > 0 where len(list_intersect(a.t, b.t)) / len(list_distinct(a.t || b.t)) >= 0.7 and (a.t <> b.t or a.id = (select min(id) from sets c where c.t = b.t)) and (a.t = b.t or a.id = (select min(id) from sets c where c.t = a.t) and b.id = (select min(id) from sets c where c.t = b.t))", "articles")
@@ -68,7 +68,8 @@ def d5(spark, d):
 
 
 def all_pairs(spark, d, threshold):
-    return S.similar_pairs(vectors(spark, d), threshold=threshold, band=S.projection_band(F.col("vector"), threshold))
+    v = vectors(spark, d)
+    return S.similar_pairs(v, threshold=threshold, band=S.projection_band(F.col("vector"), threshold, S.largest_norm(v)))
 
 
 @query("D6_merge_edges", f"select a, b, round(dot * (1 - least(days / 365, 0.5)), 6) as weight from (select a.id as a, b.id as b, {DOT.format('a.vector', 'b.vector')} as dot, abs(a.date - b.date) as days from vectors a join vectors b on a.id < b.id) where dot > case when days > 365 then 0.35 else 0.3 end", "vectors")
@@ -85,7 +86,7 @@ def by_date(spark, d):
 @query("D6_merged_events")
 def d6(spark, d):
     v = by_date(spark, d)
-    pairs = S.similar_pairs(v, threshold=0.3, band=S.projection_band(F.col("vector"), 0.3))
+    pairs = S.similar_pairs(v, threshold=0.3, band=S.projection_band(F.col("vector"), 0.3, S.largest_norm(v)))
     e = S.stored(S.merge_weights(pairs, v, near=0.3, far=0.35), "merge")
     return S.merged_once(v, e, verdicts=verdicts(e))
 
@@ -158,14 +159,14 @@ def d13(spark, d):
     return V.cases(spark, d).select("name", "date").orderBy(F.desc("date"), "name").limit(25)
 
 
-HISTORY = "history as (select * from vectors where id % 10 = 0), queries as (select * from vectors where id % 10 = 5)"
+HISTORY = "history as (select * from vectors), queries as (select * from vectors where id % 10 = 5)"
 COSINE = f"{DOT.format('q.vector', 'h.vector')} / (sqrt({DOT.format('q.vector', 'q.vector')}) * sqrt({DOT.format('h.vector', 'h.vector')}))"
-TOP = f"top as (select query, id, label, similarity, rank from (select *, row_number() over (partition by query order by similarity desc, id) as rank from (select q.id as query, h.id, h.label, round({COSINE}, 6) as similarity from queries q, history h)) where rank <= 5)"
+TOP = f"top as (select query, id, label, similarity, rank from (select *, row_number() over (partition by query order by similarity desc, id) as rank from (select q.id as query, h.id, h.label, round({COSINE}, 6) as similarity from queries q join history h on q.id <> h.id)) where rank <= 5)"
 
 
 def history(spark, d):
     v = V.vectors(spark, d)
-    return v.filter("id % 10 = 5"), v.filter("id % 10 = 0")
+    return v.filter("id % 10 = 5"), v
 
 
 @query("D14_top_similar", f", {HISTORY}, {TOP} select query, id, similarity, cast(rank as int) as rank from top", "vectors")
@@ -179,7 +180,7 @@ def d15(spark, d):
     return S.default_prediction(q, S.top_similar(q, h), h)
 
 
-@query("D16_phrase_sections", f"select id, similarity from (select h.id, round(max({COSINE}), 6) as similarity from vectors h, (select * from vectors where id in (3, 5, 8)) q where h.id % 2 = 0 group by 1) where similarity > 0.1 order by similarity desc, id limit 10", "vectors")
+@query("D16_phrase_sections", f"select id, similarity from (select h.id, round(max({COSINE}), 6) as similarity from vectors h, (select * from vectors where id in (3, 5, 8)) q group by 1) where similarity > 0.1 order by similarity desc, id limit 10", "vectors")
 def d16(spark, d):
     v = V.vectors(spark, d)
-    return S.phrase_sections(v.filter("id % 2 = 0").select("id", "vector"), v.filter("id in (3, 5, 8)"), least=0.1)
+    return S.phrase_sections(v.select("id", "vector"), v.filter("id in (3, 5, 8)"), least=0.1)

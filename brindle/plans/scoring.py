@@ -80,28 +80,21 @@ def r6(spark, d):
     return V.cases(spark, d).select("name", R.severity_grade(F.col("stage"), F.col("probability")).alias("grade"))
 
 
-ACTIONS = "actions as (select name as id, year(date) as year, date, 'action ' || name as title, case when name % 3 = 0 then probability * 25 end as support from cases where name % 500 = 0)"
-
-
-def actions(spark, d, every=500):
-    c = V.cases(spark, d).filter(F.col("name") % every == 0)
+def actions(spark, d):
+    c = V.cases(spark, d)
     return c.select(F.col("name").alias("id"), F.year("date").alias("year"), "date", F.concat(F.lit("action "), F.col("name").cast("string")).alias("title"), F.when(F.col("name") % 3 == 0, F.col("probability") * 25).alias("support"))
 
 
-@query("R7_action_history", f", {ACTIONS}, j as (select c.name, a.*, row_number() over (partition by c.name order by a.date desc, a.id) as place from cases c join actions a on a.year between year(c.date) - 2 and year(c.date)) select name, count(*) as n_actions, string_agg(title, ' | ' order by place) filter (place <= 3) as digest, case when max(coalesce(support, 0)) >= 20 then 'partial' else 'non-responsive' end as responsiveness from j group by 1", "cases")
-def r7(spark, d):
-    return R.action_history(V.cases(spark, d).select("name", F.year("date").alias("year")), actions(spark, d))
-
-
 WHOLE = """actions as (select name as id, year(date) as year, date, 'action ' || name as title, case when name % 3 = 0 then probability * 25 end as support from cases), years as (select distinct year(date) as of from cases),
 j as (select of, a.*, row_number() over (partition by of order by a.date desc, a.id) as place from years join actions a on a.year between of - 2 and of),
 h as (select of, count(*) as n_actions, string_agg(title, ' | ' order by place) filter (place <= 3) as digest, case when max(coalesce(support, 0)) >= 20 then 'partial' else 'non-responsive' end as responsiveness from j group by 1)"""
 
 
+@query("R7_action_history", f", {WHOLE} select name, n_actions, digest, responsiveness from cases c join h on of = year(c.date)", "cases")
 @query("R7_action_history_whole", f", {WHOLE} select name, n_actions, digest, responsiveness from cases c join h on of = year(c.date)", "cases")
-def r7_whole(spark, d):
-    """Every order is an action; R7_action_history has those of every 500th order, as its SQL says."""
-    return R.action_history(V.cases(spark, d).select("name", F.year("date").alias("year")), actions(spark, d, every=1))
+def r7(spark, d):
+    """Every order is an action."""
+    return R.action_history(V.cases(spark, d).select("name", F.year("date").alias("year")), actions(spark, d))
 
 
 @query("R8_actual_action", "select name, case when year(date) % 3 = 0 then 'history ' || year(date) when year(date) % 3 = 1 then 'activism ' || year(date) when year(date) >= 2000 and name % 2 = 0 then 'stored ' || name end as actual from cases", "cases")
@@ -164,21 +157,21 @@ def r13(spark, d):
 STRIKE = 33.0
 
 
-@query("R14_remuneration_strikes", f", best as (select year, arg_max(against_pct, row(topic = '3-MEDIUM', topic)) as p from votes where year <> 1998 group by 1) select year, round(p, 4) as against_pct, case when p < {STRIKE} then 'none' when lag(year) over (order by year) = year - 1 and lag(p) over (order by year) >= {STRIKE} then 'second' else 'first' end as strike from best", "votes")
+@query("R14_remuneration_strikes", f", best as (select year, arg_max(against_pct, row(topic = '3-MEDIUM', topic)) as p from votes group by 1) select year, round(p, 4) as against_pct, case when p < {STRIKE} then 'none' when lag(year) over (order by year) = year - 1 and lag(p) over (order by year) >= {STRIKE} then 'second' else 'first' end as strike from best", "votes")
 def r14(spark, d):
-    v = V.votes(spark, d).filter("year <> 1998").select("year", F.when(F.col("topic") == "3-MEDIUM", "results").otherwise("notice").alias("kind"), F.col("topic").alias("place"), "against_pct")
+    v = V.votes(spark, d).select("year", F.when(F.col("topic") == "3-MEDIUM", "results").otherwise("notice").alias("kind"), F.col("topic").alias("place"), "against_pct")
     return R.remuneration_strikes(v, strike=STRIKE).withColumn("against_pct", F.round("against_pct", 4))
 
 
-@query("R15_protest_votes", ", y as (select year, count(*) as resolutions, count(*) filter (against_pct > 33.5) as contentious, max(against_pct) as top from votes where year <> 1998 group by 1) select year, resolutions, contentious, round(top, 4) as top, case when top < 34 then 'none' when lag(top) over (order by year) >= 34 then 'second' else 'first' end as strike from y", "votes")
+@query("R15_protest_votes", ", y as (select year, count(*) as resolutions, count(*) filter (against_pct > 33.5) as contentious, max(against_pct) as top from votes group by 1) select year, resolutions, contentious, round(top, 4) as top, case when top < 34 then 'none' when lag(top) over (order by year) >= 34 then 'second' else 'first' end as strike from y", "votes")
 def r15(spark, d):
-    return R.protest_votes(V.votes(spark, d).filter("year <> 1998"), strike=34.0, contentious=33.5).withColumn("top", F.round("top", 4))
+    return R.protest_votes(V.votes(spark, d), strike=34.0, contentious=33.5).withColumn("top", F.round("top", 4))
 
 
 @query("R16_merged_resolutions", """select doc_id, arg_min(score, run) filter (score <> 0) as score, arg_min(confidence, run) filter (confidence <> 0) as confidence, arg_min(topic, run) filter (topic <> '') as topic, list(source order by s) as sources from
-(select doc_id, score, confidence, topic, run, null as source, null as s from runs where run <= 3 union all select doc_id, null, null, null, null, label, run from (select doc_id, label, min(run) as run from runs where run <= 3 group by 1, 2)) group by 1""".replace("list(source order by s)", "list(source order by s) filter (source is not null)"), "runs")
+(select doc_id, score, confidence, topic, run, null as source, null as s from runs union all select doc_id, null, null, null, null, label, run from (select doc_id, label, min(run) as run from runs group by 1, 2)) group by 1""".replace("list(source order by s)", "list(source order by s) filter (source is not null)"), "runs")
 def r16(spark, d):
-    rows = V.runs(spark, d).filter("run <= 3").withColumn("source", F.col("label"))
+    rows = V.runs(spark, d).withColumn("source", F.col("label"))
     return R.merged_resolutions(rows, "doc_id", priority="run", fields=("score", "confidence", "topic"))
 
 

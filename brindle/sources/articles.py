@@ -10,14 +10,28 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors see, below ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """A new folder that driver and executors see, below ``spark.checkpoint.dir``; where that is unset, a session on one machine has a temporary one and any other is refused."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = context._brindle_folder = getattr(context, "_brindle_folder", None) or "file://" + tempfile.mkdtemp(prefix="brindle-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The frame written to the shared folder and read again."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def few(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """The frame, of a few short columns, marked for a broadcast if it has ``most`` rows at most."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def scan_articles(spark: SparkSession, path: str, schema: str, *, skip_prefix: str = "scrape_", glob: str = "*.json", multi_line: bool = False) -> DataFrame:
     """Articles of a tree of JSON files that have key issues, without the files whose name begins with ``skip_prefix``."""
     rows = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("multiLine", multi_line).json(path)

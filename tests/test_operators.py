@@ -223,3 +223,65 @@ def test_action_history_of_a_large_year(spark):
     events = spark.range(n).select(F.col("id").alias("name"), F.lit(2003).alias("year"))
     got = R.action_history(events, actions)
     assert got.count() == n and got.drop("name").distinct().collect() == [(n, "t0 | t1 | t2", "partial")]
+
+
+def test_positions_of_wide_rows(spark):
+    """A million wide rows over many partitions, written out: each place from 0 on stands once, at its row."""
+    from brindle.operators.quality import with_position
+
+    n = 1_000_000
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    try:
+        rows = spark.range(n).select((F.col("id") * 7919 % n).alias("k"), F.repeat(F.md5(F.col("id").cast("string")), 6).alias("wide"))
+        out = S.stored(with_position(rows, "k"), "positions")
+        assert out.filter("position <> k").count() == 0 and out.select("position").distinct().count() == n
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def test_quantiles_and_ranks_of_ties_and_nulls(spark):
+    import numpy as np
+
+    from brindle.operators.quality import quantiles
+    from brindle.operators.topics import average_ranks
+
+    values = [3.0, 1.0, 1.0, 7.0, None, 2.5, 2.5, 2.5]
+    df = spark.createDataFrame([(v, "g") for v in values], "n double, g string")
+    known = [v for v in values if v is not None]
+    assert quantiles(df, "n", (0.0, 0.1, 0.5, 0.9, 1.0)) == pytest.approx([float(np.quantile(known, q)) for q in (0.0, 0.1, 0.5, 0.9, 1.0)])
+    assert quantiles(df.filter("n > 9"), "n", (0.5,)) == [None]
+    ranks = {r["n"]: r["r"] for r in average_ranks(df.filter("n is not null"), "n", "g", "r").collect()}
+    assert ranks == {1.0: 1.5, 2.5: 4.0, 3.0: 6.0, 7.0: 7.0}
+
+
+def test_most_similar_against_all(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(S, "BLOCK", 4)  # several blocks on both sides
+    x = np.random.default_rng(3).normal(size=(60, 5)).round(3)
+    x[7] = 0
+    x[11] = x[12]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(60, None)], "id long, vector array<double>")
+    rows = S.top_similar(df.filter("id < 15"), df, k=3).collect()
+    with np.errstate(invalid="ignore"):
+        c = (x @ x.T) / np.linalg.norm(x, axis=1)[:, None] / np.linalg.norm(x, axis=1)[None, :]
+    for q in range(15):
+        order = sorted((i for i in range(60) if i not in (q, 7)), key=lambda i: (-round(c[q, i], 6), i))[:3] if q != 7 else []
+        assert [r["id"] for r in sorted(rows, key=lambda r: r["rank"]) if r["query"] == q] == order
+
+
+def test_pairs_of_long_vectors(spark):
+    df = spark.createDataFrame([(1, [5.0, 0.0]), (2, [6.0, 0.0]), (3, [0.0, 1.0])], "pos long, vector array<double>")
+    band = S.projection_band(F.col("vector"), 0.9, S.largest_norm(df))
+    assert [(r["a"], r["b"], r["dot"]) for r in S.similar_pairs(df, threshold=0.9, band=band).collect()] == [(1, 2, 30.0)]
+
+
+def test_factors_of_large_ids(spark):
+    from brindle.operators.models import factor_topics
+
+    docs = spark.createDataFrame([((1 << 40) + i, "river stone water" if i % 2 else "market price share") for i in range(12)], "id long, text string")
+    out = factor_topics(docs, key="id", text="text", k=2)
+    assert out.select("id").distinct().count() == 12 and out.agg(F.min("id")).first()[0] == 1 << 40
