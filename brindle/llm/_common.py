@@ -116,6 +116,11 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def under_plain_names(df: DataFrame) -> DataFrame:
+    """The frame with columns c0, c1, …, for functions that don't take names with dots."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def wider(df: DataFrame, **more: str) -> T.StructType:
     """The frame's schema with further columns."""
     return T.StructType([*df.schema.fields, *[T.StructField(k, T._parse_datatype_string(v)) for k, v in more.items()]])

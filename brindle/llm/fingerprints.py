@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import free_name, named, partitions, wider, written
+from ._common import free_name, named, partitions, under_plain_names, wider, written
 from ._shingles import mixed, shingle_hashes, word_hashes
 
 WIDTH, BINS, BITS = 5, 256, 4
@@ -100,7 +100,8 @@ def with_fingerprint(docs: DataFrame, *, width: int = WIDTH, text_col: str = "te
             found = _all_prints(batch.column(at).to_pylist(), width)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([p.bits.tobytes().hex() for p in found])], [*batch.schema.names, out])
 
-    return docs.mapInArrow(run, wider(docs, **{out: "string"}))
+    plain = under_plain_names(docs)
+    return plain.mapInArrow(run, wider(plain, **{out: "string"})).toDF(*docs.columns, out)
 
 
 def _by_bytes(texts: list[str], most: int) -> Iterator[tuple[int, int]]:

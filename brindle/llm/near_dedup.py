@@ -38,8 +38,8 @@ TREES, DEPTH = 32, 5
 VALUES = TREES * DEPTH
 #: Share of equal signature values from which two documents are a likely link: 4.7 standard deviations below 0.8.
 LIKELY = 0.65
-#: Documents that are compared with each other at once.
-BLOCK = 256
+#: Documents that are compared with each other at once, and about the most bytes of shingles that they have.
+BLOCK, BLOCK_BYTES = 256, 16 << 20
 
 _RANDOM = np.random.default_rng(20240229)
 _FACTOR = _RANDOM.integers(0, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -139,6 +139,11 @@ def _cut_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done(len(ids))
 
 
+def _blocks(members: Column, size: Column) -> Column:
+    """Into how many blocks members of so many bytes together are dealt."""
+    return F.greatest(F.ceil(members / BLOCK), F.ceil(size / BLOCK_BYTES), F.lit(1))
+
+
 def _within(rows: DataFrame, test: Callable, blocks: Column) -> DataFrame:
     """Links (a, b) between members of a group that fall into the same block; rows: (group, doc_id, payload)."""
 
@@ -147,7 +152,7 @@ def _within(rows: DataFrame, test: Callable, blocks: Column) -> DataFrame:
         links = _star(pdf["doc_id"].tolist(), test(pdf["payload"].tolist(), pdf["payload"].tolist())) if len(pdf) > 1 else []
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-    return rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks)).groupBy("group", "block").applyInPandas(run, "a long, b long")
+    return rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks)).select("group", "block", "doc_id", "payload").groupBy("group", "block").applyInPandas(run, "a long, b long")
 
 
 def _rest(rows: DataFrame, labels: DataFrame, test: Callable) -> DataFrame:
@@ -158,13 +163,13 @@ def _rest(rows: DataFrame, labels: DataFrame, test: Callable) -> DataFrame:
     """
     rows = rows.join(labels, rows["doc_id"] == labels["node"], "left").select("group", "doc_id", "payload", F.coalesce("component", "doc_id").alias("component"))
     rows = written(rows, "rest")
-    sizes = rows.groupBy("group", "component").agg(F.count("*").alias("n"))
-    groups = sizes.groupBy("group").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("members"), F.max("n").alias("most"))
-    groups = groups.filter("parts > 1").select("group", "largest", "members", (F.col("members") - F.col("most")).alias("others"))
+    sizes = rows.groupBy("group", "component").agg(F.count("*").alias("n"), F.sum(F.octet_length("payload")).alias("bytes"))
+    groups = sizes.groupBy("group").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("n", "component")).alias("largest"), F.max_by(F.struct("n", "bytes"), F.struct("n", "component")).alias("most"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    groups = groups.filter("parts > 1").select("group", "largest", _blocks(F.col("n"), F.col("bytes")).alias("blocks"), _blocks(F.col("n") - F.col("most.n"), F.col("bytes") - F.col("most.bytes")).alias("parts"))
     rows = rows.join(groups, "group")
     packed = F.collect_list(F.struct("doc_id", "component", "payload"))
-    all_blocks = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("members") / BLOCK))).groupBy("group", "block").agg(packed.alias("right"))
-    others = rows.filter("component <> largest").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("others") / BLOCK))).groupBy("group", "part").agg(packed.alias("left"))
+    all_blocks = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).groupBy("group", "block").agg(packed.alias("right"))
+    others = rows.filter("component <> largest").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).groupBy("group", "part").agg(packed.alias("left"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,9 +233,11 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
     texts = docs.join(few(family), "doc_id").select("group", "size", "doc_id", "text")
     full = written(texts.mapInArrow(full_sets, "group long, size long, doc_id long, payload binary"), "sets")
     test = _overlapping(percent)
-    links = written(_within(full, test, F.ceil(F.col("size") / BLOCK)), "links")
+    weights = full.groupBy("group").agg(F.sum(F.octet_length("payload")).alias("bytes"))
+    full = full.join(few(weights), "group")
+    links = written(_within(full, test, _blocks(F.col("size"), F.col("bytes"))), "links")
     labels = components(links)
-    large = full.filter(F.col("size") > BLOCK).select("group", "doc_id", "payload")
+    large = full.filter(_blocks(F.col("size"), F.col("bytes")) > 1).select("group", "doc_id", "payload")
     if large.limit(1).count():
         more = _rest(large, labels, test)
         labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import column, written
+from ._common import column, under_plain_names, written
 from ._shingles import chunks, term_hashes
 
 SLOTS, PREFIXES, DIM, FILTERS, WIDTHS = 1 << 17, (4, 6), 12, 8, (1, 2, 3)
@@ -282,4 +282,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
             cut = np.array([cuts.get(x, cuts[None]) for x in langs])
             yield batch.filter(pa.array(_scored(net, batch.column(at_text)) < cut))
 
-    return docs.mapInArrow(run, docs.schema)
+    return under_plain_names(docs).mapInArrow(run, under_plain_names(docs).schema).toDF(*docs.columns)

@@ -6,12 +6,14 @@ allow, the other of those that rules block; all of them count, except one in CAL
 is the difference of its log-likelihoods divided by its length.  The threshold is the one that tells the held-back URLs
 apart best, by the mean of the two classes' shares judged rightly.
 
-Counts are kept in tables of SLOTS hashed places, so a model has a fixed size whatever the corpus; tasks send their
-counts, never URLs.
-
-Cases: a null url, or one without ``://``, has an empty host and path and fits no rule; an empty url has the score 0;
-where either kind of URL was never seen, every URL without a rule is allowed; repeated rows count each time; no rows give
-no rows; further columns are not read.
+The model is a table with a row for each context and each context with its next byte that occurs, known by a hash of 64
+bits; it grows with the corpus and is never brought together in one place.  URLs are put into chunks of a bounded number of
+bytes.  A chunk asks for the counts of the distinct contexts in it, once each, by a join, and is scored with what comes
+back.  So a context that every URL has is asked for once a chunk.
+
+Cases: a null url, or one without ``://``, has an empty host and path and fits no rule; a null or empty url has the score 0; a
+very long url is a chunk of its own; where either kind of URL was never seen, every URL without a rule is allowed; repeated
+rows count each time, and so do rows without an id or with a shared one; no rows give no rows; further columns are not read.
 """
 
 from __future__ import annotations
@@ -20,15 +22,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import named, wider
+from ._common import column, written
 from ._shingles import mixed, text_bytes
 
-ORDER, SLOTS, STRENGTH, CALIBRATE = 5, 1 << 18, 2.0, 5
-#: The threshold is searched among scores in steps of 1 / STEPS, from -LIMIT to LIMIT.
-LIMIT, STEPS = 4, 256
+ORDER, STRENGTH, CALIBRATE = 5, 2.0, 5
+#: URLs of a chunk, and their bytes, of which each has some ORDER + 1 contexts.
+CHUNK_URLS, CHUNK_BYTES = 4_096, 1 << 18
+#: Steps between the least and the greatest held-back score in which the threshold is searched.
+STEPS = 4_096
 
 #: (verdict, host, path), the rules of the query.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -54,8 +59,8 @@ def fitting_rule(host: Column, path: Column, rules: tuple[tuple[str, str, str],
     return F.array_max(F.array(*fits)) if fits else F.lit(None).cast("struct<length: int, rule: string, verdict: string>")
 
 
-def _places(urls: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each byte of each URL and its end: the slots of (context, byte) and of (context) for each order, and the URL's row."""
+def _contexts(urls: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each byte of each URL and its end: the keys of (context, byte) and of (context) for each order, and the URL's row."""
     raw, offsets = text_bytes(urls)
     sizes = np.diff(offsets)
     row = np.repeat(np.arange(len(sizes)), sizes + 1)
@@ -72,78 +77,118 @@ def _places(urls: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             before = np.ones(len(row), np.uint64)  # before the first byte
             before[k:] = np.where(at[k:] >= k, signs[:-k], 1)
             context = mixed(context * np.uint64(257) + before + np.uint64(k))
-        joint.append((mixed(context ^ signs * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(SLOTS)).astype(np.int64))
-        alone.append((mixed(context + np.uint64(k)) % np.uint64(SLOTS)).astype(np.int64))
+        alone.append(mixed(context + np.uint64(k)).astype(np.int64))
+        joint.append(mixed(context ^ (signs + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)).astype(np.int64))
     return np.stack(joint), np.stack(alone), row
 
 
-def learn(urls: DataFrame) -> np.ndarray:
-    """Counts (2 classes, 2 tables, SLOTS) from (url, allowed boolean)."""
+def _in_chunks(rows: DataFrame) -> DataFrame:
+    """(chunk, place, url, allowed, held): the rows with the number of their chunk and their place in it, in the order of chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, 2, SLOTS), np.int64)
+        chunk, n, size = TaskContext.get().partitionId() << 40, 0, 0
         for batch in batches:
-            joint, alone, row = _places(batch.column(0))
-            kind = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)[row] if batch.num_rows else np.zeros(0, bool)
-            for c in (0, 1):
-                counts[c, 0] += np.bincount(joint[:, kind == c].ravel(), minlength=SLOTS)
-                counts[c, 1] += np.bincount(alone[:, kind == c].ravel(), minlength=SLOTS)
-        flat = counts.ravel()
-        found = np.flatnonzero(flat)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(flat[found])], ["slot", "n"])
-
-    total = np.zeros(4 * SLOTS)
-    rows = urls.select("url", "allowed").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    for part in rows.toArrow().to_batches():  # as many rows as the tables have slots at most
-        total[part.column(0).to_numpy()] = part.column(1).to_numpy()
-    return total.reshape(2, 2, SLOTS)
-
-
-def _likelihoods(counts: np.ndarray, joint: np.ndarray, alone: np.ndarray) -> np.ndarray:
+            numbers, places = [], []
+            for m in np.diff(text_bytes(batch.column(0))[1]).tolist():
+                if n and (n == CHUNK_URLS or size + m > CHUNK_BYTES):
+                    chunk, n, size = chunk + 1, 0, 0
+                numbers.append(chunk)
+                places.append(n)
+                n, size = n + 1, size + m
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(places, pa.int64()), *batch.columns], ["chunk", "place", *batch.schema.names])
+
+    return rows.mapInArrow(run, "chunk long, place long, url string, allowed boolean, held boolean, page_id long, host string, path string, rule string, verdict string")
+
+
+def learn(urls: DataFrame) -> DataFrame:
+    """(key, allowed, blocked): how often each context, and each context with its next byte, occurs in (url, allowed boolean)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, CHUNK_URLS):
+                part = batch.slice(first, CHUNK_URLS)
+                joint, alone, row = _contexts(part.column(0))
+                kind = part.column(1).to_numpy(zero_copy_only=False).astype(bool)[row]
+                keys, place = np.unique(np.concatenate([joint, alone]), return_inverse=True)
+                kinds = np.tile(kind, (2 * (ORDER + 1), 1)).ravel()
+                counts = [np.bincount(place.ravel()[kinds == k], minlength=len(keys)) for k in (True, False)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *map(pa.array, counts)], ["key", "allowed", "blocked"])
+
+    return urls.select("url", "allowed").mapInArrow(run, "key long, allowed long, blocked long").groupBy("key").agg(F.sum("allowed").alias("allowed"), F.sum("blocked").alias("blocked"))
+
+
+def likelihoods(counts: np.ndarray, joint: np.ndarray, alone: np.ndarray) -> np.ndarray:
+    """The log-probability of each sign, from the counts of a model at (context, byte) and at (context) of each order."""
     p = np.full(joint.shape[1], 1 / 257)
     for k in range(ORDER + 1):
-        p = (counts[0][joint[k]] + STRENGTH * p) / (counts[1][alone[k]] + STRENGTH)
-    return np.log(np.minimum(p, 1.0))
+        p = (counts[joint[k]] + STRENGTH * p) / (counts[alone[k]] + STRENGTH)
+    return np.log(p)
 
 
-def with_score(pages: DataFrame, model: np.ndarray, url_col: str = "url") -> DataFrame:
-    """The rows with ``score``: the log-likelihood difference of the allowed and the blocked model for each sign of the URL."""
-    shared = pages.sparkSession.sparkContext.broadcast(model)
-    at = pages.columns.index(url_col)
+def with_score(chunked: DataFrame, model: DataFrame) -> DataFrame:
+    """(chunk, place, score): the log-likelihood difference of the allowed and the blocked model for each sign of the URL."""
+    packed = chunked.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("place", F.coalesce("url", F.lit("")).alias("url")))).alias("urls"))  # CHUNK_BYTES at most
+    packed = written(packed, "url-chunks")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                joint, alone, _ = _contexts(batch.column(1)[k].values.field("url"))
+                keys = np.unique(np.concatenate([joint, alone]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), batch.column(0)[k].as_py())), pa.array(keys)], ["chunk", "key"])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            joint, alone, row = _places(batch.column(at))
-            gain = _likelihoods(shared.value[1], joint, alone) - _likelihoods(shared.value[0], joint, alone)
-            n = np.bincount(row, minlength=batch.num_rows)
-            score = np.where(n > 1, np.bincount(row, gain, minlength=batch.num_rows) / np.maximum(n, 1), 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, "score"])
+            for k in range(batch.num_rows):
+                urls, known = batch.column(1)[k].values, batch.column(2)[k].values
+                joint, alone, row = _contexts(urls.field("url"))
+                keys = known.field("key").to_numpy() if known is not None else np.zeros(0, np.int64)
+                order = np.argsort(keys)
+                keys, n = keys[order], len(keys)
 
-    return pages.mapInArrow(run, wider(pages, score="double"))
+                def place(x):
+                    at = np.minimum(np.searchsorted(keys, x), max(n - 1, 0))
+                    return np.where(keys[at] == x, at, n) if n else np.zeros(x.shape, np.int64)
+
+                joint, alone = place(joint), place(alone)
+                models = [np.append(known.field(c).to_numpy()[order] if n else np.zeros(0), 0.0) for c in ("allowed", "blocked")]
+                gain = likelihoods(models[0], joint, alone) - likelihoods(models[1], joint, alone)
+                size = np.bincount(row, minlength=len(urls))
+                scores = np.where(size > 1, np.bincount(row, gain, minlength=len(urls)) / np.maximum(size, 1), 0.0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(urls), batch.column(0)[k].as_py())), urls.field("place"), pa.array(scores)], ["chunk", "place", "score"])
+
+    asked = packed.mapInArrow(needs, "chunk long, key long").join(model, "key")
+    answers = asked.groupBy("chunk").agg(F.collect_list(F.struct("key", "allowed", "blocked")).alias("known"))  # the distinct contexts of a chunk
+    return packed.join(answers, "chunk", "left").select("chunk", "urls", "known").mapInArrow(score, "chunk long, place long, score double")
 
 
 def threshold(scored: DataFrame) -> float:
     """The score from which on the URLs of (score, allowed) are judged best; minus infinity without URLs of both kinds."""
-    step = F.floor(F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), "score")) * STEPS).cast("int")
-    rows = scored.groupBy(step.alias("step")).agg(F.count_if("allowed").alias("good"), F.count_if(~F.col("allowed")).alias("bad")).collect()
-    good, bad = np.zeros((2, 2 * LIMIT * STEPS + 1))
-    for r in rows:
-        good[r["step"] + LIMIT * STEPS], bad[r["step"] + LIMIT * STEPS] = r["good"], r["bad"]
-    if not good.sum() or not bad.sum():
+    ends = scored.agg(F.min("score").alias("low"), F.max("score").alias("high"), F.count_if("allowed").alias("good"), F.count_if(~F.col("allowed")).alias("bad")).first()
+    if not ends["good"] or not ends["bad"]:
         return float("-inf")
+    width = (ends["high"] - ends["low"]) / STEPS
+    step = F.floor((F.col("score") - ends["low"]) / width).cast("int") if width > 0 else F.lit(0)
+    rows = scored.groupBy(step.alias("step")).agg(F.count_if("allowed").alias("good"), F.count_if(~F.col("allowed")).alias("bad")).collect()  # STEPS + 1 rows
+    good, bad = np.zeros((2, STEPS + 1))
+    for r in rows:
+        good[r["step"]], bad[r["step"]] = r["good"], r["bad"]
     right = good[::-1].cumsum()[::-1] / good.sum() + (bad.cumsum() - bad) / bad.sum()
     best = np.flatnonzero(right >= right.max() - 1e-12)
-    return (float(best[len(best) // 2]) - LIMIT * STEPS) / STEPS
+    return ends["low"] + float(best[len(best) // 2]) * width
 
 
 def judge(pages: DataFrame, *, rules: tuple[tuple[str, str, str], ...] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict, score): the rule that decides, or null, and ``allow`` or ``block``."""
-    rows = named(pages, id_col, url_col).select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
+    rows = pages.select(column(pages, id_col).cast("long").alias("page_id"), column(pages, url_col).alias("url"))
     rows = rows.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     rows = rows.withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules))
-    ruled = rows.filter("fit is not null").select("url", (F.col("fit.verdict") == "allow").alias("allowed"), (F.crc32("url") % CALIBRATE == 0).alias("held"))
-    model = learn(ruled.filter("not held"))
-    least = threshold(with_score(ruled.filter("held"), model)) if model[:, 1].any(axis=1).all() else float("-inf")
-    scored = with_score(rows.select("page_id", "url", "host", "path", "fit.rule", "fit.verdict"), model)
+    rows = rows.select("url", (F.col("fit.verdict") == "allow").alias("allowed"), (F.crc32("url") % CALIBRATE == 0).alias("held"), "page_id", "host", "path", F.col("fit.rule").alias("rule"), F.col("fit.verdict").alias("verdict"))
+    rows = written(_in_chunks(rows), "urls")
+    model = written(learn(rows.filter("allowed is not null and not held")), "url-model")
+    scores = written(with_score(rows.select("chunk", "place", "url"), model), "url-scores")
+    rows = rows.drop("url").join(scores, ["chunk", "place"])
+    both = model.agg(F.max("allowed").alias("a"), F.max("blocked").alias("b")).first()
+    least = threshold(rows.filter("held and allowed is not null").select("score", "allowed")) if both["a"] and both["b"] else float("-inf")
     verdict = F.coalesce("verdict", F.when(F.col("score") >= F.lit(least), "allow").otherwise("block"))
-    return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
+    return rows.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")

@@ -142,6 +142,20 @@ def test_components_of_a_path_a_star_and_nothing(spark):
     assert _components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("order", ["ascending", "mixed"])
+def test_components_of_a_long_path_in_few_rounds(spark, monkeypatch, order):
+    n = 10_000
+    names = list(range(n))
+    if order == "mixed":
+        random.Random(3).shuffle(names)
+    steps, kept = [], _components.written
+    monkeypatch.setattr(_components, "written", lambda df, name: steps.append(name) or kept(df, name))
+    edges = spark.createDataFrame([(names[i], names[i + 1]) for i in range(n - 1)], "a long, b long").repartition(4)
+    found = _components.components(edges)
+    assert found.count() == n and found.agg(F.max("component")).first()[0] == 0
+    assert steps.count("jumped") <= 20 or order == "mixed" and steps.count("moved") <= 20
+
+
 def water_fill(sizes, weights, share, epochs):
     target, left, open_ = dict.fromkeys(sizes, 0.0), share * sum(sizes.values()), set(sizes)
     while open_ and left > 1e-9:
@@ -232,6 +246,63 @@ def test_quality_of_odd_texts_and_without_labels(odd_docs, no_docs, spark):
     assert quality.resampling(no_docs, none).count() == 0
 
 
+def test_quality_as_brute_force(spark):
+    """Weights, keys and the draw from plain counts of hashed n-grams."""
+    docs, labels = labelled(spark, 120)
+    rows, good = docs.collect(), {r.doc_id for r in labels.filter("quality = 1").collect()}
+    mask = (1 << 64) - 1
+
+    def mix(h):
+        for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            h = (h ^ h >> 33) * factor & mask
+        return h ^ h >> 33
+
+    def slots(text):
+        raw, words = text.encode(), WORD.findall(text.translate(LOWER))
+        for n in (1, 2, 3):
+            for i in range(len(raw) - n + 1):
+                h = 0
+                for c in raw[i : i + n]:
+                    h = (h * 0x100000001B3 + c + 1) & mask
+                yield 0, mix(h + n) % quality.SLOTS
+        yield from ((1, int(a == b)) for a, b in zip(words, words[1:]))
+
+    def model(texts):
+        counts = [np.full(quality.SLOTS, 0.5), np.full(2, 0.5)]
+        for t in texts:
+            for kind, slot in slots(t):
+                counts[kind][slot] += 1
+        return [np.log(c / c.sum()) for c in counts]
+
+    raw, target = model([r.text for r in rows]), model([r.text for r in rows if r.doc_id in good])
+    want = {r.doc_id: np.mean([target[k][x] - raw[k][x] for k, x in slots(r.text)]) for r in rows}
+    got = quality.resampling(docs, labels).collect()
+    assert all(abs(r.weight - want[r.doc_id]) < 1e-5 for r in got)
+    k = sum(r.kept for r in got)
+    assert 0 < k < 120 and {r.doc_id for r in got if r.kept} == {r.doc_id for r in sorted(got, key=lambda r: -r.key)[:k]}
+
+
+def test_resampled_and_without_toxic_judge_rows_with_repeated_and_missing_ids(spark, no_docs):
+    docs, labels = labelled(spark, 300)
+    none, shared = (docs.withColumn("new", F.lit(x).cast("long")) for x in (None, 5000))
+    more = none.unionByName(shared).drop("doc_id").withColumnRenamed("new", "doc_id").select(docs.columns)
+    both = docs.union(more).withColumn("a.b", F.lit(1)).withColumn("_row", F.lit("x")).withColumn("_gone", F.lit(0))
+    junk, toxic = r"[$#!%]{3}", "scum|moron"
+    for kept, bad in ((quality.resampled(both, labels), junk), (toxicity.without_toxic(both, labels), toxic)):
+        assert kept.columns == both.columns
+        rows = kept.collect()
+        assert not [r for r in rows if re.search(bad, r.text)] and len(rows) == 3 * docs.filter(~F.col("text").rlike(bad)).count()
+    assert quality.resampled(no_docs, labels).count() == 0 and toxicity.without_toxic(no_docs, labels).count() == 0
+
+
+def test_mixed_and_deduplicated_with_clashing_names(spark, no_docs):
+    rows = [(i, f"w{i} a b c d e", "s", 1, "x", 2.0) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _copy int, `a.b` string, _row double")
+    assert mixing.mixed(docs).columns == docs.columns and mixing.mixed(docs).count() == 60
+    assert near_dedup.deduplicated(docs).columns == docs.columns and near_dedup.deduplicated(docs).count() == 40
+    assert mixing.mixed(no_docs).count() == 0 and near_dedup.deduplicated(no_docs).count() == 0
+
+
 def test_gumbel_draw_takes_k(spark):
     rows = spark.createDataFrame([(float(i % 97), 1.0 if i % 3 else -1.0) for i in range(1000)], "key double, weight double")
     least = quality._draw(rows, 0.0)
@@ -310,6 +381,48 @@ def test_rules(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [3, 4096])
+def test_url_scores_as_brute_force(spark, monkeypatch, chunk):
+    """Scores and verdicts from plain counts of contexts, with repeated rows, missing ids and a very long url."""
+    monkeypatch.setattr(url_filter, "CHUNK_URLS", chunk)
+    urls = [f"http://{h}/{p}" for h in ("a.good", "b.good", "x.bad", "y.bad", "q.net", "z.net") for p in ("", "article/1", "casino", "article/22", "ü")]
+    urls += ["http://a.good/" + "long/" * 2_000, "http://q.net/" + "long/" * 2_000, "http://x.bad/casino", "http://x.bad/casino", None, ""]
+    rules = (("allow", "good", "/"), ("block", "bad", "/"))
+    pages = spark.createDataFrame([(i if i % 7 else None, u) for i, u in enumerate(urls)], "page_id long, url string").repartition(3)
+
+    def signs(url):
+        s = [1] * url_filter.ORDER + [c + 2 for c in (url or "").encode()] + [0]
+        return [(tuple(s[i - k : i]), s[i]) for i in range(url_filter.ORDER, len(s)) for k in range(url_filter.ORDER + 1)]
+
+    counts = [{}, {}]
+    for u in urls:
+        import zlib
+
+        host = (u or "").split("://")[-1].split("/")[0]
+        kind = 0 if host.endswith(".good") else 1 if host.endswith(".bad") else None
+        if kind is not None and zlib.crc32(u.encode()) % url_filter.CALIBRATE:
+            for context, sign in signs(u):
+                for key in ((context, sign), (context,)):
+                    counts[kind][key] = counts[kind].get(key, 0) + 1
+
+    def score(url):
+        logs, n = [0.0, 0.0], len((url or "").encode()) + 1
+        for kind in (0, 1):
+            p = 1 / 257
+            for context, sign in signs(url):
+                p = 1 / 257 if not context else p
+                p = (counts[kind].get((context, sign), 0) + url_filter.STRENGTH * p) / (counts[kind].get((context,), 0) + url_filter.STRENGTH)
+                if len(context) == url_filter.ORDER:
+                    logs[kind] += np.log(p)
+        return (logs[0] - logs[1]) / n if url else 0.0
+
+    rows = url_filter.judge(pages, rules=rules).collect()
+    assert len(rows) == len(urls)
+    assert sorted(r.score for r in rows) == pytest.approx(sorted(score(u) for u in urls), abs=1e-9)
+    free = [r for r in rows if r.rule is None]
+    assert max([r.score for r in free if r.verdict == "block"], default=-9) < min([r.score for r in free if r.verdict == "allow"], default=9)
+
+
 def test_language_models_tell_urls_apart(spark):
     rng = random.Random(5)
     bad = lambda: f"http://x{rng.randrange(99)}.net/casino-{rng.randrange(999)}"
@@ -321,7 +434,10 @@ def test_language_models_tell_urls_apart(spark):
     assert np.mean([(r.verdict == "block") == (r.page_id < 500) for r in rows]) > 0.95
 
 
-def test_neighbours(spark):
+@pytest.mark.parametrize("few_rows", [100, 4096])  # with an index, and in one bucket
+def test_neighbours(spark, monkeypatch, few_rows):
+    monkeypatch.setattr(neighbours, "FEW_ROWS", few_rows)
+    monkeypatch.setattr(neighbours, "ROWS_IN_BUCKET", 24)
     rng = np.random.default_rng(6)
     x = rng.normal(size=(1500, 16)) * rng.uniform(0.5, 2, size=(1500, 1))
     x[100:140] = x[100]  # ties
