@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import column, under_plain_names, written
@@ -198,9 +198,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, where: Column | None = None, id_c
     known = docs.select(column(docs, id_col).cast("long").alias("id"), column(docs, text_col).alias("text"), lang.alias("lang")).join(sample, F.col("id") == F.col("_labelled"))
     found = written(known.select("text", "label", "lang", "id").mapInArrow(run, "slots binary, label int, lang string, id long"), "toxicity-sample")
     found = found.withColumn("order", F.xxhash64("id", "slots"))
-    before = Window.partitionBy("label").orderBy("order").rowsBetween(Window.unboundedPreceding, 0)  # over some thousand numbers
-    within = found.select("label", "order", F.octet_length("slots").alias("size")).withColumn("sum", F.sum("size").over(before)).filter(F.col("sum") <= SLOT_BYTES)
-    rows = found.join(F.broadcast(within.select("label", "order").distinct()), ["label", "order"]).select("slots", "label", "lang", "id", "order").toArrow().sort_by([("id", "ascending"), ("order", "ascending")])
+    sizes = found.select("label", "order", F.octet_length("slots").alias("size")).toPandas().sort_values(["label", "order"])  # TOXIC + CLEAN rows of three numbers
+    within = sizes[sizes.groupby("label")["size"].cumsum() <= SLOT_BYTES].groupby("label")["order"].max()
+    wanted = F.lit(False)
+    for y, last in within.items():
+        wanted = wanted | (F.col("label") == int(y)) & (F.col("order") <= int(last))
+    rows = found.filter(wanted).select("slots", "label", "lang", "id", "order").toArrow().sort_by([("id", "ascending"), ("order", "ascending")])
     texts = [np.frombuffer(x.as_buffer(), np.int32).reshape(1 + len(PREFIXES), -1) for x in rows.column("slots")]
     labels_, langs = rows.column("label").to_numpy(), rows.column("lang").to_pylist()
     of_kind = [np.flatnonzero(labels_ == y) for y in (0, 1)]
