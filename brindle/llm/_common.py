@@ -9,15 +9,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import ship
+
 #: Largest table, in rows of two numbers each (16 MB), that is sent to every executor; beyond it a join shuffles.
 BROADCAST_ROWS = 1_000_000
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lets a batch of rows on its way to Python be of some megabytes at most, since texts may be long.
+    """Lets a batch of rows on its way to Python be of some megabytes at most, since texts may be long, and sends this package to the workers.
 
     The settings are the session's; smaller ones are left as they are.
     """
+    ship(spark)
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2_000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
         now = str(spark.conf.get(key)).rstrip("bB")
         if not now.isdigit() or not 0 < int(now) <= most:
