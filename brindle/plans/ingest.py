@@ -352,7 +352,15 @@ def page_body(html):
     return F.when(F.length(longest) >= 200, longest).otherwise(F.array_join(paragraphs, "\n"))
 
 
-@query("F20_page_body")
+PLAIN = r"trim(regexp_replace(regexp_replace(x, '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"
+BODY = rf"""bare as (select page_id, regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<nav\b.*?</nav>', ' ', 'g') as html from pages),
+parts as (select page_id, list_transform(regexp_extract_all(html, '(?is)<article\b[^>]*>(.*?)</article>', 1) || regexp_extract_all(html, '(?is)<main\b[^>]*>(.*?)</main>', 1), lambda x: {PLAIN}) as parts,
+ list_transform(list_transform(string_split_regex(html, '(?i)<p\b[^>]*>')[2:], lambda x: regexp_replace(x, '(?is)</p>.*', '')), lambda x: {PLAIN}) as paragraphs from bare),
+bodies as (select page_id, list_reverse_sort(list_transform(parts, lambda x: {{'n': length(x), 't': x}}))[1].t as longest, array_to_string(list_filter(paragraphs, lambda x: length(x) > 50), chr(10)) as rest from parts),
+body as (select page_id, case when length(longest) >= 200 then longest else rest end as body from bodies)"""
+
+
+@query("F20_page_body", rf"with {BODY} select page_id, body, cast(len(list_filter(regexp_split_to_array(body, '\s+'), lambda w: w <> '')) as int) as word_count from body")
 def f20_body(spark, d):
     body = page_body(F.col("html"))
     return V.table(spark, d, "pages").select("page_id", body.alias("body")).withColumn("word_count", F.size(F.filter(F.split("body", r"\s+"), lambda w: w != "")))

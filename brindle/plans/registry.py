@@ -12,14 +12,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None, views: str = ""):
+def query(name: str, sql: str | None = None, views: str = "", *, recursive: bool = False):
     """Registers a function (spark, sf_dir) under a name; the SQL may use the views that are named, in order."""
 
     def put(f):
         QUERIES[name] = f
         if sql is not None:
             parts = [f"{v} as ({SQL_VIEWS[v]})" for v in views.split()]
-            ORACLE_SQL[name] = (f"with {', '.join(parts)} " if parts else "") + sql.strip()
+            ORACLE_SQL[name] = (f"with {'recursive ' if recursive else ''}{', '.join(parts)} " if parts else "") + sql.strip()
         return f
 
     return put

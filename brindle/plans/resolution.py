@@ -14,6 +14,14 @@ VOCAB_SQL = "[" + ", ".join(f"'{w}'" for w in VOCABULARY) + "]"
 SETS = rf"sets as (select id, list_sort(list_intersect({VOCAB_SQL}, list_distinct(regexp_split_to_array(lower(title || ' ' || description), '[^\p{{L}}\p{{N}}_]+')))) as t from articles)"
 
 
+MONTH = "case when id % 9 <> 0 then strftime(date, '%Y-%m') end"
+#: The pass in order over the first items of equal sets: one step an item, with the list of those that stayed.
+GREEDY = """firsts as (select g, t, min(id) as k from (select id, {} as g, t from sets join articles using (id)) where len(t) > 0 group by 1, 2),
+steps as materialized (select row_number() over (order by b.k) as i, b.k, list(a.k) filter (a.k is not null) as before from firsts b left join firsts a on a.g = b.g and a.k < b.k and len(list_intersect(a.t, b.t)) / len(list_distinct(a.t || b.t)) >= 0.7 group by b.k),
+walk as (select 0::bigint as i, []::bigint[] as stay union all select s.i, case when list_has_any(stay, coalesce(before, [])) then stay else list_append(stay, s.k) end from walk w join steps s on s.i = w.i + 1),
+stays as (select id from sets where len(t) = 0 union all select unnest(stay) from walk where i = (select max(i) from walk))"""
+
+
 def items(spark, d):
     a = V.articles(spark, d)
     return a.select(F.col("id").alias("pos"), F.concat_ws(" ", "title", "description").alias("text"), F.when(F.col("id") % 9 != 0, F.date_format("date", "yyyy-MM")).alias("month"), (F.col("id") % 7).cast("double").alias("score"), "date")
@@ -24,12 +32,13 @@ def d1(spark, d):
     return S.keyword_pairs(items(spark, d), vocabulary=VOCABULARY, threshold=0.7, key="pos", text="text")
 
 
-@query("D2_near_duplicates_removed")
+@query("D2_near_duplicates_removed", f", {SETS}, {GREEDY.format(0)} select id as pos, {MONTH} as month from articles join stays using (id)", "articles", recursive=True)
 def d2(spark, d):
     return S.without_near_duplicates(items(spark, d), vocabulary=VOCABULARY).select("pos", "month")
 
 
-@query("D3_prioritized")
+@query("D3_prioritized", f""", {SETS}, {GREEDY.format(f"coalesce({MONTH}, 'unknown')")} select pos, month, score, cast(place as int) as place
+from (select *, row_number() over (partition by month order by score desc, pos) as place from (select id as pos, coalesce({MONTH}, 'unknown') as month, (id % 7)::double as score from articles join stays using (id)) where score >= 2) where place <= 10""", "articles", recursive=True)
 def d3(spark, d):
     return S.prioritized(items(spark, d), month="month", score="score", vocabulary=VOCABULARY).select("pos", "month", "score", "place")
 
@@ -61,7 +70,15 @@ def verdicts(edges):
     return edges.select("a", "b", ((F.col("a") + F.col("b")) % 5 != 0).alias("same"))
 
 
-@query("D5_event_assignment")
+#: The pass in order: one step an item, with the list of those that lead an event.
+ASSIGNED = f"""near as (select a.id as a, b.id as b, {DOT.format('a.vector', 'b.vector')} as dot from vectors a join vectors b on a.id < b.id and abs(a.date - b.date) <= 30 where {DOT.format('a.vector', 'b.vector')} > 0.3),
+options as (select b, list(a order by dot desc, a) as options from near group by 1),
+steps as materialized (select row_number() over (order by id) as i, id as pos, coalesce(options, []) as options from vectors left join options on b = id),
+walk as (select 0::bigint as i, null::bigint as pos, null::bigint as event, []::bigint[] as leaders union all select i, pos, event, case when event = pos then list_append(leaders, pos) else leaders end
+ from (select i, pos, leaders, case when best is null or (best + pos) % 5 = 0 then pos else best end as event from (select s.i, s.pos, leaders, list_filter(options, lambda x: list_contains(leaders, x))[1] as best from walk w join steps s on s.i = w.i + 1)))"""
+
+
+@query("D5_event_assignment", f", {ASSIGNED} select pos, event from walk where i > 0", "vectors", recursive=True)
 def d5(spark, d):
     e = S.stored(near_edges(spark, d), "edges")
     return S.assign_to_events(vectors(spark, d), e, verdicts=verdicts(e))
@@ -72,6 +89,13 @@ def all_pairs(spark, d, threshold):
     return S.similar_pairs(v, threshold=threshold, band=S.projection_band(F.col("vector"), threshold, S.largest_norm(v)))
 
 
+#: The pass in order over edges (a, b, weight): one step an item, with the list of those that were taken.
+MERGED = """options as (select a, list(b order by weight desc, b) as options from edges group by 1),
+steps as materialized (select row_number() over (order by a) as i, a, options from options),
+walk as (select 0::bigint as i, null::bigint as a, null::bigint as took, []::bigint[] as taken union all select i, a, took, case when took is null then taken else list_append(taken, took) end
+ from (select i, a, taken, case when {} then best end as took from (select s.i, s.a, taken, case when not list_contains(taken, s.a) then list_filter(options, lambda x: not list_contains(taken, x))[1] end as best from walk w join steps s on s.i = w.i + 1)))"""
+
+
 @query("D6_merge_edges", f"select a, b, round(dot * (1 - least(days / 365, 0.5)), 6) as weight from (select a.id as a, b.id as b, {DOT.format('a.vector', 'b.vector')} as dot, abs(a.date - b.date) as days from vectors a join vectors b on a.id < b.id) where dot > case when days > 365 then 0.35 else 0.3 end", "vectors")
 def d6_edges(spark, d):
     return S.merge_weights(all_pairs(spark, d, 0.3), vectors(spark, d), near=0.3, far=0.35).select("a", "b", F.round("weight", 6).alias("weight"))
@@ -83,7 +107,11 @@ def by_date(spark, d):
     return v.withColumn("pos", F.unix_date("date").cast("long") * 10_000_000 + F.col("id"))
 
 
-@query("D6_merged_events")
+BY_DATE = "ev as (select (date - date '1970-01-01') * 10000000 + id as pos, date, vector from vectors)"
+MERGE_EDGES = f"edges as (select a, b, dot * (1 - least(days / 365, 0.5)) as weight from (select a.pos as a, b.pos as b, {DOT.format('a.vector', 'b.vector')} as dot, abs(a.date - b.date) as days from ev a join ev b on a.pos < b.pos) where dot > case when days > 365 then 0.35 else 0.3 end)"
+
+
+@query("D6_merged_events", f", {BY_DATE}, {MERGE_EDGES}, {MERGED.format('(a + best) % 5 <> 0')} select pos, coalesce(a, pos) as into from ev left join walk on took = pos", "vectors", recursive=True)
 def d6(spark, d):
     v = by_date(spark, d)
     pairs = S.similar_pairs(v, threshold=0.3, band=S.projection_band(F.col("vector"), 0.3, S.largest_norm(v)))
@@ -96,7 +124,10 @@ def d7_edges(spark, d):
     return S.apart_weights(all_pairs(spark, d, 0.25), vectors(spark, d), least=0.25).select("a", "b", F.round("weight", 6).alias("weight"))
 
 
-@query("D7_merged_apart")
+APART_EDGES = f"edges as (select a.id as a, b.id as b, {DOT.format('a.vector', 'b.vector')} as weight from vectors a join vectors b on a.id < b.id and abs(a.date - b.date) > 90 where {DOT.format('a.vector', 'b.vector')} > 0.3)"
+
+
+@query("D7_merged_apart", f", {APART_EDGES}, {MERGED.format('true')} select id as pos, coalesce(a, id) as into from vectors left join walk on took = id", "vectors", recursive=True)
 def d7(spark, d):
     e = S.stored(S.apart_weights(all_pairs(spark, d, 0.3), vectors(spark, d), least=0.3), "apart")
     return S.merged_once(vectors(spark, d), e)
