@@ -15,7 +15,7 @@ k-th key is found by histograms, each inside the bin of the one before that hold
 
 Cases: a null or empty text has no n-grams, the log-weight of the worst and is rejected; a very long text is read whole; without
 labels of both kinds every document with text is kept; ties of the key are all kept; no rows give no rows; rows that share
-an id, or have none, are judged one by one; further columns, whatever their names, are not read.
+an id, or have none, are judged one by one, and of those that share a labelled id one is learned from; further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -134,7 +134,8 @@ def model(docs: DataFrame, labels: DataFrame, *, most: int = LABELLED, id_col: s
     """The log-ratio of target and raw text for each slot, and the log-weight that tells good documents from bad."""
     sample = F.broadcast(labelled_sample(labels, label_col, most=most).withColumnRenamed("doc_id", "_labelled"))  # ``most`` rows
     texts = docs.select(column(docs, id_col).cast("long").alias("_id"), column(docs, text_col).alias("text"))
-    known = written(texts.join(sample, F.col("_id") == F.col("_labelled")).select("text", "label"), "labelled")  # read twice
+    known = texts.join(sample, F.col("_id") == F.col("_labelled")).groupBy("_id").agg(F.min(F.struct("text", "label")).alias("one"))  # however many rows share an id
+    known = written(known.select("one.*"), "labelled")  # read twice
     raw, target = corpus_counts(docs, text_col), corpus_counts(known.filter("label = 1"), "text")
     ratio = _log_shares(target) - _log_shares(raw)
     seen = with_weight(known, ratio).select("weight", "label").toArrow()  # ``most`` pairs of numbers

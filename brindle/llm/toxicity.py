@@ -13,7 +13,7 @@ of them as many, in the order of another hash, as have SLOT_BYTES of words.  Eve
 Cases: a null or empty text has the score of a text without words; without labels of both kinds every score is 0; with
 a single label of a kind nothing is held back, the score is not calibrated and the threshold is 0.5; rows that share an id, or have none, are scored and
 judged row by row; a very long text is scored whole; a label that is null isn't used; a language never seen in calibration,
-or null, has the common threshold; no rows give no rows; further columns, whatever their names, are not read.
+or null, has the common threshold; of rows that share a labelled id one is learned from; no rows give no rows; further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -196,6 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, where: Column | None = None, id_c
     sample = F.broadcast(_sampled(labels, where, label_col))  # TOXIC + CLEAN rows
     lang = column(docs, lang_col).cast("string") if lang_col else F.lit(None).cast("string")
     known = docs.select(column(docs, id_col).cast("long").alias("id"), column(docs, text_col).alias("text"), lang.alias("lang")).join(sample, F.col("id") == F.col("_labelled"))
+    known = known.groupBy("id").agg(F.min(F.struct("text", "label", "lang")).alias("one")).select("one.*", "id")  # however many rows share an id
     found = written(known.select("text", "label", "lang", "id").mapInArrow(run, "slots binary, label int, lang string, id long"), "toxicity-sample")
     found = found.withColumn("order", F.xxhash64("id", "slots"))
     sizes = found.select("label", "order", F.octet_length("slots").alias("size")).toPandas().sort_values(["label", "order"])  # TOXIC + CLEAN rows of three numbers
