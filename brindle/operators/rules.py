@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import any_word, words
+from ..sources.articles import few, stored
 
 # The words, weights and year bands of the rules.
 STOP_WORDS = ("the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by")
@@ -31,6 +32,9 @@ PRIVACY_WORDS = ("data breach", "privacy", "crm")
 PAY_WORDS = ("remuneration", "exec pay", "executive pay", "bonus", "bonuses", "pay vote", "rem report", "agm pay", "say on pay")
 NEUTRAL = ("Do Nothing", "Share Opinion with Others")
 
+#: Recency falls over the days up to 730, again from there on, and is level beyond 1,216.
+SEGMENTS = (0, 730, 1216)
+
 
 def issue_similarity(cats_a: Column, cats_b: Column, words_a: Column, words_b: Column) -> Column:
     """0.6 times the Jaccard similarity of the categories plus 0.4 times that of the words, stop words not counted above the line."""
@@ -71,18 +75,50 @@ def day_of(text: Column) -> Column:
 
 
 def prior_events(events: DataFrame, *, k: int = 3) -> DataFrame:
-    """(name, prior, rank, score): for each event the k best earlier ones of its company, by issue, theme and recency.
-
-    Events have name, company, date, categories, tokens and theme.
+    """(name, prior, score, rank): for each event the k best earlier ones of its company, by issue, theme and recency.
+
+    Events have name (each its own), company, date, categories, tokens and theme.  Earlier events of one kind, that is of
+    the same company, categories, tokens and theme, differ for a later event by their days alone.  Recency falls from the
+    first day to the 730th and again from the 731st, and is level from the 1,217th on, so the k best of a kind are among
+    the newest k of all, the newest k from the 731st day on, and the k least names from the 1,217th on.  These are kept
+    as a running state of each kind and looked up as of a day; of one day a kind hands on no more than k events.  So the
+    work grows with days and kinds of a company, not with the pairs of its events.  Events without company or date have
+    and are no prior event.
     """
-    e = theme_own = events.select("name", F.lower(F.col("company").cast("string")).alias("company"), "date", "categories", "tokens", "theme", F.year("date").alias("year"))
-    p = theme_own.select("company", F.col("name").alias("prior"), F.col("date").alias("p_date"), F.col("categories").alias("p_categories"), F.col("tokens").alias("p_tokens"), F.col("theme").alias("p_theme"))
-    pairs = e.join(p, "company").filter((F.col("p_date") < F.col("date")) & (F.col("prior") != F.col("name")))
+    columns = ("categories", "tokens", "theme")
+    kinded = events.select("name", F.lower(F.col("company").cast("string")).alias("company"), F.col("date").cast("date").alias("date"), *columns, F.to_json(F.struct(*columns)).alias("kind")).filter("company is not null and date is not null")
+    kinds = few(stored(kinded.select("kind", *columns).dropDuplicates(["kind"]), "kinds"), 100_000)
+    rows = stored(kinded.select("name", "company", "date", "kind"), "kinded-events")
+
+    place = F.row_number().over(Window.partitionBy("company", "kind", "date").orderBy("name"))
+    seen = rows.withColumn("_place", place).filter(F.col("_place") <= k).drop("_place")
+    in_order = Window.partitionBy("company", "kind").orderBy("date", F.desc("name"))
+    running, before = in_order.rowsBetween(Window.unboundedPreceding, 0), in_order.rowsBetween(Window.unboundedPreceding, -1)
+    one = F.struct("date", "name")
+    state = seen.withColumn("newest", F.collect_list(one).over(in_order.rowsBetween(1 - k, 0))).withColumn("_pushed", F.struct("name", "date"))
+    for i in range(k):  # what a running minimum lets go is the next one's input
+        state = state.withColumn(f"_least{i}", F.min("_pushed").over(running)).withColumn("_pushed", F.when(F.min("_pushed").over(before).isNotNull(), F.greatest("_pushed", F.min("_pushed").over(before))))
+    held = F.transform(F.array_compact(F.array(*[F.col(f"_least{i}") for i in range(k)])), lambda x: F.struct(x["date"].alias("date"), x["name"].alias("name")))
+    state = state.select("company", "kind", "date", F.struct("newest", held.alias("least")).alias("state"))
+
+    since = rows.groupBy("company", "kind").agg(F.min("date").alias("since"))
+    days = rows.select("company", F.col("date").alias("asked")).distinct().join(since, "company")
+    as_of = F.explode(F.array(*[F.struct(F.date_sub("asked", back).alias("date"), F.lit(back).alias("back")) for back in SEGMENTS])).alias("x")
+    asked = days.select("company", "kind", "asked", "since", as_of).select("company", "kind", "x.date", "asked", "x.back", "since").filter("since < date").drop("since")
+    both = state.withColumn("asked", F.lit(None).cast("date")).withColumn("back", F.lit(None).cast("int")).unionByName(asked.withColumn("state", F.lit(None).cast(state.schema["state"].dataType)))
+    # on one day what is asked comes before what happens
+    last = F.last("state", ignorenulls=True).over(Window.partitionBy("company", "kind").orderBy("date", F.col("asked").isNull()).rowsBetween(Window.unboundedPreceding, 0))
+    found = both.withColumn("state", last).filter("asked is not null").withColumn("p", F.explode(F.when(F.col("back") == SEGMENTS[-1], F.col("state.least")).otherwise(F.col("state.newest"))))
+    found = found.select("company", F.col("asked").alias("date"), F.col("kind").alias("p_kind"), F.col("p.date").alias("p_date"), F.col("p.name").alias("prior")).distinct()
+
+    earlier = kinds.select(F.col("kind").alias("p_kind"), *[F.col(c).alias(f"p_{c}") for c in columns])
+    pairs = rows.select("company", "date", "kind").distinct().join(found, ["company", "date"]).join(kinds, "kind").join(earlier, "p_kind").withColumn("year", F.year("date"))
     pairs = theme_priority(pairs, theme_col="p_theme")
     score = issue_similarity(F.col("categories"), F.col("p_categories"), F.col("tokens"), F.col("p_tokens")) * 0.5 + F.col("priority") * 0.3 + recency(F.datediff("date", "p_date")) * 0.2
-    rows = pairs.select("name", "prior", F.round(score, 6).alias("score"))
-    place = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("score"), "prior"))
-    return rows.withColumn("rank", place).filter(F.col("rank") <= k)
+    best = pairs.select("company", "date", "kind", "prior", F.round(score, 6).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("company", "date", "kind").orderBy(F.desc("score"), "prior"))
+    best = best.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return rows.join(best, ["company", "date", "kind"]).select("name", "prior", "score", "rank")
 
 
 def severity_grade(stage: Column, probability: Column) -> Column:

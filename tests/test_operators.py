@@ -285,3 +285,27 @@ def test_factors_of_large_ids(spark):
     docs = spark.createDataFrame([((1 << 40) + i, "river stone water" if i % 2 else "market price share") for i in range(12)], "id long, text string")
     out = factor_topics(docs, key="id", text="text", k=2)
     assert out.select("id").distinct().count() == 12 and out.agg(F.min("id")).first()[0] == 1 << 40
+
+
+def test_prior_events_as_all_pairs(spark):
+    """A hot company, few kinds, repeated days, long and short gaps, nulls; against every pair."""
+    rng = random.Random(5)
+    rows = []
+    for n in range(400):
+        day = DAY - dt.timedelta(rng.choice([rng.randrange(8), 365, 730, 731, 1216, 1217, rng.randrange(3000)]))
+        company = None if n % 57 == 0 else rng.choice(["Hot", "hot", "cold", f"c{n % 20}"])
+        categories = rng.choice([["x"], ["x", "y"], [], None])
+        rows.append((n, company, None if n % 61 == 0 else day, categories, rng.choice([["the", "fare"], ["strike"]]), rng.choice(["climate", "tax", "other"])))
+    schema = "name long, company string, date date, categories array<string>, tokens array<string>, theme string"
+    events = spark.createDataFrame(rows, schema)
+    a = events.select("*", F.lower("company").alias("c"), F.year("date").alias("year"))
+    b = events.select(F.lower("company").alias("c"), *[F.col(x).alias(f"p_{x}") for x in events.columns])
+    pairs = R.theme_priority(a.join(b, "c").filter("p_date < date"), theme_col="p_theme")
+    score = R.issue_similarity(F.col("categories"), F.col("p_categories"), F.col("tokens"), F.col("p_tokens")) * 0.5 + F.col("priority") * 0.3 + R.recency(F.datediff("date", "p_date")) * 0.2
+    every = {}
+    for r in pairs.select("name", "p_name", F.round(score, 6).alias("score")).collect():
+        every.setdefault(r[0], []).append((-r[2], r[1]))
+    for k in (1, 3, 4):
+        wanted = sorted((name, prior, -s, i + 1) for name, found in every.items() for i, (s, prior) in enumerate(sorted(found)[:k]))
+        assert sorted(tuple(r) for r in R.prior_events(events, k=k).collect()) == wanted
+    assert R.prior_events(spark.createDataFrame([], schema)).count() == 0
