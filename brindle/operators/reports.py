@@ -88,7 +88,7 @@ def classed_top(counts: DataFrame, classes: DataFrame, *, k: int = 8) -> DataFra
     """The k most frequent responses with their class, 'unclassified' where there is none."""
     slug = F.regexp_replace(F.lower("value"), r"[^a-z0-9]+", "-")
     best = top(counts, k, "n", "value").withColumn("slug", slug)
-    return best.join(F.broadcast(classes.select("slug", "class")), "slug", "left").select("value", "n", F.coalesce("class", F.lit("unclassified")).alias("class"))
+    return best.join(classes.select("slug", "class"), "slug", "left").select("value", "n", F.coalesce("class", F.lit("unclassified")).alias("class"))
 
 
 def drill_down(events: DataFrame, value: str, *, column: str, damage: str, key: str, k: int = 50) -> DataFrame:
@@ -114,7 +114,7 @@ def prediction_summary(predictions: DataFrame, *, label: str, confidence: str) -
 
 def cost_ledger(requests: DataFrame, rates: DataFrame, *, default: tuple[float, float]) -> DataFrame:
     """(model, requests, tokens_in, tokens_out, cost): prices are for 1,000 tokens; a model without a rate has the default."""
-    rows = requests.join(F.broadcast(rates.select("model", "rate_in", "rate_out")), "model", "left")
+    rows = requests.join(rates.select("model", "rate_in", "rate_out"), "model", "left")
     cost = F.col("tokens_in") / 1000 * F.coalesce("rate_in", F.lit(default[0])) + F.col("tokens_out") / 1000 * F.coalesce("rate_out", F.lit(default[1]))
     return rows.groupBy("model").agg(F.count("*").alias("requests"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.round(F.sum(cost), 6).alias("cost"))
 

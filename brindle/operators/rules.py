@@ -177,7 +177,7 @@ def reaction_violations(reactions: DataFrame, allowed: DataFrame, banned: DataFr
     ``banned`` has stakeholder, label and context.
     """
     ok = allowed.select("stakeholder", "label").distinct()
-    not_allowed = reactions.join(F.broadcast(ok), ["stakeholder", "label"], "left_anti").select("id", F.lit("label not allowed").alias("rule"))
+    not_allowed = reactions.join(ok, ["stakeholder", "label"], "left_anti").select("id", F.lit("label not allowed").alias("rule"))
     is_neutral, small = F.col("label").isin(*neutral), F.abs("score") <= 1
     flags = F.array(
         F.when(~F.col("material") & ~is_neutral, "immaterial: label"),
@@ -187,7 +187,7 @@ def reaction_violations(reactions: DataFrame, allowed: DataFrame, banned: DataFr
     )
     own = reactions.select("id", F.explode(F.filter(flags, lambda x: x.isNotNull())).alias("rule"))
     bans = banned.select("stakeholder", "label", F.lower("context").alias("_c"))
-    context = reactions.join(F.broadcast(bans), ["stakeholder", "label"]).filter(F.contains(F.lower("context"), F.col("_c"))).select("id", F.lit("context ban").alias("rule")).distinct()
+    context = reactions.join(bans, ["stakeholder", "label"]).filter(F.contains(F.lower("context"), F.col("_c"))).select("id", F.lit("context ban").alias("rule")).distinct()
     return not_allowed.unionByName(own).unionByName(context)
 
 

@@ -271,7 +271,7 @@ def default_prediction(queries: DataFrame, similar: DataFrame, facts: DataFrame)
 
 def phrase_sections(sections: DataFrame, phrases: DataFrame, *, least: float = 0.4, k: int = 10) -> DataFrame:
     """The k sections with the greatest cosine to any phrase of a fixed, small set, over a least one."""
-    rows = sections.crossJoin(F.broadcast(phrases.select(F.col("vector").alias("_p"))))
+    rows = sections.crossJoin(few(phrases.select(F.col("vector").alias("_p")), 10_000))
     best = rows.groupBy("id").agg(F.round(F.max(cosine(F.col("vector"), F.col("_p"))), 6).alias("similarity"))
     return best.filter(F.col("similarity") > least).orderBy(F.desc("similarity"), "id").limit(k)
 

@@ -57,7 +57,7 @@ def tail_keywords(tail_rows: DataFrame, weights: DataFrame, *, key: str = "id",
     """(component, tail, term, weight, place): the terms with the greatest mean weight over a tail, terms that a document lacks as 0."""
     sizes = tail_rows.groupBy("component", "tail").agg(F.count("*").alias("n"))
     sums = tail_rows.select("component", "tail", key).join(weights, key).groupBy("component", "tail", "term").agg(F.sum("weight").alias("s"))
-    mean = sums.join(F.broadcast(sizes), ["component", "tail"]).select("component", "tail", "term", F.round(F.col("s") / F.col("n"), 6).alias("weight")).filter("weight > 0")
+    mean = sums.join(sizes, ["component", "tail"]).select("component", "tail", "term", F.round(F.col("s") / F.col("n"), 6).alias("weight")).filter("weight > 0")
     place = F.row_number().over(Window.partitionBy("component", "tail").orderBy(F.desc("weight"), "term"))
     return mean.withColumn("place", place).filter(F.col("place") <= k)
 
@@ -141,7 +141,7 @@ def oriented(scores: DataFrame, tail_rows: DataFrame, reference: DataFrame, *, k
     """The scores, their sign turned for components whose high tail has the lower mean of a reference value."""
     means = tail_rows.select("component", key, "tail").join(reference.select(key, "value"), key).groupBy("component").agg(F.avg(F.when(F.col("tail") == "high", F.col("value"))).alias("h"), F.avg(F.when(F.col("tail") == "low", F.col("value"))).alias("l"))
     sign = F.when(F.col("h") < F.col("l"), -1).otherwise(1)
-    return scores.join(F.broadcast(means.select("component", sign.alias("sign"))), "component").withColumn("score", F.col("score") * F.col("sign"))
+    return scores.join(means.select("component", sign.alias("sign")), "component").withColumn("score", F.col("score") * F.col("sign"))
 
 
 def average_ranks(df: DataFrame, column: str, group: str, out: str) -> DataFrame:
