@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, near_dedup, neighbours, packing, quality, token_counts, token_files, toxicity, url_filter
+from . import fingerprints, mixing, near_dedup, neighbours, packing, quality, token_counts, token_files, toxicity, url_filter, vector_codes, vector_files, whitening
 from ._common import read, shared_path
 
 
@@ -53,6 +53,18 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), width=2, percent=80)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_fingerprints, op3_mixing, op4_packing, op5_token_files, op6_url_filter, op7_neighbours, op8_quality, op9_toxicity, op10_near_dedup)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.report(read(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256)
 
-ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.ORACLE_SQL, "op10_near_dedup": near_dedup.ORACLE_SQL}
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"), components=32)
+
+
+def op13_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_files.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_fingerprints, op3_mixing, op4_packing, op5_token_files, op6_url_filter, op7_neighbours, op8_quality, op9_toxicity, op10_near_dedup, op11_vector_codes, op12_whitening, op13_exact_search)}
+
+ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.ORACLE_SQL, "op10_near_dedup": near_dedup.ORACLE_SQL, "op11_vector_codes": vector_codes.ORACLE_SQL, "op13_exact_search": vector_files.ORACLE_SQL}

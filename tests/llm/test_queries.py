@@ -5,10 +5,10 @@ import pytest
 from brindle.llm import queries
 
 
-@pytest.mark.parametrize("name", [n for n in queries.QUERIES if n != "op7_neighbours"])
+@pytest.mark.parametrize("name", [n for n in queries.QUERIES if n not in ("op7_neighbours", "op12_whitening", "op13_exact_search")])
 def test_one_row_or_more_for_each_input(spark, sf_dir, name):
     rows = queries.QUERIES[name](spark, sf_dir)
-    table = "pages" if name.startswith("op6") else "documents"
+    table = {"op6": "pages", "op11": "embeddings"}.get(name.split("_")[0], "documents")
     n = spark.read.parquet(f"{sf_dir}/{table}.parquet").count()
     assert rows.count() == n or name == "op4_packing" and rows.select("doc_id").distinct().count() == n
 
@@ -19,6 +19,12 @@ def test_neighbours_query(spark, sf_dir):
     assert rows.count() == v.filter("vec_id % 20 = 0").count() * min(20, v.count() - 1)
 
 
+def test_vector_queries(spark, sf_dir):
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    assert queries.QUERIES["op12_whitening"](spark, sf_dir).count() == v.count() * 32
+    assert queries.QUERIES["op13_exact_search"](spark, sf_dir).count() == v.filter("vec_id % 50 = 0").count() * 5
+
+
 def test_pipeline_stages(spark, sf_dir, tmp_path):
     import corpus_pipeline
 
