@@ -6,14 +6,12 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import LDA
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import IDF, PCA, CountVectorizer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, CountVectorizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.recommendation import ALS
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.articles import few, stored
 from .quality import with_position
 from .topics import words_of
 
@@ -53,22 +51,6 @@ def lda_topics(docs: DataFrame, *, key: str, text: str, k: int | None = None, it
     return shares, top.select("topic", "place", F.element_at(words, F.col("t.termIndices") + 1).alias("term"), F.col("t.termWeights").alias("weight"))
 
 
-def factor_topics(docs: DataFrame, *, key: str, text: str, k: int = 10, seed: int = 42) -> DataFrame:
-    """(key, topic, share): non-negative factors of the TF-IDF matrix by alternating least squares, scaled to sum to 1.
-
-    An approximation: only the cells that aren't 0 are fitted.
-    """
-    rows, _ = _counted(docs, key=key, text=text)
-    weighted = IDF(inputCol="counts", outputCol="tfidf").fit(rows).transform(rows)
-    sparse = weighted.select(key, F.posexplode(vector_to_array("tfidf")).alias("term", "weight")).filter("weight > 0")
-    numbers = stored(with_position(sparse.select(key).distinct(), key, out="_number"), "numbers")  # the solver's ids are small numbers
-    sparse = sparse.join(few(numbers), key).select(F.col("_number").cast("int").alias("_number"), "term", "weight")
-    model = ALS(rank=k, nonnegative=True, userCol="_number", itemCol="term", ratingCol="weight", seed=seed, maxIter=10).fit(sparse)
-    total = F.aggregate("features", F.lit(0.0), lambda s, x: s + x)
-    shares = model.userFactors.select(F.col("id").cast("long").alias("_number"), F.posexplode(F.transform("features", lambda x: F.coalesce(F.try_divide(x.cast("double"), total), F.lit(0.0)))).alias("topic", "share"))
-    return shares.join(few(numbers), "_number").select(key, "topic", "share")
-
-
 def tail_topics(tail_rows: DataFrame, shares: DataFrame, *, key: str = "id", k: int = 5, least: float = 0.01) -> DataFrame:
     """(component, tail, topic, share, place): the topics with the greatest mean share over a tail."""
     rows = tail_rows.join(shares, key).groupBy("component", "tail", "topic").agg(F.avg("share").alias("share")).filter(F.col("share") > least)

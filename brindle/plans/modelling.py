@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import factors as N
 from ..operators import models as M
 from ..operators import topics as T
 from ..sources.articles import shared_folder
@@ -43,7 +44,14 @@ def m5(spark, d):
 
 @query("M6_factor_topics")
 def m6(spark, d):
-    return M.factor_topics(V.articles(spark, d), key="id", text="description").select("id", "topic", F.round("share", 4).alias("share"))
+    shares, _, _ = N.topics(V.articles(spark, d), key="id", text="description")
+    return shares.select("id", "topic", F.round("share", 4).alias("share"))
+
+
+@query("M6_topic_terms")
+def m6_terms(spark, d):
+    _, terms, _ = N.topics(V.articles(spark, d), key="id", text="description")
+    return terms.select("topic", "place", "term", F.round("weight", 6).alias("weight"))
 
 
 def _length_tails(spark, d):
@@ -55,7 +63,7 @@ def _length_tails(spark, d):
 def m7(spark, d):
     ids = _length_tails(spark, d).select("id").distinct()
     docs = V.articles(spark, d).join(ids, "id", "left_semi")
-    return M.factor_topics(docs, key="id", text="description", k=20).select("id", "topic", F.lit(0.4).alias("score"))
+    return N.tail_only_topics(docs, key="id", text="description", k=20)
 
 
 @query("M9_tail_topics")

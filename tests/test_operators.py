@@ -280,11 +280,49 @@ def test_pairs_of_long_vectors(spark):
 
 
 def test_factors_of_large_ids(spark):
-    from brindle.operators.models import factor_topics
-
-    docs = spark.createDataFrame([((1 << 40) + i, "river stone water" if i % 2 else "market price share") for i in range(12)], "id long, text string")
-    out = factor_topics(docs, key="id", text="text", k=2)
-    assert out.select("id").distinct().count() == 12 and out.agg(F.min("id")).first()[0] == 1 << 40
+    from brindle.operators.factors import topics
+
+    docs = spark.createDataFrame([((1 << 40) + i, "river stone water" if i % 2 else "market price share") for i in range(12)] + [(5, None), (6, "")], "id long, text string")
+    out, terms, _ = topics(docs, key="id", text="text", k=2)
+    rows = {(r["id"], r["topic"]): r["share"] for r in out.collect()}
+    assert len(rows) == 28 and rows[5, 0] == rows[5, 1] == rows[6, 0] == 0
+    for i in range(12):
+        assert max(rows[(1 << 40) + i, t] for t in (0, 1)) == pytest.approx(1, abs=1e-6)
+        assert rows[(1 << 40) + i, 0] == pytest.approx(rows[(1 << 40) + i % 2, 0])
+    found = {t: {r["term"] for r in terms.collect() if r["topic"] == t} for t in (0, 1)}
+    assert sorted(map(sorted, found.values())) == [["market", "market price", "price", "price share", "share"], ["river", "river stone", "stone", "stone water", "water"]]
+    assert topics(docs.limit(0), key="id", text="text", k=2)[0].count() == 0
+
+
+def test_factors_as_of_the_dense_matrix(spark, monkeypatch):
+    """The loss of a plain twin that stores every zero, from exact singular vectors, and blocks of any size."""
+    from brindle.operators import factors as N
+
+    monkeypatch.setattr(N, "IN_BLOCK", 7)
+    monkeypatch.setattr(N, "AT_ONCE", 500)
+    rng = np.random.default_rng(8)
+    x = rng.random((120, 5)) ** 4 @ rng.random((5, 40)) ** 3 * (rng.random((120, 40)) < 0.5)
+    x = x[(x > 0).any(axis=1)]
+    rows = spark.createDataFrame([(np.flatnonzero(r).tolist(), r[r > 0].tolist()) for r in x], "numbers array<int>, weights array<double>").repartition(4)
+    found = N.fit(rows, [str(i) for i in range(40)], k=5, l1=0.01, l2=0.02, tolerance=1e-5, passes=50)
+
+    u, s, v = np.linalg.svd(x, full_matrices=False)
+    h = np.abs(v[:5]) * np.sqrt(s[:5])[:, None]
+    for _ in range(2000):
+        g = h @ h.T
+        w = np.zeros((len(x), 5)) if _ == 0 else w
+        for j in range(5):
+            w[:, j] = np.maximum(0, w[:, j] + (x @ h[j] - 0.01 - w @ g[:, j] - 0.02 * w[:, j]) / (g[j, j] + 0.02))
+        g = w.T @ w
+        for j in range(5):
+            h[j] = np.maximum(0, h[j] + (w[:, j] @ x - 0.01 - g[j] @ h - 0.02 * h[j]) / (g[j, j] + 0.02))
+
+    def loss(w, h):
+        return 0.5 * ((x - w @ h) ** 2).sum() + 0.01 * (w.sum() + h.sum()) + 0.01 * ((w**2).sum() + (h**2).sum())
+
+    own = found.shares_of(x @ found.weights.T)
+    assert found.losses == sorted(found.losses, reverse=True)
+    assert loss(own, found.weights) <= loss(w, h) * 1.01 and found.losses[-1] == pytest.approx(loss(own, found.weights), rel=1e-3)
 
 
 def test_prior_events_as_all_pairs(spark):
