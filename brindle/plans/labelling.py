@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import probes as P
 from ..operators import quality as Q
 from ..operators import similar as S
 from ..operators import topics as T
@@ -162,6 +163,30 @@ def m18_odds(spark, d):
     return g.select("component", F.round(T.log_odds(F.col("h"), F.col("l")), 6).alias("association"))
 
 
+#: One turn of both coordinates at a time; both sides come to the same minimum.
+PROBES = """shares as (select id, topic, case topic when 0 then (length(description) - length(replace(description, 'e', '')))::double / greatest(length(description), 1) when 1 then least(length(description), 2000) / 2000.0::double else (lang = 'en')::double end as share from articles, (select unnest([0, 1, 2]) as topic)),
+x as (select s.component, h.topic, h.share, coalesce(t.tail = 'high', false)::double as y from scores s join shares h using (id) left join tails t on t.component = s.component and t.id = s.id and t.tail = 'high'),
+fit as (select component, topic, 0.0::double as w, 0.0::double as b, 0 as turn from x group by 1, 2 union all
+ select component, topic, w1, (case when abs(hbb * b - gb - hwb * (w1 - w)) > 10 then (hbb * b - gb - hwb * (w1 - w)) - 10 * sign(hbb * b - gb - hwb * (w1 - w)) else 0 end) / hbb, turn + 1 from (
+  select *, (case when abs(hww * w - gw) > 10 then hww * w - gw - 10 * sign(hww * w - gw) else 0 end) / hww as w1 from (
+   select component, topic, any_value(w) as w, any_value(b) as b, any_value(turn) as turn, sum((p - y) * share) as gw, sum(p - y) as gb, sum(p * (1 - p) * share * share) as hww, sum(p * (1 - p) * share) as hwb, sum(p * (1 - p)) as hbb
+   from (select x.*, w, b, turn, 1 / (1 + exp(-(w * share + b))) as p from x join fit using (component, topic) where turn < 150) group by 1, 2))),
+probe as (select component, topic, abs(w) / (abs(w) + 1) as beta from fit where turn = 150),
+rk as (select component, topic, rank() over (partition by component, topic order by score) + (count(*) over (partition by component, topic, score) - 1) / 2 as rx, rank() over (partition by component, topic order by share) + (count(*) over (partition by component, topic, share) - 1) / 2 as ry from scores join shares using (id)),
+rho as (select component, topic, coalesce(abs(corr(rx, ry)), 0) as correlation from rk group by 1, 2),
+ends as (select component, topic, avg(share) filter (tail = 'high') as h, avg(share) filter (tail = 'low') as l from tails join shares using (id) group by 1, 2),
+od as (select *, abs(o) / (abs(o) + 1) as log_odds from (select *, ln((h + 0.01) / (1 - h + 0.01)) - ln((l + 0.01) / (1 - l + 0.01)) as o from ends))"""
+
+
+@query("M18_alignment", f", {SCORES}, {TAILS}, {PROBES} select component, cast(topic as int) as topic, round(correlation, 6) as correlation, round(log_odds, 6) as log_odds, round(beta, 6) as beta, round((correlation + log_odds + beta) / 3, 6) as alignment, case when h > l then 1 else -1 end as sign, round(h, 6) as high_mean, round(l, 6) as low_mean from probe join rho using (component, topic) join od using (component, topic)", "articles", recursive=True)
+def m18_alignment(spark, d):
+    a = V.articles(spark, d)
+    kinds = [F.regexp_count("description", F.lit("e")) / F.greatest(F.length("description"), F.lit(1)), F.least(F.length("description"), F.lit(2000)) / F.lit(2000.0), (F.col("lang") == "en").cast("double")]
+    shares = a.select("id", F.posexplode(F.array(*kinds)).alias("topic", "share"))
+    found = P.topic_alignment(scores(spark, d), tails(spark, d), shares)
+    return found.select("component", "topic", *[F.round(c, 6).alias(c) for c in ("correlation", "log_odds", "beta", "alignment")], "sign", *[F.round(c, 6).alias(c) for c in ("high_mean", "low_mean")])
+
+
 TAXONOMY = ", x as (select component, l.lang as facet, s.id, score, (a.lang = l.lang)::double as f from scores s join articles a using (id), (select distinct lang from articles) l), r as (select component, facet, rank() over (partition by component, facet order by score) + (count(*) over (partition by component, facet, score) - 1) / 2 as rx, rank() over (partition by component, facet order by f) + (count(*) over (partition by component, facet, f) - 1) / 2 as ry from x), c as (select component, facet, corr(rx, ry) as rho from r group by 1, 2), z as (select component, facet, abs(avg(f) filter (tail = 'high') - avg(f) filter (tail = 'low')) as gap from x join tails using (component, id) group by 1, 2), sd as (select component, facet, stddev_pop(f) as sd from x group by 1, 2)"
 
 
