@@ -63,8 +63,9 @@ def few(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 def keyed(df: DataFrame, id_col: str) -> tuple[DataFrame, str]:
     """The frame with a number that no two rows share, and the name of that column.
 
-    A row whose id is its own has that id; rows that share an id or have none get numbers below all ids, and only these
-    rows are written, so that their numbers stay.
+    A row whose id is its own has that id.  Rows that share an id or have none get numbers below all ids, by the order of
+    their hashed contents: the same rows get the same numbers on every cluster, and rows that are equal in all columns are
+    interchangeable.  Only these rows are written.
     """
     key, id_ = free_name(df, "_row"), column(df, id_col).cast("long")
     ids = df.select(id_.alias("_id"))
@@ -81,8 +82,22 @@ def keyed(df: DataFrame, id_col: str) -> tuple[DataFrame, str]:
         rows.append(df.filter(id_.isNull()))
     least = ids.agg(F.least(F.min("_id"), F.lit(0))).first()[0] or 0
     odd = rows[0] if len(rows) == 1 else rows[0].union(rows[1])
-    odd = written(odd.withColumn(key, F.lit(least - 1) - F.monotonically_increasing_id()), "odd-rows")
-    return own.withColumn(key, id_).union(odd), key
+    return own.withColumn(key, id_).union(_numbered(odd, key, least - 1)), key
+
+
+def _numbered(df: DataFrame, key: str, first: int) -> DataFrame:
+    """The frame, written, with numbers from ``first`` downwards in the order of the rows' hashed contents.
+
+    Rows are dealt by range, equal ones over several ranges; each range goes on from those before it.
+    """
+    content = F.to_json(F.struct(*[column(df, c).alias(f"c{i}") for i, c in enumerate(df.columns)]))
+    part, tie, *hashes = (free_name(df, c) for c in ("_part", "_tie", "_first", "_second"))
+    rows = df.withColumn(hashes[0], F.xxhash64(content)).withColumn(hashes[1], F.xxhash64(F.lit(1), content)).withColumn(tie, F.xxhash64(F.monotonically_increasing_id()))
+    rows = written(rows.repartitionByRange(*hashes, tie).withColumn(part, F.spark_partition_id()), "odd-rows")
+    base = free_name(rows, "_base")
+    rows = with_base(rows, part, F.lit(1), base)
+    place = F.row_number().over(Window.partitionBy(part).orderBy(*hashes, tie)) + F.col(base)
+    return rows.withColumn(key, F.lit(first + 1) - place).select(*[column(rows, c) for c in df.columns], key)
 
 
 def partitions(spark: SparkSession) -> int:
