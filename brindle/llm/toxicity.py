@@ -179,6 +179,16 @@ def _sampled(labels: DataFrame, where: Column | None, label_col: str) -> DataFra
     return parts[0].unionByName(parts[1])
 
 
+def fitting(sizes: np.ndarray, most: int) -> np.ndarray:
+    """Places of the documents that are learned from: each that still fits, in order, or else the shortest one."""
+    taken, found = 0, []
+    for i, size in enumerate(sizes.tolist()):
+        if taken + size <= most:
+            taken += size
+            found.append(i)
+    return np.array(found or np.argsort(sizes, kind="stable")[:1].tolist(), np.int64)
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, where: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", lang_col: str | None = None) -> tuple[Network, dict[str | None, float]]:
     """The network, and a threshold for each language (and for None, which holds for any other).
 
@@ -200,11 +210,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, where: Column | None = None, id_c
     found = written(known.select("text", "label", "lang", "id").mapInArrow(run, "slots binary, label int, lang string, id long"), "toxicity-sample")
     found = found.withColumn("order", F.xxhash64("id", "slots"))
     sizes = found.select("label", "order", F.octet_length("slots").alias("size")).toPandas().sort_values(["label", "order"])  # TOXIC + CLEAN rows of three numbers
-    within = sizes[sizes.groupby("label")["size"].cumsum() <= SLOT_BYTES].groupby("label")["order"].max()
-    wanted = F.lit(False)
-    for y, last in within.items():
-        wanted = wanted | (F.col("label") == int(y)) & (F.col("order") <= int(last))
-    rows = found.filter(wanted).select("slots", "label", "lang", "id", "order").toArrow().sort_by([("id", "ascending"), ("order", "ascending")])
+    chosen = [(int(y), int(o)) for y, own in sizes.groupby("label") for o in own["order"].to_numpy()[fitting(own["size"].to_numpy(), SLOT_BYTES)]]
+    wanted = docs.sparkSession.createDataFrame(chosen, "label int, order long").distinct()
+    rows = found.join(F.broadcast(wanted), ["label", "order"], "left_semi").select("slots", "label", "lang", "id", "order").toArrow().sort_by([("id", "ascending"), ("order", "ascending")])
     texts = [np.frombuffer(x.as_buffer(), np.int32).reshape(1 + len(PREFIXES), -1) for x in rows.column("slots")]
     labels_, langs = rows.column("label").to_numpy(), rows.column("lang").to_pylist()
     of_kind = [np.flatnonzero(labels_ == y) for y in (0, 1)]
