@@ -434,10 +434,9 @@ def test_language_models_tell_urls_apart(spark):
     assert np.mean([(r.verdict == "block") == (r.page_id < 500) for r in rows]) > 0.95
 
 
-@pytest.mark.parametrize("few_rows", [100, 4096])  # with an index, and in one bucket
-def test_neighbours(spark, monkeypatch, few_rows):
-    monkeypatch.setattr(neighbours, "FEW_ROWS", few_rows)
-    monkeypatch.setattr(neighbours, "ROWS_IN_BUCKET", 24)
+@pytest.mark.parametrize("in_bucket", [24, 192])
+def test_neighbours(spark, monkeypatch, in_bucket):
+    monkeypatch.setattr(neighbours, "ROWS_IN_BUCKET", in_bucket)
     rng = np.random.default_rng(6)
     x = rng.normal(size=(1500, 16)) * rng.uniform(0.5, 2, size=(1500, 1))
     x[100:140] = x[100]  # ties
@@ -463,3 +462,80 @@ def test_few_and_no_neighbours(spark):
     got = [(r.query_id, r.rank, r.vec_id, r.score) for r in neighbours.search(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1, 0.5), (0, 2, 2, 0.5), (0, 3, 20, 0.0), (20, 1, 0, 0.0), (20, 2, 1, -0.5), (20, 3, 2, -0.5)]
     assert neighbours.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_smallest_table_goes_through_the_index(spark, sf_dir):
+    """500 vectors: several buckets in every table, and most of the true neighbours."""
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    _, entries, visits, _ = neighbours._candidates(v, F.col("vec_id") % 20 == 0, 20, 11, "vec_id", "embedding")
+    assert entries.select("bucket").distinct().count() > neighbours.TABLES and visits.select("bucket").distinct().count() > neighbours.TABLES
+    rows = v.select("vec_id", "embedding").toPandas()
+    x, ids = np.array(rows.embedding.tolist(), np.float64), rows.vec_id.to_numpy()
+    got = neighbours.search(v, F.col("vec_id") % 20 == 0).toPandas()
+    hits = 0
+    for q in ids[ids % 20 == 0]:
+        score = x @ x[ids == q][0]
+        score[ids == q] = -np.inf
+        hits += len(set(ids[np.lexsort((ids, -score))[:20]]) & set(got[got.query_id == q].vec_id))
+    assert len(got) == (ids % 20 == 0).sum() * 20 and hits / len(got) >= 0.9
+
+
+@pytest.fixture
+def shared_ids(spark):
+    """Rows without ids, with shared ids, and equal ones."""
+    texts = ["a few words of text", "other words in a longer text than that", "one", None]
+    rows = [(None if i % 3 == 0 else i % 7, texts[i * i % 4] if i % 5 else f"text number {i}", f"s{i % 2}", i // 9) for i in range(200)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, more int")
+
+
+def test_numbers_do_not_depend_on_partitions(spark, shared_ids):
+    """What has no id of its own is drawn by its contents, however the rows are dealt."""
+    from brindle.llm._common import keyed
+
+    found = []
+    for parts in (1, 3, 16):
+        df = shared_ids.repartition(parts, "text") if parts > 1 else shared_ids.coalesce(1)
+        rows, key = keyed(df, "doc_id")
+        numbers = {r[key]: tuple(r)[:4] for r in rows.collect()}
+        mix = sorted(map(repr, mixing.mixed(df).collect()))
+        found.append((numbers, mix))
+    assert len(found[0][0]) == 200 and found[0] == found[1] == found[2]
+
+
+def test_draw_does_not_depend_on_partitions(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.withColumn("doc_id", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id")))
+    found = [sorted(map(repr, quality.resampled(d, labels).collect())) for d in (docs.coalesce(1), docs.repartition(7))]
+    assert found[0] == found[1] and 0 < len(found[0]) < docs.count()
+
+
+def test_one_long_document_does_not_keep_others_from_being_learned(spark, sf_dir, monkeypatch):
+    assert toxicity.fitting(np.array([50, 3, 4, 90, 2]), 10).tolist() == [1, 2, 4] and toxicity.fitting(np.array([50, 30, 40]), 10).tolist() == [1]
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    monkeypatch.setattr(toxicity, "SLOT_BYTES", 20_000)
+    rows = toxicity.held_out_scores(docs, labels).collect()
+    assert len(rows) == docs.count() and len({r.score for r in rows}) > 10
+
+
+def test_toxicity_scores_as_a_plain_pass(spark, sf_dir):
+    """Scores from loops over words, filters and their widths; and held-out labels."""
+    docs, labels = (spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    net, _ = toxicity.fit(docs, labels, where=~toxicity.held_out(F.col("_labelled")))
+    some = [r.text for r in docs.orderBy(F.length("text")).limit(40).collect()] + [None, "", "one"]
+    got = {r.doc_id: r.score for r in toxicity.with_score(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string"), net).collect()}
+    for i, text in enumerate(some):
+        _, raw, offsets = next(iter(toxicity.chunks(pa.array([text], pa.string()))))
+        slots, _ = toxicity.term_slots(raw, offsets)
+        vectors = [sum(net.tables[k][slots[k, w]].astype(float) for k in range(len(slots))) for w in range(slots.shape[1])]
+        total = net.out_bias
+        for k, width in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                best = max(0.0, net.bias[k][f])  # what stands behind a text is zeros
+                for start in range(len(vectors)):
+                    value = net.bias[k][f] + sum(float(vectors[start + j] @ net.filters[k][j][:, f]) for j in range(width) if start + j < len(vectors))
+                    best = max(best, value)
+                total += best * net.out[k * toxicity.FILTERS + f]
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-np.clip(net.scale[0] * total + net.scale[1], -30, 30))), abs=1e-4)
+    held = toxicity.held_out_scores(docs, labels).filter("held_out").join(labels.filter("toxic is not null"), "doc_id").toPandas()
+    pos, neg = held[held.toxic == 1].score.to_numpy(), held[held.toxic == 0].score.to_numpy()
+    assert ((pos[:, None] > neg[None]).mean() + (pos[:, None] == neg[None]).mean() / 2) > 0.9
