@@ -16,12 +16,18 @@ FACTORS = {
     "fuel_prices": ("fuel", "jet fuel", "oil", "brent", "energy prices", "fuel cost", "oil price"),
     "labor_union": ("union", "strike", "industrial action", "wage", "pilot union", "cabin crew"),
     "route_network": ("route", "capacity", "load factor", "network", "frequencies", "slot"),
-    "regulatory": ("regulator", "regulatory", "approval", "block", "fine"),
+    "regulatory": ("regulator", "regulatory", "accc", "acma", "apra", "casa", "approval", "block", "fine"),
     "covid": ("covid", "pandemic", "reopening", "lockdown", "travel restrictions"),
     "executive_comp": ("executive comp", "ceo pay", "bonus", "remuneration", "exec compensation"),
-    "competition": ("competitor", "competition", "airline rivalry", "price war"),
-    "technical_flow": ("ex-dividend", "technical", "profit-taking", "rebalancing", "index inclusion"),
-    "reputation": ("reputation", "brand", "customer service", "scandal", "trust"),
+    "competition": ("competitor", "competition", "virgin", "rex", "airline rivalry", "price war"),
+    "technical_flow": ("ex-dividend", "technical", "profit-taking", "rebalancing", "index inclusion", "ftse", "asx"),
+    "reputation": ("reputation", "brand", "customer service", "scandal", "shonky", "trust"),
+    "agm_vote": ("agm", "remuneration vote", "two-strikes", "shareholder meeting"),
+    "analyst_action": ("analyst", "broker", "downgrade", "upgrade", "target price", "recommendation"),
+    "earnings_guidance": ("earnings", "guidance", "profit", "ebit", "revenue", "forecast"),
+    "operations_safety": ("safety", "incident", "engine", "maintenance", "delay", "cancellation"),
+    "partnership_mna": ("code share", "partnership", "alliance", "merger", "acquisition", "joint venture"),
+    "macro_fx": ("macro", "inflation", "interest rate", "fx", "australian dollar", "aud"),
 }
 
 
@@ -94,23 +100,20 @@ class Scaler:
         return df.withColumns({c: (F.col(c) - F.lit(m)) / F.lit(self.deviations[c]) for c, m in self.means.items()})
 
 
-def singular(text: Column) -> Column:
-    return F.regexp_replace(text, r"s$", "")
-
-
 def canonical_factors(df: DataFrame, column: str, *, factors: dict[str, tuple[str, ...]] = FACTORS, out: str = "canonical") -> DataFrame:
-    """The first factor whose key is the name, or else one of whose synonyms holds the name or is held by it; tried again without a final s.
+    """The factor whose key is the name, or else the first one of whose synonyms holds the name or is held by it.
 
-    Names repeat, so the small table of synonyms is searched once for each different name.  The empty name is held by
-    every synonym and so gets the first factor.
+    A name without one is tried again with "price" for "prices" and "cost" for "costs", for the first factor whose key or
+    one of whose synonyms it holds.  Case and white space around the name don't count.  Names repeat, so the small table of
+    synonyms is searched once for each different name.  The empty name is held by every synonym and so gets the first factor.
     """
     spark = df.sparkSession
     rows = [(n, key, s) for n, (key, names) in enumerate(factors.items()) for s in names]
     table = F.broadcast(spark.createDataFrame(rows, "_order int, _key string, _synonym string"))
-    names = df.select(column).distinct().filter(F.col(column).isNotNull()).withColumn("_raw", F.lower(F.trim(column)))
-    holds = lambda a: F.contains(a, F.col("_synonym")) | F.contains(F.col("_synonym"), a)
-    exact = F.translate(F.col("_raw"), " ", "_")
-    place = F.when(exact == F.col("_key"), F.col("_order") - 1000).when(holds(F.col("_raw")), F.col("_order")).when(holds(singular(F.col("_raw"))), F.col("_order") + 1000)
+    names = df.select(column).distinct().filter(F.col(column).isNotNull()).withColumn("_raw", F.lower(F.regexp_replace(column, r"^\s+|\s+$", "")))
+    again = F.replace(F.replace("_raw", F.lit("prices"), F.lit("price")), F.lit("costs"), F.lit("cost"))
+    holds = F.contains("_raw", "_synonym") | F.contains("_synonym", "_raw")
+    place = F.when(F.col("_raw") == F.col("_key"), -1).when(holds, F.col("_order")).when(F.contains(again, F.col("_key")) | F.contains(again, F.col("_synonym")), F.col("_order") + len(factors))
     found = names.join(table, place.isNotNull()).groupBy(F.col(column).alias("_name")).agg(F.min_by("_key", place).alias(out))
     return df.join(found, F.col(column) == F.col("_name"), "left").drop("_name")
 

@@ -25,7 +25,7 @@ THEME_BANDS = (
     (2021, 2023, {"climate": 0.55, "human_rights": 0.3, "governance": 0.1, "litigation": 0.05}),
     (2024, 9999, {"climate": 0.4, "human_rights": 0.25, "governance": 0.15, "first_nations": 0.15, "tax": 0.05}),
 )
-GOVERNANCE_WORDS = ("penalty", "fine", "civil penalty", "settlement", "court", "lawsuit", "class action", "remuneration", "say on pay", "remuneration report", "bonus", "executive pay", "shareholder vote", "regulator", "regulatory")
+GOVERNANCE_WORDS = ("penalty", "fine", "civil penalty", "settlement", "court", "lawsuit", "class action", "remuneration", "say on pay", "remuneration report", "bonus", "executive pay", "shareholder vote", "accc", "asic", "regulator", "regulatory")
 GOVERNANCE_CATEGORIES = ("governance", "legal", "regulatory", "compliance")
 AWARD_WORDS = ("ranking", "tops", "award", "accolade", "list", "wins")
 PRIVACY_WORDS = ("data breach", "privacy", "crm")

@@ -181,32 +181,53 @@ def q23(spark, d):
     return out.select("doc_id", "run", F.round("quantity", 6).alias("quantity"), F.round("score", 6).alias("score"))
 
 
-FACTORS = {"colour": ("red", "green"), "ring": ("rings", "small ring"), "size": ("small", "large")}
+#: All synonyms, in order; the SQL knows them with their factors.
+SYNONYMS = tuple(s for names in E.FACTORS.values() for s in names)
+FACTOR_SQL = "fs as (select * from (values " + ", ".join(f"({n}, '{k}', '{s}')" for n, (k, names) in enumerate(E.FACTORS.items()) for s in names) + ") v(n, key, syn)), sy as (select [" + ", ".join(f"'{s}'" for s in SYNONYMS) + "] as l)"
+_RULE = "case when r = key then -1 when contains(r, syn) or contains(syn, r) then n when contains(replace(replace(r, 'prices', 'price'), 'costs', 'cost'), key) or contains(replace(replace(r, 'prices', 'price'), 'costs', 'cost'), syn) then n + 100 end"
+CANON = f"canon as (select name, arg_min(key, place) as canonical from (select name, key, {_RULE} as place from (select distinct name, trim(lower(name)) as r from names), fs) where place is not null group by 1)"
 
 
-@query("Q25_canonical_factor", "select p_partkey, p_name, case when contains(p_name, 'red') or contains(p_name, 'green') then 'colour' when contains('rings', p_name) or contains('small ring', p_name) or contains(p_name, 'rings') or contains(p_name, 'small ring') then 'ring' when contains(p_name, 'small') or contains(p_name, 'large') then 'size' end as canonical from part")
+def named_factors(key, word):
+    """Names as models write them: a synonym, one inside other words, a part of one, plurals, keys, and words that are no factor."""
+    n, keys = len(SYNONYMS), list(E.FACTORS)
+    synonym = F.element_at(F.array(*[F.lit(s) for s in SYNONYMS]), (key % n + 1).cast("int"))
+    kind = (F.floor(key / n) % 6).cast("int")
+    return F.when(kind == 0, synonym).when(kind == 1, F.concat(F.upper(word), F.lit(" "), synonym)).when(kind == 2, F.substring(synonym, 1, 5)).when(kind == 3, F.concat(F.lit(" "), synonym, F.lit(" costs "))).when(kind == 4, F.element_at(F.array(*[F.lit(k) for k in keys]), (key % len(keys) + 1).cast("int"))).otherwise(word)
+
+
+def named_sql(key, word):
+    keys = "[" + ", ".join(f"'{k}'" for k in E.FACTORS) + "]"
+    synonym = f"l[({key} % {len(SYNONYMS)} + 1)::int]"
+    return f"case {key} // {len(SYNONYMS)} % 6 when 0 then {synonym} when 1 then upper({word}) || ' ' || {synonym} when 2 then substr({synonym}, 1, 5) when 3 then ' ' || {synonym} || ' costs ' when 4 then {keys}[({key} % {len(E.FACTORS)} + 1)::int] else {word} end"
+
+
+@query("Q25_canonical_factor", f"with {FACTOR_SQL}, names as (select p_partkey, {named_sql('p_partkey', 'p_name')} as name from part, sy), {CANON} select p_partkey, name, canonical from names left join canon using (name)")
 def q25(spark, d):
-    return E.canonical_factors(V.table(spark, d, "part").select("p_partkey", "p_name"), "p_name", factors=FACTORS)
+    names = V.table(spark, d, "part").select("p_partkey", named_factors(F.col("p_partkey"), F.col("p_name")).alias("name"))
+    return E.canonical_factors(names, "name")
 
 
 def factors(spark, d):
+    """An extraction's run as a factor, named by its part; its direction, weight and confidence are the run's."""
     direction = F.when(F.col("label") == "A", "positive").when(F.col("label") == "R", "negative").otherwise("neutral")
     centrality = F.when(F.col("run") == 1, "primary").when(F.col("run") == 2, "secondary").otherwise("other")
-    canonical = F.when(F.col("topic") == "O", "open").when(F.col("run") < 5, "filled")
-    return runs(spark, d).select("doc_id", "run", canonical.alias("canonical"), direction.alias("direction"), centrality.alias("centrality"), (F.col("score") > 0.04).alias("causal"), F.col("confidence"))
+    rows = runs(spark, d).select("doc_id", "run", named_factors(F.col("part"), F.col("topic")).alias("name"), direction.alias("direction"), centrality.alias("centrality"), (F.col("score") > 0.04).alias("causal"), F.col("confidence"))
+    return E.canonical_factors(rows, "name")
 
 
 W = "case run when 1 then 1.0::double when 2 then 0.6::double else 0.5::double end * confidence"
-SUMS = ", ".join(f"coalesce(round(sum({W}) filter ({on} and {when}), 6), 0) as {n}__{c}" for n, on in (("open", "topic = 'O'"), ("filled", "topic <> 'O' and run < 5")) for c, when in (("pos", "label = 'A'"), ("neg", "label = 'R'"), ("causal", "score > 0.04")))
+SUMS = ", ".join(f"coalesce(round(sum({W}) filter (canonical = '{n}' and {when}), 6), 0) as {n}__{c}" for n in E.FACTORS for c, when in (("pos", "label = 'A'"), ("neg", "label = 'R'"), ("causal", "score > 0.04")))
+NAMED = f", {FACTOR_SQL}, names as (select runs.*, {named_sql('part', 'topic')} as name from runs, sy), {CANON}"
 
 
-@query("Q26_factor_features", f"select doc_id, {SUMS} from runs group by 1", "runs")
+@query("Q26_factor_features", f"{NAMED} select doc_id, {SUMS} from names left join canon using (name) group by 1", "runs")
 def q26(spark, d):
     f = factors(spark, d)
-    return E.factor_features(f.select("doc_id").distinct(), f, "doc_id", names=("open", "filled"))
+    return E.factor_features(f.select("doc_id").distinct(), f, "doc_id", names=tuple(E.FACTORS))
 
 
-@query("Q27_factor_rows", "select doc_id, cast(run - 1 as int) as place, case when topic = 'O' then 'open' when run < 5 then 'filled' end as canonical, confidence from runs", "runs")
+@query("Q27_factor_rows", f"{NAMED} select doc_id, cast(run - 1 as int) as place, canonical, confidence from names left join canon using (name)", "runs")
 def q27(spark, d):
     docs = factors(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("run", "canonical", "confidence"))).alias("factors"))
     return E.factor_rows(docs, "doc_id", "factors").select("doc_id", "place", "canonical", "confidence")

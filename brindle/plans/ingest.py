@@ -196,13 +196,13 @@ def f5(spark, d):
     return V.articles(spark, d).select("id", X.matched(F.concat_ws(" ", "title", "description"), WORDS).alias("matched"))
 
 
-_T = "lower(title)"
+_T = "lower(description)"
 _SUM = " + ".join(f"case when contains({_T}, '{w}') then {p} else 0 end" for w, p in (("tion", 2.0), ("ing", 2.0), ("er", 1.0), ("on", 1.0), ("an", 1.5)))
 
 
 @query("F6_relevance", f"select id, least(10.0::double, (case when contains({_T}, 'the') then 5.0 when contains({_T}, 'th') then 3.0 else 0 end + {_SUM} + case when contains({_T}, 'th') and source in ('src1', 'src2') then 2.0 else 0 end)::double) as score from articles", "articles")
 def f6(spark, d):
-    score = X.relevance(F.col("title"), F.col("source").isin("src1", "src2"), name="the", short="th", damage=("tion", "ing"), industry=("er", "on"), executive=("an",))
+    score = X.relevance(F.col("description"), F.col("source").isin("src1", "src2"), name="the", short="th", damage=("tion", "ing"), industry=("er", "on"), executive=("an",))
     return V.articles(spark, d).select("id", score.alias("score"))
 
 
@@ -223,9 +223,9 @@ def f9(spark, d):
     return V.articles(spark, d).select("id", X.normal_form(F.col("description")).alias("clean"))
 
 
-@query("F10_dataset_text", r"select id, regexp_replace(lower(title), '[^\p{L}\p{N}_\s]', '', 'g') as title from articles where length(regexp_replace(lower(title), '[^\p{L}\p{N}_\s]', '', 'g')) >= 50", "articles")
+@query("F10_dataset_text", r"select id, regexp_replace(lower(description), '[^\p{L}\p{N}_\s]', '', 'g') as description from articles where length(regexp_replace(lower(description), '[^\p{L}\p{N}_\s]', '', 'g')) >= 50", "articles")
 def f10(spark, d):
-    return X.dataset_text(V.articles(spark, d).select("id", "title"), "title", remove_special=True, least=50)
+    return X.dataset_text(V.articles(spark, d).select("id", "description"), "description", remove_special=True, least=50)
 
 
 #: Groups of response and stakeholder names.

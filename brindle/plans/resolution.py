@@ -140,7 +140,7 @@ def d8(spark, d):
     return v.join(w, "a").select("a", "b", (S.dot(F.col("vector"), F.col("other")) > 0.1).alias("similar"))
 
 
-EVENTS = "ev as (select source as event, 'strike of ' || source as name, date '2024-01-15' as date, lang as entity from (select source, min(lang) as lang from documents group by 1)), ar as (select source as event, date '2023-06-01' + cast(doc_id % 400 as int) as date, text from documents where source <> 'src3' or doc_id % 400 between 220 and 240)"
+EVENTS = "ev as (select source as event, 'strike of ' || source as name, date '2024-01-15' as date, lang as entity from (select source, min(lang) as lang from documents group by 1)), ar as (select source as event, date '2023-06-01' + cast(doc_id % 400 as int) as date, text from documents)"
 
 
 def events(spark, d):
@@ -148,7 +148,7 @@ def events(spark, d):
 
 
 def event_articles(spark, d):
-    rows = V.table(spark, d, "documents").filter("source <> 'src3' or doc_id % 400 between 220 and 240")
+    rows = V.table(spark, d, "documents")
     return rows.select(F.col("source").alias("event"), F.date_add(F.lit("2023-06-01").cast("date"), (F.col("doc_id") % 400).cast("int")).alias("date"), "text")
 
 

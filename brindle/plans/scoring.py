@@ -9,7 +9,7 @@ from . import views as V
 from .registry import query
 
 STOP = "[" + ", ".join(f"'{w}'" for w in R.STOP_WORDS) + "]"
-TOKENS = r"list_distinct(list_filter(regexp_split_to_array(lower(title), '\s+'), lambda x: x <> ''))"
+TOKENS = r"list_distinct(list_filter(regexp_split_to_array(lower(description), '\s+'), lambda x: x <> ''))"
 
 
 def tokens(column):
@@ -23,18 +23,18 @@ SIMILARITY = f"""least(1.0::double, len(list_intersect(ca, cb)) / len(list_disti
 
 @query("R1_issue_similarity", f", {PAIRS} select id, round({SIMILARITY}, 6) as similarity from paired", "articles")
 def r1(spark, d):
-    a = V.articles(spark, d).select("id", F.array("lang", "source").alias("ca"), tokens("title").alias("wa"))
+    a = V.articles(spark, d).select("id", F.array("lang", "source").alias("ca"), tokens("description").alias("wa"))
     b = a.select((F.col("id") - 4).alias("id"), F.col("ca").alias("cb"), F.col("wa").alias("wb"))
     return a.join(b, "id").select("id", F.round(R.issue_similarity(F.col("ca"), F.col("cb"), F.col("wa"), F.col("wb")), 6).alias("similarity"))
 
 
 THEMES = (("climate", ("tionre", "queux")), ("human_rights", ("heed",)), ("governance", ("onre", "src3")))
-THEME_SQL = """case when contains(lower(title), 'tionre') or contains(lower(title), 'queux') then 'climate' when contains(lower(title), 'heed') then 'human_rights' when contains(lower(title), 'onre') or contains(source, 'src3') then 'governance' else 'other' end"""
+THEME_SQL = """case when contains(lower(description), 'tionre') or contains(lower(description), 'queux') then 'climate' when contains(lower(description), 'heed') then 'human_rights' when contains(lower(description), 'onre') or contains(source, 'src3') then 'governance' else 'other' end"""
 
 
 @query("R2_theme", f"select id, {THEME_SQL} as theme from articles", "articles")
 def r2(spark, d):
-    return V.articles(spark, d).select("id", R.theme(F.col("title"), F.array("lang", "source"), THEMES).alias("theme"))
+    return V.articles(spark, d).select("id", R.theme(F.col("description"), F.array("lang", "source"), THEMES).alias("theme"))
 
 
 BANDS = "bands as (select * from (values " + ", ".join(f"({lo}, {hi}, '{t}', {w}::double)" for lo, hi, ws in R.THEME_BANDS for t, w in ws.items()) + ") v(lo, hi, theme, w))"

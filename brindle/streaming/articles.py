@@ -10,8 +10,25 @@ def stream(spark: SparkSession, path: str, schema, *, files: int = 1) -> DataFra
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def new_keys(rows: DataFrame, key: str, time: str, *, late: str = "90 days") -> DataFrame:
-    """The first row of each key within the watermark."""
+#: Keeps keyed state on disk, so that it may outgrow the executors' memory.
+ON_DISK = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def new_keys(rows: DataFrame, key: str, *, known: DataFrame | None = None) -> DataFrame:
+    """A row of each key that neither came before, however long ago and across restarts, nor is in the table ``known``.
+
+    Keys stay in the state for good; it is kept on disk.  Rows with an empty key, or none, are left out.  ``known`` is what was stored
+    before the stream began: it is only read, and a key that it has needs no state.
+    """
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ON_DISK)
+    rows = rows.filter(F.coalesce(F.col(key), F.lit("")) != "")
+    if known is not None:
+        rows = rows.join(known.select(key), key, "left_anti")
+    return rows.dropDuplicates([key])
+
+
+def new_keys_within(rows: DataFrame, key: str, time: str, *, late: str = "90 days") -> DataFrame:
+    """The first row of each key within the watermark: less state, but a key comes again after it."""
     return rows.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 

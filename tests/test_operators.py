@@ -78,8 +78,12 @@ def test_malformed_date_field_hides_the_url(spark):
 
 
 def test_empty_factor_name_is_the_first_factor(spark):
-    rows = E.canonical_factors(spark.createDataFrame([("",), ("Jet fuels",), ("weather",), (None,)], "name string"), "name").collect()
-    assert {r.name: r.canonical for r in rows} == {"": "fuel_prices", "Jet fuels": "fuel_prices", "weather": None, None: None}
+    names = {"": "fuel_prices", "Jet fuels": "fuel_prices", "weather": None, None: None, "wars": None, "\tMACRO_fx ": "macro_fx", "remuneration vote": "executive_comp", "cabin": "labor_union", "price wars": "competition", "macro_fx costs": "macro_fx"}
+    rows = E.canonical_factors(spark.createDataFrame([(n,) for n in names], "name string"), "name").collect()
+    assert {r.name: r.canonical for r in rows} == names
+    few = {"price_now": ("tariff",), "cost of x": ("levy",)}
+    rows = E.canonical_factors(spark.createDataFrame([("prices_now up",), ("the costs of x",)], "name string"), "name", factors=few).collect()
+    assert [r.canonical for r in rows] == ["price_now", "cost of x"]
 
 
 def test_scaler_must_be_fitted(spark):
