@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import information as I
 from ..operators import probes as P
 from ..operators import quality as Q
 from ..operators import similar as S
@@ -140,6 +141,26 @@ def m16_information(spark, d):
     return T.mutual_information(Q.quantile_bins(rows, "n"), "bin", F.col("lang") == "en")
 
 
+def _psi(n):
+    z = f"({n} + 6)::double"
+    terms = " - ".join(f"1 / ({n} + {i})::double" for i in range(6))
+    return f"(ln({z}) - 1 / (2 * {z}) - 1 / (12 * {z}^2) + 1 / (120 * {z}^4) - 1 / (252 * {z}^6) + 1 / (240 * {z}^8) - {terms})"
+
+
+NEAREST = f"""x as (select unnest(['chars', 'code']) as feature, unnest([length(description)::double, (id * 37 % 101)::double]) as v, lang as c, id from articles),
+s as (select *, least(3, size - 1) as k from (select *, count(*) over (partition by feature, c) as size from x) where size > 1),
+near as (select feature, id, v, c, size, k, d from (select a.*, abs(a.v - b.v) as d, row_number() over (partition by a.feature, a.id order by abs(a.v - b.v)) as place from s a join s b on a.feature = b.feature and a.c = b.c and a.id <> b.id) where place = k),
+m as (select n.feature, n.id, any_value(n.size) as size, any_value(n.k) as k, count(*) as m from near n join s on s.feature = n.feature and (abs(s.v - n.v) < n.d or s.v = n.v) group by 1, 2)
+select feature, round(greatest(0, {_psi('count(*)')} + avg({_psi('k')}) - avg({_psi('size')}) - avg({_psi('m')})), 6) as information from m group by 1"""
+
+
+@query("M16_nearest_information", f", {NEAREST}", "articles")
+def m16_nearest(spark, d):
+    rows = V.articles(spark, d).select(F.length("description").cast("double").alias("chars"), (F.col("id") * 37 % 101).cast("double").alias("code"), "lang")
+    found = [(f, round(I.nearest_information(rows, f, "lang"), 6)) for f in ("chars", "code")]
+    return spark.createDataFrame(found, "feature string, information double")
+
+
 @query("M17_oriented_scores", f", {SCORES}, {TAILS}, m as (select component, avg(v) filter (tail = 'high') as h, avg(v) filter (tail = 'low') as l from tails join (select id, length(title)::double + length(description) % 97 as v from articles) using (id) group by 1) select component, id, score * case when h < l then -1 else 1 end as score from scores join m using (component)", "articles")
 def m17(spark, d):
     reference = V.articles(spark, d).select("id", (F.length("title").cast("double") + F.length("description") % 97).alias("value"))

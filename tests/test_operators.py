@@ -329,6 +329,30 @@ def test_factors_as_of_the_dense_matrix(spark, monkeypatch):
     assert loss(own, found.weights) <= loss(w, h) * 1.01 and found.losses[-1] == pytest.approx(loss(own, found.weights), rel=1e-3)
 
 
+@pytest.mark.parametrize("block", [7, 100_000])
+def test_nearest_information_as_brute_force(spark, monkeypatch, block):
+    """Ties, values of one label only, a label of one row, and distances that differ by rounding."""
+    from brindle.operators import information as I
+
+    monkeypatch.setattr(I, "IN_BLOCK", block)
+    rng = random.Random(3)
+    rows = [(rng.choice([round(rng.random(), 1), rng.random(), rng.randrange(3) / 3]), rng.choice("abb")) for _ in range(120)]
+    rows = [(x + 0.3 * (y == "a"), y) for x, y in rows]
+    rows += [(0.5, "alone"), (None, "a"), (1.0, None), (float("nan"), "a"), (0.25, "two"), (0.75, "two")]
+    got = I.nearest_information(spark.createDataFrame(rows, "x double, y string").repartition(3), "x", "y")
+
+    own = [(x, y) for x, y in rows if x is not None and x == x and y not in (None, "alone")]
+    psi = lambda n: -0.5772156649015329 + sum(1 / i for i in range(1, n))
+    total = 0.0
+    for i, (x, y) in enumerate(own):
+        same = sorted(abs(x - v) for j, (v, w) in enumerate(own) if w == y and j != i)
+        k = min(3, len(same))
+        m = sum(abs(x - v) < same[k - 1] or v == x for v, _ in own)
+        total += psi(k) - psi(len(same) + 1) - psi(m)
+    assert got == pytest.approx(max(0, psi(len(own)) + total / len(own)), abs=1e-9) and got > 0
+    assert I.nearest_information(spark.createDataFrame([], "x double, y string"), "x", "y") == 0
+
+
 def test_prior_events_as_all_pairs(spark):
     """A hot company, few kinds, repeated days, long and short gaps, nulls; against every pair."""
     rng = random.Random(5)
