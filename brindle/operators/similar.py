@@ -1,8 +1,9 @@
 """Similarity of articles and events: pairs over a threshold, greedy passes in order, merging, and nearest neighbours.
 
-The greedy passes depend on the order of the items.  They are run in rounds over a table of edges: in a round every item
-decides whose earlier neighbours have all decided, which is what the pass would have found at its turn.  No component is
-ever gathered in a task.
+The greedy passes depend on the order of the items.  They begin with a few rounds over a table of edges: in a round every item
+decides whose earlier neighbours have all decided, which is what the pass would have found at its turn.  What is undecided then lies in
+chains.  Its connected components are found by doubling, and the pass walks through each of them in order, many components side by side; a
+component too large for a task has further rounds first, which break it up.
 """
 
 from __future__ import annotations
@@ -15,9 +16,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import ship
 from ..sources.articles import few, stored
+from .components import split, walked
 
 BLOCK = 512
+#: Rounds of a greedy pass before its components are walked through.
+ROUNDS = 3
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -101,20 +106,41 @@ def keyword_pairs(df: DataFrame, *, vocabulary: tuple[str, ...], threshold: floa
     return between.unionByName(same)
 
 
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.union(f)
+    return out
+
+
+def _removal():
+    gone: set[int] = set()
+
+    def step(*edge):
+        if edge and edge[1] not in gone and edge[0] not in gone:
+            gone.add(edge[1])
+            return [(edge[1],)]
+        return []
+
+    return step
+
+
 def greedy_kept(items: DataFrame, edges: DataFrame, *, key: str = "pos") -> DataFrame:
     """The items that stay when each in order goes if it is similar to an earlier one that stayed; edges (a, b) have a < b."""
     spark = items.sparkSession
-    open_ = stored(edges.select("a", "b"), "open-edges")
-    gone = []
+    ship(spark)
+    open_, gone, rounds = stored(edges.select("a", "b"), "open-edges"), [], 0
     while open_.limit(1).count():
+        if rounds and rounds % ROUNDS == 0:
+            small, open_ = split(open_, open_, "b")
+            gone.append(walked(small, [F.col("b"), F.col("a")], ("a", "b"), _removal, "k long"))
+        rounds += 1
         # who has no earlier neighbour left undecided stays; its later neighbours go
         stay = open_.select(F.col("a").alias("k")).distinct().join(open_.select(F.col("b").alias("k")).distinct(), "k", "left_anti")
         drop = stored(open_.join(stay.withColumnRenamed("k", "a"), "a", "left_semi").select(F.col("b").alias("k")).distinct(), "dropped")
         gone.append(drop)
         open_ = stored(open_.join(drop.withColumnRenamed("k", "a"), "a", "left_anti").join(drop.withColumnRenamed("k", "b"), "b", "left_anti").join(stay.withColumnRenamed("k", "a"), "a", "left_anti").select("a", "b"), "open-edges")
-    dropped = spark.createDataFrame([], "k long") if not gone else gone[0]
-    for g in gone[1:]:
-        dropped = dropped.union(g)
+    dropped = _union(gone) if gone else spark.createDataFrame([], "k long")
     return items.join(dropped, items[key] == dropped["k"], "left_anti")
 
 
@@ -155,11 +181,21 @@ def assign_to_events(items: DataFrame, edges: DataFrame, *, verdicts: DataFrame
         e = e.join(verdicts.select("a", "b", "same"), ["a", "b"], "left").withColumn("same", F.coalesce("same", F.lit(True)))
     else:
         e = e.withColumn("same", F.lit(True))
-    open_ = stored(e, "assign-edges")
+    ship(items.sparkSession)
+    open_, rounds = stored(e, "assign-edges"), 0
     done = []  # decided items that are no leaders, with their leader
     leaders: DataFrame = stored(items.select(F.col(key).alias("k")).join(open_.select(F.col("b").alias("k")).distinct(), "k", "left_anti"), "leaders")
     pending = stored(open_.select(F.col("b").alias("k")).distinct(), "pending")
     while pending.limit(1).count():
+        if rounds and rounds % ROUNDS == 0:
+            left = open_.join(pending.withColumnRenamed("k", "b"), "b", "left_semi").join(leaders.select(F.col("k").alias("a"), F.lit(1).cast("long").alias("leads")), "a", "left")
+            linked = left.select("a", "b").join(pending.withColumnRenamed("k", "a"), "a", "left_semi")
+            small, _ = split(left.select("a", "b", "dot", F.col("same").cast("long").alias("same"), F.coalesce("leads", F.lit(0)).alias("leads")), linked, "b")
+            decided = walked(small, [F.col("b"), F.desc("dot"), F.col("a")], ("a", "b", "same", "leads"), _assignment, "k long, leader long")
+            done.append(decided.filter("leader is not null"))
+            leaders = stored(leaders.union(decided.filter("leader is null").select("k")), "leaders")
+            pending = stored(pending.join(decided.select("k"), "k", "left_anti"), "pending")
+        rounds += 1
         waiting = open_.join(pending.withColumnRenamed("k", "a"), "a", "left_semi").select(F.col("b").alias("k")).distinct()
         ready = pending.join(waiting, "k", "left_anti")
         options = open_.join(ready.withColumnRenamed("k", "b"), "b", "left_semi").join(leaders.withColumnRenamed("k", "a"), "a", "left_semi")
@@ -174,6 +210,34 @@ def assign_to_events(items: DataFrame, edges: DataFrame, *, verdicts: DataFrame
     return out
 
 
+def _assignment():
+    """Edges come by item, best first: the first one to a leader counts."""
+    leaders: set[int] = set()
+    now, open_ = None, False
+
+    def step(*edge):
+        nonlocal now, open_
+        out = []
+        if now is not None and open_ and (not edge or edge[1] != now):  # no leader was near
+            leaders.add(now)
+            out.append((now, None))
+            open_ = False
+        if edge:
+            a, b, same, leads = edge
+            if b != now:
+                now, open_ = b, True
+            if open_ and (leads or a in leaders):
+                open_ = False
+                if same:
+                    out.append((b, a))
+                else:
+                    leaders.add(b)
+                    out.append((b, None))
+        return out
+
+    return step
+
+
 def merged_once(events: DataFrame, edges: DataFrame, *, verdicts: DataFrame | None = None, key: str = "pos") -> DataFrame:
     """(pos, into): in order, each event that wasn't taken takes the best later one that is free; a refused best is not replaced.
 
@@ -185,9 +249,14 @@ def merged_once(events: DataFrame, edges: DataFrame, *, verdicts: DataFrame | No
         e = e.join(verdicts.select("a", "b", "same"), ["a", "b"], "left").withColumn("same", F.coalesce("same", F.lit(True)))
     else:
         e = e.withColumn("same", F.lit(True))
-    open_ = stored(e, "merge-edges")
-    taken = []
+    ship(events.sparkSession)
+    open_, taken, rounds = stored(e, "merge-edges"), [], 0
     while open_.limit(1).count():
+        if rounds and rounds % ROUNDS == 0:
+            small, open_ = split(open_.select("a", "b", "weight", F.col("same").cast("long").alias("same")), open_, "a")
+            taken.append(walked(small, [F.col("a"), F.desc("weight"), F.col("b")], ("a", "b", "same"), _merging, "k long, into long"))
+            open_ = open_.withColumn("same", F.col("same") == 1)
+        rounds += 1
         # the earliest undecided event that may take each event
         first = open_.groupBy(F.col("b").alias("k")).agg(F.min("a").alias("first"))
         blocked_self = open_.select(F.col("a").alias("k")).distinct().join(first, "k", "left_semi")
@@ -202,12 +271,31 @@ def merged_once(events: DataFrame, edges: DataFrame, *, verdicts: DataFrame | No
     out = events.select(key)
     if not taken:
         return out.withColumn("into", F.col(key))
-    all_taken = taken[0]
-    for t in taken[1:]:
-        all_taken = all_taken.union(t)
+    all_taken = _union(taken)
     return out.join(all_taken, out[key] == all_taken["k"], "left").select(key, F.coalesce("into", key).alias("into"))
 
 
+def _merging():
+    """Edges come by event, best first: the first one to a free event counts, unless the event itself was taken."""
+    taken: set[int] = set()
+    done = None
+
+    def step(*edge):
+        nonlocal done
+        if not edge:
+            return []
+        a, b, same = edge
+        if a == done or a in taken or b in taken:
+            return []
+        done = a
+        if not same:
+            return []
+        taken.add(b)
+        return [(b, a)]
+
+    return step
+
+
 def merge_weights(pairs: DataFrame, dates: DataFrame, *, near: float = 0.4, far: float = 0.7) -> DataFrame:
     """(a, b, weight): the dot product less up to half of it by the days between; pairs over a year apart need more."""
     d1, d2 = dates.select(F.col("pos").alias("a"), F.col("date").alias("da")), dates.select(F.col("pos").alias("b"), F.col("date").alias("db"))

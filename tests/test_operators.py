@@ -177,6 +177,48 @@ def test_merging_as_the_pass_in_order(spark):
     assert got == into
 
 
+@pytest.mark.parametrize("most", [2_000_000, 300])
+def test_greedy_passes_on_long_chains(spark, monkeypatch, most):
+    """Chains longer than any number of rounds, side by side with smaller groups, in components that are walked through and in some that aren't."""
+    from brindle.operators import components as C
+
+    n = 4_000 if most > 300 else 260
+    monkeypatch.setattr(C, "MOST_EDGES", most)
+    monkeypatch.setattr(S, "ROUNDS", 1 if most > 300 else 2)
+    rng = random.Random(7)
+    pairs = {(i, i + 1): 1.0 for i in range(n - 1)} | {(i, i + 2): 0.5 for i in range(0, n - 2, 7)}
+    pairs |= {tuple(sorted(rng.sample(range(n, n + 400), 2))): rng.choice([0.5, 0.75, 1.0]) for _ in range(420)}
+    refused = {p for p in pairs if (p[0] * 7 + p[1]) % 5 == 0}
+    items = spark.range(n + 400).withColumnRenamed("id", "pos")
+    edges = spark.createDataFrame([(a, b, w, w) for (a, b), w in pairs.items()], "a long, b long, dot double, weight double").repartition(5)
+    verdicts = spark.createDataFrame([(a, b, (a, b) not in refused) for a, b in pairs], "a long, b long, same boolean")
+    before = {b: [] for b in range(n + 400)}
+    for (a, b), w in pairs.items():
+        before[b].append((-w, a))
+
+    gone: set = set()
+    for b in range(n + 400):
+        if any(a not in gone for _, a in before[b]):
+            gone.add(b)
+    assert {r.pos for r in S.greedy_kept(items, edges).collect()} == set(range(n + 400)) - gone
+
+    event: dict = {}
+    for b in range(n + 400):
+        best = min(((w, a) for w, a in before[b] if event[a] == a), default=None)
+        event[b] = best[1] if best and (best[1], b) not in refused else b
+    assert {r.pos: r.event for r in S.assign_to_events(items, edges, verdicts=verdicts).collect()} == event
+
+    into = {i: i for i in range(n + 400)}
+    behind = {a: [] for a in range(n + 400)}
+    for (a, b), w in pairs.items():
+        behind[a].append((-w, b))
+    for a in range(n + 400):
+        free = [(w, b) for w, b in behind[a] if into[b] == b]
+        if into[a] == a and free and (a, min(free)[1]) not in refused:
+            into[min(free)[1]] = a
+    assert {r.pos: r.into for r in S.merged_once(items, edges, verdicts=verdicts).collect()} == into
+
+
 def test_greedy_on_chains_and_without_edges(spark):
     items = spark.range(4).withColumnRenamed("id", "pos")
     chain = spark.createDataFrame([(0, 1), (1, 2), (2, 3)], "a long, b long")
@@ -337,7 +379,7 @@ def test_nearest_information_as_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(I, "IN_BLOCK", block)
     rng = random.Random(3)
     rows = [(rng.choice([round(rng.random(), 1), rng.random(), rng.randrange(3) / 3]), rng.choice("abb")) for _ in range(120)]
-    rows = [(x + 0.3 * (y == "a"), y) for x, y in rows]
+    rows = [(x + 2 * (y == "a"), y) for x, y in rows]
     rows += [(0.5, "alone"), (None, "a"), (1.0, None), (float("nan"), "a"), (0.25, "two"), (0.75, "two")]
     got = I.nearest_information(spark.createDataFrame(rows, "x double, y string").repartition(3), "x", "y")
 
