@@ -20,7 +20,10 @@ from .. import ship
 from ..sources.articles import few, stored
 from .components import split, walked
 
-BLOCK = 512
+#: Vectors in a block, others that they are grouped around at most, and blocks that a query meets before it has bounds.
+BLOCK, PIVOTS, FIRST = 512, 1_024, 2
+#: Words in one whole number of a mask, and masks in a block.
+BITS, MASKS = 62, 2_048
 #: Rounds of a greedy pass before its components are walked through.
 ROUNDS = 3
 
@@ -33,38 +36,112 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+def _packed(rows: DataFrame, name: str, *, most: int, unit: bool = False) -> DataFrame:
+    """(band, dim, id, items, centre, length, radius) of blocks of about ``most`` vectors (k, v, band) each, written.
+
+    Vectors are grouped around pivots, which are some of them, so that a block is a small ball; the centre's length and the
+    ball's radius bound what a vector of one block and one of another can have in common.  With ``unit`` balls are of directions.
+    """
+    ship(rows.sparkSession)
+    rows = rows.withColumn("dim", F.size("v"))
+    pivots = min(PIVOTS, 4 * rows.count() // most)
+    some: dict[int, list] = {}
+    for r in rows.orderBy(F.xxhash64("k"), "k").limit(pivots).select("v").collect() if pivots > 1 else []:  # PIVOTS at most
+        some.setdefault(len(r["v"]), []).append(r["v"])
+    around = {dim: _directions(np.array(v)) if unit else np.array(v) for dim, v in some.items()}
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims, cells = batch.column(3).to_numpy(), np.zeros(batch.num_rows, np.int32)
+            for dim, p in around.items():
+                at = np.flatnonzero(dims == dim)
+                if len(at):
+                    x = batch.column(1).take(pa.array(at)).flatten().to_numpy().reshape(len(at), dim)
+                    x = _directions(x) if unit else x
+                    cells[at] = ((p * p).sum(axis=1)[None] - 2 * x @ p.T).argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells)], ["k", "v", "band", "dim", "cell"])
+
+    dealt = rows.select("k", "v", "band", "dim")
+    dealt = dealt.mapInArrow(near, "k long, v array<double>, band long, dim int, cell int") if around else dealt.withColumn("cell", F.lit(0))
+    dealt = stored(dealt, f"{name}-cells")
+    sizes = few(dealt.groupBy("band", "dim", "cell").agg(F.count("*").alias("n")))
+    part = F.pmod(F.xxhash64("k"), F.ceil(F.col("n") / most))
+    blocks = dealt.join(sizes, ["band", "dim", "cell"]).groupBy("band", "dim", F.concat_ws("-", "band", "dim", "cell", part).alias("id")).agg(F.collect_list(F.struct("k", "v")).alias("items"))
+
+    def balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                _, x = _items(batch.column(3)[n])
+                x = _directions(x) if unit else x
+                centre = x.mean(axis=0)
+                radius = np.sqrt(((x - centre) ** 2).sum(axis=1).max()) * (1 + 1e-9)
+                yield pa.RecordBatch.from_arrays([*[c.slice(n, 1) for c in batch.columns], pa.array([centre.tolist()]), pa.array([float(np.sqrt(centre @ centre))]), pa.array([float(radius)])], ["band", "dim", "id", "items", "centre", "length", "radius"])
+
+    schema = "band long, dim int, id string, items array<struct<k: bigint, v: array<double>>>, centre array<double>, length double, radius double"
+    return stored(blocks.mapInArrow(balls, schema), f"{name}-blocks")
+
+
+def _directions(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
+
+
+def _items(scalar) -> tuple[np.ndarray, np.ndarray]:
+    items = scalar.values
+    keys, vectors = items.field("k").to_numpy(), items.field("v")
+    return keys, vectors.flatten().to_numpy().reshape(len(keys), -1)
+
+
+def _ball(blocks: DataFrame, side: str) -> DataFrame:
+    return blocks.select("band", "dim", F.col("id").alias(f"{side}_id"), F.col("centre").alias(f"{side}_c"), F.col("length").alias(f"{side}_l"), F.col("radius").alias(f"{side}_r"))
+
+
+def _bound() -> Column:
+    """What a vector of the left ball and one of the right can have as a dot product at most."""
+    c = dot(F.col("left_c"), F.col("right_c")) + F.col("left_r") * F.col("right_l") + F.col("right_r") * F.col("left_l") + F.col("left_r") * F.col("right_r")
+    return c + 1e-9 * (1 + F.abs(c))
+
+
+def _meetings(df: DataFrame, threshold: float, band: Column, key: str, vector: str) -> tuple[DataFrame, DataFrame]:
+    """The blocks, and (left_id, right_id, bound) of all pairs of blocks in a band or in neighbouring ones."""
+    rows = df.select(F.col(key).cast("long").alias("k"), F.transform(vector, lambda x: x.cast("double")).alias("v"), band.cast("long").alias("band")).filter("v is not null and k is not null and size(v) > 0")
+    blocks = _packed(rows, "vector", most=BLOCK)
+    left = _ball(blocks, "left").withColumn("other", F.explode(F.array(F.col("band"), F.col("band") + 1))).withColumnRenamed("band", "own")
+    right = _ball(blocks, "right").withColumnRenamed("band", "other")
+    met = left.join(right, ["other", "dim"]).filter((F.col("other") > F.col("own")) | (F.col("left_id") <= F.col("right_id")))
+    return blocks, met.select("left_id", "right_id", _bound().alias("bound"))
+
+
 def similar_pairs(df: DataFrame, *, threshold: float, band: Column, key: str = "pos", vector: str = "vector") -> DataFrame:
     """(a, b, dot) for a < b whose dot product is over the threshold and whose bands differ by 1 at most.
 
-    ``band`` is a whole number that items over the threshold can't differ in by more.  Items are packed into blocks of a
-    band, and blocks meet blocks of the band and of the next one; only pairs over the threshold become rows.
+    ``band`` is a whole number that items over the threshold can't differ in by more.  Items of a band are packed into balls, and balls
+    of the band and of the next one meet unless the triangle inequality keeps all their dot products under the threshold; only pairs
+    over it become rows.  Vectors of different length never meet.
     """
-    rows = df.select(F.col(key).cast("long").alias("k"), F.transform(vector, lambda x: x.cast("double")).alias("v"), band.cast("long").alias("band")).filter("v is not null and k is not null")
-    sizes = rows.groupBy("band").agg(F.count("*").alias("n"))
-    blocks = rows.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("k"), F.ceil(F.col("n") / BLOCK))).groupBy("band", "block").agg(F.collect_list(F.struct("k", "v")).alias("items"))
-    blocks = stored(blocks, "vector-blocks")
-    left = blocks.select("band", F.col("block").alias("left_block"), F.col("items").alias("left"), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("other"))
-    right = blocks.select(F.col("band").alias("other"), F.col("block").alias("right_block"), F.col("items").alias("right"))
-    met = left.join(right, "other").filter((F.col("other") > F.col("band")) | (F.col("left_block") <= F.col("right_block")))
+    blocks, meetings = _meetings(df, threshold, band, key, vector)
+    kept = stored(meetings.filter(F.col("bound") > threshold).select("left_id", "right_id"), "meetings")
+    left, right = (blocks.select(F.col("id").alias(f"{s}_id"), F.col("items").alias(s)) for s in ("left", "right"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for n in range(batch.num_rows):
                 (ka, a), (kb, b) = (_items(batch.column(c)[n]) for c in (0, 1))
                 i, j = np.nonzero(a @ b.T > threshold - 1e-9)
-                exact = np.array([math.fsum(x * y for x, y in zip(a[p], b[q], strict=True)) for p, q in zip(i, j, strict=True)]) if len(i) else np.empty(0)
+                exact = np.concatenate([np.cumsum(a[p] * b[q], axis=1)[:, -1] for p, q in zip(*(np.array_split(x, max(1, len(i) // 20_000)) for x in (i, j)), strict=True)]) if len(i) else np.empty(0)
                 x, y = ka[i], kb[j]
                 ok = (exact > threshold) & (x != y)
                 low, high = np.minimum(x, y)[ok], np.maximum(x, y)[ok]
                 yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(exact[ok])], ["a", "b", "dot"])
 
+    met = kept.join(left, "left_id").join(right, "right_id")
     return met.select("left", "right").mapInArrow(run, "a long, b long, dot double").dropDuplicates(["a", "b"])
 
 
-def _items(scalar) -> tuple[np.ndarray, np.ndarray]:
-    items = scalar.values
-    keys, vectors = items.field("k").to_numpy(), items.field("v")
-    return keys, vectors.flatten().to_numpy().reshape(len(keys), -1)
+def share_met(df: DataFrame, *, threshold: float, band: Column, key: str = "pos", vector: str = "vector") -> float:
+    """The pairs of blocks that ``similar_pairs`` compares, as a share of all pairs of blocks in neighbouring bands."""
+    _, meetings = _meetings(df, threshold, band, key, vector)
+    r = meetings.agg(F.count("*").alias("all"), F.count_if(F.col("bound") > threshold).alias("met")).first()
+    return r["met"] / max(1, r["all"])
 
 
 def day_band(date: Column, days: int) -> Column:
@@ -83,29 +160,71 @@ def projection_band(vector: Column, threshold: float, radius: float = 1.0) -> Co
     return F.floor(F.get(vector, F.lit(0)).cast("double") / math.sqrt(max(2 * radius * radius - 2 * threshold, 1e-6)))
 
 
+def _masks(hit: Column, vocabulary: list[str]) -> Column:
+    """The words of the vocabulary that were hit: an array of whole numbers with a bit for each of BITS words."""
+    bits = [F.when(F.array_contains(hit, w), F.lit(1 << i % BITS).cast("long")).otherwise(F.lit(0).cast("long")) for i, w in enumerate(vocabulary)]
+    return F.array(*[sum(bits[p + 1 : p + BITS], bits[p]) for p in range(0, len(bits), BITS)])
+
+
+def _bit(masks: Column, i: int) -> Column:
+    return F.call_function("shiftright", masks[i // BITS], F.lit(i % BITS)).bitwiseAND(1)
+
+
 def keyword_pairs(df: DataFrame, *, vocabulary: tuple[str, ...], threshold: float, key: str, text: str, within: Column | None = None) -> DataFrame:
     """(a, b, similarity) for a < b: pairs whose sets of vocabulary words have at least this Jaccard similarity.
 
-    Items with the same set are one; sets meet on the rarest words that two sets over the threshold must share one of.
+    A set is a bit mask, and items with the same mask are one.  Masks meet on the rarest words that two sets over the threshold must
+    share one of, in blocks, so that a frequent word is many tasks; a pair is counted where its rarest common word is met.
     ``within`` is a group that pairs must not cross.
     """
-    vocabulary_ = F.array(*[F.lit(w) for w in sorted(set(vocabulary))])
-    tokens = F.array_sort(F.array_intersect(vocabulary_, F.split(F.lower(text), r"[^\p{L}\p{N}_]+")))
-    rows = df.select(F.col(key).alias("k"), tokens.alias("t"), (within if within is not None else F.lit(0)).alias("g")).filter(F.size("t") > 0)
+    ship(df.sparkSession)
+    words = sorted(set(vocabulary))
+    hit = F.array_intersect(F.array(*[F.lit(w) for w in words]), F.split(F.lower(text), r"[^\p{L}\p{N}_]+"))
+    rows = df.select(F.col(key).alias("k"), hit.alias("hit"), (within if within is not None else F.lit(0)).alias("g")).filter(F.size("hit") > 0)
+    rows = rows.select("k", _masks(F.col("hit"), words).alias("m"), "g")
     rows = stored(rows, "keyword-sets")
-    sets = rows.groupBy("g", "t").agg(F.min("k").alias("first"))
-    counts = sets.select(F.explode("t").alias("w")).groupBy("w").agg(F.count("*").alias("n"))  # at most the vocabulary
-    ranked = sets.select("g", "t", "first", F.explode("t").alias("w")).join(F.broadcast(counts), "w")
-    prefix = F.size("t") - F.ceil(F.size("t") * threshold) + 1
-    heads = ranked.withColumn("place", F.row_number().over(Window.partitionBy("g", "t").orderBy("n", "w"))).filter(F.col("place") <= prefix).select("g", "t", "first", "w")
-    other = heads.select("g", "w", F.col("t").alias("t2"), F.col("first").alias("second"))
-    near = heads.join(other, ["g", "w"]).filter(F.col("first") < F.col("second")).select("first", "second", "t", "t2").distinct()
-    similarity = F.size(F.array_intersect("t", "t2")) / F.size(F.array_union("t", "t2"))
-    between = near.withColumn("similarity", similarity).filter(F.col("similarity") >= threshold).select(F.col("first").alias("a"), F.col("second").alias("b"), "similarity")
-    same = rows.join(sets, ["g", "t"]).filter("k > first").select(F.col("first").alias("a"), F.col("k").alias("b"), F.lit(1.0).alias("similarity"))
+    sets = stored(rows.groupBy("g", "m").agg(F.min("k").alias("first")), "masks")
+    spread = sets.agg(*[F.sum(_bit(F.col("m"), i)).alias(f"n{i}") for i in range(len(words))]).first()
+    rarest = sorted(range(len(words)), key=lambda i: (spread[f"n{i}"] or 0, i))  # the vocabulary's places, the rarest word first
+    held = F.filter(F.array(*[F.when(_bit(F.col("m"), i) == 1, F.lit(r)) for r, i in enumerate(rarest)]), lambda x: x.isNotNull())
+    size = F.size("held")
+    heads = sets.withColumn("held", held).withColumn("w", F.explode(F.slice("held", F.lit(1), (size - F.ceil(size * threshold - 1e-9) + 1).cast("int"))))
+    most = few(heads.groupBy("g", "w").agg(F.count("*").alias("n")))
+    blocks = heads.join(most, ["g", "w"]).withColumn("block", F.pmod(F.xxhash64("m"), F.ceil(F.col("n") / MASKS))).groupBy("g", "w", "block").agg(F.collect_list(F.struct("first", "m")).alias("masks"))
+    blocks = stored(blocks, "mask-blocks")
+    other = blocks.select("g", "w", F.col("block").alias("right_block"), F.col("masks").alias("right"))
+    met = blocks.withColumnRenamed("masks", "left").join(other, ["g", "w"]).filter(F.col("block") <= F.col("right_block")).select("w", "left", "right", (F.col("block") == F.col("right_block")).alias("own"))
+    order = np.array(rarest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                w, own = order[batch.column(0)[n].as_py()], batch.column(3)[n].as_py()
+                (ka, a), (kb, b) = (_masked(batch.column(c)[n]) for c in (1, 2))
+                both = sum(np.bitwise_count(a[:, None, i] & b[None, :, i]).astype(np.int32) for i in range(a.shape[1]))
+                sizes = [np.bitwise_count(x).sum(axis=1, dtype=np.int32) for x in (a, b)]
+                either = sizes[0][:, None] + sizes[1][None, :] - both
+                i, j = np.nonzero(both >= either * (threshold - 1e-9))
+                similarity = both[i, j] / either[i, j]
+                common = a[i] & b[j]
+                rarer = np.zeros(len(i), bool)  # a rarer word that both have: the pair is met there
+                for r in order[: int(np.flatnonzero(order == w)[0])]:
+                    rarer |= (common[:, r // BITS] >> (r % BITS)) & 1 == 1
+                ok = (similarity >= threshold) & ~rarer & ((ka[i] < kb[j]) if own else (ka[i] != kb[j]))
+                low, high = np.minimum(ka[i], kb[j])[ok], np.maximum(ka[i], kb[j])[ok]
+                yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(similarity[ok])], ["a", "b", "similarity"])
+
+    between = met.mapInArrow(run, "a long, b long, similarity double")
+    firsts = sets.withColumnRenamed("first", "_first")
+    same = rows.join(firsts, ["g", "m"]).filter(F.col("k") > F.col("_first")).select(F.col("_first").alias("a"), F.col("k").alias("b"), F.lit(1.0).alias("similarity"))
     return between.unionByName(same)
 
 
+def _masked(scalar) -> tuple[np.ndarray, np.ndarray]:
+    items = scalar.values
+    return items.field("first").to_numpy(), items.field("m").flatten().to_numpy().reshape(len(items), -1)
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:
@@ -312,40 +431,65 @@ def apart_weights(pairs: DataFrame, dates: DataFrame, *, least: float = 0.75, da
     return rows.select("a", "b", F.col("dot").alias("weight"))
 
 
-def _blocks(df: DataFrame, name: str, most: int = 4 * BLOCK) -> DataFrame:
-    """(block, items): the (id, vector) rows in blocks of about ``most``."""
-    rows = df.select(F.col("id").cast("long").alias("k"), F.transform("vector", lambda x: x.cast("double")).alias("v")).filter("k is not null and v is not null and size(v) > 0")
-    n = max(1, -(-rows.count() // most))
-    return stored(rows.groupBy(F.pmod(F.xxhash64("k"), F.lit(n)).alias(name + "_block")).agg(F.collect_list(F.struct("k", "v")).alias(name)), f"{name}-blocks")
+def _directed(df: DataFrame, name: str) -> DataFrame:
+    rows = df.select(F.col("id").cast("long").alias("k"), F.transform("vector", lambda x: x.cast("double")).alias("v"), F.lit(0).cast("long").alias("band"))
+    return _packed(rows.filter(F.col("k").isNotNull() & F.exists("v", lambda x: x != 0)), name, most=BLOCK, unit=True)
 
 
 def top_similar(queries: DataFrame, history: DataFrame, *, k: int = 5) -> DataFrame:
     """(query, id, rank, similarity): the k rows of the history with the greatest cosine to each query, itself left out.
 
-    Blocks of queries meet blocks of the history, and the k best of each query in each block go on; ties go to the
-    smaller id.  A null vector and one of zeros are like nothing.
+    Both sides are packed into balls of directions.  A block of queries first meets the FIRST blocks that may hold the nearest rows; the
+    k-th similarity that its queries have then closes all blocks whose bound lies below it, and the others are met.  Ties go to the
+    smaller id.  A null vector and one of zeros are like nothing, and vectors of different length are not alike.
     """
-    left, right = _blocks(queries, "left"), _blocks(history, "right")
-    blocks = [r["right_block"] for r in right.select("right_block").collect()]  # their numbers
-    met = left.withColumn("right_block", F.explode(F.array(*[F.lit(x).cast("long") for x in blocks]) if blocks else F.array().cast("array<bigint>"))).join(right, "right_block")
+    return _searched(queries, history, k)[0]
+
+
+def share_visited(queries: DataFrame, history: DataFrame, *, k: int = 5) -> float:
+    """The pairs of blocks that ``top_similar`` compares, as a share of all."""
+    _, visited, every = _searched(queries, history, k)
+    return visited.count() / max(1, every.count())
+
+
+def _searched(queries: DataFrame, history: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    left, right = _directed(queries, "query"), _directed(history, "history")
+    every = _ball(left, "left").drop("band").join(_ball(right, "right").drop("band"), "dim").select("left_id", "right_id", _bound().alias("bound"))
+    place = F.row_number().over(Window.partitionBy("left_id").orderBy(F.desc("bound"), "right_id"))
+    every = stored(every.withColumn("place", place), "visits")
+    a, b = left.select(F.col("id").alias("left_id"), F.col("items").alias("left")), right.select(F.col("id").alias("right_id"), F.col("items").alias("right"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for n in range(batch.num_rows):
                 (ka, a), (kb, b) = (_items(batch.column(c)[n]) for c in (0, 1))
+                least = dict(zip(batch.column(2)[n].values.field("k").to_pylist(), batch.column(2)[n].values.field("least").to_pylist(), strict=True))
                 na, nb = (np.sqrt(np.cumsum(x * x, axis=1)[:, -1]) for x in (a, b))
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    rough = np.nan_to_num(a @ b.T / (na[:, None] * nb[None, :]), nan=-np.inf)
+                rough = a @ b.T / (na[:, None] * nb[None, :])
                 rough[ka[:, None] == kb[None, :]] = -np.inf
                 kth = np.partition(rough, max(len(kb) - k, 0), axis=1)[:, max(len(kb) - k, 0)]
-                i, j = np.nonzero((rough >= kth[:, None] - 1e-6) & (rough > -np.inf))
+                kth = np.maximum(kth, [least.get(x, -np.inf) for x in ka.tolist()])
+                i, j = np.nonzero((rough >= kth[:, None] - 2e-6) & (rough > -np.inf))
                 # in the order in which SQL adds, and rounded like it, so that ties are ties
                 exact = np.round(np.cumsum(a[i] * b[j], axis=1)[:, -1] / (na[i] * nb[j]), 6) if len(i) else np.empty(0)
                 yield pa.RecordBatch.from_arrays([pa.array(ka[i]), pa.array(kb[j]), pa.array(exact)], ["query", "id", "similarity"])
 
-    found = met.select("left", "right").mapInArrow(run, "query long, id long, similarity double")
-    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id"))
-    return found.withColumn("rank", place).filter(F.col("rank") <= k)
+    def found(visits: DataFrame, least: DataFrame) -> DataFrame:
+        met = visits.select("left_id", "right_id").join(a, "left_id").join(b, "right_id").join(least, "left_id", "left")
+        none = F.array().cast("array<struct<k: bigint, least: double>>")
+        return met.select("left", "right", F.coalesce("least", none).alias("least")).mapInArrow(run, "query long, id long, similarity double")
+
+    by_score = Window.partitionBy("query").orderBy(F.desc("similarity"), "id")
+    nothing = a.select("left_id", F.array().cast("array<struct<k: bigint, least: double>>").alias("least")).limit(0)
+    first = stored(found(every.filter(F.col("place") <= FIRST), nothing).withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k), "first")
+    kth = first.filter(F.col("rank") == k).select(F.col("query").alias("k"), F.col("similarity").alias("least"))
+    asked = left.select(F.col("id").alias("left_id"), F.explode("items.k").alias("k")).join(kth, "k", "left")
+    least = stored(asked.groupBy("left_id").agg(F.collect_list(F.when(F.col("least").isNotNull(), F.struct("k", "least"))).alias("least"), F.min(F.coalesce("least", F.lit(-2.0))).alias("bottom")), "least")
+    open_ = every.filter(F.col("place") > FIRST).join(few(least.select("left_id", "bottom")), "left_id").filter(F.col("bound") >= F.col("bottom") - 2e-6)
+    more = found(open_, least.select("left_id", "least"))
+    rows = first.select("query", "id", "similarity").union(more)
+    visited = every.filter(F.col("place") <= FIRST).select("left_id", "right_id").union(open_.select("left_id", "right_id"))
+    return rows.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k), visited, every
 
 
 def default_prediction(queries: DataFrame, similar: DataFrame, facts: DataFrame) -> DataFrame:

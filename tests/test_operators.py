@@ -319,6 +319,36 @@ def test_most_similar_against_all(spark, monkeypatch):
         assert [r["id"] for r in sorted(rows, key=lambda r: r["rank"]) if r["query"] == q] == order
 
 
+def clustered(n, dim, groups, spread=0.05, seed=5):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(groups, dim))
+    return centres[rng.integers(groups, size=n)] + spread * rng.normal(size=(n, dim))
+
+
+def test_pairs_and_neighbours_skip_blocks(spark, monkeypatch):
+    """On clustered vectors most blocks are never compared, and nothing is lost; with vectors of another length, zeros and nulls."""
+    monkeypatch.setattr(S, "BLOCK", 16)
+    x = clustered(600, 8, 12)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, [1.0, 2.0]), (1001, [3.0, 1.0]), (1002, [0.0] * 8), (1003, None), (1004, [1.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "pos long, vector array<double>").withColumn("id", F.col("pos")).repartition(3)
+    threshold, exact = 6.0, x @ x.T
+    got = {(r.a, r.b): r.dot for r in S.similar_pairs(df, threshold=threshold, band=F.lit(0)).collect()}
+    want = {(i, j) for i in range(600) for j in range(i + 1, 600) if exact[i, j] > threshold}
+    assert {p for p in got if p[0] < 1000} == want and len(want) > 1000 and {p for p in got if p[0] >= 1000} == set()
+    assert S.share_met(df, threshold=threshold, band=F.lit(0)) < 0.35
+
+    asked = df.filter("id % 10 = 0 or id >= 1000")
+    rank = {(r["query"], r["rank"]): (r["id"], r["similarity"]) for r in S.top_similar(asked, df, k=4).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(0, 600, 10):
+        c = np.round(unit @ unit[q], 6)
+        order = sorted((j for j in range(600) if j != q), key=lambda j: (-c[j], j))[:4]
+        assert [rank[q, r + 1][0] for r in range(4)] == order
+    assert rank[1000, 1][0] == 1001 and (1000, 2) not in rank and (1002, 1) not in rank and (1004, 1) not in rank
+    assert S.share_visited(asked, df, k=4) < 0.35
+    assert S.top_similar(asked, df.limit(0)).count() == 0 and S.similar_pairs(df.limit(0), threshold=0.5, band=F.lit(0)).count() == 0
+
+
 def test_pairs_of_long_vectors(spark):
     df = spark.createDataFrame([(1, [5.0, 0.0]), (2, [6.0, 0.0]), (3, [0.0, 1.0])], "pos long, vector array<double>")
     band = S.projection_band(F.col("vector"), 0.9, S.largest_norm(df))
