@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quality import with_position
+
+#: Rows of a series that one task averages over, besides those that it gets from the range before.
+IN_RANGE = 100_000
+
 
 def percent(part: Column, whole: Column) -> Column:
     return F.try_divide(part, whole) * 100
@@ -23,12 +28,20 @@ def with_benchmark(bars: DataFrame, benchmark: DataFrame) -> DataFrame:
     return bars.join(benchmark.select("date", "index_open", "index_close", change.alias("index_change_percent")), "date", "left")
 
 
-def moving_averages(bars: DataFrame, windows: tuple[int, ...] = (7, 30, 90)) -> DataFrame:
-    """ma_n for each n: the mean close of the last n rows, null until there are n."""
+def moving_averages(bars: DataFrame, windows: tuple[int, ...] = (7, 30, 90), *, series: str | None = None) -> DataFrame:
+    """ma_n for each n: the mean close of the last n rows, of the same ``series`` where there are several; null until there are n.
+
+    Rows in order are cut into ranges, and a range gets the last rows of the one before it, so that a long series is many tasks.
+    """
+    key = [series] if series else []
+    length = max(IN_RANGE, *windows)
+    placed = with_position(bars, *key, "date", out="_place")
+    own, border = F.floor(F.col("_place") / length), F.pmod("_place", F.lit(length)) > length - max(windows)
+    rows = placed.withColumn("_range", F.explode(F.array_compact(F.array(own, F.when(border, own + 1)))))
     for n in windows:
-        w = Window.orderBy("date").rowsBetween(1 - n, 0)
-        bars = bars.withColumn(f"ma_{n}", F.when(F.count("close").over(w) == n, F.round(F.avg("close").over(w), 3)))
-    return bars
+        w = Window.partitionBy("_range", *key).orderBy("_place").rowsBetween(1 - n, 0)
+        rows = rows.withColumn(f"ma_{n}", F.when(F.count("close").over(w) == n, F.round(F.avg("close").over(w), 3)))
+    return rows.filter(F.col("_range") == F.floor(F.col("_place") / length)).drop("_range", "_place")
 
 
 def series_statistics(bars: DataFrame) -> DataFrame:
@@ -106,11 +119,14 @@ def quarterly_drops(bars: DataFrame, *, below: float = -3.0) -> DataFrame:
 
 
 def drop_summary(drops: DataFrame) -> DataFrame:
-    """One row of counts by context; drops have market_context and n_articles."""
+    """One row of counts by context and the five worst days; drops have date, market_context and n_articles."""
+    five = drops.orderBy("daily_change_percent", "date").limit(5).withColumn("_rank", F.row_number().over(Window.orderBy("daily_change_percent", "date")))  # five rows
+    day = F.struct("_rank", F.concat_ws(" ", F.col("date").cast("string"), F.col("daily_change_percent").cast("string")).alias("text"))
+    worst = five.agg(F.transform(F.array_sort(F.collect_list(day)), lambda x: x["text"]).alias("worst_five"))
     return drops.agg(
         F.count("*").alias("total"),
         F.count_if(F.col("market_context") == "Market-wide").alias("market_wide"),
         F.count_if(F.col("market_context") == "Stock-specific").alias("stock_specific"),
         F.count_if(F.col("n_articles") > 0).alias("with_news"),
         F.min("daily_change_percent").alias("worst"),
-    )
+    ).crossJoin(worst)  # one row each

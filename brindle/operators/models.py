@@ -101,6 +101,16 @@ def evaluate(predicted: DataFrame, *, kind: str = "regression") -> dict[str, flo
     return {m: MulticlassClassificationEvaluator(labelCol="target", metricName=m).evaluate(predicted) for m in ("accuracy", "f1")}
 
 
+def label_metrics(predicted: DataFrame, *, actual: str = "target", prediction: str = "prediction") -> DataFrame:
+    """One row: the share of right labels, and the mean F1 of the labels weighted by their rows; null labels are left out."""
+    rows = predicted.select(F.col(actual).cast("string").alias("a"), F.col(prediction).cast("string").alias("p")).filter("a is not null")
+    cells = rows.groupBy("a", "p").agg(F.count("*").alias("n"))  # pairs of labels
+    sums = cells.groupBy("a").agg(F.sum("n").alias("rows"), F.sum(F.when(F.col("a") == F.col("p"), F.col("n")).otherwise(0)).alias("hits"))
+    said = cells.filter("p is not null").groupBy(F.col("p").alias("a")).agg(F.sum("n").alias("said"))
+    each = sums.join(said, "a", "left").withColumn("f1", 2 * F.col("hits") / (F.col("rows") + F.coalesce("said", F.lit(0))))
+    return each.agg(F.round(F.sum("hits") / F.sum("rows"), 6).alias("accuracy"), F.round(F.sum(F.col("f1") * F.col("rows")) / F.sum("rows"), 6).alias("f1"))
+
+
 def time_folds(df: DataFrame, *order: str, k: int = 5) -> DataFrame:
     """The rows with ``fold``: the last k blocks of ⌊n / (k + 1)⌋ rows in order are tested in turn, on all rows before; the first block is 0."""
     n = df.count()
@@ -139,14 +149,17 @@ def importances(model: PipelineModel, features: tuple[str, ...], spark, *, k: in
     return spark.createDataFrame(pairs, "feature string, importance double").orderBy(F.desc("importance"), "feature").limit(k)
 
 
-def partial_dependence(model: PipelineModel, df: DataFrame, features: tuple[str, ...], feature: str, *, key: str, points: int = 50, rows: int = 100) -> DataFrame:
-    """(grid, prediction): the mean prediction when a feature is set to each point between its extremes, on a sample of rows."""
-    bounds = df.agg(F.min(feature).alias("lo"), F.max(feature).alias("hi"))
+def partial_dependence(model: PipelineModel, df: DataFrame, features: tuple[str, ...], *, key: str, k: int = 10, points: int = 50, rows: int = 100) -> DataFrame:
+    """(feature, grid, prediction) for the k features of the greatest importance: the mean prediction when one is set to each point
+    between its extremes, on one sample of rows."""
+    wanted = [r["feature"] for r in importances(model, features, df.sparkSession, k=k).collect()]  # k names
+    bounds = df.agg(F.array(*[F.struct(F.lit(f).alias("feature"), F.min(f).cast("double").alias("lo"), F.max(f).cast("double").alias("hi")) for f in wanted]).alias("b")).select(F.inline("b"))
     step = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / (points - 1)
-    grid = bounds.select("lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i")).select(step.alias("grid"))
+    grid = bounds.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).select("feature", step.alias("grid"))
     sample = df.orderBy(F.xxhash64(key), key).limit(rows).select(*features)
-    spread = sample.drop(feature).crossJoin(F.broadcast(grid)).withColumn(feature, F.col("grid"))  # rows times points
-    return model.transform(spread).groupBy("grid").agg(F.avg("prediction").alias("prediction"))
+    spread = sample.crossJoin(F.broadcast(grid))  # rows times points times features
+    spread = spread.select("feature", "grid", *[F.when(F.col("feature") == f, F.col("grid")).otherwise(F.col(f)).alias(f) for f in features])
+    return model.transform(spread).groupBy("feature", "grid").agg(F.avg("prediction").alias("prediction"))
 
 
 def save(model: PipelineModel, path: str) -> None:

@@ -143,6 +143,39 @@ def categorical_iv(df: DataFrame, feature: str, bad: Column) -> DataFrame:
     return cells.crossJoin(F.broadcast(totals)).agg(F.round(F.coalesce(F.sum(value), F.lit(0.0)), 6).alias("information_value"))
 
 
+def most_frequent(df: DataFrame, column: str) -> object:
+    """The most frequent value, the least of equals."""
+    rows = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(1).collect()
+    return rows[0][0] if rows else None
+
+
+def code_correlation(df: DataFrame, feature: str, target: str) -> DataFrame:
+    """The absolute correlation of a category's place among all categories in the order of their text with a number; 0 where there is none.
+
+    Rows without a category have the place -1.
+    """
+    text = F.col(feature).cast("string")
+    places = value_counts(df.select(text.alias("_text")).distinct(), "_text").select("_text", F.col("_less").alias("_code"))
+    coded = df.select(text.alias("_text"), F.col(target).cast("double").alias("_target")).join(few(places), "_text", "left").withColumn("_code", F.coalesce("_code", F.lit(-1)))
+    found = F.abs(F.corr(F.when(F.col("_target").isNotNull(), F.col("_code").cast("double")), F.col("_target")))
+    return coded.agg(F.round(F.coalesce(F.nanvl(found, F.lit(0.0)), F.lit(0.0)), 6).alias("information_value"))
+
+
+def information_value(df: DataFrame, feature: str, target: str, *, binned: bool = False) -> DataFrame:
+    """The information value of a feature for a target of any kind; ``binned`` features are numbers, cut at their deciles.
+
+    A target of two values is yes or no, the greater one counting as yes.  One of more values is its most frequent value or not.
+    A number as target has no classes: the absolute correlation with the place of the category, or of the bin, stands for the value.
+    """
+    if binned:
+        df, feature = quantile_bins(df, feature, out="_bin"), "_bin"
+    if dict(df.dtypes)[target] in ("double", "float", "int", "bigint", "smallint", "tinyint") or dict(df.dtypes)[target].startswith("decimal"):
+        return code_correlation(df.withColumn("_place", F.lpad(F.col(feature).cast("string"), 3, "0")) if binned else df, "_place" if binned else feature, target)
+    values = [r[0] for r in df.filter(F.col(target).isNotNull()).select(target).distinct().orderBy(target).limit(3).collect()]
+    bad = most_frequent(df, target) if len(values) > 2 else values[-1] if values else None
+    return categorical_iv(df, feature, F.coalesce(F.col(target) == F.lit(bad), F.lit(False)))
+
+
 def quantile_bins(df: DataFrame, feature: str, *, bins: int = 10, out: str = "bin") -> DataFrame:
     """The rows with the number of their quantile bin; bins are closed on the right and equal edges are one."""
     edges = sorted({q for q in quantiles(df, feature, tuple(i / bins for i in range(1, bins))) if q is not None})
@@ -196,6 +229,16 @@ def disagreements(one: DataFrame, two: DataFrame, key: str, fields: tuple[str, .
     return left.join(right, key).select(key, total.alias("differing")).filter(F.col("differing") > more_than)
 
 
+def agreement(one: DataFrame, two: DataFrame, key: str, *, texts: tuple[str, ...], numbers: tuple[str, ...]) -> DataFrame:
+    """(field, agreement): by field the share of equal texts, or the absolute correlation of numbers, of two runs; null differs from everything."""
+    left = one.select(key, *[F.col(c).alias(f"{c}_1") for c in texts + numbers])
+    right = two.select(key, *[F.col(c).alias(f"{c}_2") for c in texts + numbers])
+    parts = [F.avg(F.coalesce(F.col(f"{c}_1") == F.col(f"{c}_2"), F.lit(False)).cast("int")) for c in texts]
+    parts += [F.coalesce(F.nanvl(F.abs(F.corr(f"{c}_1", f"{c}_2")), F.lit(0.0)), F.lit(0.0)) for c in numbers]
+    rows = left.join(right, key).agg(F.array(*[F.struct(F.lit(c).alias("field"), F.round(p, 6).alias("agreement")) for c, p in zip(texts + numbers, parts, strict=True)]).alias("f"))
+    return rows.select(F.inline("f"))
+
+
 def review_set(*frames: DataFrame) -> DataFrame:
     """The distinct ids of all frames."""
     out = frames[0]
@@ -204,10 +247,23 @@ def review_set(*frames: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def consensus(runs: DataFrame, key: str, *, order: str, texts: tuple[str, ...] = (), numbers: tuple[str, ...] = (), lists: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each document: the most frequent text (the least of equals), the mean number, the union of lists."""
-    grouped = [F.mode(c, True).alias(c) for c in texts] + [F.round(F.avg(c), 6).alias(c) for c in numbers] + [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in lists]
-    return runs.groupBy(key).agg(*grouped, F.count("*").alias("runs"))
+def consensus(runs: DataFrame, key: str, *, order: str, texts: tuple[str, ...] = (), numbers: tuple[str, ...] = (), lists: tuple[str, ...] = (), maps: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each document: the most frequent text (the least of equals), the mean number, the union of lists, and maps
+    merged in the order of the runs, a later run's value taking the place of an earlier one's.
+
+    What lists and maps hold is made distinct before it is collected.
+    """
+    grouped = [F.mode(c, True).alias(c) for c in texts] + [F.round(F.avg(c), 6).alias(c) for c in numbers]
+    out = runs.groupBy(key).agg(*grouped, F.count("*").alias("runs"))
+    for c in lists:
+        items = runs.select(F.col(key), F.explode(c).alias("_item")).distinct().groupBy(F.col(key).alias("_key")).agg(F.array_sort(F.collect_list("_item")).alias(c))
+        none = F.array().cast(dict(runs.dtypes)[c])
+        out = out.join(items, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key").withColumn(c, F.coalesce(c, none))
+    for c in maps:
+        items = runs.select(F.col(key), F.col(order).alias("_order"), F.explode(c).alias("_name", "_value")).groupBy(key, "_name").agg(F.max_by("_value", "_order").alias("_value"))
+        items = items.groupBy(F.col(key).alias("_key")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_name", "_value")))).alias(c))
+        out = out.join(items, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key").withColumn(c, F.coalesce(c, F.create_map().cast(dict(runs.dtypes)[c])))
+    return out
 
 
 def first_run(runs: DataFrame, key: str, order: Column) -> DataFrame:

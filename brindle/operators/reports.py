@@ -96,6 +96,12 @@ def drill_down(events: DataFrame, value: str, *, column: str, damage: str, key:
     return events.filter(F.array_contains(column, value)).orderBy(F.desc(damage), key).limit(k)
 
 
+def drill_down_categories(events: DataFrame, value: str, *, column: str) -> DataFrame:
+    """(category, n): how many of the events that have a value in a list column have each other one."""
+    rows = events.filter(F.array_contains(column, value)).select(F.explode(F.array_distinct(column)).alias("category"))
+    return rows.filter(F.col("category") != value).groupBy("category").agg(F.count("*").alias("n"))
+
+
 def trajectory(rows: DataFrame, *, reactions: str, without: tuple[str, ...]) -> DataFrame:
     """(event, date, stakeholder, score): a map of reactions as rows, without null scores and some stakeholders."""
     long = rows.select("event", "date", F.explode(reactions).alias("stakeholder", "score"))

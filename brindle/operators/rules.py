@@ -153,6 +153,12 @@ def ranked_by_severity(events: DataFrame, *, k: int = 5) -> DataFrame:
     return events.orderBy(F.desc("grade"), F.desc("stage"), F.desc("probability"), "name").limit(k)
 
 
+def severity_counts(events: DataFrame) -> DataFrame:
+    """One row about a run: events, companies, first and last day, and how many events have each grade from 1 to 5."""
+    grades = [F.count_if(F.col("grade") == g).alias(f"grade_{g}") for g in range(1, 6)]
+    return events.agg(F.count("*").alias("events"), F.count_distinct("company").alias("companies"), F.min("date").alias("first_day"), F.max("date").alias("last_day"), *grades)
+
+
 def materiality_hint(name: Column, categories: Column, damage: Column, articles: Column, own: Column) -> Column:
     """Whether an event is likely immaterial: rules that override each other in order."""
     low = F.lower(name)

@@ -550,12 +550,18 @@ def relevant_events(events: DataFrame, articles: DataFrame, *, term: str, off_to
     return rows.filter(keep).drop("_m")
 
 
-def event_rollup(articles: DataFrame) -> DataFrame:
-    """By event: number of articles, mean scores, and the sets and urls of its articles in order."""
-    return articles.groupBy("event").agg(
-        F.count("*").alias("num_articles"),
-        F.round(F.avg("damage"), 2).alias("mean_damage"),
-        F.round(F.avg("response"), 2).alias("mean_response"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("stakeholders")))).alias("stakeholders"),
-        F.array_sort(F.collect_list("url")).alias("urls"),
-    )
+def event_rollup(articles: DataFrame, events: DataFrame | None = None) -> DataFrame:
+    """By event: number of articles, mean scores, and the stakeholders, responses and urls of its articles in order.
+
+    ``events`` (event, stakeholders, responses) may know more stakeholders and responses of its own.  Sets are made distinct
+    before they are collected.
+    """
+    out = articles.groupBy("event").agg(F.count("*").alias("num_articles"), F.round(F.avg("damage"), 2).alias("mean_damage"), F.round(F.avg("response"), 2).alias("mean_response"), F.array_sort(F.collect_list("url")).alias("urls"))
+    for c in ("stakeholders", "responses"):
+        if c in articles.columns:
+            rows = articles.select("event", F.explode(c).alias("_item"))
+            if events is not None:
+                rows = rows.union(events.select("event", F.explode(c)))
+            sets = rows.filter("_item is not null").distinct().groupBy(F.col("event").alias("_event")).agg(F.array_sort(F.collect_list("_item")).alias(c))
+            out = out.join(sets, F.col("event").eqNullSafe(F.col("_event")), "left").drop("_event").withColumn(c, F.coalesce(c, F.array().cast(dict(articles.dtypes)[c])))
+    return out

@@ -190,6 +190,24 @@ def facets(rows: DataFrame, *, least: float = 0.25, k: int = 5) -> DataFrame:
     return kept.withColumn("weak", F.count("*").over(Window.partitionBy("component", "side")) < 2)
 
 
+def style_facets(rows: DataFrame, features: tuple[str, ...], *, least: float = 0.1, k: int = 5) -> DataFrame:
+    """(component, side, facet, rank): the first k features, in their order, whose means of the two tails differ by more than ``least``, on the side of the greater one.
+
+    rows (component, tail, features…) of the tails.
+    """
+    mean = lambda f, t: F.coalesce(F.avg(F.when(F.col("tail") == t, F.col(f))), F.lit(0.0))
+    cells = [F.struct(F.lit(i).alias("place"), F.lit(f).alias("facet"), mean(f, "high").alias("h"), mean(f, "low").alias("l")) for i, f in enumerate(features)]
+    long = rows.groupBy("component").agg(F.array(*cells).alias("c")).select("component", F.inline("c")).filter(F.abs(F.col("h") - F.col("l")) > least)
+    long = long.withColumn("side", F.when(F.col("h") > F.col("l"), "high").otherwise("low"))
+    rank = F.row_number().over(Window.partitionBy("component", "side").orderBy("place"))
+    return long.select("component", "side", "facet", rank.alias("rank")).filter(F.col("rank") <= k)
+
+
+def diversity_index(pairs: DataFrame) -> DataFrame:
+    """One row: the mean of 1 less the similarity over all pairs of labels; 1 where there is no pair."""
+    return pairs.agg(F.round(F.coalesce(F.avg(1 - F.col("similarity")), F.lit(1.0)), 6).alias("diversity"))
+
+
 def label_similarity(cos: Column, a: Column, b: Column) -> Column:
     """Half the cosine and half the Jaccard similarity of topic lists."""
     return cos * 0.5 + F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))), F.lit(0.0)) * 0.5

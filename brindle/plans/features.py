@@ -68,6 +68,24 @@ def q8(spark, d):
     return Q.numeric_iv(V.labelled(spark, d), "n_chars", F.col("toxic") == 1)
 
 
+MANY = ", b as (select {0} as feature, source = (select source from labelled where source is not null group by 1 order by count(*) desc, 1 limit 1) as bad from labelled), c as (select count(*) filter (not bad) as good, count(*) filter (bad) as bad from b where feature is not null group by feature), t as (select count(*) filter (not bad) as goods, count(*) filter (bad) as bads from b) select round(sum(case when good > 0 and bad > 0 then (good / goods - bad / bads) * ln((good / goods) / (bad / bads)) else 0 end), 6) as information_value from c, t"
+
+
+@query("Q7_many_classes_iv", MANY.format("lang"), "labelled")
+def q7_many(spark, d):
+    return Q.information_value(V.labelled(spark, d).filter("source is not null"), "lang", "source")
+
+
+@query("Q7_number_iv", ", k as (select lang, row_number() over (order by lang) - 1 as code from (select distinct lang from labelled)) select round(abs(corr(code, n_chars)), 6) as information_value from labelled join k using (lang)", "labelled")
+def q7_number(spark, d):
+    return Q.information_value(V.labelled(spark, d), "lang", "n_chars")
+
+
+@query("Q8_number_iv", ", e as (select list_distinct(quantile_cont(n_chars, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) as edges from labelled), b as (select quality::double as quality, len(list_filter(edges, lambda x: x < n_chars)) as bin from labelled, e), k as (select bin, row_number() over (order by bin) - 1 as code from (select distinct bin from b)) select round(abs(corr(code, quality)), 6) as information_value from b join k using (bin)", "labelled")
+def q8_number(spark, d):
+    return Q.information_value(V.labelled(spark, d).withColumn("quality", F.col("quality").cast("double")), "n_chars", "quality", binned=True)
+
+
 @query("Q9_schema_compliance", "select field, compliance, compliance >= 0.95 as ok from (select 'label' as field, round(avg(cast(label in ('A', 'N') as int)), 6) as compliance from runs union all select 'confidence', round(avg(cast(confidence between 0 and 0.09 as int)), 6) from runs union all select 'topic', round(avg(cast(topic is not null as int)), 6) from runs)", "runs")
 def q9(spark, d):
     return Q.schema_compliance(runs(spark, d), {"label": F.col("label").isin("A", "N"), "confidence": F.col("confidence").between(0, 0.09), "topic": F.col("topic").isNotNull()})
@@ -110,15 +128,22 @@ def q14(spark, d):
     return Q.disagreements(*two_runs(spark, d), "doc_id", ("label", "topic", "score"))
 
 
+@query("Q14_agreement", f", {PAIR} select field, agreement from (select 'label' as field, round(avg(cast(l1 = l2 as int)), 6) as agreement from pair union all select 'topic', round(avg(cast(t1 = t2 as int)), 6) from pair union all select 'score', round(coalesce(abs(corr(s1, s2)), 0), 6) from pair)", "runs")
+def q14_agreement(spark, d):
+    return Q.agreement(*two_runs(spark, d), "doc_id", texts=("label", "topic"), numbers=("score",))
+
+
 @query("Q15_review_set", "select doc_id from runs where score > 0.07 union select doc_id from runs where confidence < 0.01 union select doc_id from runs where quantity < 2", "runs")
 def q15(spark, d):
     r = runs(spark, d)
     return Q.review_set(*[r.filter(c).select("doc_id") for c in ("score > 0.07", "confidence < 0.01", "quantity < 2")])
 
 
-@query("Q16_consensus", "select doc_id, (select label from (select label, count(*) as n from runs s where s.doc_id = r.doc_id group by 1 order by n desc, label limit 1)) as label, round(avg(confidence), 6) as confidence, list_sort(list(distinct topic)) as topics, count(*) as runs from runs r group by 1", "runs")
+@query("Q16_consensus", "select doc_id, (select label from (select label, count(*) as n from runs s where s.doc_id = r.doc_id group by 1 order by n desc, label limit 1)) as label, round(avg(confidence), 6) as confidence, list_sort(list(distinct topic)) as topics, count(*) as runs, (select list(label || '=' || q order by label) from (select label, arg_max(quantity, run) as q from runs s where s.doc_id = r.doc_id group by 1)) as quantities from runs r group by 1", "runs")
 def q16(spark, d):
-    return Q.consensus(runs(spark, d).withColumn("topics", F.array("topic")), "doc_id", order="run", texts=("label",), numbers=("confidence",), lists=("topics",))
+    r = runs(spark, d).withColumn("topics", F.array("topic")).withColumn("quantities", F.create_map("label", "quantity"))
+    found = Q.consensus(r, "doc_id", order="run", texts=("label",), numbers=("confidence",), lists=("topics",), maps=("quantities",))
+    return found.withColumn("quantities", F.transform(F.array_sort(F.map_entries("quantities")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))))
 
 
 @query("Q16_first_run", "select doc_id, run, label, confidence from (select *, row_number() over (partition by doc_id order by confidence desc, run) as p from runs) where p = 1", "runs")

@@ -225,13 +225,25 @@ def m20(spark, d):
     return T.facets(rows).withColumn("score", F.round("score", 6))
 
 
+STYLE_NAMES = ("chars", "words", "word_length", "type_token", "punctuation", "digits", "upper", "sentences", "sentence_length", "longest_sentence", "first_person", "modals")
+
+
+@query("M20_style_facets", f", {SCORES}, {TAILS}, style as ({STYLE}), long as (select component, place, facet, avg(v) filter (tail = 'high') as h, avg(v) filter (tail = 'low') as l from (select component, tail, unnest(range({len(STYLE_NAMES)})) as place, unnest([{', '.join(repr(n) for n in STYLE_NAMES)}]) as facet, unnest([{', '.join(n + '::double' for n in STYLE_NAMES)}]) as v from tails join style using (id)) group by 1, 2, 3), s as (select component, case when h > l then 'high' else 'low' end as side, facet, place from long where abs(h - l) > 0.1) select component, side, facet, cast(rank as int) as rank from (select *, row_number() over (partition by component, side order by place) as rank from s) where rank <= 5", "articles")
+def m20_style(spark, d):
+    style = V.articles(spark, d).select("id", *T.style_features(F.col("description")))
+    return T.style_facets(tails(spark, d).join(style, "id"), STYLE_NAMES)
+
+
 COS = "list_inner_product(a.vector::double[], b.vector::double[])"
 
 
 MEANS = "m as (select label, list(x order by i) as vector from (select label, i, avg(x) as x from (select label, unnest(vector::double[]) as x, generate_subscripts(vector, 1) as i from vectors) group by 1, 2) group by 1), v as (select label::bigint as id, vector, [label::bigint, label::bigint % 3, label::bigint % 4] as t from m)"
 
 
-@query("M22_label_similarity", f", {MEANS} select a.id as a, b.id as b, round(({COS} / (sqrt(list_inner_product(a.vector::double[], a.vector::double[])) * sqrt(list_inner_product(b.vector::double[], b.vector::double[])))) * 0.5 + len(list_intersect(a.t, b.t)) / len(list_distinct(a.t || b.t)) * 0.5, 6) as similarity from v a join v b on a.id < b.id", "vectors")
+LABEL_PAIRS = f"select a.id as a, b.id as b, round(({COS} / (sqrt(list_inner_product(a.vector::double[], a.vector::double[])) * sqrt(list_inner_product(b.vector::double[], b.vector::double[])))) * 0.5 + len(list_intersect(a.t, b.t)) / len(list_distinct(a.t || b.t)) * 0.5, 6) as similarity from v a join v b on a.id < b.id"
+
+
+@query("M22_label_similarity", f", {MEANS} {LABEL_PAIRS}", "vectors")
 def m22(spark, d):
     """Labels by the mean of all their vectors: as many rows as there are labels meet."""
     cells = V.vectors(spark, d).select(F.col("label").cast("long").alias("id"), F.posexplode("vector").alias("i", "x"))
@@ -241,6 +253,11 @@ def m22(spark, d):
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(T.label_similarity(S.cosine(F.col("va"), F.col("vb")), F.col("ta"), F.col("tb")), 6).alias("similarity"))
 
 
+@query("M22_diversity_index", f", {MEANS}, pairs as ({LABEL_PAIRS}) select round(coalesce(avg(1 - similarity), 1.0::double), 6) as diversity from pairs", "vectors")
+def m22_diversity(spark, d):
+    return T.diversity_index(m22(spark, d))
+
+
 @query("M23_evidence_pack", f", {SCORES}, {TAILS} select component, tail, cast(place as int) as place, id, score, substr(description, 1, 200) as snippet from (select *, row_number() over (partition by component, tail order by case when tail = 'high' then -score else score end, id) as place from tails) join articles using (id) where place <= 30", "articles")
 def m23(spark, d):
     texts = V.articles(spark, d).select("id", F.col("description").alias("text"))

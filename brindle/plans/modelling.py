@@ -99,6 +99,12 @@ def m25(spark, d):
     return spark.createDataFrame(sorted(found.items()), "metric string, value double")
 
 
+@query("M25_label_metrics", "with r as (select l_returnflag as a, case when l_quantity < 17 then 'A' when l_quantity < 34 then 'R' else 'N' end as p from lineitem), e as (select a, count(*) as n, count(*) filter (a = p) as hits, (select count(*) from r x where x.p = r.a) as said from r group by 1) select round(sum(hits) / sum(n), 6) as accuracy, round(sum(2 * hits / (n + said) * n) / sum(n), 6) as f1 from e")
+def m25_labels(spark, d):
+    said = F.when(F.col("l_quantity") < 17, "A").when(F.col("l_quantity") < 34, "R").otherwise("N")
+    return M.label_metrics(V.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("target"), said.alias("prediction")))
+
+
 @query("M26_model_choice")
 def m26(spark, d):
     r = rows(spark, d)
@@ -138,7 +144,7 @@ def m28(spark, d):
 @query("M29_partial_dependence")
 def m29(spark, d):
     r = rows(spark, d).withColumn("k", F.concat_ws("-", F.col("l_orderkey"), F.col("l_partkey")))
-    return M.partial_dependence(forest(spark, d), r, FEATURES, "l_quantity", key="k")
+    return M.partial_dependence(forest(spark, d), r, FEATURES, key="k")
 
 
 @query("M30_saved_model")

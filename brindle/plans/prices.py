@@ -48,6 +48,18 @@ def p3(spark, d):
     return B.moving_averages(bars(spark, d).select("date", "close"))
 
 
+SERIES = "s as (select l_returnflag || l_linestatus || case when l_suppkey % 5 < 3 then '' else '-' || l_suppkey % 50 end as series, l_shipdate::date as date, l_extendedprice as price, l_orderkey, l_linenumber, l_partkey, l_suppkey from lineitem), daily as (select series, date, round(arg_max(price, row(l_orderkey, l_linenumber, l_partkey, l_suppkey)), 3) as close from s group by 1, 2)"
+
+
+@query("P3_series_moving_average", f"with {SERIES} select series, date, close, {', '.join(f'case when count(close) over w{n} = {n} then round(avg(close) over w{n}, 3) end as ma_{n}' for n in (7, 30, 90))} from daily window {', '.join(f'w{n} as (partition by series order by date rows between {n - 1} preceding and current row)' for n in (7, 30, 90))}")
+def p3_series(spark, d):
+    """Many short series and a few long ones."""
+    name = F.concat(F.col("l_returnflag"), F.col("l_linestatus"), F.when(F.col("l_suppkey") % 5 < 3, "").otherwise(F.concat(F.lit("-"), (F.col("l_suppkey") % 50).cast("string"))))
+    last = F.max_by("l_extendedprice", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    daily = V.table(spark, d, "lineitem").groupBy(name.alias("series"), V.day("l_shipdate").alias("date")).agg(F.round(last, 3).alias("close"))
+    return B.moving_averages(daily, series="series")
+
+
 @query("P4_series_statistics", """, s as (select count(*) as days, arg_min(close, date) as first_close, arg_max(close, date) as last_close, min(low) as min_low, max(high) as max_high, round(avg(close), 3) as mean_close,
   count(index_close) as index_days, arg_min(index_close, date) filter (index_close is not null) as i1, arg_max(index_close, date) filter (index_close is not null) as i2 from joined)
 select days, first_close, last_close, min_low, max_high, mean_close, round((last_close - first_close) / nullif(first_close, 0) * 100, 2) as total_return, index_days, round((i2 - i1) / nullif(i1, 0) * 100, 2) as index_return from s""", JOINED)
@@ -128,11 +140,11 @@ def p16(spark, d):
     return T.tag_means_over_all(V.tags(spark, d))
 
 
-@query("P17_drop_summary", f", drops as (select date, daily_change_percent, {CONTEXT} as market_context, volume % 3 as n_articles from joined where daily_change_percent < -3) select count(*) as total, count(*) filter (market_context = 'Market-wide') as market_wide, count(*) filter (market_context = 'Stock-specific') as stock_specific, count(*) filter (n_articles > 0) as with_news, min(daily_change_percent) as worst from drops", JOINED)
+@query("P17_drop_summary", f", drops as (select date, daily_change_percent, {CONTEXT} as market_context, volume % 3 as n_articles from joined where daily_change_percent < -3) select count(*) as total, count(*) filter (market_context = 'Market-wide') as market_wide, count(*) filter (market_context = 'Stock-specific') as stock_specific, count(*) filter (n_articles > 0) as with_news, min(daily_change_percent) as worst, (select list(date || ' ' || daily_change_percent order by daily_change_percent, date) from (select * from drops order by daily_change_percent, date limit 5)) as worst_five from drops", JOINED)
 def p17(spark, d):
     rows = joined(spark, d).filter("daily_change_percent < -3")
     context = B.market_context(F.col("daily_change_percent"), F.col("index_change_percent"))
-    return B.drop_summary(rows.select("daily_change_percent", context.alias("market_context"), (F.col("volume") % 3).alias("n_articles")))
+    return B.drop_summary(rows.select("date", "daily_change_percent", context.alias("market_context"), (F.col("volume") % 3).alias("n_articles")))
 
 
 PAIRS = "pairs as (select x.tag as a, y.tag as b, count(*) as n from exploded x join exploded y on x.event_key = y.event_key and x.tag < y.tag group by 1, 2)"

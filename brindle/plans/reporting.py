@@ -105,6 +105,11 @@ def a14(spark, d):
     return A.drill_down(tagged(spark, d), "error", column="list", damage="magnitude", key="event_key").select("event_key", "magnitude")
 
 
+@query("A14_category_counts", "select category, count(*) as n from (select unnest(l) as category from (select string_split(categories, '; ') as l from tags) where list_contains(l, 'error')) where category <> 'error' group by 1", "tags")
+def a14_categories(spark, d):
+    return A.drill_down_categories(tagged(spark, d), "error", column="list")
+
+
 @query("A15_trajectory", ", m as (select user_id as event, date, stakeholder, case when sum(score) % 4 <> 0 then sum(score) end as score from reactions group by 1, 2, 3) select event, date, stakeholder, cast(score as bigint) as score from m where score is not null and stakeholder not in ('error', 'view')", "reactions")
 def a15(spark, d):
     s = V.reactions(spark, d).groupBy(F.col("user_id").alias("event"), "date", "stakeholder").agg(F.sum("score").alias("s"))

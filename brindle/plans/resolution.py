@@ -179,10 +179,13 @@ def d11(spark, d):
     return S.relevant_events(e, a, term="ring", off_topic=("red",)).select("event")
 
 
-@query("D12_event_rollup", "select l_orderkey as event, count(*) as num_articles, round(avg(l_linenumber), 2) as mean_damage, round(avg(l_quantity), 2) as mean_response, list_sort(list_distinct(list(l_returnflag) || list(l_linestatus))) as stakeholders, list(cast(l_partkey as varchar) order by cast(l_partkey as varchar)) as urls from lineitem group by 1")
+@query("D12_event_rollup", "select l_orderkey as event, count(*) as num_articles, round(avg(l_linenumber), 2) as mean_damage, round(avg(l_quantity), 2) as mean_response, list_sort(list_distinct(list(l_returnflag) || list(l_linestatus) || list(o_orderpriority))) as stakeholders, list_sort(list_distinct(list('tax ' || l_tax) || list(o_orderstatus))) as responses, list(cast(l_partkey as varchar) order by cast(l_partkey as varchar)) as urls from lineitem join orders on o_orderkey = l_orderkey group by 1")
 def d12(spark, d):
-    rows = V.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("event"), F.col("l_linenumber").alias("damage"), F.col("l_quantity").alias("response"), F.array("l_returnflag", "l_linestatus").alias("stakeholders"), F.col("l_partkey").cast("string").alias("url"))
-    return S.event_rollup(rows)
+    o = V.table(spark, d, "orders")
+    events = o.select(F.col("o_orderkey").alias("event"), F.array("o_orderpriority").alias("stakeholders"), F.array("o_orderstatus").alias("responses"))
+    rows = V.table(spark, d, "lineitem").join(o.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
+    rows = rows.select(F.col("l_orderkey").alias("event"), F.col("l_linenumber").alias("damage"), F.col("l_quantity").alias("response"), F.array("l_returnflag", "l_linestatus").alias("stakeholders"), F.array(F.concat(F.lit("tax "), F.col("l_tax").cast("string"))).alias("responses"), F.col("l_partkey").cast("string").alias("url"))
+    return S.event_rollup(rows, events).join(rows.select("event").distinct(), "event", "left_semi")
 
 
 @query("D13_last_events", "select name, date from cases order by date desc, name limit 25", "cases")
@@ -190,14 +193,14 @@ def d13(spark, d):
     return V.cases(spark, d).select("name", "date").orderBy(F.desc("date"), "name").limit(25)
 
 
-HISTORY = "history as (select * from vectors), queries as (select * from vectors where id % 10 = 5)"
+HISTORY = "history as (select * from vectors), queries as (select * from vectors)"
 COSINE = f"{DOT.format('q.vector', 'h.vector')} / (sqrt({DOT.format('q.vector', 'q.vector')}) * sqrt({DOT.format('h.vector', 'h.vector')}))"
 TOP = f"top as (select query, id, label, similarity, rank from (select *, row_number() over (partition by query order by similarity desc, id) as rank from (select q.id as query, h.id, h.label, round({COSINE}, 6) as similarity from queries q join history h on q.id <> h.id)) where rank <= 5)"
 
 
 def history(spark, d):
     v = V.vectors(spark, d)
-    return v.filter("id % 10 = 5"), v
+    return v, v
 
 
 @query("D14_top_similar", f", {HISTORY}, {TOP} select query, id, similarity, cast(rank as int) as rank from top", "vectors")

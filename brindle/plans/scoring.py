@@ -113,6 +113,11 @@ def r9(spark, d):
     return R.ranked_by_severity(c).select("name", "grade", "stage", "probability")
 
 
+@query("R9_run_counts", f"select count(*) as events, count(distinct company) as companies, min(date) as first_day, max(date) as last_day, {', '.join(f'count(*) filter (grade = {g}) as grade_{g}' for g in range(1, 6))} from (select company, date, {GRADE} as grade from cases)", "cases")
+def r9_counts(spark, d):
+    return R.severity_counts(V.cases(spark, d).withColumn("grade", R.severity_grade(F.col("stage"), F.col("probability"))))
+
+
 NAMED = "named as (select name, case name % 6 when 0 then 'Airline WINS award' when 1 then 'Privacy breach' when 2 then 'Bonus row' when 3 then 'Court fine' else 'Delay' end as title, case name % 4 when 0 then ['safety', 'incident'] when 1 then ['Governance'] else ['service'] end as cats, floor(amount / 100000) as damage, cast(name % 40 as int) as n, name % 3 = 0 as own from cases)"
 
 
