@@ -31,6 +31,10 @@ def validation_report(df: DataFrame, *, text: str, target: str, date: str) -> Da
     ).withColumn("valid", (F.col("rows") > 0) & (F.col("missing_targets") < F.col("rows")))
 
 
+#: Bins of a histogram.
+BINS = 4_096
+
+
 def with_position(df: DataFrame, *order: str, out: str = "position") -> DataFrame:
     """The rows with their place from 0 in the order, without a task that holds all.
 
@@ -63,15 +67,45 @@ def value_counts(df: DataFrame, value: str, *group: str) -> DataFrame:
     return rows.join(few(first), list(group)).withColumn("_less", F.col("_less") - F.col("_first")).drop("_first")
 
 
+def order_statistics(df: DataFrame, column: str, places: list[int]) -> dict[int, float]:
+    """The values at places from 0 in the order of a column, which holds doubles without nulls.
+
+    Histograms of BINS bins, each inside the bins that hold a place, until such a bin has one value: nothing is sorted or shuffled but
+    counts.
+    """
+    v, half = F.col(column), lambda x: x / 2  # noqa: E731  halves, so that no difference is too large
+    r = df.agg(F.min(column).alias("low"), F.max(column).alias("high")).first()
+    found: dict[int, float] = {}
+    open_ = [(r["low"], r["high"], 0, sorted(set(places)))]
+    while open_:
+        cell = F.lit(None).cast("long")
+        for i, (low, high, _, _) in enumerate(open_):
+            width = half(high) - half(low)
+            bin_ = F.floor((half(v) - half(F.lit(low))) / width * BINS) if 0 < width < float("inf") else F.when(v == low, 0).when(v == high, BINS - 1).otherwise(1)
+            cell = F.when(v.between(low, high), F.lit(i * BINS) + F.least(F.greatest(bin_.cast("long"), F.lit(0)), F.lit(BINS - 1))).otherwise(cell)
+        bins = df.select(cell.alias("cell"), column).filter("cell is not null").groupBy("cell").agg(F.count("*").alias("n"), F.min(column).alias("low"), F.max(column).alias("high")).collect()
+        next_ = []
+        for i, (_, _, before, wanted) in enumerate(open_):
+            for r in sorted((r for r in bins if r["cell"] // BINS == i), key=lambda r: r["cell"]):
+                inside = [p for p in wanted if before <= p < before + r["n"]]
+                if inside and r["low"] == r["high"]:
+                    found |= dict.fromkeys(inside, r["low"])
+                elif inside:
+                    next_.append((r["low"], r["high"], before, inside))
+                before += r["n"]
+        open_ = next_
+    return found
+
+
 def quantiles(df: DataFrame, column: str, shares: tuple[float, ...]) -> list[float | None]:
-    """Exact quantiles, linear between neighbours, of the values that aren't null; nulls without any."""
-    rows = value_counts(df, column)
-    n = rows.agg(F.sum("_rows")).first()[0] or 0
+    """Exact quantiles, linear between neighbours, of the values that are neither null nor NaN; nulls without any."""
+    rows = df.select(F.col(column).cast("double").alias("v")).filter("v is not null and not isnan(v)")
+    rows = stored(rows, "values")
+    n = rows.count()
     if not n:
         return [None] * len(shares)
     places = sorted({int(p) for x in shares for p in ((n - 1) * x, min((n - 1) * x + 1, n - 1))})
-    wanted = F.explode(F.filter(F.array(*[F.lit(p).cast("long") for p in places]), lambda p: (p >= F.col("_less")) & (p < F.col("_less") + F.col("_rows"))))
-    at = {r["place"]: float(r["v"]) for r in rows.select(wanted.alias("place"), F.col(column).alias("v")).collect()}  # two for each share
+    at = order_statistics(rows, "v", places)
     found = []
     for x in shares:
         low = int((n - 1) * x)

@@ -16,24 +16,67 @@ MODALS = ("can", "could", "may", "might", "must", "shall", "should", "will", "wo
 NEGATIONS = ("no", "not", "never", "none", "nothing", "neither", "nor", "cannot")
 
 
+#: Counters of the summary of frequent terms, and the longest list of terms that is looked for inside the rows.
+COUNTERS, IN_ROWS = 1 << 18, 2_000
+
+
 def words_of(text: Column, stop: tuple[str, ...] = ()) -> Column:
-    found = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda w: F.length(w) > 1)
-    return F.filter(found, lambda w: ~w.isin(*stop)) if stop else found
+    ok = lambda w: (F.length(w) > 1) & ~w.isin(*stop) if stop else F.length(w) > 1
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), ok)
+
+
+def _terms(docs: DataFrame, key: str, text: str, stop: tuple[str, ...], grams: int) -> DataFrame:
+    """(key, terms): the words of each text, and its word pairs if ``grams`` is 2."""
+    w = docs.select(key, words_of(F.col(text), stop).alias("w"))
+    pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
+    return w.select(key, (F.concat("w", pairs) if grams == 2 else F.col("w")).alias("terms"))
+
 
+def frequent_terms(rows: DataFrame, *, least: int, most: float, terms: int) -> DataFrame:
+    """(term, df, n): the ``terms`` most frequent of all terms that are in ``least`` rows at least and in no more than a share ``most``, ties by name.
 
-def tfidf(docs: DataFrame, *, key: str, text: str, stop: tuple[str, ...] = STOP_WORDS, least: int = 2, most: float = 0.8, terms: int = 500, grams: int = 2) -> DataFrame:
+    Tasks hand on a counter for each hash of a term, whose number is fixed; a term can't be more frequent than its counter.  Terms of
+    the greatest counters are counted exactly, and if fewer than ``terms`` of them reach the greatest counter left out, more
+    counters are opened.  No table of all terms is made.
+    """
+    n = rows.count()
+    place = lambda t: F.pmod(F.xxhash64(t), F.lit(COUNTERS))
+    counters = stored(rows.select(F.explode("terms").alias("t")).groupBy(place(F.col("t")).alias("counter")).agg(F.count("*").alias("upper")), "counters")
+    opened = 4 * terms
+    while True:
+        best = counters.orderBy(F.desc("upper"), "counter").limit(opened + 1).collect()  # a few for each term
+        closed = best[opened]["upper"] if len(best) > opened else 0
+        known = [r["counter"] for r in best if r["upper"] > closed]
+        hit = F.filter("terms", lambda t: place(t).isin(known)) if closed else F.col("terms")
+        one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+        cells = F.concat(F.transform("hit", lambda t: F.struct(t.alias("term"), one.alias("tf"), zero.alias("df"))), F.transform(F.array_distinct("hit"), lambda t: F.struct(t.alias("term"), zero.alias("tf"), one.alias("df"))))
+        exact = rows.select(hit.alias("hit")).select(F.inline(cells)).groupBy("term").agg(F.sum("tf").alias("all"), F.sum("df").alias("df"))
+        found = stored(exact.filter((F.col("df") >= least) & (F.col("df") <= F.lit(n) * most)).orderBy(F.desc("all"), "term").limit(terms), "frequent")
+        if not closed or found.filter(F.col("all") > closed).count() == terms:
+            return found.select("term", "df", F.lit(n).cast("long").alias("n"))
+        opened *= 8
+
+
+def tfidf(docs: DataFrame, *, key: str, text: str, stop: tuple[str, ...] = STOP_WORDS, least: int = 2, most: float = 0.8, terms: int = 500, grams: int = 2, only: DataFrame | None = None) -> DataFrame:
     """(key, term, weight): smoothed TF-IDF of words and word pairs, scaled to unit length for each document.
 
     Terms are in ``least`` documents at least and in no more than a share ``most`` of them; the ``terms`` most frequent
-    count, ties by name.
+    count, ties by name.  Weights are made for all documents, or for those whose key is in ``only``.  A list of more than IN_ROWS terms is
+    chosen from a stored table of all terms.
     """
-    w = docs.select(key, words_of(F.col(text), stop).alias("w"))
-    pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-    # written once, as three passes read it
-    counts = stored(w.select(key, F.explode(F.concat("w", pairs) if grams == 2 else F.col("w")).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf")), "terms")
-    total = docs.agg(F.count("*").alias("n"))
-    spread = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("all"))
-    known = spread.crossJoin(F.broadcast(total)).filter((F.col("df") >= least) & (F.col("df") <= F.col("n") * most)).orderBy(F.desc("all"), "term").limit(terms)  # ``terms`` rows
+    rows = _terms(docs, key, text, stop, grams)
+    if terms <= IN_ROWS:
+        known = frequent_terms(rows, least=least, most=most, terms=terms)
+        names = [r["term"] for r in known.select("term").collect()]  # ``terms`` at most
+        rows = rows.join(only.select(key).distinct(), key, "left_semi") if only is not None else rows
+        counts = rows.select(key, F.explode(F.filter("terms", lambda t: t.isin(names)) if names else F.array().cast("array<string>")).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    else:
+        # written once, as three passes read it
+        counts = stored(rows.select(key, F.explode("terms").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf")), "terms")
+        total = docs.agg(F.count("*").alias("n"))
+        spread = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("all"))
+        known = spread.crossJoin(F.broadcast(total)).filter((F.col("df") >= least) & (F.col("df") <= F.col("n") * most)).orderBy(F.desc("all"), "term").limit(terms)  # ``terms`` rows
+        counts = counts.join(only.select(key).distinct(), key, "left_semi") if only is not None else counts
     idf = known.select("term", (F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
     rows = counts.join(F.broadcast(idf), "term").withColumn("raw", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))

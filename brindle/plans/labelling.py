@@ -56,7 +56,8 @@ KEYS = "keys as (select component, tail, term, weight, row_number() over (partit
 
 
 def keywords(spark, d, k=15):
-    return T.tail_keywords(tails(spark, d), weights(spark, d), k=k)
+    ends = S.stored(tails(spark, d), "tails")
+    return T.tail_keywords(ends, T.tfidf(V.articles(spark, d), key="id", text="description", only=ends), k=k)
 
 
 @query("M8_tail_keywords", f", {SCORES}, {TAILS}, {TFIDF}, {KEYS} select component, tail, term, cast(place as int) as place from keys where place <= 15", "articles")

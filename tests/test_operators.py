@@ -425,6 +425,36 @@ def test_nearest_information_as_brute_force(spark, monkeypatch, block):
     assert I.nearest_information(spark.createDataFrame([], "x double, y string"), "x", "y") == 0
 
 
+@pytest.mark.parametrize("counters", [4, 64, 1 << 18])
+def test_frequent_terms_as_counting_all(spark, monkeypatch, counters):
+    """Few counters, which must be opened again, and ties at the last place."""
+    from brindle.operators import topics as T
+
+    monkeypatch.setattr(T, "COUNTERS", counters)
+    rng = random.Random(2)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.7)) % 300}" for _ in range(rng.randrange(0, 60))) for _ in range(150)] + [None, ""]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").repartition(3)
+    found = [(r.term, r.df) for r in T.frequent_terms(T._terms(docs, "id", "text", (), 2), least=3, most=0.5, terms=20).collect()]
+    tf, df = {}, {}
+    for t in texts:
+        w = (t or "").split()
+        own = w + [f"{a} {b}" for a, b in zip(w, w[1:])]
+        for x in own:
+            tf[x] = tf.get(x, 0) + 1
+        for x in set(own):
+            df[x] = df.get(x, 0) + 1
+    order = sorted((x for x in tf if 3 <= df[x] <= len(texts) * 0.5), key=lambda x: (-tf[x], x))[:20]
+    assert sorted(found) == sorted((x, df[x]) for x in order)
+
+
+def test_order_statistics(spark, monkeypatch):
+    monkeypatch.setattr(Q, "BINS", 3)
+    inf = float("inf")
+    for values in ([5.0], [1.0, 1.0, 2.0], [-inf, 0.0, 1e308, -1e308, inf, inf], [i * 0.1 for i in range(50)] + [3.0] * 20, [5e-324, 1e-323, 0.0]):
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        assert Q.order_statistics(df, "v", list(range(len(values)))) == dict(enumerate(sorted(values)))
+
+
 def test_prior_events_as_all_pairs(spark):
     """A hot company, few kinds, repeated days, long and short gaps, nulls; against every pair."""
     rng = random.Random(5)
