@@ -14,6 +14,9 @@ from .. import ship
 #: Largest table, in rows of two numbers each (16 MB), that is sent to every executor; beyond it a join shuffles.
 BROADCAST_ROWS = 1_000_000
 
+#: Bytes in a range of rows that are sorted, about.
+RANGE_BYTES = 256 << 20
+
 
 def bounded_batches(spark: SparkSession) -> None:
     """Lets a batch of rows on its way to Python be of some megabytes at most, since texts may be long, and sends this package to the workers.
@@ -104,6 +107,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def ranges_for(rows: DataFrame, size: Column) -> int:
+    """How many ranges rows are dealt over: the session's shuffle partitions, and more where a range would pass RANGE_BYTES of ``size``."""
+    total = rows.agg(F.sum(size)).first()[0] or 0
+    return max(partitions(rows.sparkSession), -(-int(total) // RANGE_BYTES))
+
+
 def with_base(rows: DataFrame, part: str, n: Column, base: str) -> DataFrame:
     """Adds to each row the number of units in all parts before its own: the second pass of a prefix sum.
 

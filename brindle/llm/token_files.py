@@ -1,7 +1,7 @@
 """Token-id files: fixed-size blocks of ids, turned into byte or bit planes, each plane compressed with zstandard.
 
 A file is a Parquet folder whose rows are blocks, ordered by (shard, block).  A block has a number of ids (BLOCK but for a
-shard's last), its compressed planes, and an entry of the chunk index: the place of its first id in the shard and the
+shard's last), the bytes of an id, whether its planes are of bits, its compressed planes, and an entry of the chunk index: the place of its first id in the shard and the
 pieces of documents in it.  Parquet gives the folder the commit protocol, the column pruning (the index is read without
 the planes) and the reach of any store that Spark reads; the planes are opaque to it.
 
@@ -24,16 +24,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import few, named, partitions, with_base
+from ._common import few, named, ranges_for, with_base
 from ._tokens import cut, default_tokenizer, encoded, encoder
 
 #: Ids in a block.
 BLOCK = 1 << 16
 
 _PIECE = "ordinal: bigint, doc_id: bigint, first: bigint, length: bigint, begins: boolean, ends: boolean"
-SCHEMA = f"shard long, block long, first long, n_ids long, planes array<binary>, pieces array<struct<{_PIECE}>>"
+SCHEMA = f"shard long, block long, first long, n_ids long, id_bytes int, bits boolean, planes array<binary>, pieces array<struct<{_PIECE}>>"
 _ARROW_PIECE = pa.struct([("ordinal", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int64()), ("length", pa.int64()), ("begins", pa.bool_()), ("ends", pa.bool_())])
-_ARROW = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("first", pa.int64()), ("n_ids", pa.int64()), ("planes", pa.list_(pa.binary())), ("pieces", pa.list_(_ARROW_PIECE))])
+_ARROW = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("first", pa.int64()), ("n_ids", pa.int64()), ("id_bytes", pa.int32()), ("bits", pa.bool_()), ("planes", pa.list_(pa.binary())), ("pieces", pa.list_(_ARROW_PIECE))])
 
 
 def to_planes(ids: np.ndarray, *, bits: bool = False) -> list[bytes]:
@@ -46,7 +46,9 @@ def to_planes(ids: np.ndarray, *, bits: bool = False) -> list[bytes]:
 
 
 def from_planes(planes: list[bytes], n: int, dtype: np.dtype) -> np.ndarray:
-    """The inverse of to_planes: one plane for each byte of ``dtype``, or else one for each bit."""
+    """The inverse of to_planes: one plane for each byte of ``dtype``, or else one for each bit; any other number is an error."""
+    if len(planes) not in (np.dtype(dtype).itemsize, 8 * np.dtype(dtype).itemsize):
+        raise ValueError(f"{len(planes)} planes are no ids of {np.dtype(dtype).itemsize} bytes")
     dtype = np.dtype(dtype)
     flat = np.stack([np.frombuffer(x, np.uint8) for x in planes], axis=1) if n else np.empty((0, dtype.itemsize), np.uint8)
     if len(planes) == 8 * dtype.itemsize and n:
@@ -94,7 +96,7 @@ class _Shard:
         number = np.arange(first, stop)
         flat = pa.StructArray.from_arrays([c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in pieces.columns], fields=list(_ARROW_PIECE))
         lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(of[:done], np.arange(first, stop + 1)), pa.int32()), flat)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(parts), self.number)), pa.array(number), pa.array(number * BLOCK), pa.array([len(x) for x in parts], pa.int64()), pa.array(planes, pa.list_(pa.binary())), lists], schema=_ARROW)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(parts), self.number)), pa.array(number), pa.array(number * BLOCK), pa.array([len(x) for x in parts], pa.int64()), pa.array(np.full(len(parts), self.dtype.itemsize, np.int32)), pa.array(np.full(len(parts), self.bits)), pa.array(planes, pa.list_(pa.binary())), lists], schema=_ARROW)
 
 
 def write_token_files(docs: DataFrame, path: str, *, tokenizer: str | None = None, end_id: int = 2, bits: bool = False, level: int = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -110,7 +112,7 @@ def write_token_files(docs: DataFrame, path: str, *, tokenizer: str | None = Non
 
     rows = named(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     tie = F.xxhash64("text")  # rows that share a doc_id need not share a shard
-    dealt = rows.repartitionByRange(partitions(docs.sparkSession), F.col("doc_id"), tie).sortWithinPartitions(F.col("doc_id"), tie, F.col("text"))
+    dealt = rows.repartitionByRange(ranges_for(rows, F.octet_length("text")), F.col("doc_id"), tie).sortWithinPartitions(F.col("doc_id"), tie, F.col("text"))
     dealt.mapInArrow(run, SCHEMA).write.parquet(path)
 
 
@@ -118,7 +120,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(path)
 
 
-def decoded(files: DataFrame, *, dtype: str = "<u2") -> DataFrame:
+def decoded(files: DataFrame) -> DataFrame:
     """(shard, ordinal, doc_id, first, length, ids_crc32): each piece of a document, from the ids of its decoded block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,9 +129,9 @@ def decoded(files: DataFrame, *, dtype: str = "<u2") -> DataFrame:
         expand = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for k in range(batch.num_rows):
-                n, first, planes = batch.column(3)[k].as_py(), batch.column(2)[k].as_py(), batch.column(4)[k].as_py()
-                wide = memoryview(from_planes([expand(x) for x in planes], n, np.dtype(dtype)).astype("<u4").tobytes())
-                pieces = batch.column(5)[k].values
+                n, first, planes = batch.column(3)[k].as_py(), batch.column(2)[k].as_py(), batch.column(5)[k].as_py()
+                wide = memoryview(from_planes([expand(x) for x in planes], n, np.dtype(f"<u{batch.column(4)[k].as_py()}")).astype("<u4").tobytes())
+                pieces = batch.column(6)[k].values
                 begin, length = pieces.field("first").to_numpy(), pieces.field("length").to_numpy()
                 crc = [zlib.crc32(wide[4 * a : 4 * b]) for a, b in zip(begin.tolist(), (begin + length).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
@@ -137,7 +139,7 @@ def decoded(files: DataFrame, *, dtype: str = "<u2") -> DataFrame:
                     ["shard", "ordinal", "doc_id", "first", "length", "crc"],
                 )
 
-    return files.select("shard", "block", "first", "n_ids", "planes", "pieces").mapInArrow(run, "shard long, ordinal long, doc_id long, first long, length long, crc long")
+    return files.select("shard", "block", "first", "n_ids", "id_bytes", "planes", "pieces").mapInArrow(run, "shard long, ordinal long, doc_id long, first long, length long, crc long")
 
 
 _CRC_POLY, _ONE = 0xEDB88320, 1 << 31  # crc32's polynomial and 1, lowest power in the highest bit
@@ -165,7 +167,7 @@ def crc32_joined(parts: list[tuple[int, int]]) -> int:
     return crc
 
 
-def documents_of(files: DataFrame, *, dtype: str = "<u2") -> DataFrame:
+def documents_of(files: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, shard): every document as the files have it; pieces are joined by their checksums."""
 
     @F.pandas_udf("long")
@@ -173,7 +175,7 @@ def documents_of(files: DataFrame, *, dtype: str = "<u2") -> DataFrame:
         return pd.Series([int(c[0]) if len(c) == 1 else crc32_joined([(int(x), 4 * int(m)) for x, m in zip(c, n, strict=True)]) for c, n in zip(crc, length, strict=True)], dtype="int64")
 
     placed = with_base(files.select("shard", "n_ids").groupBy("shard").agg(F.sum("n_ids").alias("n_ids")), "shard", F.col("n_ids"), "base").select("shard", "base")
-    docs = decoded(files, dtype=dtype).groupBy("shard", "ordinal").agg(
+    docs = decoded(files).groupBy("shard", "ordinal").agg(
         F.first("doc_id").alias("doc_id"), F.min("first").alias("first"), F.sum("length").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("first", "length", "crc"))).alias("parts")
     )
     docs = docs.join(few(placed), "shard")
