@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import free_name, named, partitions, under_plain_names, wider, written
+from ._common import free_name, named, ranges_for, under_plain_names, wider, written
 from ._shingles import mixed, shingle_hashes, word_hashes
 
 WIDTH, BINS, BITS = 5, 256, 4
@@ -162,7 +162,7 @@ def edit_report(docs: DataFrame, *, width: int = WIDTH, id_col: str = "doc_id",
     """
     rows = named(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     tie = F.xxhash64("text")
-    dealt = rows.repartitionByRange(partitions(docs.sparkSession), F.col("doc_id"), tie).sortWithinPartitions(F.col("doc_id"), tie, F.col("text"))
+    dealt = rows.repartitionByRange(ranges_for(rows, F.octet_length("text")), F.col("doc_id"), tie).sortWithinPartitions(F.col("doc_id"), tie, F.col("text"))
     blank = [pa.nulls(0, k) for k in (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())]
     names = [x.split()[0] for x in REPORT.split(", ")] + ["edge", "range", "edge_id", "edge_text"]
 
