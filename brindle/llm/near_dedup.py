@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BROADCAST_ROWS, column, few, keyed, named, partitions, written
+from ._common import BROADCAST_ROWS, column, few, keyed, named, ranges_for, written
 from ._components import components
 from ._shingles import shingle_sets
 
@@ -190,7 +190,6 @@ def _rest(rows: DataFrame, labels: DataFrame, test: Callable) -> DataFrame:
 
 def _families(reps: DataFrame) -> DataFrame:
     """(node, component): groups of documents that hold every pair that may be a link."""
-    n = partitions(reps.sparkSession)
     keys = F.array(*[F.xxhash64(F.lit(t), F.substring("sig", 2 * DEPTH * t + 1, 2 * DEPTH)) for t in range(TREES)])
     trees = reps.select("doc_id", F.posexplode(keys).alias("tree", "region"))
     # written first, so that the join on a hot region can be split
@@ -199,6 +198,7 @@ def _families(reps: DataFrame) -> DataFrame:
     label = F.expr(f"concat(substring(sig, 1 + {2 * DEPTH} * tree), substring(sig, 1, {2 * DEPTH} * tree))")
     # 24 values order a region well enough; what ties after that is cut as one
     walk = shared.join(reps.select("doc_id", "sig"), "doc_id").select("region", "members", F.substring(label, 1, 48).alias("label"), "doc_id", "sig")
+    n = ranges_for(shared, F.lit(2 * DEPTH * TREES + 64))  # what a row of the walk has
     walk = walk.repartitionByRange(n, "region", "label", "doc_id").sortWithinPartitions("region", "label", "doc_id")
     found = written(walk.mapInArrow(_cut_regions, "a long, b long, region long"), "likely")
     links, cut = found.filter("a is not null").select("a", "b"), found.filter("region is not null").select("region").distinct()
