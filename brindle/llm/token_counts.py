@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,6 +35,18 @@ BLOCK = 1 << 18
 END_OF_TEXT = 50256
 
 
+#: Names of stores in Spark's paths that Arrow knows by another one.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system of a path, and the path in it; a mounted store ("dbfs:/...") is a folder of that name at the root."""
+    scheme, colon, rest = path.partition(":")
+    if colon and scheme == "dbfs":
+        return fs.LocalFileSystem(), "/dbfs/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}" if colon else path)
+
+
 def flat_files(docs: DataFrame, path: str, *, tokenizer: str | None = None, separator: int = END_OF_TEXT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes one flat file for each scanned partition into the folder ``path``; returns the plain list of their documents.
 
@@ -43,10 +56,8 @@ def flat_files(docs: DataFrame, path: str, *, tokenizer: str | None = None, sepa
     tokenizer = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
         task, first, out = TaskContext.get(), 0, None
-        store, folder = fs.FileSystem.from_uri(path)
+        store, folder = _store(path)
         name = f"{task.partitionId():06d}-{task.taskAttemptId()}.ids"
         for batch in batches:
             for at, ids, offsets in encoded(batch.column(1), tokenizer, separator):
@@ -69,9 +80,7 @@ def read_flat_files(spark: SparkSession, path: str, *, width: int = 2, block: in
     size = block * width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        store, folder = fs.FileSystem.from_uri(path)
+        store, folder = _store(path)
         for batch in batches:
             for name, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with store.open_input_file(f"{folder}/{name}") as f:
@@ -142,7 +151,7 @@ def document_tokens(docs: DataFrame, *, tokenizer: str | None = None, separator:
     if not files.limit(1).count():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long")
     blocks = read_flat_files(spark, path, width=dtype.itemsize, block=block).join(F.broadcast(files), "file", "left_semi")  # one row for each task that wrote
-    counted = count_tokens(blocks, separator=separator, dtype=dtype.str)
+    counted = written(count_tokens(blocks, separator=separator, dtype=dtype.str), "counted")
     sizes = written(counted.groupBy("file").agg((F.sum("n_tokens") + F.count("*")).alias("n_all")), "file-sizes")
     placed = with_base(sizes, "file", F.col("n_all"), "base").select("file", "base")
     listed = names.select("file", "first", F.posexplode("doc_ids").alias("k", "doc_id")).select("file", (F.col("first") + F.col("k")).alias("ordinal"), "doc_id")
