@@ -92,6 +92,31 @@ def test_token_files(odd_docs, plain, tmp_path, bits, monkeypatch):
         start += len(ids)
 
 
+@pytest.mark.parametrize("bits", [False, True])
+def test_token_files_of_a_wide_vocabulary(spark, tmp_path, bits):
+    """More than 65,536 ids: the files say how wide they are."""
+    wide = Tokenizer.from_file(default_tokenizer())
+    wide.add_tokens([f"<extra{i}>" for i in range(20_000)])
+    wide.save(str(tmp_path / "wide.json"))
+    texts = ["two words", "", "<extra19999>"]
+    path = f"file://{tmp_path}/ids"
+    token_files.write_token_files(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, tokenizer=str(tmp_path / "wide.json"), bits=bits)
+    files = token_files.read_token_files(spark, path)
+    assert {(r.id_bytes, r.bits) for r in files.collect()} == {(4, bits)}
+    rows = {r.doc_id: r for r in token_files.documents_of(files).collect()}
+    for i, t in enumerate(texts):
+        ids = wide.encode(t, add_special_tokens=False).ids + [2]
+        assert (rows[i].n_tokens, rows[i].ids_crc32) == (len(ids), crc(ids))
+    assert max(wide.encode(texts[2]).ids) > 65_536
+    with pytest.raises(ValueError):
+        token_files.from_planes([b"a", b"b"], 1, "<u4")
+
+
+def test_stores_of_other_names():
+    assert token_counts._store("dbfs:/mnt/a")[1] == "/dbfs/mnt/a" and token_counts._store("file:///tmp/a")[1] == "/tmp/a"
+    assert token_counts.SCHEMES["s3a"] == "s3"
+
+
 def test_token_files_of_repeated_and_missing_ids(spark, tmp_path, plain):
     docs = spark.createDataFrame([(None, "b"), (1, "same"), (1, "same"), (1, "other")], "doc_id long, text string")
     path = f"file://{tmp_path}/ids"
