@@ -235,7 +235,9 @@ def merged_resolutions(rows: DataFrame, key: str, *, priority: str = "priority",
     """One row for each key: the first value of each field in order of priority that isn't null, empty, 0 or false; and the sources."""
     kinds = dict(rows.dtypes)
     firsts = [F.min_by(truthy(f, kinds[f]), F.when(truthy(f, kinds[f]).isNotNull(), F.col(priority))).alias(f) for f in fields]
-    return rows.groupBy(key).agg(*firsts, F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct(priority, source))), lambda x: x[source])).alias("sources"))
+    named = rows.groupBy(F.col(key).alias("_key"), source).agg(F.min(priority).alias("_first")).filter(F.col("_first").isNotNull() | F.col(source).isNotNull())
+    sources = named.groupBy("_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("_first", source))), lambda x: x[source]).alias("sources"))  # a source once
+    return rows.groupBy(key).agg(*firsts).join(sources, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
 
 
 def activism_rollup(rows: DataFrame) -> DataFrame:

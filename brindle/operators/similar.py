@@ -502,9 +502,10 @@ def default_prediction(queries: DataFrame, similar: DataFrame, facts: DataFrame)
 
 
 def phrase_sections(sections: DataFrame, phrases: DataFrame, *, least: float = 0.4, k: int = 10) -> DataFrame:
-    """The k sections with the greatest cosine to any phrase of a fixed, small set, over a least one."""
-    rows = sections.crossJoin(few(phrases.select(F.col("vector").alias("_p")), 10_000))
-    best = rows.groupBy("id").agg(F.round(F.max(cosine(F.col("vector"), F.col("_p"))), 6).alias("similarity"))
+    """The k sections with the greatest cosine to any phrase, over a least one; sections meet phrases in balls, however many there are."""
+    below = F.lit((sections.agg(F.min("id")).first()[0] or 0) - 1) - F.monotonically_increasing_id()  # ids that no section has
+    named = stored(phrases.select("vector").withColumn("id", below), "phrases")
+    best = top_similar(sections.select("id", "vector"), named, k=1).select(F.col("query").alias("id"), "similarity")
     return best.filter(F.col("similarity") > least).orderBy(F.desc("similarity"), "id").limit(k)
 
 
