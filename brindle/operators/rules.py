@@ -32,16 +32,21 @@ PRIVACY_WORDS = ("data breach", "privacy", "crm")
 PAY_WORDS = ("remuneration", "exec pay", "executive pay", "bonus", "bonuses", "pay vote", "rem report", "agm pay", "say on pay")
 NEUTRAL = ("Do Nothing", "Share Opinion with Others")
 
+#: Events of a company that share a word, up to which their pairs are scored.
+RARE = 64
 #: Recency falls over the days up to 730, again from there on, and is level beyond 1,216.
 SEGMENTS = (0, 730, 1216)
 
 
+def _category_share(a: Column, b: Column) -> Column:
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_union(a, b)))), F.lit(0.0))
+
+
 def issue_similarity(cats_a: Column, cats_b: Column, words_a: Column, words_b: Column) -> Column:
     """0.6 times the Jaccard similarity of the categories plus 0.4 times that of the words, stop words not counted above the line."""
     shared = F.size(F.array_except(F.array_intersect(words_a, words_b), words(STOP_WORDS)))
-    categories = F.coalesce(F.try_divide(F.size(F.array_intersect(cats_a, cats_b)), F.when((F.size(cats_a) > 0) & (F.size(cats_b) > 0), F.size(F.array_union(cats_a, cats_b)))), F.lit(0.0))
     text = F.coalesce(F.try_divide(shared, F.when((F.size(words_a) > 0) & (F.size(words_b) > 0), F.size(F.array_union(words_a, words_b)))), F.lit(0.0))
-    return F.least(F.lit(1.0), categories * 0.6 + text * 0.4)
+    return F.least(F.lit(1.0), _category_share(cats_a, cats_b) * 0.6 + text * 0.4)
 
 
 def theme(text: Column, categories: Column, themes: tuple = THEMES) -> Column:
@@ -77,16 +82,27 @@ def day_of(text: Column) -> Column:
 def prior_events(events: DataFrame, *, k: int = 3) -> DataFrame:
     """(name, prior, score, rank): for each event the k best earlier ones of its company, by issue, theme and recency.
 
-    Events have name (each its own), company, date, categories, tokens and theme.  Earlier events of one kind, that is of
-    the same company, categories, tokens and theme, differ for a later event by their days alone.  Recency falls from the
+    Events have name (each its own), company, date, categories, tokens and theme.  A word that no more than RARE events of a company
+    have brings those together: their pairs are scored one by one.  For all others the rare words only count in the number
+    of words, so earlier events of one kind, that is of the same company, categories, frequent words, number of words and
+    theme, differ for a later event by their days alone.  Recency falls from the
     first day to the 730th and again from the 731st, and is level from the 1,217th on, so the k best of a kind are among
     the newest k of all, the newest k from the 731st day on, and the k least names from the 1,217th on.  These are kept
     as a running state of each kind and looked up as of a day; of one day a kind hands on no more than k events.  So the
-    work grows with days and kinds of a company, not with the pairs of its events.  Events without company or date have
+    work grows with days and kinds of a company and with RARE times its words, not with the pairs of its events; what is found both ways has the greater
+    score, which is the true one.  Events without company or date have
     and are no prior event.
     """
-    columns = ("categories", "tokens", "theme")
-    kinded = events.select("name", F.lower(F.col("company").cast("string")).alias("company"), F.col("date").cast("date").alias("date"), *columns, F.to_json(F.struct(*columns)).alias("kind")).filter("company is not null and date is not null")
+    columns = ("categories", "frequent", "n_words", "theme")
+    whole = events.select("name", F.lower(F.col("company").cast("string")).alias("company"), F.col("date").cast("date").alias("date"), "categories", "tokens", "theme").filter("company is not null and date is not null")
+    whole = stored(whole, "events")
+    used = whole.select("name", "company", "date", F.explode(F.array_distinct("tokens")).alias("word"))
+    rare = stored(used.groupBy("company", "word").agg(F.count("*").alias("n")).filter((F.col("n") > 1) & (F.col("n") <= RARE)).select("company", "word"), "rare-words")
+    alone = used.groupBy("company", "word").agg(F.count("*").alias("n")).filter(F.col("n") <= RARE).select("company", "word")
+    left = used.join(alone, ["company", "word"], "left_anti").groupBy("name").agg(F.array_sort(F.collect_list("word")).alias("frequent"))
+    none = F.array().cast("array<string>")
+    kinded = whole.join(left, "name", "left").withColumn("frequent", F.coalesce("frequent", none)).withColumn("n_words", F.coalesce(F.size(F.array_distinct("tokens")), F.lit(0)))
+    kinded = kinded.select("name", "company", "date", *columns, F.to_json(F.struct(*columns)).alias("kind"))
     kinds = few(stored(kinded.select("kind", *columns).dropDuplicates(["kind"]), "kinds"), 100_000)
     rows = stored(kinded.select("name", "company", "date", "kind"), "kinded-events")
 
@@ -114,11 +130,25 @@ def prior_events(events: DataFrame, *, k: int = 3) -> DataFrame:
     earlier = kinds.select(F.col("kind").alias("p_kind"), *[F.col(c).alias(f"p_{c}") for c in columns])
     pairs = rows.select("company", "date", "kind").distinct().join(found, ["company", "date"]).join(kinds, "kind").join(earlier, "p_kind").withColumn("year", F.year("date"))
     pairs = theme_priority(pairs, theme_col="p_theme")
-    score = issue_similarity(F.col("categories"), F.col("p_categories"), F.col("tokens"), F.col("p_tokens")) * 0.5 + F.col("priority") * 0.3 + recency(F.datediff("date", "p_date")) * 0.2
+    both_have = F.array_intersect("frequent", "p_frequent")
+    either = F.when((F.col("n_words") > 0) & (F.col("p_n_words") > 0), F.col("n_words") + F.col("p_n_words") - F.size(both_have))
+    text = F.coalesce(F.try_divide(F.size(F.array_except(both_have, words(STOP_WORDS))), either), F.lit(0.0))
+    issue = F.least(F.lit(1.0), _category_share(F.col("categories"), F.col("p_categories")) * 0.6 + text * 0.4)
+    score = issue * 0.5 + F.col("priority") * 0.3 + recency(F.datediff("date", "p_date")) * 0.2
     best = pairs.select("company", "date", "kind", "prior", F.round(score, 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy("company", "date", "kind").orderBy(F.desc("score"), "prior"))
     best = best.withColumn("rank", rank).filter(F.col("rank") <= k)
-    return rows.join(best, ["company", "date", "kind"]).select("name", "prior", "score", "rank")
+    by_kind = rows.join(best, ["company", "date", "kind"]).select("name", "prior", "score")
+
+    meets = used.join(rare, ["company", "word"])
+    other = meets.select("company", "word", F.col("name").alias("prior"), F.col("date").alias("p_date"))
+    near = meets.join(other, ["company", "word"]).filter("p_date < date").select("name", "prior").distinct()
+    later, prior = whole.select("name", "date", "categories", "tokens"), whole.select(F.col("name").alias("prior"), F.col("date").alias("p_date"), F.col("categories").alias("p_categories"), F.col("tokens").alias("p_tokens"), F.col("theme").alias("p_theme"))
+    near = theme_priority(near.join(later, "name").join(prior, "prior").withColumn("year", F.year("date")), theme_col="p_theme")
+    score = issue_similarity(F.col("categories"), F.col("p_categories"), F.col("tokens"), F.col("p_tokens")) * 0.5 + F.col("priority") * 0.3 + recency(F.datediff("date", "p_date")) * 0.2
+    found = by_kind.union(near.select("name", "prior", F.round(score, 6).alias("score"))).groupBy("name", "prior").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("score"), "prior"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("name", "prior", "score", "rank")
 
 
 def severity_grade(stage: Column, probability: Column) -> Column:

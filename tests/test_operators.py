@@ -455,15 +455,17 @@ def test_order_statistics(spark, monkeypatch):
         assert Q.order_statistics(df, "v", list(range(len(values)))) == dict(enumerate(sorted(values)))
 
 
-def test_prior_events_as_all_pairs(spark):
-    """A hot company, few kinds, repeated days, long and short gaps, nulls; against every pair."""
+@pytest.mark.parametrize("rare", [0, 3, 64])
+def test_prior_events_as_all_pairs(spark, monkeypatch, rare):
+    """A hot company, words that few or many of its events have, repeated days, long and short gaps, nulls; against every pair."""
+    monkeypatch.setattr(R, "RARE", rare)
     rng = random.Random(5)
     rows = []
     for n in range(400):
         day = DAY - dt.timedelta(rng.choice([rng.randrange(8), 365, 730, 731, 1216, 1217, rng.randrange(3000)]))
         company = None if n % 57 == 0 else rng.choice(["Hot", "hot", "cold", f"c{n % 20}"])
         categories = rng.choice([["x"], ["x", "y"], [], None])
-        rows.append((n, company, None if n % 61 == 0 else day, categories, rng.choice([["the", "fare"], ["strike"]]), rng.choice(["climate", "tax", "other"])))
+        rows.append((n, company, None if n % 61 == 0 else day, categories, rng.choice([["the", "fare"], ["strike"], [f"w{n % 90}", "fare", "strike"], [f"w{n % 90}", f"v{n}", "the"], [f"v{n}"], [], None]), rng.choice(["climate", "tax", "other"])))
     schema = "name long, company string, date date, categories array<string>, tokens array<string>, theme string"
     events = spark.createDataFrame(rows, schema)
     a = events.select("*", F.lower("company").alias("c"), F.year("date").alias("year"))
@@ -473,7 +475,7 @@ def test_prior_events_as_all_pairs(spark):
     every = {}
     for r in pairs.select("name", "p_name", F.round(score, 6).alias("score")).collect():
         every.setdefault(r[0], []).append((-r[2], r[1]))
-    for k in (1, 3, 4):
+    for k in (1, 3, 4) if rare == 3 else (3,):
         wanted = sorted((name, prior, -s, i + 1) for name, found in every.items() for i, (s, prior) in enumerate(sorted(found)[:k]))
         assert sorted(tuple(r) for r in R.prior_events(events, k=k).collect()) == wanted
     assert R.prior_events(spark.createDataFrame([], schema)).count() == 0
