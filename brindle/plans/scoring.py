@@ -62,16 +62,26 @@ def r4(spark, d):
     return V.cases(spark, d).select("name", F.round(R.recency(days), 6).alias("recency"))
 
 
-@query("R5_prior_events", f""", {BANDS}, c as (select *, {CASE_THEME} as theme, [category, cast(stage as varchar)] as cats, [left(category, 1), cast(floor(amount / 100000) as int)::varchar, 'the'] as tok from cases),
-p as (select a.name, b.name as prior, round((least(1.0::double, len(list_intersect(a.cats, b.cats)) / len(list_distinct(a.cats || b.cats)) * 0.6::double + len(list_filter(list_intersect(a.tok, b.tok), lambda x: x <> 'the')) / len(list_distinct(a.tok || b.tok)) * 0.4::double)) * 0.5::double
+PRIOR = f"""p as (select a.name, b.name as prior, round((least(1.0::double, len(list_intersect(a.cats, b.cats)) / len(list_distinct(a.cats || b.cats)) * 0.6::double + len(list_filter(list_intersect(a.tok, b.tok), lambda x: x <> 'the')) / len(list_distinct(a.tok || b.tok)) * 0.4::double)) * 0.5::double
  + coalesce(w.w, o.w, 0.1::double) * 0.3::double + {RECENCY.format('(a.date - b.date)')} * 0.2::double, 6) as score
  from c a join c b on a.company = b.company and b.date < a.date left join bands w on year(a.date) between w.lo and w.hi and w.theme = b.theme left join bands o on year(a.date) between o.lo and o.hi and o.theme = 'other')
-select name, prior, score, cast(rank as int) as rank from (select *, row_number() over (partition by name order by score desc, prior) as rank from p) where rank <= 3""", "cases")
+select name, prior, score, cast(rank as int) as rank from (select *, row_number() over (partition by name order by score desc, prior) as rank from p) where rank <= 3"""
+
+
+@query("R5_prior_events", f", {BANDS}, c as (select *, {CASE_THEME} as theme, [category, cast(stage as varchar)] as cats, [left(category, 1), cast(floor(amount / 100000) as int)::varchar, 'the'] as tok from cases), {PRIOR}", "cases")
 def r5(spark, d):
     c = V.cases(spark, d).select("name", "company", "date", F.array("category", F.col("stage").cast("string")).alias("categories"), F.array(F.substring("category", 1, 1), F.floor(F.col("amount") / 100000).cast("string"), F.lit("the")).alias("tokens"), case_theme().alias("theme"))
     return R.prior_events(c, k=3).select("name", "prior", "score", "rank")
 
 
+@query("R5_prior_events_own_words", f", {BANDS}, c as (select name, case when name % 10 = 0 then 0 else company end as company, date, {CASE_THEME} as theme, [category] as cats, ['w' || name % 997, 'v' || name, left(category, 1), 'the'] as tok from cases), {PRIOR}", "cases")
+def r5_own_words(spark, d):
+    """A company with a tenth of all cases, each of which has words of its own and one that a few others have."""
+    tokens = F.array(F.concat(F.lit("w"), (F.col("name") % 997).cast("string")), F.concat(F.lit("v"), F.col("name").cast("string")), F.substring("category", 1, 1), F.lit("the"))
+    c = V.cases(spark, d).withColumn("company", F.when(F.col("name") % 10 == 0, 0).otherwise(F.col("company")))
+    return R.prior_events(c.select("name", "company", "date", F.array("category").alias("categories"), tokens.alias("tokens"), case_theme().alias("theme")), k=3)
+
+
 GRADE = "case when stage = 1 then case when probability < 0.5 then 1 else 2 end when stage = 2 then 3 when stage = 3 then 4 else 5 end"
 
 
