@@ -67,20 +67,22 @@ def _vectors(net: Network, slots: np.ndarray) -> np.ndarray:
     return sum(net.tables[k][slots[k]] for k in range(len(slots)))
 
 
-def _convolved(net: Network, vectors: np.ndarray, k: int) -> np.ndarray:
+def _convolved(net: Network, vectors: np.ndarray, k: int, behind: np.ndarray) -> np.ndarray:
+    """What the filters of a width find at each place; ``behind`` a text they find zeros, whatever text comes next."""
     width = WIDTHS[k]
     n = len(vectors)
     out = np.zeros((n, FILTERS), np.float32)
     for j in range(width):
         out[: n - j] += vectors[j:] @ net.filters[k][j]
+    out[behind] = 0
     return out + net.bias[k]
 
 
 def scores(net: Network, slots: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The uncalibrated log-odds of each text."""
     slots, begin = _padded(slots, at)
-    vectors = _vectors(net, slots)
-    pooled = np.concatenate([np.maximum.reduceat(_convolved(net, vectors, k), begin, axis=0) for k in range(len(WIDTHS))], axis=1)
+    vectors, behind = _vectors(net, slots), slots[0] == SLOTS
+    pooled = np.concatenate([np.maximum.reduceat(_convolved(net, vectors, k, behind), begin, axis=0) for k in range(len(WIDTHS))], axis=1)
     return np.maximum(pooled, 0) @ net.out + net.out_bias
 
 
@@ -114,10 +116,10 @@ def train(texts: list[np.ndarray], labels: np.ndarray, *, seed: int = 9) -> Netw
             rows = order[first : first + BATCH]
             slots, begin = _padded(np.concatenate([texts[r] for r in rows], axis=1), np.concatenate([[0], np.cumsum([texts[r].shape[1] for r in rows])]))
             ends = np.append(begin[1:], slots.shape[1])
-            vectors = _vectors(net, slots)
+            vectors, behind = _vectors(net, slots), slots[0] == SLOTS
             places, pooled = [], []
             for k in range(len(WIDTHS)):
-                c = _convolved(net, vectors, k)
+                c = _convolved(net, vectors, k, behind)
                 where = np.stack([b + c[b:e].argmax(axis=0) for b, e in zip(begin, ends, strict=True)])
                 places.append(where)
                 pooled.append(np.take_along_axis(c, where, axis=0))
@@ -134,7 +136,7 @@ def train(texts: list[np.ndarray], labels: np.ndarray, *, seed: int = 9) -> Netw
                 dk, filters = dh[:, k * FILTERS : (k + 1) * FILTERS], net.filters[k].copy()
                 gradient = np.zeros_like(filters)
                 for j in range(width):
-                    at = np.minimum(places[k] + j, len(vectors) - 1)
+                    at = np.where(behind[places[k]], places[k], np.minimum(places[k] + j, len(vectors) - 1))
                     gradient[j] = np.einsum("nf,nfd->df", dk, vectors[at])
                     dv = (dk[:, :, None] * filters[j].T[None, :, :]).reshape(-1, DIM)
                     for kind in range(kinds):
