@@ -479,3 +479,20 @@ def test_prior_events_as_all_pairs(spark, monkeypatch, rare):
         wanted = sorted((name, prior, -s, i + 1) for name, found in every.items() for i, (s, prior) in enumerate(sorted(found)[:k]))
         assert sorted(tuple(r) for r in R.prior_events(events, k=k).collect()) == wanted
     assert R.prior_events(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_pairs_of_tiles(spark, monkeypatch):
+    """Blocks are moved once for each pair of tiles, whatever they meet; each pair comes once, with the days between."""
+    for name, n in (("BLOCK", 8), ("TILE", 64)):
+        monkeypatch.setattr(S, name, n)
+    v, moved, met = vectors_of(400, 8), [], S._met
+    monkeypatch.setattr(S, "_met", lambda *a: moved.append(met(*a)) or moved[-1])
+    date = [None if i % 9 == 0 else DAY + dt.timedelta(i * 7 % 50) for i in range(400)]
+    df = spark.createDataFrame([(i, v[i].tolist(), date[i], i % 3) for i in range(400)], "pos long, vector array<double>, date date, band int")
+    rows = S.similar_pairs(df, threshold=0.5, band=F.col("band"), day=F.col("date")).collect()
+    want = {(i, j): None if date[i] is None or date[j] is None else abs((date[i] - date[j]).days) for i in range(400) for j in range(i + 1, 400) if abs(i % 3 - j % 3) <= 1 and v[i] @ v[j] > 0.5}
+    assert {(r.a, r.b): r.days for r in rows} == want and len(rows) == len(want)
+    assert moved[0].select(F.sum(F.size("items"))).first()[0] <= 400 * 3 * 10
+    got = S.top_similar(df.select(F.col("pos").alias("id"), "vector"), df.select(F.col("pos").alias("id"), "vector"), k=3).collect()
+    c = np.round(v @ v.T, 6)
+    assert {(r["query"], r["rank"]): r["id"] for r in got} == {(q, n + 1): i for q in range(400) for n, i in enumerate(sorted((i for i in range(400) if i != q), key=lambda i: (-c[q, i], i))[:3])}
