@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 
 from ..sources.articles import few, stored
 
-#: Edges of a component that one task walks through in order; a larger one is decided in rounds of all tasks.
+#: Edges of a component that one task walks through in order at once; a larger one is walked through in slices of about as many.
 MOST_EDGES = 2_000_000
+#: Edges a node from which on a graph is taken for one large component.
+DENSE = 8
 
 
 def _roots(to: DataFrame) -> DataFrame:
@@ -56,7 +59,10 @@ def split(edges: DataFrame, linked: DataFrame, node: str) -> tuple[DataFrame, Da
     """The edges of the components that a task can walk through, with their component, and the edges of larger ones.
 
     Components are those of ``linked`` edges; an edge belongs to the component of its ``node``, which may be one of its own.
+    The components of a dense graph are not looked for: it is taken for a large one.
     """
+    if edges.count() > DENSE * edges.select(node).distinct().count():
+        return edges.limit(0).withColumn("component", F.lit(0).cast("long")), edges
     found = components(linked).withColumnRenamed("node", "_node")
     placed = edges.join(few(found), F.col(node) == F.col("_node"), "left").withColumn("component", F.coalesce("component", F.col(node))).drop("_node")
     placed = stored(placed, "placed-edges")
@@ -64,6 +70,20 @@ def split(edges: DataFrame, linked: DataFrame, node: str) -> tuple[DataFrame, Da
     return placed.join(large, "component", "left_anti"), placed.join(large, "component", "left_semi").drop("component")
 
 
+def slices(edges: DataFrame, node: str) -> Iterator[DataFrame]:
+    """The edges in slices of about MOST_EDGES, in the order of their ``node``; all edges of a node are in one slice."""
+    edges = stored(edges, "unsliced")
+    n = math.ceil(edges.count() / MOST_EDGES)
+    if not n:
+        return
+    cuts = sorted(set(edges.approxQuantile(node, [i / n for i in range(1, n)], 0.1 / n))) if n > 1 else []
+    ordered = stored(edges.repartitionByRange(n, node).sortWithinPartitions(node), "slices") if cuts else edges
+    at = F.col(node).cast("double")
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        one = ordered if low is None else ordered.filter(at > low)
+        yield (one if high is None else one.filter(at <= high)).withColumn("component", F.lit(0).cast("long"))
+
+
 def walked(edges: DataFrame, order: list[Column], columns: tuple[str, ...], step: Callable[[], Callable], schema: str) -> DataFrame:
     """The decisions of a pass over the edges of each component in order, written.
 

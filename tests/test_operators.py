@@ -496,3 +496,28 @@ def test_pairs_of_tiles(spark, monkeypatch):
     got = S.top_similar(df.select(F.col("pos").alias("id"), "vector"), df.select(F.col("pos").alias("id"), "vector"), k=3).collect()
     c = np.round(v @ v.T, 6)
     assert {(r["query"], r["rank"]): r["id"] for r in got} == {(q, n + 1): i for q in range(400) for n, i in enumerate(sorted((i for i in range(400) if i != q), key=lambda i: (-c[q, i], i))[:3])}
+
+
+def test_dense_passes_in_slices(spark, monkeypatch):
+    """A large component of many edges is walked through in a few slices, not in a round for each item or so."""
+    from brindle.operators import components as C
+
+    monkeypatch.setattr(C, "MOST_EDGES", 600)
+    rng = random.Random(11)
+    pairs = {(a, b): rng.random() for a in range(120) for b in range(a + 1, 120) if rng.random() < 0.3}
+    edges = spark.createDataFrame([(a, b, w, w) for (a, b), w in pairs.items()], "a long, b long, dot double, weight double")
+    verdicts = edges.select("a", "b", ((F.col("a") + F.col("b")) % 5 != 0).alias("same"))
+    items, writes = spark.range(120).withColumnRenamed("id", "pos"), []
+    for module in (S, C):
+        monkeypatch.setattr(module, "stored", lambda df, name, f=C.stored: writes.append(name) or f(df, name))
+    event, into = {}, {i: i for i in range(120)}
+    for b in range(120):
+        best = max(((pairs[a, b], -a) for a in range(b) if (a, b) in pairs and event[a] == a), default=None)
+        event[b] = -best[1] if best and (b - best[1]) % 5 else b
+    assert {r.pos: r.event for r in S.assign_to_events(items, edges, verdicts=verdicts).collect()} == event
+    for a in range(120):
+        best = max(((pairs[a, b], -b) for b in range(a + 1, 120) if (a, b) in pairs and into[b] == b), default=None)
+        if into[a] == a and best and (a - best[1]) % 5:
+            into[-best[1]] = a
+    assert {r.pos: r.into for r in S.merged_once(items, edges, verdicts=verdicts).collect()} == into
+    assert writes.count("slices") == 2 and len(writes) < 60
