@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.articles import few, stored
 from .quality import with_position
 
 #: Rows of a series that one task averages over, besides those that it gets from the range before.
@@ -94,14 +95,17 @@ def both_tails(rows: DataFrame, column: str, n: int, *, tie: str = "date") -> Da
 def price_movement(events: DataFrame, bars: DataFrame, *, horizon: int, reach: int = 9, key: str = "event") -> DataFrame:
     """For each event the last bar within ``reach`` days up to its date, the first within ``reach`` days from ``horizon`` days on, and the change.
 
-    The days that may hold a bar are few, so they are exploded and joined on equality; each side then keeps the nearest.
+    Bars, not events, are spread over the days that they may serve: the nearest bar of each day is a row, which the events look up.
     Events without both bars are left out.
     """
     prices = bars.select(F.col("date").alias("bar"), F.col("close").alias("price"))
-    steps = F.explode(F.sequence(F.lit(0), F.lit(reach))).alias("step")
-    back = events.select(key, "date", steps).withColumn("bar", F.expr("date_sub(date, step)")).join(prices, "bar").groupBy(key, "date").agg(F.min_by("bar", "step").alias("start_date"), F.min_by("price", "step").alias("start_price"))
-    ahead = events.select(key, "date", steps).withColumn("bar", F.expr(f"date_add(date, step + {int(horizon)})")).join(prices, "bar").groupBy(key, "date").agg(F.min_by("bar", "step").alias("end_date"), F.min_by("price", "step").alias("end_price"))
-    both = back.join(ahead, [key, "date"])
+    spread = prices.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(reach))))
+
+    def nearest(side: str, date: str) -> DataFrame:
+        return spread.groupBy(F.expr(date).alias("date")).agg(F.min_by("bar", "step").alias(f"{side}_date"), F.min_by("price", "step").alias(f"{side}_price"))
+
+    days = stored(nearest("start", "date_add(bar, step)").join(nearest("end", f"date_sub(bar, step + {int(horizon)})"), "date"), "nearest-bars")
+    both = events.select(key, "date").join(few(days), "date")
     change = F.col("end_price") - F.col("start_price")
     return both.select(key, "date", "start_date", "end_date", "start_price", "end_price", F.round(change, 3).alias("change"), F.round(percent(change, F.col("start_price")), 2).alias("change_percent"))
 

@@ -521,3 +521,14 @@ def test_dense_passes_in_slices(spark, monkeypatch):
             into[-best[1]] = a
     assert {r.pos: r.into for r in S.merged_once(items, edges, verdicts=verdicts).collect()} == into
     assert writes.count("slices") == 2 and len(writes) < 60
+
+
+def test_price_movement_looks_days_up(spark):
+    """Events are neither spread over days nor shuffled: each one, a repeated one too, looks its day up."""
+    bars = spark.createDataFrame([(DAY + dt.timedelta(i), float(i)) for i in range(0, 60, 3)], "date date, close double")
+    events = spark.createDataFrame([(i, DAY + dt.timedelta(i % 50)) for i in [*range(200), 7]], "event long, date date")
+    found = B.price_movement(events, bars, horizon=7)
+    rows = found.collect()
+    assert len(rows) == 201 and all((r.start_price, r.end_price) == (r.event % 50 // 3 * 3, -(-(r.event % 50 + 7) // 3) * 3) for r in rows)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan
