@@ -532,3 +532,15 @@ def test_price_movement_looks_days_up(spark):
     assert len(rows) == 201 and all((r.start_price, r.end_price) == (r.event % 50 // 3 * 3, -(-(r.event % 50 + 7) // 3) * 3) for r in rows)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "Aggregate" not in plan
+
+
+def test_forest_uses_all_cores(spark, monkeypatch):
+    """A table in one file is one partition, and a tree learner would pass over it in one task."""
+    from brindle.plans import modelling
+
+    seen = []
+    monkeypatch.setattr(M, "Pipeline", lambda stages: type("P", (), {"fit": lambda self, df: seen.append(df.rdd.getNumPartitions())})())
+    one = spark.createDataFrame([(float(i % 7), float(i)) for i in range(50)], "x double, target double").coalesce(1)
+    M.fit(one, ("x",))
+    assert seen[0] >= spark.sparkContext.defaultParallelism
+    assert modelling.rows(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
