@@ -544,3 +544,30 @@ def test_forest_uses_all_cores(spark, monkeypatch):
     M.fit(one, ("x",))
     assert seen[0] >= spark.sparkContext.defaultParallelism
     assert modelling.rows(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_trees_grow_on_sums_of_equal_rows(spark, monkeypatch, tmp_path):
+    """What a learner passes over is as many rows as there are different features, and it learns what it learns from the rows themselves."""
+    rng = random.Random(5)
+    rows = [(float(rng.randrange(4)), float(rng.randrange(3))) for _ in range(3000)]
+    df = spark.createDataFrame([(a, b, 10 * a + 3 * b * b + rng.gauss(0, 5)) for a, b in rows], "a double, b double, target double")
+    drawn = {r.a * 10 + r.b: r for r in M.drawn(df.repartition(3), ("a", "b"), trees=20).collect()}
+    assert len(drawn) == 12 and drawn == {r.a * 10 + r.b: r for r in M.drawn(df.repartition(5, "target"), ("a", "b"), trees=20).collect()}
+    assert all(abs(sum(r[f"w{t}"] for r in drawn.values()) - 3000) < 6 * 3000**0.5 for t in range(20))
+    assert len({sum(r[f"w{t}"] for r in drawn.values()) for t in range(20)}) > 10
+
+    monkeypatch.setattr(M, "regressor", lambda kind: M.RandomForestRegressor(numTrees=25, maxDepth=6, seed=1, labelCol="target", featureSubsetStrategy="all") if kind == "forest" else M.GBTRegressor(maxIter=5, maxDepth=3, seed=1, labelCol="target"))
+    plain = lambda kind: M.Pipeline(stages=[M.VectorAssembler(inputCols=["a", "b"], outputCol="features"), M.regressor(kind)]).fit(df)
+    said = lambda model: {(r.a, r.b): r.prediction for r in model.transform(df.select("a", "b").distinct()).collect()}
+    seen = []
+    monkeypatch.setattr(M, "dealt", lambda x: seen.append(x.count()) or x)
+    boosted, forest = M.fit(df, ("a", "b"), kind="boosted"), M.fit(df, ("a", "b"))
+    assert seen == [12]
+    one, other = said(boosted), said(plain("boosted"))
+    assert all(one[k] == pytest.approx(other[k], rel=1e-9) for k in one) and len(one) == 12
+    one, other = said(forest), said(plain("forest"))
+    assert forest.stages[-1].getNumTrees == 25 and all(one[k] == pytest.approx(other[k], abs=1.5) for k in one)
+    asked = M.predicted(forest, df.filter("a < 3"), ("a", "b")).collect()
+    assert len(asked) == sum(a < 3 for a, _ in rows) and all(r.prediction == one[r.a, r.b] for r in asked)
+    M.save(forest, str(tmp_path / "model"))
+    assert said(M.load(str(tmp_path / "model"))) == one and sum(forest.stages[-1].featureImportances.toArray()) == pytest.approx(1)
