@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
+from zlib import crc32
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import ship
 from ..sources.articles import few, stored
 from .quality import value_counts
 
@@ -16,9 +24,11 @@ MODALS = ("can", "could", "may", "might", "must", "shall", "should", "will", "wo
 NEGATIONS = ("no", "not", "never", "none", "nothing", "neither", "nor", "cannot")
 
 
-#: Counters of the summary of frequent terms, and the longest list of terms that is looked for inside the rows: none, as that took
-#: twice as long as a stored table of all terms (54 s for 26 s at sf0.1).
-COUNTERS, IN_ROWS = 1 << 18, 0
+#: Counters of the summary of frequent terms, 64 for each term that is wanted at least; terms that a task holds before it hands them on.
+COUNTERS, HELD = 1 << 18, 200_000
+
+#: What ``words_of`` keeps: letters, digits and underscores, two at least.
+WORD = re.compile(r"\w{2,}")
 
 
 def words_of(text: Column, stop: tuple[str, ...] = ()) -> Column:
@@ -58,30 +68,120 @@ def frequent_terms(rows: DataFrame, *, least: int, most: float, terms: int) -> D
         opened *= 8
 
 
+def _hashes(words: list[str], grams: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of 32 bits for words and for pairs of neighbours."""
+    one = np.fromiter(map(crc32, map(str.encode, words)), np.uint64, len(words))
+    two = one[:-1] * np.uint64(0x9E3779B97F4A7C15) + one[1:] * np.uint64(0xC2B2AE3D27D4EB4F) if grams == 2 else one[:0]
+    return one, two >> np.uint64(32)
+
+
+def _hits(words: list[str], grams: int, opened: np.ndarray) -> list[str]:
+    """The words and pairs whose counters are opened."""
+    one, two = _hashes(words, grams)
+    n = np.uint64(len(opened))
+    return [words[i] for i in np.flatnonzero(opened[one % n])] + [f"{words[i]} {words[i + 1]}" for i in np.flatnonzero(opened[two % n])]
+
+
+def _of_words(stop: tuple[str, ...]) -> Callable[[str], list[str]]:
+    none = frozenset(stop)
+    return lambda text: [w for w in WORD.findall(text) if w not in none]
+
+
+def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, texts) in lower case, dealt to all cores; rows that share a key are one document."""
+    rows = docs.select(F.col(key).alias("key"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text"))
+    n = docs.agg(F.count("*").alias("n"), F.count_distinct(F.struct(key)).alias("keys")).first()
+    if n["n"] > n["keys"]:
+        rows = rows.groupBy("key").agg(F.collect_list("text").alias("texts"))
+    else:
+        rows = rows.select("key", F.array("text").alias("texts")).repartition(max(docs.rdd.getNumPartitions(), 4 * docs.sparkSession.sparkContext.defaultParallelism))
+    return stored(rows, "texts")  # as three passes read them
+
+
+def _counters(texts: DataFrame, stop: tuple[str, ...], grams: int, size: int) -> np.ndarray:
+    """How many words and pairs have each hash: ``size`` numbers from every task, which meet by block."""
+    block, of_words = 1 << 16, _of_words(stop)
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            for texts in batch.column("texts"):
+                for text in texts.as_py():
+                    for hashes in _hashes(of_words(text), grams):
+                        np.add.at(total, hashes % np.uint64(size), 1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(0, size, block), pa.int32()), pa.array([total[a : a + block].tobytes() for a in range(0, size, block)], pa.binary())], ["block", "blob"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, blob in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                found[at] = found.get(at, 0) + np.frombuffer(blob, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([v.tobytes() for v in found.values()], pa.binary())], ["block", "blob"])
+
+    out, schema = np.zeros(size, np.int64), "block int, blob binary"
+    for r in texts.select("texts").mapInArrow(own, schema).repartition("block").mapInArrow(added, schema).collect():
+        out[r["block"] : r["block"] + block] = np.frombuffer(r["blob"], np.int64)
+    return out
+
+
+def _chosen(texts: DataFrame, n: int, stop: tuple[str, ...], grams: int, *, least: int, most: float, terms: int) -> list[tuple[str, int]]:
+    """(term, df) of the ``terms`` most frequent of all that ``tfidf`` may use, as ``frequent_terms`` finds them, from the texts themselves."""
+    size = max(COUNTERS, 64 << max(0, terms - 1).bit_length())
+    counters, of_words, opened = _counters(texts, stop, grams, size), _of_words(stop), 4 * terms
+    while True:
+        order = np.argsort(-counters, kind="stable")
+        closed = int(counters[order[opened]]) if opened < size else 0
+        known = counters > closed
+
+        def exact(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
+            tf, df = Counter(), Counter()
+            for batch in batches:
+                for texts in batch.column("texts"):
+                    found = Counter(t for text in texts.as_py() for t in _hits(of_words(text), grams, known))
+                    tf.update(found)
+                    df.update(found.keys())
+                    if len(tf) >= HELD:
+                        yield pa.RecordBatch.from_arrays([pa.array(list(tf)), pa.array(list(tf.values())), pa.array([df[t] for t in tf])], ["term", "all", "df"])
+                        tf, df = Counter(), Counter()
+            yield pa.RecordBatch.from_arrays([pa.array(list(tf), pa.string()), pa.array(list(tf.values()), pa.int64()), pa.array([df[t] for t in tf], pa.int64())], ["term", "all", "df"])
+
+        rows = texts.select("texts").mapInArrow(exact, "term string, all long, df long").groupBy("term").agg(F.sum("all").alias("all"), F.sum("df").alias("df"))
+        found = rows.filter((F.col("df") >= least) & (F.col("df") <= F.lit(n) * most)).orderBy(F.desc("all"), "term").limit(terms).collect()  # ``terms`` at most
+        if not closed or sum(r["all"] > closed for r in found) == terms:
+            return [(r["term"], r["df"]) for r in found]
+        opened *= 8
+
+
 def tfidf(docs: DataFrame, *, key: str, text: str, stop: tuple[str, ...] = STOP_WORDS, least: int = 2, most: float = 0.8, terms: int = 500, grams: int = 2, only: DataFrame | None = None) -> DataFrame:
     """(key, term, weight): smoothed TF-IDF of words and word pairs, scaled to unit length for each document.
 
     Terms are in ``least`` documents at least and in no more than a share ``most`` of them; the ``terms`` most frequent
-    count, ties by name.  Weights are made for all documents, or for those whose key is in ``only``.  A list of more than IN_ROWS terms is
-    chosen from a stored table of all terms.
+    count, ties by name.  Weights are made for all documents, or for those whose key is in ``only``.  Tasks look for terms in the texts: once
+    for the sizes of counters, once for terms of great ones, and once for the weights; no table of all terms is made.
     """
-    rows = _terms(docs, key, text, stop, grams)
-    if terms <= IN_ROWS:
-        known = frequent_terms(rows, least=least, most=most, terms=terms)
-        names = [r["term"] for r in known.select("term").collect()]  # ``terms`` at most
-        rows = rows.join(only.select(key).distinct(), key, "left_semi") if only is not None else rows
-        counts = rows.select(key, F.explode(F.filter("terms", lambda t: t.isin(names)) if names else F.array().cast("array<string>")).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    else:
-        # written once, as three passes read it
-        counts = stored(rows.select(key, F.explode("terms").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf")), "terms")
-        total = docs.agg(F.count("*").alias("n"))
-        spread = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("all"))
-        known = spread.crossJoin(F.broadcast(total)).filter((F.col("df") >= least) & (F.col("df") <= F.col("n") * most)).orderBy(F.desc("all"), "term").limit(terms)  # ``terms`` rows
-        counts = counts.join(only.select(key).distinct(), key, "left_semi") if only is not None else counts
-    idf = known.select("term", (F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    rows = counts.join(F.broadcast(idf), "term").withColumn("raw", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
-    return rows.select(key, "term", (F.col("raw") / norm).alias("weight"))
+    ship(docs.sparkSession)
+    texts, n = _texts(docs, key, text), docs.count()
+    idf = {t: float(np.log((n + 1) / (df + 1)) + 1) for t, df in _chosen(texts, n, stop, grams, least=least, most=most, terms=terms)}
+    of_words, size = _of_words(stop), max(COUNTERS, 64 << max(0, terms - 1).bit_length())
+    known = np.zeros(size, bool)
+    for t in idf:
+        words = t.split(" ")
+        known[_hashes(words, len(words))[len(words) - 1] % np.uint64(size)] = True
+
+    def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, names, values = [], [], []
+            for i, texts in enumerate(batch.column("texts")):
+                found = Counter(t for text in texts.as_py() for t in _hits(of_words(text), grams, known) if t in idf)
+                raw = np.array([idf[t] * tf for t, tf in found.items()])
+                rows += [i] * len(raw)
+                names += found
+                values.append(raw / np.sqrt((raw * raw).sum()) if len(raw) else raw)
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(rows, pa.int64())), pa.array(names, pa.string()), pa.array(np.concatenate(values) if values else [], pa.float64())], [key, "term", "weight"])
+
+    if only is not None:
+        texts = texts.join(only.select(F.col(key).alias("key")).distinct(), "key", "left_semi")
+    return texts.mapInArrow(weights, f"`{key}` {dict(docs.dtypes)[key]}, term string, weight double")
 
 
 def tail_size(n: int, share: float, *, least: int = 10, small: int = 300, raised: float = 0.2) -> int:

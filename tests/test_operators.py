@@ -571,3 +571,35 @@ def test_trees_grow_on_sums_of_equal_rows(spark, monkeypatch, tmp_path):
     assert len(asked) == sum(a < 3 for a, _ in rows) and all(r.prediction == one[r.a, r.b] for r in asked)
     M.save(forest, str(tmp_path / "model"))
     assert said(M.load(str(tmp_path / "model"))) == one and sum(forest.stages[-1].featureImportances.toArray()) == pytest.approx(1)
+
+
+@pytest.mark.parametrize("terms", [3, 40])
+def test_tfidf_without_a_table_of_terms(spark, monkeypatch, terms):
+    """Weights as counting all terms gives them, with counters that many terms share; rows of one key are one document, without pairs between them."""
+    from collections import Counter
+    from math import log
+
+    from brindle.operators import topics as T
+
+    monkeypatch.setattr(T, "COUNTERS", 1)
+    monkeypatch.setattr(T, "HELD", 5)
+    rng = random.Random(4)
+    rows = [(i % 110, " ".join(rng.choice(["Été", "the", "x", "Straße", "a_1", "二三", *[f"w{int(rng.paretovariate(0.7))}" for _ in range(3)]]) for _ in range(rng.randrange(12)))) for i in range(120)] + [(200, None)]
+    whole, taken = {}, []
+    monkeypatch.setattr(T, "stored", lambda df, name: taken.append((name, df.columns)) or df)
+    for key, text in rows:
+        words = [w for w in (text or "").lower().split(" ") if len(w) > 1 and w != "the"]
+        whole.setdefault(key, Counter()).update(words + [f"{a} {b}" for a, b in zip(words, words[1:])])
+    df, tf = Counter(t for c in whole.values() for t in c), sum(whole.values(), Counter())
+    kept = sorted((t for t in tf if 2 <= df[t] <= 0.5 * len(rows)), key=lambda t: (-tf[t], t.encode()))[:terms]
+    want = {}
+    for key, c in whole.items():
+        raw = {t: c[t] * (log((len(rows) + 1) / (df[t] + 1)) + 1) for t in kept if c[t]}
+        want |= {(key, t): v / sum(x * x for x in raw.values()) ** 0.5 for t, v in raw.items()}
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    got = T.tfidf(docs, key="id", text="text", stop=("the",), most=0.5, terms=terms)
+    assert got.columns == ["id", "term", "weight"] and {(r.id, r.term): r.weight for r in got.collect()} == pytest.approx(want, rel=1e-9)
+    only = spark.createDataFrame([(5,), (7,), (7,)], "id long")
+    got = T.tfidf(docs, key="id", text="text", stop=("the",), most=0.5, terms=terms, only=only).collect()
+    assert {(r.id, r.term): r.weight for r in got} == pytest.approx({k: v for k, v in want.items() if k[0] in (5, 7)}, rel=1e-9)
+    assert all("term" not in columns for _, columns in taken)
