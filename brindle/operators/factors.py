@@ -14,23 +14,33 @@ from .. import ship
 from ..sources.articles import stored
 from .topics import tfidf
 
-#: Terms in one row of the sums that tasks hand on, and numbers that a task works on at once.
-IN_BLOCK, AT_ONCE = 2_048, 1 << 20
+#: Terms in one row of the sums that tasks hand on, numbers that a task works on at once, and rows that are solved together.
+IN_BLOCK, AT_ONCE, ROWS_AT_ONCE = 2_048, 1 << 20, 2_048
 
 
 def descend(targets: np.ndarray, gram: np.ndarray, start: np.ndarray, l1: float, l2: float, sweeps: int, tolerance: float = 1e-7) -> np.ndarray:
-    """For each row t of targets the x >= 0 with the least x G x / 2 - x t + l1 |x| + l2 |x|**2 / 2, by coordinate descent."""
-    x = start.copy()
-    for _ in range(sweeps):
-        most = 0.0
-        for j in range(gram.shape[0]):
-            free = targets[:, j] - l1 - x @ gram[:, j] + x[:, j] * gram[j, j]
-            new = np.maximum(free / max(gram[j, j] + l2, 1e-12), 0.0)
-            most = max(most, float(np.abs(new - x[:, j]).max(initial=0)))
-            x[:, j] = new
-        if most <= tolerance * max(1e-12, float(np.abs(x).max(initial=0))):
-            break
-    return x
+    """For each row t of targets the x >= 0 with the least x G x / 2 - x t + l1 |x| + l2 |x|**2 / 2, by coordinate descent.
+
+    A row ends by its own changes, so it doesn't matter which others it is solved with.
+    """
+    out = start.copy()
+    for a in range(0, len(out), ROWS_AT_ONCE):
+        left = np.arange(a, min(len(out), a + ROWS_AT_ONCE))
+        x, t = np.asfortranarray(out[left]), np.asfortranarray(targets[left] - l1)
+        for _ in range(sweeps):
+            most = np.zeros(len(left))
+            for j in range(gram.shape[0]):
+                new = np.maximum((t[:, j] - x @ gram[:, j] + x[:, j] * gram[j, j]) / max(gram[j, j] + l2, 1e-12), 0.0)
+                np.maximum(most, np.abs(new - x[:, j]), out=most)
+                x[:, j] = new
+            going = most > tolerance * np.maximum(1e-12, np.abs(x).max(axis=1, initial=0))
+            if not going.all():
+                out[left[~going]] = x[~going]
+                left, x, t = left[going], np.asfortranarray(x[going]), np.asfortranarray(t[going])
+            if not len(left):
+                break
+        out[left] = x
+    return out
 
 
 @dataclass
@@ -53,22 +63,34 @@ def topic_count(n: int, most: int = 100) -> int:
     return most if n >= 10_000 else min(most, max(20, n // 10))
 
 
-def _parts(batch: pa.RecordBatch, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, slice]]:
-    """(terms, weights, first place of each row, rows) of some rows at a time."""
+def _rows_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(terms, weights, first place of each row) of the rows of a batch."""
     numbers, weights = batch.column("numbers"), batch.column("weights")
     ends = np.asarray(numbers.offsets)
-    flat, values = numbers.flatten().to_numpy(), weights.flatten().to_numpy()
-    ends = ends - ends[0]
-    a = 0
-    while a < len(numbers):
-        b = max(a + 1, int(np.searchsorted(ends, ends[a] + AT_ONCE // k, side="right")) - 1)
-        yield flat[ends[a] : ends[b]], values[ends[a] : ends[b]], ends[a:b] - ends[a], slice(a, b)
-        a = b
+    return numbers.flatten().to_numpy(), weights.flatten().to_numpy(), ends[:-1] - ends[0]
 
 
 def _products(terms: np.ndarray, values: np.ndarray, starts: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The rows times a matrix (terms, k); rows have a term at least."""
-    return np.add.reduceat(right[terms] * values[:, None], starts, axis=0)
+    """The rows times a matrix (terms, k), some at a time; rows have a term at least."""
+    out, ends, a = np.empty((len(starts), right.shape[1])), np.append(starts, len(terms)), 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + AT_ONCE // right.shape[1], side="right")) - 1)
+        t, v = terms[ends[a] : ends[b]], values[ends[a] : ends[b]]
+        out[a:b] = np.add.reduceat(right[t] * v[:, None], starts[a:b] - ends[a], axis=0)
+        a = b
+    return out
+
+
+def _add_turned(total: np.ndarray, terms: np.ndarray, values: np.ndarray, starts: np.ndarray, r: np.ndarray) -> None:
+    """Adds the turned rows times r (rows, k) to (terms, k), some cells at a time, in order of their terms."""
+    order = np.argsort(terms, kind="stable")
+    row = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(terms))))[order]
+    t, v = terms[order], values[order]
+    step = max(1, AT_ONCE // r.shape[1])
+    for a in range(0, len(t), step):
+        own = t[a : a + step]
+        firsts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        total[own[firsts]] += np.add.reduceat(r[row[a : a + step]] * v[a : a + step, None], firsts, axis=0)
 
 
 def _sums(rows: DataFrame, n_terms: int, k: int, left: Callable, extra: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,10 +102,10 @@ def _sums(rows: DataFrame, n_terms: int, k: int, left: Callable, extra: int) ->
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, more, seen = np.zeros((n_terms, k)), np.zeros(extra), False
         for batch in batches:
-            for terms, values, starts, _ in _parts(batch, k):
+            if len(batch):
+                terms, values, starts = _rows_of(batch)
                 r, e = left(terms, values, starts)
-                sizes = np.diff(np.append(starts, len(terms)))
-                np.add.at(total, terms, np.repeat(r, sizes, axis=0) * values[:, None])
+                _add_turned(total, terms, values, starts, r)
                 more, seen = more + e, True
         if seen:
             yield _blocks({-1: more} | {b: total[a : a + IN_BLOCK].ravel() for b, a in enumerate(range(0, n_terms, IN_BLOCK))})
@@ -181,10 +203,11 @@ def topics(docs: DataFrame, *, key: str, text: str, k: int | None = None, terms:
 
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t, v, s, some in _parts(batch, k):
-                w = found.shares_of(_products(t, v, s, h))
+            if len(batch):
+                w = found.shares_of(_products(*_rows_of(batch), h))
                 w = w / (w.sum(axis=1, keepdims=True) + 1e-10)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(some.start, some.stop - some.start), pa.array(w.tolist(), pa.list_(pa.float64()))], [key, "shares"])
+                ends = pa.array(np.arange(0, w.size + 1, k, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(w.ravel()))], [key, "shares"])
 
     solved = rows.mapInArrow(shares, f"{key} {dict(rows.dtypes)[key]}, shares array<double>")
     none = F.array_repeat(F.lit(0.0), k)

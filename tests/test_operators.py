@@ -603,3 +603,24 @@ def test_tfidf_without_a_table_of_terms(spark, monkeypatch, terms):
     got = T.tfidf(docs, key="id", text="text", stop=("the",), most=0.5, terms=terms, only=only).collect()
     assert {(r.id, r.term): r.weight for r in got} == pytest.approx({k: v for k, v in want.items() if k[0] in (5, 7)}, rel=1e-9)
     assert all("term" not in columns for _, columns in taken)
+
+
+def test_factors_of_many_rows_are_solved_together():
+    """As many steps for 2,000 rows as for one, and each row's result is that which it has alone."""
+    from brindle.operators import factors as N
+
+    class Steps(np.ndarray):
+        n = 0
+
+        def __getitem__(self, at):
+            Steps.n += 1
+            return super().__getitem__(at)
+
+    rng = np.random.default_rng(2)
+    h = rng.random((8, 60)) * (rng.random((8, 60)) < 0.4)
+    t, g = (rng.random((2000, 60)) * (rng.random((2000, 60)) < 0.3)) @ h.T, (h @ h.T).view(Steps)
+    whole = N.descend(t, g, np.zeros_like(t), 0.05, 0.05, 40, 1e-4)
+    steps, Steps.n = Steps.n, 0
+    alone = np.concatenate([N.descend(t[i : i + 1], g, np.zeros((1, 8)), 0.05, 0.05, 40, 1e-4) for i in range(0, 2000, 50)])
+    assert np.allclose(whole[::50], alone, atol=1e-12)
+    assert steps < Steps.n / 10
