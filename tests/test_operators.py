@@ -624,3 +624,16 @@ def test_factors_of_many_rows_are_solved_together():
     alone = np.concatenate([N.descend(t[i : i + 1], g, np.zeros((1, 8)), 0.05, 0.05, 40, 1e-4) for i in range(0, 2000, 50)])
     assert np.allclose(whole[::50], alone, atol=1e-12)
     assert steps < Steps.n / 10
+
+
+def test_topics_read_the_texts_twice(spark, monkeypatch):
+    """Texts are cut into words once and not for each iteration; shares of some documents are those that they have among all."""
+    cut = spark.sparkContext.accumulator(0)
+    words = F.udf(lambda t: cut.add(1) or t.split(" "), "array<string>").asNondeterministic()
+    monkeypatch.setattr(M, "words_of", words)
+    docs = spark.createDataFrame([(i, "red ring blue stone" if i % 2 else "fast train slow boat") for i in range(40)], "id long, description string")
+    shares, _ = M.lda_topics(docs, key="id", text="description", k=2, iterations=8)
+    whole = {(r.id, r.topic): r.share for r in shares.collect()}
+    assert cut.value <= 80
+    some, _ = M.lda_topics(docs, key="id", text="description", k=2, iterations=8, only=docs.filter("id < 5"))
+    assert {(r.id, r.topic) for r in some.collect()} == {k for k in whole if k[0] < 5}
