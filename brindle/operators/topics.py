@@ -68,6 +68,11 @@ def frequent_terms(rows: DataFrame, *, least: int, most: float, terms: int) -> D
         opened *= 8
 
 
+def dealt(docs: DataFrame) -> DataFrame:
+    """The rows dealt to a few partitions for each core: a file of one row group is one task."""
+    return docs.repartition(max(docs.rdd.getNumPartitions(), 4 * docs.sparkSession.sparkContext.defaultParallelism))
+
+
 def _hashes(words: list[str], grams: int) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of 32 bits for words and for pairs of neighbours."""
     one = np.fromiter(map(crc32, map(str.encode, words)), np.uint64, len(words))
@@ -94,7 +99,7 @@ def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
     if n["n"] > n["keys"]:
         rows = rows.groupBy("key").agg(F.collect_list("text").alias("texts"))
     else:
-        rows = rows.select("key", F.array("text").alias("texts")).repartition(max(docs.rdd.getNumPartitions(), 4 * docs.sparkSession.sparkContext.defaultParallelism))
+        rows = dealt(rows.select("key", F.array("text").alias("texts")))
     return stored(rows, "texts")  # as three passes read them
 
 
@@ -238,13 +243,15 @@ def component_labels(unique: DataFrame, *, k: int = 3) -> DataFrame:
     return rows.select("component", F.concat_ws(" versus ", F.nullif("h", F.lit("")), F.nullif("l", F.lit(""))).alias("label"), F.concat(F.lit("high: "), "h", F.lit("; low: "), "l").alias("subtitle"))
 
 
-def style_features(text: Column) -> list[Column]:
-    """Sixteen rates and lengths of a text."""
+def _pieces(text: Column) -> list[Column]:
+    """The text, its words, and the lengths of its sentences."""
     t = F.coalesce(text, F.lit(""))
-    low = F.lower(t)
-    words = F.filter(F.split(low, r"[^\p{L}\p{N}_]+"), lambda w: w != "")
     sentences = F.filter(F.split(t, r"[.!?]+"), lambda s: F.trim(s) != "")
-    chars, n, m = F.greatest(F.length(t), F.lit(1)), F.greatest(F.size(words), F.lit(1)), F.greatest(F.size(sentences), F.lit(1))
+    return [t.alias("_t"), F.filter(F.split(F.lower(t), r"[^\p{L}\p{N}_]+"), lambda w: w != "").alias("_words"), F.transform(sentences, lambda s: F.size(F.filter(F.split(s, r"\s+"), lambda w: w != ""))).alias("_lengths")]
+
+
+def _style(t: Column, words: Column, lengths: Column) -> list[Column]:
+    chars, n, m = F.greatest(F.length(t), F.lit(1)), F.greatest(F.size(words), F.lit(1)), F.greatest(F.size(lengths), F.lit(1))
 
     def rate(pattern: str) -> Column:
         return F.round(F.regexp_count(t, F.lit(pattern)) / chars, 6)
@@ -252,15 +259,26 @@ def style_features(text: Column) -> list[Column]:
     def share(items: tuple[str, ...]) -> Column:
         return F.round(F.size(F.filter(words, lambda w: w.isin(*items))) / n, 6)
 
-    lengths = F.transform(sentences, lambda s: F.size(F.filter(F.split(s, r"\s+"), lambda w: w != "")))
     return [
         F.length(t).alias("chars"), F.size(words).alias("words"), F.round(F.aggregate(words, F.lit(0), lambda s, w: s + F.length(w)) / n, 6).alias("word_length"), F.round(F.size(F.array_distinct(words)) / n, 6).alias("type_token"),
         rate(r"[^\p{L}\p{N}_\s]").alias("punctuation"), rate("!").alias("exclamations"), rate(r"\?").alias("questions"), rate(r"\d").alias("digits"), rate(r"\p{Lu}").alias("upper"),
-        F.size(sentences).alias("sentences"), F.round(F.aggregate(lengths, F.lit(0), lambda s, x: s + x) / m, 6).alias("sentence_length"), F.coalesce(F.array_max(lengths), F.lit(0)).alias("longest_sentence"),
+        F.size(lengths).alias("sentences"), F.round(F.aggregate(lengths, F.lit(0), lambda s, x: s + x) / m, 6).alias("sentence_length"), F.coalesce(F.array_max(lengths), F.lit(0)).alias("longest_sentence"),
         share(PRONOUNS).alias("first_person"), share(SECOND_PERSON).alias("second_person"), share(MODALS).alias("modals"), share(NEGATIONS).alias("negations"),
     ]
 
 
+def style_features(text: Column) -> list[Column]:
+    """Sixteen rates and lengths of a text."""
+    return _style(*_pieces(text))
+
+
+def with_style(docs: DataFrame, *, key: str, text: str) -> DataFrame:
+    """(key, the sixteen style features): a text is cut into words and sentences once for all of them."""
+    cut = docs.select(F.col(key).alias("_key"), *_pieces(F.col(text)))
+    once = cut.select(F.explode(F.array(F.struct("*"))).alias("_x")).select("_x.*")  # keeps the cuts from being put into each feature
+    return once.select(F.col("_key").alias(key), *_style(F.col("_t"), F.col("_words"), F.col("_lengths")))
+
+
 def effects(rows: DataFrame, features: tuple[str, ...], *, tail: Column) -> DataFrame:
     """(feature, difference, cohens_d): mean difference of the tail and the rest, also over the pooled deviation."""
     kinds = rows.withColumn("_in", tail)

@@ -33,14 +33,15 @@ TAILS = "tails as (select component, id, score, 'high' as tail from (select *, r
 
 
 def scores(spark, d):
-    a = V.articles(spark, d)
+    a = T.dealt(V.articles(spark, d).select("id", "description"))
     n = F.greatest(F.length("description"), F.lit(1))
 
     def per_mille(kind):
         return F.floor(F.length(F.regexp_replace("description", f"[^{kind}]", "")) * 1000 / n).cast("double")
 
     s = [per_mille("aeiou"), per_mille(",;:."), F.length("description").cast("double")]
-    return a.select("id", F.posexplode(F.array(*s)).alias("j", "score")).select(F.concat(F.lit("c"), (F.col("j") + 1).cast("string")).alias("component"), "id", "score")
+    rows = a.select("id", F.posexplode(F.array(*s)).alias("j", "score")).select(F.concat(F.lit("c"), (F.col("j") + 1).cast("string")).alias("component"), "id", "score")
+    return S.stored(rows, "scores")  # numbers, so that both tails and what follows don't read the texts again
 
 
 def tails(spark, d):
@@ -114,7 +115,7 @@ from (select *, greatest(length(t), 1) as c, greatest(len(ws), 1) as n, greatest
 
 @query("M13_style_features", STYLE, "articles")
 def m13(spark, d):
-    return V.articles(spark, d).select("id", *T.style_features(F.col("description")))
+    return T.with_style(T.dealt(V.articles(spark, d).select("id", "description")), key="id", text="description")
 
 
 CLASS_TFIDF = TFIDF.replace("from articles", "from articles_").replace("count(*) >= 2", "count(*) >= 3").replace(" * 0.8 order", " * 1.0 order").replace("limit 500", "limit 5000").replace("w as (select id, term, tf", "cw as (select id, term, tf")
@@ -231,8 +232,9 @@ STYLE_NAMES = ("chars", "words", "word_length", "type_token", "punctuation", "di
 
 @query("M20_style_facets", f", {SCORES}, {TAILS}, style as ({STYLE}), long as (select component, place, facet, avg(v) filter (tail = 'high') as h, avg(v) filter (tail = 'low') as l from (select component, tail, unnest(range({len(STYLE_NAMES)})) as place, unnest([{', '.join(repr(n) for n in STYLE_NAMES)}]) as facet, unnest([{', '.join(n + '::double' for n in STYLE_NAMES)}]) as v from tails join style using (id)) group by 1, 2, 3), s as (select component, case when h > l then 'high' else 'low' end as side, facet, place from long where abs(h - l) > 0.1) select component, side, facet, cast(rank as int) as rank from (select *, row_number() over (partition by component, side order by place) as rank from s) where rank <= 5", "articles")
 def m20_style(spark, d):
-    style = V.articles(spark, d).select("id", *T.style_features(F.col("description")))
-    return T.style_facets(tails(spark, d).join(style, "id"), STYLE_NAMES)
+    ends = S.stored(tails(spark, d), "tails")
+    texts = V.articles(spark, d).select("id", "description").join(ends.select("id").distinct(), "id", "left_semi")
+    return T.style_facets(ends.join(T.with_style(texts, key="id", text="description"), "id"), STYLE_NAMES)
 
 
 COS = "list_inner_product(a.vector::double[], b.vector::double[])"

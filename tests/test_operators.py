@@ -637,3 +637,13 @@ def test_topics_read_the_texts_twice(spark, monkeypatch):
     assert cut.value <= 80
     some, _ = M.lda_topics(docs, key="id", text="description", k=2, iterations=8, only=docs.filter("id < 5"))
     assert {(r.id, r.topic) for r in some.collect()} == {k for k in whole if k[0] < 5}
+
+
+def test_style_cuts_a_text_once(spark):
+    """Sixteen features, and one cut into words and two into sentences and their words."""
+    from brindle.operators import topics as T
+
+    docs = spark.createDataFrame([(1, "I can. You can't go!  Ab 12"), (2, None), (3, "")], "id long, text string")
+    got = T.with_style(docs, key="id", text="text")
+    assert sorted(got.collect()) == sorted(docs.select("id", *T.style_features(F.col("text"))).collect())
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 3
