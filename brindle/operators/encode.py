@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.articles import few, stored
+
 # The categories that have a column each, and the factor names with their synonyms and weights.
 SENTIMENTS = ("positive", "negative", "neutral")
 CAUSES = ("internal_operations", "market_conditions", "regulatory", "external_events", "unknown")
@@ -115,7 +117,7 @@ def canonical_factors(df: DataFrame, column: str, *, factors: dict[str, tuple[st
     holds = F.contains("_raw", "_synonym") | F.contains("_synonym", "_raw")
     place = F.when(F.col("_raw") == F.col("_key"), -1).when(holds, F.col("_order")).when(F.contains(again, F.col("_key")) | F.contains(again, F.col("_synonym")), F.col("_order") + len(factors))
     found = names.join(table, place.isNotNull()).groupBy(F.col(column).alias("_name")).agg(F.min_by("_key", place).alias(out))
-    return df.join(found, F.col(column) == F.col("_name"), "left").drop("_name")
+    return df.join(few(stored(found, "canonical")), F.col(column) == F.col("_name"), "left").drop("_name")
 
 
 def factor_rows(df: DataFrame, key: str, factors: str) -> DataFrame:
@@ -123,10 +125,10 @@ def factor_rows(df: DataFrame, key: str, factors: str) -> DataFrame:
     return df.select(key, F.posexplode(factors).alias("place", "_f")).select(key, "place", "_f.*")
 
 
-def factor_features(docs: DataFrame, factors: DataFrame, key: str, *, names: tuple[str, ...], neutral: bool = False) -> DataFrame:
+def factor_features(docs: DataFrame | None, factors: DataFrame, key: str, *, names: tuple[str, ...], neutral: bool = False) -> DataFrame:
     """For each document and factor name the sums of weight times confidence by direction, and of the causal ones; 0 where there are none.
 
-    Factors have key, canonical, direction, centrality, causal and confidence.  The columns are fixed by ``names``.
+    Without ``docs`` the documents are those of the factors, which are passed over once then.  Factors have key, canonical, direction, centrality, causal and confidence.  The columns are fixed by ``names``.
     """
     weight = F.lit(0.5)
     for c, w in CENTRALITY.items():
@@ -137,8 +139,11 @@ def factor_features(docs: DataFrame, factors: DataFrame, key: str, *, names: tup
         channels.append(("neu", ~F.col("direction").isin("positive", "negative")))
     channels.append(("causal", F.col("causal")))
     sums = [F.round(F.sum(F.when((F.col("canonical") == n) & when, w)), 6).alias(f"{n}__{c}") for n in names for c, when in channels]
-    found = factors.filter(F.col("canonical").isin(*names)).groupBy(key).agg(*sums)
-    return docs.select(key).join(found, key, "left").fillna(0.0, subset=[f"{n}__{c}" for n in names for c, _ in channels])
+    if docs is None:
+        found = factors.groupBy(key).agg(*sums)
+    else:
+        found = docs.select(key).join(factors.filter(F.col("canonical").isin(*names)).groupBy(key).agg(*sums), key, "left")
+    return found.fillna(0.0, subset=[f"{n}__{c}" for n in names for c, _ in channels])
 
 
 def feature_matrix(key: str, *blocks: DataFrame) -> DataFrame:

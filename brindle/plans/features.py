@@ -248,8 +248,7 @@ NAMED = f", {FACTOR_SQL}, names as (select runs.*, {named_sql('part', 'topic')}
 
 @query("Q26_factor_features", f"{NAMED} select doc_id, {SUMS} from names left join canon using (name) group by 1", "runs")
 def q26(spark, d):
-    f = factors(spark, d)
-    return E.factor_features(f.select("doc_id").distinct(), f, "doc_id", names=tuple(E.FACTORS))
+    return E.factor_features(None, factors(spark, d), "doc_id", names=tuple(E.FACTORS))
 
 
 @query("Q27_factor_rows", f"{NAMED} select doc_id, cast(run - 1 as int) as place, canonical, confidence from names left join canon using (name)", "runs")

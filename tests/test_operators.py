@@ -661,3 +661,24 @@ def test_prior_events_of_small_companies_shuffle_little(spark, monkeypatch):
     for r in found.collect():
         got.setdefault(r.name, []).append(r.prior)
     assert got == {n: [n - 1 - i for i in range(min(3, n % 5))] for n in range(100) if n % 5}
+
+
+def test_lines_are_dealt_by_order_once(spark, monkeypatch):
+    """A task sums a bounded number of lines however many there are, in one pass over them."""
+    from brindle import plans
+    from brindle.plans import views as V
+
+    monkeypatch.setattr(V, "LINES", 100)
+    lines = V.table(spark, "/root/testdata/sf0.001", "lineitem").count()
+    found = plans.QUERIES["Q26_factor_features"](spark, "/root/testdata/sf0.001")
+    assert found.rdd.getNumPartitions() == -(-lines // 100) > spark.sparkContext.defaultParallelism
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+
+
+def test_factor_features_without_documents(spark):
+    """The documents are those of the factors, with zeros where no factor is known."""
+    rows = [(1, "fx", "positive", "primary", True, 0.5), (1, "fx", "negative", "other", False, 0.5), (2, None, "positive", "primary", True, 0.5), (None, "fx", "positive", "primary", False, 1.0)]
+    f = spark.createDataFrame(rows, "id int, canonical string, direction string, centrality string, causal boolean, confidence double")
+    got = {r.id: (r.fx__pos, r.fx__neg, r.fx__causal) for r in E.factor_features(None, f, "id", names=("fx",)).collect()}
+    assert got == {1: (0.5, 0.25, 0.5), 2: (0.0, 0.0, 0.0), None: (1.0, 0.0, 0.0)}
