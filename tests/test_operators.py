@@ -682,3 +682,26 @@ def test_factor_features_without_documents(spark):
     f = spark.createDataFrame(rows, "id int, canonical string, direction string, centrality string, causal boolean, confidence double")
     got = {r.id: (r.fx__pos, r.fx__neg, r.fx__causal) for r in E.factor_features(None, f, "id", names=("fx",)).collect()}
     assert got == {1: (0.5, 0.25, 0.5), 2: (0.0, 0.0, 0.0), None: (1.0, 0.0, 0.0)}
+
+
+def test_forests_of_folds_grow_together(spark, monkeypatch):
+    """All folds are drawn in one pass, and each forest sees the draws of its own folds alone."""
+    rng = random.Random(6)
+    rows = [(i % 4, float(rng.randrange(4)), float(rng.randrange(3)), rng.gauss(0, 1)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "fold int, a double, b double, target double").withColumn("target", F.col("target") + 10 * F.col("a") + 50 * (F.col("fold") == 3).cast("int"))
+    forests = {1: [0, 2, 3], 2: [0, 1, 3], 3: [0, 1, 2], 9: [0, 1, 2, 3]}
+    got = {(r.forest, r.a, r.b): r for r in M.drawn(df.repartition(3), ("a", "b"), trees=5, forests=forests).collect()}
+    again = {(r.forest, r.a, r.b): r for r in M.drawn(df.repartition(5), ("a", "b"), trees=5, forests=forests).collect()}
+    assert got == again and len(got) == 4 * 12
+    for a, b in {(a, b) for _, a, b, _ in rows}:
+        w = {f: got[f, a, b].w3 for f in forests}
+        assert w[1] + w[2] + w[3] <= 3 * w[9] and got[3, a, b].y3 < 10 * a + 5 < got[9, a, b].y3
+        only = [w[9] - w[f] for f in (1, 2, 3)]
+        assert all(x > 0 for x in only) and sum(only) < w[9]
+    calls, own = [], M.drawn
+    monkeypatch.setattr(M, "drawn", lambda *x, **k: calls.append(1) or own(*x, **k))
+    monkeypatch.setattr(M, "regressor", lambda kind: M.RandomForestRegressor(numTrees=8, maxDepth=5, seed=1, labelCol="target", featureSubsetStrategy="all"))
+    for expanding in (False, True):
+        found = {r.fold: r for r in M.cross_validated(df, ("a", "b"), expanding=expanding).collect()}
+        assert len(calls) == 1 + expanding and set(found) == {1, 2, 3}
+        assert 45 < found[3].rmse < 55 and (found[2].rmse < 3) == expanding  # the third fold's targets lie 50 higher, and only later folds may not know
