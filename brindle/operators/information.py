@@ -54,13 +54,14 @@ def _with_neighbours(rows: DataFrame, values: DataFrame) -> DataFrame:
     before, behind = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("_part").rowsBetween(1, Window.unboundedFollowing)  # one row for each range
     parts = parts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_sum"), F.last("_last", ignorenulls=True).over(before).alias("_left"), F.first("_first", ignorenulls=True).over(behind).alias("_right"))
     order = Window.partitionBy("_part").orderBy("at", F.col("n").isNull())  # a value stands before the ends at it
-    up, down = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(1, Window.unboundedFollowing)
+    up = order.rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("_part").orderBy(F.desc("at"), F.col("n").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)  # backwards, as a frame to the end is read anew for each row
     one = F.when(F.col("n").isNotNull(), F.struct("at", "n"))
     found = ranged.join(few(parts), "_part").select(
         "label", "value", "d", "upper", "n",
         (F.col("_sum") + F.coalesce(F.sum("n").over(up), F.lit(0))).alias("_until"),
         F.coalesce(F.last(one, ignorenulls=True).over(up), F.col("_left")).alias("_before"),
-        F.coalesce(F.first(one, ignorenulls=True).over(down), F.col("_right")).alias("_behind"),
+        F.coalesce(F.last(one, ignorenulls=True).over(down), F.col("_right")).alias("_behind"),
     ).filter("n is null")
     inside = lambda x: F.coalesce(F.abs(x["at"] - F.col("value")) < F.col("d"), F.lit(False)) | F.coalesce(x["at"] == F.col("value"), F.lit(False))
     before_n, behind_n = F.coalesce(F.col("_before.n"), F.lit(0)), F.coalesce(F.col("_behind.n"), F.lit(0))

@@ -705,3 +705,15 @@ def test_forests_of_folds_grow_together(spark, monkeypatch):
         found = {r.fold: r for r in M.cross_validated(df, ("a", "b"), expanding=expanding).collect()}
         assert len(calls) == 1 + expanding and set(found) == {1, 2, 3}
         assert 45 < found[3].rmse < 55 and (found[2].rmse < 3) == expanding  # the third fold's targets lie 50 higher, and only later folds may not know
+
+
+def test_nearest_information_reads_no_frame_to_the_end(spark, monkeypatch):
+    """A frame from a row to the end of its range is the square of the range; only the one over a row for each range is left."""
+    from brindle.operators import information as I
+
+    spaced = spark.createDataFrame([("a", float(i), 1, 9, 3, 1.0) for i in range(9)], "label string, value double, n long, size long, k int, d double")
+    monkeypatch.setattr(I, "stored", lambda df, name: df.localCheckpoint())
+    found = I._with_neighbours(spaced, spaced.select("value", "n"))
+    assert {r.value: r.m for r in found.collect()} == {float(i): 1 for i in range(9)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("unboundedfollowing$()") == 1
