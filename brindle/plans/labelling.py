@@ -56,8 +56,8 @@ def m2(spark, d):
 KEYS = "keys as (select component, tail, term, weight, row_number() over (partition by component, tail order by weight desc, term) as place from (select component, tail, term, round(sum(weight) / 50, 6) as weight from tails join w using (id) group by 1, 2, 3) where weight > 0)"
 
 
-def keywords(spark, d, k=15):
-    ends = S.stored(tails(spark, d), "tails")
+def keywords(spark, d, k=15, ends=None):
+    ends = ends or S.stored(tails(spark, d), "tails")
     return T.tail_keywords(ends, T.tfidf(V.articles(spark, d), key="id", text="description", only=ends), k=k)
 
 
@@ -81,20 +81,22 @@ ODDS = "odds as (select component, abs(ln((h + 0.01) / (l + 0.01))) / (1 + abs(l
 OWN = "own as (select distinct component, term from keys where place <= 15), un as (select component, round(1 - coalesce(s, 0) / (n * 2), 6) as u from (select component, count(*) as n from own group by 1) left join (select a.component, count(*) as s from own a join own b on a.term = b.term and a.component <> b.component group by 1) using (component))"
 
 
-def associations(spark, d):
+def associations(spark, d, ends=None):
     """(component, h, l): the mean share of the letter e in the high and in the low tail, which stands for a topic."""
     p = F.col("topic") / F.greatest(F.col("n"), F.lit(1))
-    rows = tails(spark, d).join(topic(spark, d), "id").join(V.articles(spark, d).select("id", F.length("description").alias("n")), "id")
+    rows = (ends or tails(spark, d)).join(topic(spark, d), "id").join(V.articles(spark, d).select("id", F.length("description").alias("n")), "id")
     return rows.groupBy("component").agg(F.avg(F.when(F.col("tail") == "high", p)).alias("h"), F.avg(F.when(F.col("tail") == "low", p)).alias("l"))
 
 
 @query("M11_component_confidence", f", {SCORES}, {TAILS}, {TFIDF}, {KEYS}, {OWN}, {ODDS}, var as (select component, v / sum(v) over () as v from (select component, var_pop(score) as v from scores group by 1)), k as (select component, max(weight) as k from keys where place <= 1 group by 1) select component, round(least(v * 0.3 + least(k * 2, 1.0::double) * 0.3 + least(o * 3, 1.0::double) * 0.2 + u * 0.2, 1.0::double), 6) as confidence from k join un using (component) join odds using (component) join var using (component)", "articles")
 def m11(spark, d):
-    words = S.stored(keywords(spark, d), "keywords")
+    every = scores(spark, d)  # once, as each call reads all texts
+    ends = S.stored(T.tails(every, 50), "tails")
+    words = S.stored(keywords(spark, d, ends=ends), "keywords")
     top = words.filter("place <= 1").groupBy("component").agg(F.max("weight").alias("k"))
-    spread = scores(spark, d).groupBy("component").agg(F.var_pop("score").alias("v"))
+    spread = every.groupBy("component").agg(F.var_pop("score").alias("v"))
     share = spread.crossJoin(spread.agg(F.sum("v").alias("all"))).select("component", F.try_divide("v", "all").alias("v"))  # one row for each component
-    rows = top.join(T.uniqueness(words), "component").join(associations(spark, d), "component").join(share, "component")
+    rows = top.join(T.uniqueness(words), "component").join(associations(spark, d, ends), "component").join(share, "component")
     return rows.select("component", F.round(T.component_confidence(F.col("v"), F.col("k"), T.log_odds(F.col("h"), F.col("l")), F.col("uniqueness")), 6).alias("confidence"))
 
 

@@ -717,3 +717,14 @@ def test_nearest_information_reads_no_frame_to_the_end(spark, monkeypatch):
     assert {r.value: r.m for r in found.collect()} == {float(i): 1 for i in range(9)}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("unboundedfollowing$()") == 1
+
+
+def test_component_confidence_scores_texts_once(spark, monkeypatch):
+    """Scores and tails are made once, as each of them reads all texts."""
+    from brindle import plans
+    from brindle.plans import labelling as L
+
+    taken, own = [], L.S.stored
+    monkeypatch.setattr(L.S, "stored", lambda df, name: taken.append(name) or own(df, name))
+    assert plans.QUERIES["M11_component_confidence"](spark, "/root/testdata/sf0.001").count() == 3
+    assert taken == ["scores", "tails", "keywords"]
