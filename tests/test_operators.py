@@ -728,3 +728,17 @@ def test_component_confidence_scores_texts_once(spark, monkeypatch):
     monkeypatch.setattr(L.S, "stored", lambda df, name: taken.append(name) or own(df, name))
     assert plans.QUERIES["M11_component_confidence"](spark, "/root/testdata/sf0.001").count() == 3
     assert taken == ["scores", "tails", "keywords"]
+
+
+def test_models_to_choose_from_grow_beside_each_other(spark, monkeypatch):
+    """Each kind waits until the other has begun."""
+    import threading
+
+    from brindle.plans import modelling as P
+
+    both = threading.Barrier(2, timeout=20)
+    monkeypatch.setattr(P, "rows", lambda spark, d: spark.createDataFrame([(1.0,)], "target double"))
+    monkeypatch.setattr(P, "forest", lambda spark, d: both.wait() * 0 + 1.0)
+    monkeypatch.setattr(P.M, "fit", lambda r, features, kind: both.wait() * 0 + 2.0)
+    monkeypatch.setattr(P.M, "predicted", lambda m, r, features: r.withColumn("prediction", F.lit(m)))
+    assert {r.model: r.mae for r in P.m26(spark, "").collect()} == {"forest": 0, "boosted": 1}
