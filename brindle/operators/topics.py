@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter
-from collections.abc import Callable, Iterator
-from zlib import crc32
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import ship
 from ..sources.articles import few, stored
 from .quality import value_counts
+from .words import Terms, counted, cut, slabs
 
 # Common English words, and the word lists of the style features.
 STOP_WORDS = ("a", "about", "after", "all", "also", "an", "and", "any", "are", "as", "at", "be", "been", "but", "by", "can", "could", "do", "for", "from", "had", "has", "have", "he", "her", "his", "i", "if", "in", "into", "is", "it", "its", "more", "no", "not", "of", "on", "one", "or", "our", "out", "she", "so", "some", "than", "that", "the", "their", "them", "then", "there", "these", "they", "this", "to", "up", "was", "we", "were", "what", "when", "which", "who", "will", "with", "would", "you")
@@ -27,9 +26,6 @@ NEGATIONS = ("no", "not", "never", "none", "nothing", "neither", "nor", "cannot"
 #: Counters of the summary of frequent terms, 64 for each term that is wanted at least; terms that a task holds before it hands them on.
 COUNTERS, HELD = 1 << 18, 200_000
 
-#: What ``words_of`` keeps: letters, digits and underscores, two at least.
-WORD = re.compile(r"\w{2,}")
-
 
 def words_of(text: Column, stop: tuple[str, ...] = ()) -> Column:
     ok = lambda w: (F.length(w) > 1) & ~w.isin(*stop) if stop else F.length(w) > 1
@@ -73,25 +69,6 @@ def dealt(docs: DataFrame) -> DataFrame:
     return docs.repartition(max(docs.rdd.getNumPartitions(), 4 * docs.sparkSession.sparkContext.defaultParallelism))
 
 
-def _hashes(words: list[str], grams: int) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of 32 bits for words and for pairs of neighbours."""
-    one = np.fromiter(map(crc32, map(str.encode, words)), np.uint64, len(words))
-    two = one[:-1] * np.uint64(0x9E3779B97F4A7C15) + one[1:] * np.uint64(0xC2B2AE3D27D4EB4F) if grams == 2 else one[:0]
-    return one, two >> np.uint64(32)
-
-
-def _hits(words: list[str], grams: int, opened: np.ndarray) -> list[str]:
-    """The words and pairs whose counters are opened."""
-    one, two = _hashes(words, grams)
-    n = np.uint64(len(opened))
-    return [words[i] for i in np.flatnonzero(opened[one % n])] + [f"{words[i]} {words[i + 1]}" for i in np.flatnonzero(opened[two % n])]
-
-
-def _of_words(stop: tuple[str, ...]) -> Callable[[str], list[str]]:
-    none = frozenset(stop)
-    return lambda text: [w for w in WORD.findall(text) if w not in none]
-
-
 def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, texts) in lower case, dealt to all cores; rows that share a key are one document."""
     rows = docs.select(F.col(key).alias("key"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text"))
@@ -105,15 +82,14 @@ def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def _counters(texts: DataFrame, stop: tuple[str, ...], grams: int, size: int) -> np.ndarray:
     """How many words and pairs have each hash: ``size`` numbers from every task, which meet by block."""
-    block, of_words = 1 << 16, _of_words(stop)
+    block = 1 << 16
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for texts in batch.column("texts"):
-                for text in texts.as_py():
-                    for hashes in _hashes(of_words(text), grams):
-                        np.add.at(total, hashes % np.uint64(size), 1)
+            for slab, _ in slabs(batch.column("texts")):
+                c = cut(slab, stop, grams)
+                total += np.bincount((np.concatenate([c.one, c.two]) & np.uint64(size - 1)).view(np.int64), minlength=size)
         yield pa.RecordBatch.from_arrays([pa.array(range(0, size, block), pa.int32()), pa.array([total[a : a + block].tobytes() for a in range(0, size, block)], pa.binary())], ["block", "blob"])
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +108,7 @@ def _counters(texts: DataFrame, stop: tuple[str, ...], grams: int, size: int) ->
 def _chosen(texts: DataFrame, n: int, stop: tuple[str, ...], grams: int, *, least: int, most: float, terms: int) -> list[tuple[str, int]]:
     """(term, df) of the ``terms`` most frequent of all that ``tfidf`` may use, as ``frequent_terms`` finds them, from the texts themselves."""
     size = max(COUNTERS, 64 << max(0, terms - 1).bit_length())
-    counters, of_words, opened = _counters(texts, stop, grams, size), _of_words(stop), 4 * terms
+    counters, opened = _counters(texts, stop, grams, size), 4 * terms
     while True:
         order = np.argsort(-counters, kind="stable")
         closed = int(counters[order[opened]]) if opened < size else 0
@@ -141,10 +117,12 @@ def _chosen(texts: DataFrame, n: int, stop: tuple[str, ...], grams: int, *, leas
         def exact(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
             tf, df = Counter(), Counter()
             for batch in batches:
-                for texts in batch.column("texts"):
-                    found = Counter(t for text in texts.as_py() for t in _hits(of_words(text), grams, known))
-                    tf.update(found)
-                    df.update(found.keys())
+                for slab, row in slabs(batch.column("texts")):
+                    c = cut(slab, stop, grams)
+                    for n_words in range(1, grams + 1):
+                        names, often, rows = counted(c, row, known, n_words)
+                        tf.update(dict(zip(names, often.tolist(), strict=True)))
+                        df.update(dict(zip(names, rows.tolist(), strict=True)))
                     if len(tf) >= HELD:
                         yield pa.RecordBatch.from_arrays([pa.array(list(tf)), pa.array(list(tf.values())), pa.array([df[t] for t in tf])], ["term", "all", "df"])
                         tf, df = Counter(), Counter()
@@ -167,22 +145,19 @@ def tfidf(docs: DataFrame, *, key: str, text: str, stop: tuple[str, ...] = STOP_
     ship(docs.sparkSession)
     texts, n = _texts(docs, key, text), docs.count()
     idf = {t: float(np.log((n + 1) / (df + 1)) + 1) for t, df in _chosen(texts, n, stop, grams, least=least, most=most, terms=terms)}
-    of_words, size = _of_words(stop), max(COUNTERS, 64 << max(0, terms - 1).bit_length())
-    known = np.zeros(size, bool)
-    for t in idf:
-        words = t.split(" ")
-        known[_hashes(words, len(words))[len(words) - 1] % np.uint64(size)] = True
 
     def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, factor, names = Terms(idf, max(COUNTERS, 64 << len(idf).bit_length())), np.array(list(idf.values())), pa.array(list(idf), pa.string())
         for batch in batches:
-            rows, names, values = [], [], []
-            for i, texts in enumerate(batch.column("texts")):
-                found = Counter(t for text in texts.as_py() for t in _hits(of_words(text), grams, known) if t in idf)
-                raw = np.array([idf[t] * tf for t, tf in found.items()])
-                rows += [i] * len(raw)
-                names += found
-                values.append(raw / np.sqrt((raw * raw).sum()) if len(raw) else raw)
-            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(rows, pa.int64())), pa.array(names, pa.string()), pa.array(np.concatenate(values) if values else [], pa.float64())], [key, "term", "weight"])
+            for slab, row in slabs(batch.column("texts")):
+                c = cut(slab, stop, grams)
+                hits = [known.found(c, k) for k in range(1, grams + 1)]
+                cell, tf = np.unique(np.concatenate([row[c.text[i]] * len(idf) + which for i, which in hits]), return_counts=True)
+                if not len(cell):
+                    continue
+                at, which = np.divmod(cell, len(idf))
+                raw = factor[which] * tf
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(at)), names.take(pa.array(which)), pa.array(raw / np.sqrt(np.bincount(at, raw * raw)[at]))], [key, "term", "weight"])
 
     if only is not None:
         texts = texts.join(only.select(F.col(key).alias("key")).distinct(), "key", "left_semi")
