@@ -9,6 +9,9 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from .. import ship
 
 #: Characters of the texts that are cut together; a longer text is cut alone, its words numbered and compared in pieces of about as many.
 SLAB = 1 << 19
@@ -207,3 +210,23 @@ def slabs(column: pa.ListArray) -> Iterator[tuple[list[str], np.ndarray]]:
         size += n
     if texts:
         yield texts, np.array(rows, np.int64)
+
+
+def characters(docs: DataFrame, *, key: str, text: str, kinds: tuple[str, ...]) -> DataFrame:
+    """(key, n, counts): the characters of each text, and how many of each kind of ASCII characters; bytes are counted, a text at a time."""
+    ship(docs.sparkSession)
+    found = np.zeros((256, 1 + len(kinds)), np.int64)
+    found[:, 0] = [b & 0xC0 != 0x80 for b in range(256)]  # where a character begins
+    for j, kind in enumerate(kinds):
+        found[list(kind.encode("ascii")), 1 + j] = 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).cast(pa.large_binary()).fill_null(b"")
+            offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1].tolist() if len(texts) else [0]
+            raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+            own = np.array([np.bincount(raw[a:b], minlength=256) @ found for a, b in zip(offsets, offsets[1:])], np.int64).reshape(-1, 1 + len(kinds))
+            counts = pa.ListArray.from_arrays(pa.array(range(0, own.shape[0] * len(kinds) + 1, len(kinds)), pa.int32()), pa.array(own[:, 1:].ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own[:, 0]), counts], [key, "n", "counts"])
+
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, n long, counts array<long>")

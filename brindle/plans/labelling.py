@@ -9,6 +9,7 @@ from ..operators import probes as P
 from ..operators import quality as Q
 from ..operators import similar as S
 from ..operators import topics as T
+from ..operators import words as W
 from . import views as V
 from .registry import query
 
@@ -33,13 +34,12 @@ TAILS = "tails as (select component, id, score, 'high' as tail from (select *, r
 
 
 def scores(spark, d):
-    a = T.dealt(V.articles(spark, d).select("id", "description"))
-    n = F.greatest(F.length("description"), F.lit(1))
+    a = W.characters(T.dealt(V.articles(spark, d).select("id", "description")), key="id", text="description", kinds=("aeiou", ",;:."))
 
-    def per_mille(kind):
-        return F.floor(F.length(F.regexp_replace("description", f"[^{kind}]", "")) * 1000 / n).cast("double")
+    def per_mille(j):
+        return F.floor(F.col("counts")[j] * 1000 / F.greatest("n", F.lit(1))).cast("double")
 
-    s = [per_mille("aeiou"), per_mille(",;:."), F.length("description").cast("double")]
+    s = [per_mille(0), per_mille(1), F.col("n").cast("double")]
     rows = a.select("id", F.posexplode(F.array(*s)).alias("j", "score")).select(F.concat(F.lit("c"), (F.col("j") + 1).cast("string")).alias("component"), "id", "score")
     return S.stored(rows, "scores")  # numbers, so that both tails and what follows don't read the texts again
 

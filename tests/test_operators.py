@@ -669,6 +669,17 @@ def test_words_are_cut_faster_than_one_by_one():
     assert least(lambda: W.cut(texts, T.STOP_WORDS, 1)) < 0.7 * least(plain)
 
 
+def test_characters_of_texts(spark):
+    """Lengths and kinds as counting characters gives them, whatever the text; no text counts as an empty one."""
+    from brindle.operators import words as W
+
+    texts = ["", None, "aeiou, the; e\u0301t\u00e9", "\U0001d400.\U0001d401:", "x" * 70_000 + "a", "\x00a", "二三,"] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    got = {r.id: (r.n, *r.counts) for r in W.characters(docs, key="id", text="text", kinds=("aeiou", ",;:.")).collect()}
+    assert got == {i: (len(t or ""), *(sum(c in kind for c in t or "") for kind in ("aeiou", ",;:."))) for i, t in enumerate(texts)}
+    assert W.characters(docs.limit(0), key="id", text="text", kinds=("a",)).count() == 0
+
+
 def test_factors_of_many_rows_are_solved_together():
     """As many steps for 2,000 rows as for one, and each row's result is that which it has alone."""
     from brindle.operators import factors as N
