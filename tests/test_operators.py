@@ -817,3 +817,30 @@ def test_models_to_choose_from_grow_beside_each_other(spark, monkeypatch):
     monkeypatch.setattr(P.M, "fit", lambda r, features, kind: both.wait() * 0 + 2.0)
     monkeypatch.setattr(P.M, "predicted", lambda m, r, features: r.withColumn("prediction", F.lit(m)))
     assert {r.model: r.mae for r in P.m26(spark, "").collect()} == {"forest": 0, "boosted": 1}
+
+
+def test_tiles_without_a_block(spark, monkeypatch):
+    """Blocks are dealt to tiles by hash, which may leave a tile without any: what would meet it is no pair of a tile with itself."""
+    for name, n in (("BLOCK", 8), ("TILE", 8), ("PIVOTS", 2)):
+        monkeypatch.setattr(S, name, n)
+    v = vectors_of(100, 8)
+    df = spark.createDataFrame([(i, v[i].tolist()) for i in range(100)], "id long, vector array<double>")
+    blocks = S._blocks(df, F.lit(0), "id", "vector", None)
+    assert S._tiles(blocks)[0].select("tile").distinct().count() < 13  # ceil(100 / 8)
+    rows = S.similar_pairs(df, threshold=0.3, band=F.lit(0), key="id").collect()
+    assert sorted((r.a, r.b) for r in rows) == [(i, j) for i in range(100) for j in range(i + 1, 100) if v[i] @ v[j] > 0.3]
+    c = np.round(v @ v.T, 6)
+    got = S.top_similar(df, df, k=3).collect()
+    assert {(r["query"], r["rank"]): r["id"] for r in got} == {(q, n + 1): i for q in range(100) for n, i in enumerate(sorted((i for i in range(100) if i != q), key=lambda i: (-c[q, i], i))[:3])}
+
+
+def test_similarities_are_rounded_like_sql(spark):
+    import duckdb
+
+    values = [n / 1000 + 0.0005 for n in range(-1000, 1000)]
+    df = spark.createDataFrame([(n, n, v, 1) for n, v in enumerate(values)], "query long, id long, similarity double, rank int")
+    got = S.default_prediction(df.select(F.col("query").alias("id")), df, df.select("id", F.lit("x").alias("label")))
+    sql = duckdb.sql("select n || ':' || cast(round(v, 3) as varchar) from (select unnest(range(2000)) as n, (n - 1000) / 1000 + 0.0005 as v)").fetchall()
+    assert sorted(r.neighbours for r in got.collect()) == sorted(r[0] for r in sql)
+    x = np.array([0.5, 1.5, 2.5, -0.5, -2.5, 0.4999999, 0.49999999999999994])
+    assert S._rounded(x, 0).tolist() == [1.0, 2.0, 3.0, -1.0, -3.0, 0.0, 0.0]
