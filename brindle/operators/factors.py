@@ -14,8 +14,8 @@ from .. import ship
 from ..sources.articles import stored
 from .topics import tfidf
 
-#: Terms in one row of the sums that tasks hand on, numbers that a task works on at once, and rows that are solved together.
-IN_BLOCK, AT_ONCE, ROWS_AT_ONCE = 2_048, 1 << 20, 2_048
+#: Terms in one row of the sums that tasks hand on, numbers that a task works on at once, which a core's cache holds, and rows that are solved together.
+IN_BLOCK, AT_ONCE, ROWS_AT_ONCE = 2_048, 1 << 16, 2_048
 
 
 def descend(targets: np.ndarray, gram: np.ndarray, start: np.ndarray, l1: float, l2: float, sweeps: int, tolerance: float = 1e-7) -> np.ndarray:
@@ -83,7 +83,7 @@ def _products(terms: np.ndarray, values: np.ndarray, starts: np.ndarray, right:
 
 def _add_turned(total: np.ndarray, terms: np.ndarray, values: np.ndarray, starts: np.ndarray, r: np.ndarray) -> None:
     """Adds the turned rows times r (rows, k) to (terms, k), some cells at a time, in order of their terms."""
-    order = np.argsort(terms, kind="stable")
+    order = np.argsort(terms.astype(np.uint16) if len(total) <= 1 << 16 else terms, kind="stable")  # short numbers are sorted by digits
     row = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(terms))))[order]
     t, v = terms[order], values[order]
     step = max(1, AT_ONCE // r.shape[1])
@@ -119,7 +119,7 @@ def _sums(rows: DataFrame, n_terms: int, k: int, left: Callable, extra: int) ->
             yield _blocks(total)
 
     schema = "block int, blob binary"
-    found = {r["block"]: np.frombuffer(r["blob"]) for r in rows.select("numbers", "weights").mapInArrow(own, schema).repartition("block").mapInArrow(added, schema).collect()}
+    found = {r["block"]: np.frombuffer(r["blob"]) for r in rows.select("numbers", "weights").mapInArrow(own, schema).repartition("block").mapInArrow(added, schema).toArrow().to_pylist()}
     if not found:
         return np.zeros((n_terms, k)), np.zeros(extra)
     return np.concatenate([found[b] for b in range(len(found) - 1)]).reshape(n_terms, k), found[-1]
@@ -171,15 +171,16 @@ def fit(rows: DataFrame, terms: list[str], *, k: int, l1: float = 0.05, l2: floa
         return Factors(terms, np.zeros((k, 0)), l1, l2, [])
     h, losses = _started(rows, len(terms), k, seed), []
     for _ in range(passes):
-        own = Factors(terms, h.T, l1, l2, [])
+        gram = h.T @ h
 
-        def solve(t, v, s, own=own, h=h):
-            w = own.shares_of(_products(t, v, s, h), sweeps=40, tolerance=1e-4)
+        def solve(t, v, s, gram=gram, h=h):  # tasks get the topics once and not the names of the terms
+            products = _products(t, v, s, h)
+            w = descend(products, gram, np.zeros_like(products), l1, l2, 40, 1e-4)
             return w, np.concatenate([(w.T @ w).ravel(), [(v * v).sum(), w.sum(), (w * w).sum()]])
 
         xw, e = _sums(rows, len(terms), k, solve, k * k + 3)
         ww, (xx, w1, w2) = e[: k * k].reshape(k, k), e[k * k :]
-        losses.append(float(0.5 * (xx - 2 * (xw * h).sum() + (ww * (h.T @ h)).sum()) + l1 * (w1 + h.sum()) + l2 / 2 * (w2 + (h * h).sum())))
+        losses.append(float(0.5 * (xx - 2 * (xw * h).sum() + (ww * gram).sum()) + l1 * (w1 + h.sum()) + l2 / 2 * (w2 + (h * h).sum())))
         if len(losses) > 1 and losses[-2] - losses[-1] <= tolerance * losses[-2]:
             break
         h = descend(xw, ww, h, l1, l2, 20)

@@ -870,3 +870,22 @@ def test_prior_events_by_subsets_of_words(spark, monkeypatch):
         monkeypatch.setattr(R, "DEARER", dearer, raising=False)
         assert sorted(tuple(r) for r in R.prior_events(events).collect()) == wanted
     assert 2 * scored[1].filter("company = 'hot'").count() < scored[-2].filter("company = 'hot'").count()
+
+
+def test_factor_passes_ship_the_topics_once(spark, monkeypatch):
+    """What a pass hands to its tasks is one matrix of topics, without the names of the terms; numbers of either width are added alike."""
+    from pyspark import cloudpickle
+
+    from brindle.operators import factors as N
+
+    sizes, own = [], N._sums
+    monkeypatch.setattr(N, "_sums", lambda rows, n, k, left, extra: sizes.append(len(cloudpickle.dumps(left))) or own(rows, n, k, left, extra))
+    rng = np.random.default_rng(2)
+    rows = spark.createDataFrame([(sorted(rng.choice(900, 30, replace=False).tolist()), rng.random(30).tolist()) for _ in range(40)], "numbers array<int>, weights array<double>")
+    found = N.fit(rows, [f"term{i}" for i in range(900)], k=8, passes=2)
+    assert len(found.losses) == 2 and max(sizes[6:]) < 1.5 * 900 * 8 * 8
+    terms, values, starts, r = rng.integers(900, size=300), rng.random(300), np.arange(0, 300, 30), rng.random((10, 8))
+    narrow, wide = np.zeros((900, 8)), np.zeros((70_000, 8))
+    N._add_turned(narrow, terms, values, starts, r)
+    N._add_turned(wide, terms, values, starts, r)
+    assert (narrow == wide[:900]).all() and not wide[900:].any()
