@@ -889,3 +889,32 @@ def test_factor_passes_ship_the_topics_once(spark, monkeypatch):
     N._add_turned(narrow, terms, values, starts, r)
     N._add_turned(wide, terms, values, starts, r)
     assert (narrow == wide[:900]).all() and not wide[900:].any()
+
+
+@pytest.mark.parametrize("kind", ["near or far", "apart"])
+def test_merging_without_a_table_of_pairs(spark, monkeypatch, kind):
+    """Each event knows a few options; where all are taken they are looked for anew.  As the pass in order over every pair, in slices too."""
+    from brindle.operators import components as C
+
+    for module, name, n in ((S, "OPTIONS", 6), (S, "HELD", 300), (S, "BLOCK", 16), (S, "TILE", 32), (C, "MOST_EDGES", 400)):
+        monkeypatch.setattr(module, name, n)
+    n, v, asked, own = 160, vectors_of(160, 9), [], S.best_pairs
+    v[20:24] = v[19]  # equal weights
+    day = [None if i % 23 == 0 else i * 37 % 700 for i in range(n)]
+    monkeypatch.setattr(S, "best_pairs", lambda *a, **k: asked.append(own(*a, **k)) or asked[-1])
+    weigh, same = (S.near_or_far(near=0.2, far=0.35), lambda a, b: (a + b) % 5 != 0) if kind == "near or far" else (S.apart(least=0.2), None)
+    df = spark.createDataFrame([(i, v[i].tolist(), None if day[i] is None else DAY + dt.timedelta(day[i])) for i in range(n)] + [(n, None, DAY)], "pos long, vector array<double>, date date")
+    into = {}
+    for a in range(n):
+        options = []
+        for b in range(a + 1, n):
+            dot = float(np.cumsum(v[a] * v[b])[-1])
+            days = np.nan if day[a] is None or day[b] is None else float(abs(day[a] - day[b]))
+            weight = float(weigh(np.array([dot]), np.array([days]))[0]) if dot > 0.2 else np.nan
+            if b not in into and not np.isnan(weight):
+                options.append((-weight, b))
+        if a not in into and options and (same is None or same(a, min(options)[1])):
+            into[min(options)[1]] = a
+    got = S.merged_similar(df, threshold=0.2, band=F.lit(0), weigh=weigh, same=same).collect()
+    assert {r.pos: r.into for r in got} == {i: into.get(i, i) for i in range(n + 1)} and len(got) == n + 1
+    assert len(asked) > 1 and all(o.count() <= 6 * n or o.agg(F.max("place")).first()[0] > 6 for o in asked)
