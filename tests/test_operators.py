@@ -918,3 +918,14 @@ def test_merging_without_a_table_of_pairs(spark, monkeypatch, kind):
     got = S.merged_similar(df, threshold=0.2, band=F.lit(0), weigh=weigh, same=same).collect()
     assert {r.pos: r.into for r in got} == {i: into.get(i, i) for i in range(n + 1)} and len(got) == n + 1
     assert len(asked) > 1 and all(o.count() <= 6 * n or o.agg(F.max("place")).first()[0] > 6 for o in asked)
+
+
+def test_words_of_topics_are_counted_in_the_texts(spark, monkeypatch):
+    """As the words that are cut one by one; no table of all words is made, and of equal words the first by name count."""
+    docs = [(1, "Red ring, RED stone a"), (2, "red ring été blue"), (3, None), (4, "Été stone ring blue"), (4, "ring red_1 red_1 only"), (5, "ring")]
+    df = spark.createDataFrame(docs, "id long, description string").repartition(2)
+    monkeypatch.setattr(M, "words_of", None)
+    rows, vocabulary = M._counted(df, key="id", text="description", terms=3)
+    assert vocabulary == ["red", "blue", "stone"]  # ring is in five of six
+    got = sorted((r.id, r.counts.toArray().tolist()) for r in rows.collect())
+    assert got == [(1, [2.0, 0.0, 1.0]), (2, [1.0, 1.0, 0.0]), (3, [0.0] * 3), (4, [0.0] * 3), (4, [0.0, 1.0, 1.0]), (5, [0.0] * 3)]
