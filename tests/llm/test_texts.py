@@ -480,6 +480,15 @@ def test_smallest_table_goes_through_the_index(spark, sf_dir):
     assert len(got) == (ids % 20 == 0).sum() * 20 and hits / len(got) >= 0.9
 
 
+def test_visits_are_packed_where_they_are_made(spark, sf_dir):
+    """The queries that visit a bucket are one row for each batch and block of them, not one each."""
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").coalesce(1)
+    _, entries, visits, _ = neighbours._candidates(v, F.col("vec_id") % 20 == 0, 20, 11, "vec_id", "embedding")
+    assert visits.count() == visits.select("bucket").distinct().count() <= entries.select("bucket").distinct().count() + 8
+    assert visits.select(F.explode("left.vec_id")).count() > 2 * visits.count()
+    assert visits.select(F.max(F.size("left"))).first()[0] <= neighbours.QUERIES_IN_BLOCK
+
+
 @pytest.fixture
 def shared_ids(spark):
     """Rows without ids, with shared ids, and equal ones."""
